@@ -9,7 +9,7 @@ sketch only decides where the cuts fall.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from math import ceil, floor
 
@@ -115,13 +115,14 @@ def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str], kind: str = "dou
         F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in cols])))
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              by: Sequence[str] = (), cells: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles: `(by..., column, p, value, n)`.
+def order_statistics(df: DataFrame, cols: Sequence[str], want: Callable[[int], list[tuple[float, float]]],
+                     by: Sequence[str] = (), cells: int | None = None) -> DataFrame | None:
+    """Values at chosen positions of each sorted group: `(by..., column, p, value, n)`.
 
-    Cell counts find the cells that hold the wanted ranks; only those cells'
-    rows are shuffled. Beyond `MAX_GROUPS` groups the built-in exact
-    `percentile` takes over, since then each group is a small share.
+    `want(n)` lists `(label, position)` for a group of `n` values; a fractional
+    position interpolates linearly. Cell counts find the cells that hold the
+    wanted ranks, and only those cells' rows are shuffled. None when there are
+    more than `MAX_GROUPS` groups.
     """
     keys = [*by, "column"]
     long = melt(df, by, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -130,10 +131,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cut_df = long.groupBy(*keys).agg(F.percentile_approx("value", grid, 10_000).alias("_bounds"))
     cuts = fetch_small(cut_df, MAX_GROUPS)
     if cuts is None:
-        return (long.groupBy(*keys).agg(F.percentile("value", list(probs)).alias("q"), F.count("*").alias("n"))
-                .select(*keys, "n", F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-                                                 F.col("q").alias("value")).alias("z"))
-                .select(*keys, "n", F.inline("z")).select(*keys, "p", "value", "n"))
+        return None
     spark = df.sparkSession
     long = join_null_safe(long, F.broadcast(spark.createDataFrame(cuts, cut_df.schema)), keys)
     long = long.withColumn("_cell", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds")
@@ -143,19 +141,15 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     wanted = []
     for key, parts in sizes.items():
         n = sum(parts.values())
-        for p in probs:
-            pos = p * (n - 1)
+        for label, pos in want(n):
             for side, rank in (("lo", floor(pos)), ("hi", ceil(pos))):
                 seen = 0
                 for cell in sorted(parts):
                     if rank < seen + parts[cell]:
                         break
                     seen += parts[cell]
-                wanted.append((*key, float(p), side, pos - floor(pos), rank - seen, n, cell))
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema if f.name in keys)
-    order = [f.name for f in long.schema if f.name in keys]
-    pick = [keys.index(k) for k in order]
-    wanted = [(*[w[i] for i in pick], *w[len(keys):]) for w in wanted]
+                wanted.append((*key, float(label), side, float(pos - floor(pos)), rank - seen, n, cell))
+    key_ddl = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
     targets = F.broadcast(spark.createDataFrame(
         wanted, key_ddl + ", p double, side string, frac double, rank long, n long, _cell int"))
     hit_cells = F.broadcast(targets.select(*keys, "_cell").distinct())
@@ -172,6 +166,25 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         .select(*keys, "p", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("value"), "n"))
 
 
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+              by: Sequence[str] = (), cells: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles: `(by..., column, p, value, n)`.
+
+    Beyond `MAX_GROUPS` groups the built-in exact `percentile` over per-value
+    counts takes over, since then each group is a small share of the rows.
+    """
+    out = order_statistics(df, cols, lambda n: [(p, p * (n - 1)) for p in probs], by, cells)
+    if out is not None:
+        return out
+    keys = [*by, "column"]
+    counts = melt(df, by, cols).where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*keys, "value").agg(
+        F.count("*").alias("c"))
+    return (counts.groupBy(*keys).agg(F.percentile("value", list(probs), F.col("c")).alias("q"), F.sum("c").alias("n"))
+            .select(*keys, "n", F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
+                                                      F.col("q").alias("value"))))
+            .toDF(*keys, "n", "p", "value").select(*keys, "p", "value", "n"))
+
+
 def quantiles_wide(df: DataFrame, col: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with a column per named probability."""
     q = quantiles(df, [col], sorted(set(probs.values())), by)
