@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def measure_state(value: Column, observed: Column) -> Column:
@@ -70,7 +71,7 @@ def all_numbers(text: Column) -> Column:
     return F.array_distinct(F.filter(vals, lambda v: v.isNotNull()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark has no built-in for."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
