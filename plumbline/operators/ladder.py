@@ -13,6 +13,7 @@ from plumbline.functions.ordered import order_statistics, running_total, with_ce
 from plumbline.operators.regress import (RUNG_SCHEMA, _symmetric, _upper, cluster_sums, cr2_variance, cr_variances,
                                          fit_ols, hc_variances, rung)
 from plumbline.operators.rollups import row_numbers
+from plumbline.session import cut
 
 FEW_CLUSTERS = 40
 WITHIN_FLOOR = 0.01
@@ -324,7 +325,8 @@ def two_sample_bootstrap(calibration: DataFrame, target: DataFrame, unit: str, x
 
 def benjamini_hochberg(ptable: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     """Step-up rejections and q-values. Ranks come from counts of equal p-values, cell by cell."""
-    tested = ptable.where(F.col(p).isNotNull())
+    # one row per hypothesis, read several times below
+    tested = cut(ptable.where(F.col(p).isNotNull()))
     m = tested.agg(F.count("*").alias("_m"))
     # rank of a p-value = number of p-values not above it
     c = running_total(tested.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")), [], "_p", {"_rank": "_c"})
