@@ -75,4 +75,33 @@ FIXTURES = {
     "ev_obs": """SELECT event_id, event_type, user_id, CASE WHEN event_id % 6 = 0 THEN 0.0 ELSE value END AS value,
         CASE WHEN event_id % 12 = 0 OR event_type = 'signup' AND event_id % 5 = 0 THEN 0 ELSE 1 END AS observed
         FROM {events}""",
+    # documents read twice, with field-level faults in the second pass
+    "second_read": """SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'xx' ELSE lang END AS lang,
+        CASE WHEN doc_id % 29 = 0 THEN NULL ELSE source END AS source, n_chars + CASE WHEN doc_id % 37 = 0 THEN 1 ELSE 0 END AS n_chars
+        FROM {documents}""",
+    # one catalogue entry per document, some of them malformed
+    "catalogue": """SELECT doc_id, source AS folder,
+        CASE WHEN doc_id % 11 = 0 THEN upper(source) WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN source || '-admin' ELSE source END AS name,
+        CASE WHEN doc_id % 19 = 0 THEN '' WHEN doc_id % 23 = 0 THEN '<b>' || lang || '</b> texts' WHEN doc_id % 27 = 0 THEN text ELSE lang || ' texts' END AS description
+        FROM {documents}""",
+    # claims in prose about the same quantity, some out of date
+    "claims": """SELECT o_orderkey AS doc_id, 'In this report the total for customer_' || CAST(o_custkey AS VARCHAR(20)) || ' is ' ||
+        CAST(CASE WHEN o_orderkey % 50 = 0 THEN o_custkey * 7 + 1 ELSE o_custkey * 7 END AS VARCHAR(20)) || ', as printed before.' AS text FROM {orders}""",
+    # scale items per order
+    "items": """SELECT l_orderkey, count(*) AS i1, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS i2,
+        sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS i3, sum(CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END) AS i4 FROM {lineitem} GROUP BY l_orderkey""",
+    # machine labels for every labelled document, gold for a quarter chosen by hash
+    "surrogate": """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 1 - quality ELSE quality END AS machine,
+        CASE WHEN substr(md5(CAST(doc_id AS VARCHAR(20))), 1, 1) < '4' THEN quality END AS gold, toxic, quality FROM {labels}""",
+    # sampled orders with inclusion probability proportional to price
+    "sampled": """SELECT o_orderkey, o_totalprice, 0.25 + 0.5 * (o_totalprice / 500000.0) AS pi FROM {orders}
+        WHERE CAST(o_orderkey % 1000 AS DOUBLE) / 1000.0 < 0.25 + 0.5 * (o_totalprice / 500000.0)""",
+    # customers' addresses and a suppression list in mixed case
+    "addresses": "SELECT c_custkey, lower(replace(c_name, '#', '')) || '@example.org' AS address FROM {customer}",
+    "suppression": """SELECT upper(replace(c_name, '#', '')) || '@Example.org' AS address, CASE WHEN c_custkey % 2 = 0 THEN 'hard_bounce' ELSE 'complaint' END AS reason,
+        CASE WHEN c_custkey % 7 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2025-01-01 00:00:00' ELSE NULL END AS expires_at
+        FROM {customer} WHERE c_acctbal < 0 OR c_mktsegment = 'MACHINERY'""",
+    # per-day timings of three arms taken from events of three kinds
+    "timings": """SELECT CAST(ts AS DATE) AS round, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'a2' ELSE 'b' END AS arm, value AS seconds
+        FROM {events} WHERE event_type IN ('click', 'view', 'purchase')""",
 }
