@@ -85,7 +85,7 @@ def sentence_rhythm(df: DataFrame, key: Sequence[str], text: str, short: int = 4
     marks = F.array_join(F.transform("_l", lambda x: F.when(x <= short, "S").otherwise("L")), "")
     runs = F.transform(F.regexp_extract_all(marks, F.lit("(S+)"), F.lit(1)), lambda s: F.length(s))
     var = F.when(n > 1, (square - total * total / n) / (n - 1))
-    return d.select(*key, n.alias("sentences"), F.try_divide(total, n).alias("mean_words"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd_words"),
+    return d.select(*key, n.alias("sentences"), F.try_divide(total, n).alias("mean_words"), F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd_words"),
                     F.coalesce(F.array_max(runs), F.lit(0)).alias("longest_short_run"),
                     (F.coalesce(F.array_max(runs), F.lit(0)) >= run).alias("staccato"))
 

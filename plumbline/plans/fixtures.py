@@ -104,4 +104,24 @@ FIXTURES = {
     # per-day timings of three arms taken from events of three kinds
     "timings": """SELECT CAST(ts AS DATE) AS round, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'a2' ELSE 'b' END AS arm, value AS seconds
         FROM {events} WHERE event_type IN ('click', 'view', 'purchase')""",
+    # two spellings of the same parts; the second side is misspelt, partly re-blocked and partly null
+    "link_left": """SELECT p_partkey AS lid, p_brand AS block, p_name || ' ' || substr(md5(CAST(p_partkey AS VARCHAR(20))), 1, 8) AS name,
+        CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS size FROM {part}""",
+    "link_right": """SELECT p_partkey + 5000000 AS rid, CASE WHEN p_partkey % 31 = 0 THEN NULL WHEN p_brand = 'Brand#1' THEN 'Brand-1' ELSE p_brand END AS block,
+        CASE WHEN p_partkey % 4 = 1 THEN replace(p_name, 'e', '') || ' ' || substr(md5(CAST(p_partkey AS VARCHAR(20))), 1, 8)
+             WHEN p_partkey % 4 = 2 THEN p_name || ' ' || substr(md5(CAST(p_partkey AS VARCHAR(20))), 1, 7)
+             WHEN p_partkey % 4 = 3 THEN p_name || ' ' || substr(md5(CAST(p_partkey AS VARCHAR(20))), 2, 7)
+             ELSE p_name || ' ' || substr(md5(CAST(p_partkey AS VARCHAR(20))), 1, 8) END AS name,
+        p_size AS size FROM {part}""",
+    # per-nation results, the files they are printed in and prose citing them
+    "nat": """SELECT c_nationkey AS k, count(*) AS n_orders, CAST(sum(o_custkey) AS BIGINT) AS key_sum, CAST(max(o_orderkey) AS BIGINT) AS last_key
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey""",
+    "artifacts": """SELECT 'main/nation_' || CAST(k AS VARCHAR(9)) || '.tex' AS path, 'orders & ' || CAST(n_orders AS VARCHAR(20)) || ' & keys ' || CAST(key_sum AS VARCHAR(20))
+          || ' & last ' || CAST(last_key AS VARCHAR(20)) AS body FROM {nat}
+        UNION ALL SELECT 'main/results.tex', '2.86 and 311.5' UNION ALL SELECT 'appendix/results.tex', '7.14 and 912.25'""",
+    "paragraphs": """SELECT CAST(k AS BIGINT) AS para_id, CASE WHEN k % 9 = 4 THEN 'results' WHEN k % 9 = 7 THEN 'main/typo' WHEN k % 2 = 0 THEN 'tables/main/nation_' || CAST(k AS VARCHAR(9))
+          ELSE 'nation_' || CAST(k AS VARCHAR(9)) || '.tex' END AS cited_path,
+        'In 2015 the keys rose 12.4' || chr(92) || '% to ' || CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS VARCHAR(20))
+          || ' over ' || CAST(n_orders AS VARCHAR(20)) || ' orders ' || chr(92) || 'ref' || chr(123) || 'tab:x12345' || chr(125)
+          || CASE WHEN k % 7 = 3 THEN ', with ' || CAST(987654 + k AS VARCHAR(20)) || ' left' ELSE '' END || '.' AS text FROM {nat}""",
 }

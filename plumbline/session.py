@@ -55,12 +55,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives losing executors and drops its lineage."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder and read it back.
+
+    The copy survives losing executors, drops the lineage, is computed once and
+    has a known size, so later joins with a small one are broadcast by Spark.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fetch_small(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
