@@ -13,7 +13,7 @@ from plumbline.functions.ordered import order_statistics, running_total, with_ce
 from plumbline.operators.regress import (RUNG_SCHEMA, _symmetric, _upper, cluster_sums, cr2_variance, cr_variances,
                                          fit_ols, hc_variances, rung)
 from plumbline.operators.rollups import row_numbers
-from plumbline.session import cut
+from plumbline.session import SMALL_ROWS, cut
 
 FEW_CLUSTERS = 40
 WITHIN_FLOOR = 0.01
@@ -324,13 +324,23 @@ def two_sample_bootstrap(calibration: DataFrame, target: DataFrame, unit: str, x
 # ---- several hypotheses --------------------------------------------------------------------------------------------
 
 def benjamini_hochberg(ptable: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
-    """Step-up rejections and q-values. Ranks come from counts of equal p-values, cell by cell."""
+    """Step-up rejections and q-values: adds `rank`, `q` and `reject`.
+
+    A table of at most `SMALL_ROWS` hypotheses is ranked in one window; a larger
+    one cell by cell.
+    """
     # one row per hypothesis, read several times below
     tested = cut(ptable.where(F.col(p).isNotNull()))
-    m = tested.agg(F.count("*").alias("_m"))
+    m = tested.count()
+    if m <= SMALL_ROWS:
+        up = Window.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)
+        j = tested.withColumn("rank", F.count("*").over(up))
+        raw = F.col(p) * F.lit(float(m)) / F.col("rank")
+        down = Window.orderBy(p).rangeBetween(0, Window.unboundedFollowing)
+        return j.withColumn("q", F.least(F.min(raw).over(down), F.lit(1.0))).withColumn("reject", F.col("q") <= alpha)
     # rank of a p-value = number of p-values not above it
     c = running_total(tested.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")), [], "_p", {"_rank": "_c"})
-    c = c.join(F.broadcast(m)).withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank"))
+    c = c.withColumn("_raw", F.col("_p") * F.lit(float(m)) / F.col("_rank"))
     # q-value = smallest raw value at this p or above: a running minimum from the right
     c = running_min_from_right(c, "_p", "_raw", "_q")
     j = tested.join(c.select("_p", F.col("_rank").alias("rank"), F.least(F.col("_q"), F.lit(1.0)).alias("q")), F.col(p) == F.col("_p")).drop("_p")

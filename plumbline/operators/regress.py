@@ -313,7 +313,7 @@ def cluster_imbalance(df: DataFrame, cluster: str) -> DataFrame:
 
 # ---- fixed effects -----------------------------------------------------------------------------------------
 
-def within_fit(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str], tol: float = 1e-9,
+def within_fit(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str], tol: float = 1e-8,
                max_iter: int = 200) -> DataFrame:
     """Slopes with any number of high-dimensional fixed effects absorbed.
 
@@ -324,8 +324,9 @@ def within_fit(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str],
     """
     cols = [y, *xs]
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols], *effects).dropna()
-    means = d.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    d = d.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in cols], *effects)
+    st = d.agg(*[F.avg(c).alias(c) for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    d = d.select(*[(F.col(c) - F.lit(st[c])).alias(c) for c in cols], *effects)
+    unit = {c: st[f"s_{c}"] or 1.0 for c in cols}  # convergence is judged in standard deviations
     cells = cut(d.groupBy(*effects).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in cols]))
     level_sums = {e: cells.groupBy(e).agg(F.sum("_n").alias("_n"), *[F.sum(f"_s_{c}").alias(f"_s_{c}") for c in cols]) for e in effects}
     coef: dict[str, DataFrame] = {}
@@ -343,7 +344,7 @@ def within_fit(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str],
             if e in coef:
                 old = coef[e].select(e, *[F.col(f"_a_{c}").alias(f"_p_{c}") for c in cols])
                 m = join_null_safe(new, old, [e]).agg(*[F.max(F.abs(F.col(f"_a_{c}") - F.col(f"_p_{c}"))).alias(c) for c in cols]).first()
-                change = max(change, *[m[c] or 0.0 for c in cols])
+                change = max(change, *[(m[c] or 0.0) / unit[c] for c in cols])
             else:
                 change = float("inf") if len(effects) > 1 else 0.0
             coef[e] = new
