@@ -46,6 +46,10 @@ def _search(col: Column, bounds: Sequence, lo: int, hi: int) -> Column:
         _search(col, bounds, mid + 1, hi))
 
 
+def _bounds_below(bounds: Column, value: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b < value))
+
+
 def with_cell(df: DataFrame, by: Sequence[str], col: str, cells: int | None = None) -> DataFrame:
     """Add `_cell`, increasing in `col` inside each group of `by`. `col` must be numeric and not null."""
     cells = cells or n_cells(df)
@@ -60,7 +64,7 @@ def with_cell(df: DataFrame, by: Sequence[str], col: str, cells: int | None = No
     if rows is not None:
         cuts = F.broadcast(df.sparkSession.createDataFrame(rows, cuts.schema))
     return join_null_safe(df, cuts, by).withColumn(
-        "_cell", F.size(F.filter("_bounds", lambda b: b < F.col(col)))).drop("_bounds")
+        "_cell", _bounds_below(F.col("_bounds"), F.col(col))).drop("_bounds")
 
 
 def running_total(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str],
@@ -115,65 +119,111 @@ def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str], kind: str = "dou
         F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in cols])))
 
 
-def order_statistics(df: DataFrame, cols: Sequence[str], want: Callable[[int], list[tuple[float, float]]],
-                     by: Sequence[str] = (), cells: int | None = None) -> DataFrame | None:
-    """Values at chosen positions of each sorted group: `(by..., column, p, value, n)`.
+SLACK = 0.004  # share of rows kept either side of a wanted rank; the sketch errs by about 0.001
+SKETCH_K = 4096
+WHOLE = 4_000  # groups up to this many values are kept whole
+BRACKET = 2_000_000  # most values a cell may hold before it is cut again
+
+
+def order_statistics(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                     want: Callable[[int], Sequence[float]] | None = None) -> DataFrame | None:
+    """Exact values at chosen positions of each sorted group: `(by..., column, p, value, n)`.
 
-    `want(n)` lists `(label, position)` for a group of `n` values; a fractional
-    position interpolates linearly. Cell counts find the cells that hold the
-    wanted ranks, and only those cells' rows are shuffled. None when there are
-    more than `MAX_GROUPS` groups.
+    `want(n)` gives the positions for a group of `n` values, one per entry of
+    `probs` (default `p * (n - 1)`); a fractional position interpolates linearly.
+    A mergeable sketch cuts each column closely around the wanted ranks, values
+    are counted per cell, and only the cells that hold a wanted rank are shuffled.
+    A cell that is still large is cut again. None when there are more than
+    `MAX_GROUPS` groups.
     """
-    keys = [*by, "column"]
-    long = melt(df, by, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    cells = cells or n_cells(df)
-    grid = [i / cells for i in range(1, cells)]
-    cut_df = long.groupBy(*keys).agg(F.percentile_approx("value", grid, 10_000).alias("_bounds"))
-    cuts = fetch_small(cut_df, MAX_GROUPS)
-    if cuts is None:
+    spark, by, probs = df.sparkSession, list(by), [float(p) for p in probs]
+    want = want or (lambda n: [p * (n - 1) for p in probs])
+    names = [f"_v{i}" for i in range(len(cols))]
+    base = df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(v) for c, v in zip(cols, names)])
+    grid = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-SLACK, SLACK)} - {0.0, 1.0}) or [0.5]
+    ranks = F.array(*[F.lit(g) for g in grid])
+    sketches = base.groupBy(*by).agg(*[x for v in names for x in (F.count(v).alias(f"n{v}"), F.kll_sketch_agg_double(v, SKETCH_K).alias(f"k{v}"))])
+    groups = fetch_small(sketches.select(*by, *[f"n{v}" for v in names], *[
+        F.when(F.col(f"n{v}") > 0, F.kll_sketch_get_quantile_double(f"k{v}", ranks)).alias(f"q{v}") for v in names]), MAX_GROUPS)
+    if groups is None:
         return None
-    spark = df.sparkSession
-    long = join_null_safe(long, F.broadcast(spark.createDataFrame(cuts, cut_df.schema)), keys)
-    long = long.withColumn("_cell", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds")
-    sizes: dict[tuple, dict[int, int]] = {}
-    for r in long.groupBy(*keys, "_cell").count().collect():  # at most MAX_GROUPS x cells rows
-        sizes.setdefault(tuple(r[k] for k in keys), {})[r["_cell"]] = r["count"]
-    wanted = []
-    for key, parts in sizes.items():
-        n = sum(parts.values())
-        for label, pos in want(n):
-            for side, rank in (("lo", floor(pos)), ("hi", ceil(pos))):
-                seen = 0
-                for cell in sorted(parts):
-                    if rank < seen + parts[cell]:
-                        break
-                    seen += parts[cell]
-                wanted.append((*key, float(label), side, float(pos - floor(pos)), rank - seen, n, cell))
-    key_ddl = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
-    targets = F.broadcast(spark.createDataFrame(
-        wanted, key_ddl + ", p double, side string, frac double, rank long, n long, _cell int"))
-    hit_cells = F.broadcast(targets.select(*keys, "_cell").distinct())
-    counts = join_null_safe(long, hit_cells, [*keys, "_cell"], "left_semi").groupBy(*keys, "_cell", "value").agg(
-        F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys, "_cell").orderBy("value")
-    counts = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    hits = join_null_safe(counts, targets, [*keys, "_cell"]).where(
-        (F.col("_lo") <= F.col("rank")) & (F.col("rank") < F.col("_hi")))
-    return (hits.groupBy(*keys, "p").agg(
-        F.max("n").alias("n"), F.max("frac").alias("_f"),
-        F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("_a"),
-        F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("_b"))
-        .select(*keys, "p", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("value"), "n"))
-
-
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              by: Sequence[str] = (), cells: int | None = None) -> DataFrame:
+    bounds = {(tuple(r[k] for k in by), i): sorted(set(r[f"q{v}"] or [])) if r[f"n{v}"] > WHOLE else []
+              for r in groups for i, v in enumerate(names)}
+    ddl = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in by)
+
+    def cells(only: dict[int, set] | None = None) -> DataFrame:
+        """Long form `(by..., c, cell, value)`, where `cell` counts the bounds below the value."""
+        if by:
+            tab: dict[tuple, list] = {}
+            for (key, i), bs in bounds.items():
+                tab.setdefault(key, [[]] * len(cols))[i] = bs
+            tab_df = spark.createDataFrame([(*k, *v) for k, v in tab.items()], ddl + ", ".join(f"_b{i} array<double>" for i in range(len(cols))))
+            d = join_null_safe(base, F.broadcast(tab_df), by)
+            cell = [_bounds_below(F.col(f"_b{i}"), F.col(v)) for i, v in enumerate(names)]
+        else:
+            d = base
+            cell = [_search(F.col(v), bounds.get(((), i), []), 0, len(bounds.get(((), i), []))) for i, v in enumerate(names)]
+            if only is not None:
+                d = d.where(reduce(lambda x, y: x | y, [F.col(names[i]).isNotNull() & cell[i].isin(sorted(cs)) for i, cs in only.items()]))
+        return d.select(*by, F.inline(F.array(*[F.struct(F.lit(i).alias("c"), cell[i].alias("cell"), F.col(v).alias("value"))
+                                                for i, v in enumerate(names)]))).where("value is not null")
+
+    stuck: set[tuple] = set()
+    while True:
+        count: dict[tuple, dict[int, int]] = {}
+        for r in cells().groupBy(*by, "c", "cell").count().collect():  # groups x columns x cuts rows
+            count.setdefault((tuple(r[k] for k in by), r["c"]), {})[r["cell"]] = r["count"]
+        targets, wide = [], set()
+        for (key, i), part in count.items():
+            n = sum(part.values())
+            for p, pos in zip(probs, want(n)):
+                for side, rank in (("lo", floor(pos)), ("hi", ceil(pos))):
+                    seen = 0
+                    for cell in sorted(part):
+                        if rank < seen + part[cell]:
+                            break
+                        seen += part[cell]
+                    targets.append((*key, i, cell, p, side, float(pos - floor(pos)), rank - seen, n))
+                    if part[cell] > BRACKET and (key, i, cell) not in stuck:
+                        wide.add((key, i, cell))
+        if not wide:
+            break
+        where = F.broadcast(spark.createDataFrame([(*k, i, c) for k, i, c in wide], ddl + "c int, cell int"))
+        inner = join_null_safe(cells(), where, [*by, "c", "cell"], "left_semi").groupBy(*by, "c", "cell").agg(
+            F.percentile_approx("value", [x / 64 for x in range(1, 64)], 10_000).alias("q"), F.max("value").alias("top")).collect()
+        stuck = set()  # cell numbers change with the bounds
+        moved = False
+        for r in inner:
+            at = (tuple(r[k] for k in by), r["c"])
+            more = sorted(set(bounds[at]) | {x for x in r["q"] if x < r["top"]})
+            moved |= more != bounds[at]
+            bounds[at] = more
+        if not moved:  # what is left are single repeated values, which are counted, not listed
+            stuck = wide
+    only: dict[int, set] = {}
+    for t in targets:
+        only.setdefault(t[len(by)], set()).add(t[len(by) + 1])
+    keys = [*by, "c", "cell"]
+    wanted = F.broadcast(spark.createDataFrame(targets, ddl + "c int, cell int, p double, side string, frac double, rank long, n long")) if targets else None
+    if wanted is None:
+        return spark.createDataFrame([], ddl + "column string, p double, value double, n long")
+    hits = join_null_safe(cells(only), wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "value").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("value")
+    hits = hits.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    j = join_null_safe(hits, wanted, keys).where((F.col("_lo") <= F.col("rank")) & (F.col("rank") < F.col("_hi")))
+    at = lambda s: F.max(F.when(F.col("side") == s, F.col("value")))
+    out = j.groupBy(*by, "c", "p", "n").agg(at("lo").alias("_a"), at("hi").alias("_b"), F.max("frac").alias("_f"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("c") + 1)
+    return out.select(*by, name.alias("column"), "p", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("value"), "n")
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles: `(by..., column, p, value, n)`.
 
     Beyond `MAX_GROUPS` groups the built-in exact `percentile` over per-value
     counts takes over, since then each group is a small share of the rows.
     """
-    out = order_statistics(df, cols, lambda n: [(p, p * (n - 1)) for p in probs], by, cells)
+    out = order_statistics(df, cols, probs, by)
     if out is not None:
         return out
     keys = [*by, "column"]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import order_statistics, running_total, with_cell
+from plumbline.functions.ordered import MAX_GROUPS, order_statistics, running_total, with_cell
 from plumbline.operators.regress import (RUNG_SCHEMA, _symmetric, _upper, cluster_sums, cr2_variance, cr_variances,
                                          fit_ols, hc_variances, rung)
 from plumbline.operators.rollups import row_numbers
@@ -149,6 +149,7 @@ def randomisation_inference(df: DataFrame, y: str, arm: str, xs: Sequence[str] =
     z = ["_1", *xs]
     units = base.withColumn("_1", F.lit(1.0)).groupBy(F.col(unit).alias("u")).agg(
         F.first(arm).alias("a"), *[F.sum(c).alias(f"z_{c}") for c in z], F.sum(y).alias("sy"))
+    units = cut(units)  # one row per unit, read once per pass below
     n_units = units.count()
     tot = base.withColumn("_1", F.lit(1.0)).agg(
         *[F.sum(F.col(z[i]) * F.col(z[j])).alias(f"q{i}_{j}") for i, j in _upper(len(z))], *[F.sum(F.col(c) * F.col(y)).alias(f"r_{c}") for c in z]).first()
@@ -165,8 +166,11 @@ def randomisation_inference(df: DataFrame, y: str, arm: str, xs: Sequence[str] =
             cuts.append(seen - 1)
         perm = long.withColumn("h", h)
         if cuts:
-            st = order_statistics(perm.select("draw", "h"), ["h"], lambda n: [(float(i), float(c)) for i, c in enumerate(cuts)], ["draw"])
-            th = st.groupBy("draw").agg(*[F.max(F.when(F.col("p") == float(i), F.col("value"))).alias(f"t{i}") for i in range(len(cuts))])
+            shares = [c / max(n_units - 1, 1) for c in cuts]
+            st = order_statistics(perm.select("draw", "h"), ["h"], shares, ["draw"], want=lambda n: [float(c) for c in cuts])
+            if st is None:
+                raise ValueError(f"at most {MAX_GROUPS - 1} draws per call; run more with another seed and pool them")
+            th = st.groupBy("draw").agg(*[F.max(F.when(F.col("p") == shares[i], F.col("value"))).alias(f"t{i}") for i in range(len(cuts))])
             perm = perm.join(F.broadcast(th), "draw")
         star = F.lit(float(levels[-1]["a"]))
         for i in reversed(range(len(cuts))):

@@ -220,23 +220,24 @@ def distribution_summary(df: DataFrame, cols: Sequence[str] | None = None) -> Da
     at the threshold are counted in.
     """
     cols = list(cols or numeric_columns(df))
-    long = melt(df, [], cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    base = long.groupBy("column").agg(
-        F.count("*").alias("n"), F.approx_count_distinct("value").alias("_d"), F.min("value").alias("_min"),
-        F.max("value").alias("max"), F.sum("value").alias("_sum"), F.skewness("value").alias("_g1"))
     top = lambda n: max(1, n // 100)
-    q = order_statistics(df, cols, lambda n: [(0.5, 0.5 * (n - 1)), (2.0, n - top(n))])
-    q = q.groupBy("column").agg(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
-                                F.max(F.when(F.col("p") == 2.0, F.col("value"))).alias("_thr"))
-    thr = F.broadcast(q.select("column", "_thr"))  # one row per column
-    above = long.join(thr, "column").where(F.col("value") > F.col("_thr")).groupBy("column").agg(
-        F.sum("value").alias("_s"), F.count("*").alias("_c"))
-    j = base.join(q, "column").join(above, "column", "left")
+    q = order_statistics(df, cols, [0.5, 0.99], want=lambda n: [0.5 * (n - 1), n - top(n)])
+    med, thr = {}, {}
+    for r in q.collect():  # two rows per column
+        (med if r["p"] == 0.5 else thr)[r["column"]] = r["value"]
+    v = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    above = {c: v[c] > F.lit(thr.get(c)) for c in cols}
+    a = df.agg(*[x.alias(f"{n}_{c}") for c in cols for n, x in (
+        ("n", F.count(v[c])), ("d", F.approx_count_distinct(v[c])), ("min", F.min(v[c])), ("max", F.max(v[c])), ("sum", F.sum(v[c])),
+        ("g", F.skewness(v[c])), ("s", F.sum(F.when(above[c], v[c]))), ("c", F.count_if(above[c])))])
+    d = _rows(a, *[_named(column=c, median=F.lit(med.get(c)).cast("double"), _thr=F.lit(thr.get(c)).cast("double"),
+                          **{k: F.col(f"{x}_{c}") for k, x in (("n", "n"), ("_d", "d"), ("_min", "min"), ("max", "max"), ("_sum", "sum"),
+                                                              ("_g1", "g"), ("_s", "s"), ("_c", "c"))}) for c in cols])
     n = F.col("n").cast("double")
     n_top = F.greatest(F.lit(1), F.floor(F.col("n") / 100)).cast("long")
-    mass = F.coalesce("_s", F.lit(0.0)) + (n_top - F.coalesce("_c", F.lit(0))) * F.col("_thr")
+    mass = F.coalesce("_s", F.lit(0.0)) + (n_top - F.col("_c")) * F.col("_thr")
     nonneg = F.col("_min") >= 0
-    return (j.where("n >= 10 and _d >= 3").select(
+    return (d.where("n >= 10 and _d >= 3").select(
         "column", "n", "median", "max",
         F.when(nonneg & (F.col("median") > 0), F.col("max") / F.col("median")).alias("max_over_median"),
         (F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), n_top.alias("n_top"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 # Phrases and marks per family, matched on lower-cased text unless the family is in RAW.
 TELLS = {
     "significance": r"\b(?:stands as|serves as|is a testament|is a reminder|vital role|significant role|crucial role|pivotal role|key role|pivotal moment|key moment|underscores its|highlights its|reflects broader|symbolizing its|contributing to the|setting the stage for|marking the|shaping the|represents a shift|marks a shift|key turning point|evolving landscape|focal point|indelible mark|deeply rooted)\b",
@@ -55,7 +57,7 @@ def word_count(text: Column) -> Column:
 def tell_counts(df: DataFrame, key: Sequence[str], text: str, families: Sequence[str] | None = None) -> DataFrame:
     """Matches per document and family, families that occur: `(key..., family, n, words)`. No shuffle."""
     names = list(families or TELLS)
-    d = df.select(*key, own_words(F.col(text)).alias("_own"), word_count(F.col(text)).alias("words"))
+    d = spread(df.select(*key, text)).select(*key, own_words(F.col(text)).alias("_own"), word_count(F.col(text)).alias("words"))
     d = d.select(*key, "words", "_own", F.lower("_own").alias("_low"))
     return d.select(*key, "words", F.inline(F.array(*[
         F.struct(F.lit(n).alias("family"), F.regexp_count(F.col("_own" if n in RAW else "_low"), F.lit(TELLS[n])).alias("n"))
@@ -65,7 +67,7 @@ def tell_counts(df: DataFrame, key: Sequence[str], text: str, families: Sequence
 def tell_clusters(df: DataFrame, key: Sequence[str], text: str, min_families: int = 3) -> DataFrame:
     """Documents with several different tells, of which at least one is strong; rate per 1,000 words. No shuffle."""
     names = list(TELLS)
-    d = df.select(*key, own_words(F.col(text)).alias("_own"), word_count(F.col(text)).alias("words"))
+    d = spread(df.select(*key, text)).select(*key, own_words(F.col(text)).alias("_own"), word_count(F.col(text)).alias("words"))
     d = d.withColumn("_low", F.lower("_own")).withColumn("_c", F.array(*[
         F.struct(F.lit(n in WEAK).alias("weak"), F.regexp_count(F.col("_own" if n in RAW else "_low"), F.lit(TELLS[n])).alias("n")) for n in names]))
     hit = F.filter("_c", lambda x: x["n"] > 0)
@@ -78,7 +80,7 @@ def tell_clusters(df: DataFrame, key: Sequence[str], text: str, min_families: in
 def sentence_rhythm(df: DataFrame, key: Sequence[str], text: str, short: int = 4, run: int = 3) -> DataFrame:
     """Sentence count, mean and spread of lengths, and the longest run of short sentences. No shuffle."""
     sents = F.filter(F.split(F.col(text), r"[.!?]+(?:\s+|$)"), lambda s: F.length(F.trim(s)) > 0)
-    d = df.select(*key, F.transform(sents, lambda s: F.regexp_count(s, F.lit(r"\S+"))).alias("_l"))
+    d = spread(df.select(*key, text)).select(*key, F.transform(sents, lambda s: F.regexp_count(s, F.lit(r"\S+"))).alias("_l"))
     n = F.size("_l")
     total = F.aggregate("_l", F.lit(0).cast("long"), lambda a, x: a + x)
     square = F.aggregate("_l", F.lit(0).cast("long"), lambda a, x: a + x * x)

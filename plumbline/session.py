@@ -74,3 +74,17 @@ def fetch_small(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Mark `df` for broadcast only after counting that it stays within `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work every core when a small source comes in fewer splits than there are cores.
+
+    A source with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def task_count(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy groups, which Spark would otherwise merge by their few bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
