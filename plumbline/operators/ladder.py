@@ -156,7 +156,7 @@ def randomisation_inference(df: DataFrame, y: str, arm: str, xs: Sequence[str] =
     zz = _symmetric([tot[f"q{i}_{j}"] for i, j in _upper(len(z))], len(z))
     zy = np.array([tot[f"r_{c}"] for c in z])
     long = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "u")), 1, 13), 16, 10).cast("double")
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("draw"), F.col("u")), 11).cast("double")  # 53 bits, exact as a double
     levels = units.groupBy("a").agg(F.count("*").alias("n")).orderBy("a").limit(101).collect()
     if len(levels) <= 100:
         # few distinct assignments: cut each draw's hash order at the cumulative counts

@@ -84,7 +84,7 @@ def _is_unique(df: DataFrame, cols: Sequence[str]) -> bool:
     return df.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def find_minimal_key(df: DataFrame, top: int = 14, batch: int = 40) -> DataFrame:
+def find_minimal_key(df: DataFrame, top: int = 14, batch: int = 8) -> DataFrame:
     """Smallest column set that identifies rows: `(size, columns)`; empty when none up to three columns.
 
     Sketched distinct counts of every combination reject most of them in one
@@ -106,8 +106,10 @@ def find_minimal_key(df: DataFrame, top: int = 14, batch: int = 40) -> DataFrame
     for size in (2, 3):
         combos = [c for c in combinations(cand, size)
                   if reduce(lambda a, b: a * b, [min(1.1 * st[x], n) for x in c]) >= n]
-        for i in range(0, len(combos), batch):
-            part = combos[i:i + batch]
+        i, size_now = 0, batch
+        while i < len(combos):
+            part = combos[i:i + size_now]
+            i, size_now = i + size_now, min(2 * size_now, 64)  # likely keys come first
             got = df.agg(*[sketch(F.struct(*c)).alias(f"c{j}") for j, c in enumerate(part)]).first()
             for j, c in enumerate(part):
                 if got[f"c{j}"] >= 0.9 * n and _is_unique(df, c):

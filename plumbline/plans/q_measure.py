@@ -8,6 +8,7 @@ from plumbline.operators import measure as M
 from plumbline.operators import prose as P
 from plumbline.operators import vectors as V
 from plumbline.plans.registry import query
+from plumbline.session import spread
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -50,7 +51,7 @@ _CLASS = r"""CASE WHEN text IS NULL OR length(regexp_replace(text, '\s', '', 'g'
 
 @query("p3_read_class", f"SELECT source, {_CLASS} AS class, count(*) AS n FROM {{documents}} GROUP BY 1, 2".replace("{L}", "{L}"))
 def p3(t):
-    return t.documents.groupBy("source", E.read_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
+    return spread(t.documents.select("source", "text")).groupBy("source", E.read_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("p4_rate_by_category", _DOC + """ SELECT lang, count(*) AS n, round(avg(CASE WHEN rep THEN 1.0 ELSE 0 END), 6) AS rate,
