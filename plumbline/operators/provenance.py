@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import all_numbers, number_tokens, strip_markup
+from plumbline.session import cut
 
 
 def normal_path(path: Column) -> Column:
@@ -63,7 +64,7 @@ def prose_numbers(paragraphs: DataFrame, para: str, text: str, min_abs: float =
 
 
 def near_misses(paragraphs: DataFrame, citations: DataFrame, artifacts: DataFrame, para: str = "para_id", text: str = "text",
-                request: str = "cited_path", tol: float = 0.03, min_abs: float = 2.0) -> DataFrame:
+                request: str = "cited_path", tol: float = 0.03, min_abs: float = 2.0, vals: DataFrame | None = None) -> DataFrame:
     """Prose numbers that equal no value of the cited artifacts but lie within `tol` of the nearest one.
 
     `citations` is `(para, request)`. Values meet only inside a cited artifact and
@@ -72,9 +73,9 @@ def near_misses(paragraphs: DataFrame, citations: DataFrame, artifacts: DataFram
     """
     res = resolve_citations(citations, artifacts, request).where("status = 'resolved'").select(F.col("request"), "path")
     cited = citations.select(F.col(para).alias("para"), F.col(request).alias("request")).distinct().join(res, "request").select("para", "path").distinct()
-    vals = artifact_values(artifacts)
-    nums = prose_numbers(paragraphs, para, text, min_abs, precise_only=True)
-    claims = nums.join(cited, "para")
+    # texts are scanned once each; what follows reads only the numbers found
+    vals = cut(artifact_values(artifacts)) if vals is None else vals
+    claims = cut(prose_numbers(paragraphs, para, text, min_abs, precise_only=True).join(cited, "para"))
     exact = claims.join(vals, ["path", "value"]).select("para", "value").distinct()
     open_ = claims.join(exact, ["para", "value"], "left_anti").where("value <> 0")
     width = -log(1 - tol) * (1 + 1e-9)
@@ -97,15 +98,16 @@ def orphans(paragraphs: DataFrame, artifacts: DataFrame, para: str = "para_id",
 def provenance_status(paragraphs: DataFrame, citations: DataFrame, artifacts: DataFrame, para: str = "para_id", text: str = "text",
                       request: str = "cited_path") -> DataFrame:
     """Counts of every outcome and the exit status: 2 when a check could not run, 1 for near misses, else 0."""
+    vals = cut(artifact_values(artifacts))
     nums = prose_numbers(paragraphs, para, text, precise_only=True).select("para").distinct()
-    r = resolve_citations(citations, artifacts, request)
+    r = cut(resolve_citations(citations, artifacts, request))
     c = citations.select(F.col(para).alias("para"), F.col(request).alias("request")).distinct().join(r, "request")
     with_numbers = c.join(nums, "para", "left_semi").where("status = 'unresolved'").select("request").distinct().agg(F.count("*").alias("unresolved"))
     amb = r.where("status = 'ambiguous'").agg(F.count("*").alias("ambiguous"))
     checked = c.where("status = 'resolved'").select("para").distinct().agg(F.count("*").alias("checked"))
-    near = near_misses(paragraphs, citations, artifacts, para, text, request).agg(F.count("*").alias("near_misses"))
-    prose = prose_numbers(paragraphs, para, text).select("value").distinct()
-    known = prose.join(artifact_values(artifacts).select("value").distinct(), "value", "left_semi").agg(F.count("*").alias("matched"))
+    near = near_misses(paragraphs, citations, artifacts, para, text, request, vals=vals).agg(F.count("*").alias("near_misses"))
+    prose = cut(prose_numbers(paragraphs, para, text).select("value").distinct())
+    known = prose.join(vals.select("value").distinct(), "value", "left_semi").agg(F.count("*").alias("matched"))
     stated = prose.agg(F.count("*").alias("stated"))
     out = checked
     for part in (near, amb, with_numbers, stated, known):  # one-row aggregates side by side

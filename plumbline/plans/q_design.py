@@ -11,8 +11,8 @@ from plumbline.operators.contract import key_uniqueness
 from plumbline.plans.registry import query
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
-MICROS = F.unix_micros(F.col("ts").cast("timestamp"))
-AFTER = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+MICROS = lambda: F.unix_micros(F.col("ts").cast("timestamp"))
+AFTER = lambda: F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
 SQL_AFTER = "(ts >= TIMESTAMP '2024-01-16 00:00:00')"
 
 # ---- design -----------------------------------------------------------------------------------------
@@ -138,7 +138,7 @@ def _placebo_sql(name, y, arm, cond="true"):
                                               _placebo_sql("placebo_arm", "value", "arm_odd"), _placebo_sql("placebo_period", "value", "arm", f"NOT {SQL_AFTER}")]))
 def o9(t):
     r = D.placebo_runs(t.arms, {"headline": ("value", F.col("arm"), None), "placebo_outcome": ("event_id", F.col("arm"), None),
-                                "placebo_arm": ("value", F.col("arm_odd"), None), "placebo_period": ("value", F.col("arm"), ~AFTER)})
+                                "placebo_arm": ("value", F.col("arm_odd"), None), "placebo_period": ("value", F.col("arm"), ~AFTER())})
     return R6(r.drop("z"), "estimate", "se")
 
 
@@ -229,13 +229,13 @@ _MIX = f"""WITH g AS (SELECT event_type AS segment, count(*) FILTER (NOT {SQL_AF
 @query("s5_mix_decomposition", _MIX + """ SELECT segment, round(w0, 6) AS share_before, round(w1, 6) AS share_after, round(r0, 6) AS rate_before, round(r1, 6) AS rate_after,
     round((w0 + w1) / 2 * (r1 - r0), 6) AS within, round((r0 + r1) / 2 * (w1 - w0), 6) AS mix FROM w""")
 def s5(t):
-    return R6(S.mix_decomposition(t.events, AFTER, "event_type", "value"), "share_before", "share_after", "rate_before", "rate_after", "within", "mix")
+    return R6(S.mix_decomposition(t.events, AFTER(), "event_type", "value"), "share_before", "share_after", "rate_before", "rate_after", "within", "mix")
 
 
 @query("s5_mix_reconciles", f"""SELECT 'mix' AS gate, 'pass' AS status, round(avg(value) FILTER ({SQL_AFTER}) - avg(value) FILTER (NOT {SQL_AFTER}), 6) AS observed FROM {{events}}""")
 def s5b(t):
-    parts = S.mix_decomposition(t.events, AFTER, "event_type", "value").withColumn("part", F.col("within") + F.col("mix"))
-    total = t.events.agg((F.avg(F.when(AFTER, F.col("value"))) - F.avg(F.when(~AFTER, F.col("value")))).alias("total"))
+    parts = S.mix_decomposition(t.events, AFTER(), "event_type", "value").withColumn("part", F.col("within") + F.col("mix"))
+    total = t.events.agg((F.avg(F.when(AFTER(), F.col("value"))) - F.avg(F.when(~AFTER(), F.col("value")))).alias("total"))
     return G.decomposition_reconciles(parts.join(F.broadcast(total)), "part", F.col("total"), 1e-6, "mix").select(
         "gate", "status", F.round("observed", 6).alias("observed"))
 
@@ -257,7 +257,7 @@ def s6(t):
     r AS (SELECT "column", sum(c0) OVER w AS r0, sum(c1) OVER w AS r1, sum(c0) OVER (PARTITION BY "column") AS n0, sum(c1) OVER (PARTITION BY "column") AS n1 FROM c WINDOW w AS (PARTITION BY "column" ORDER BY v))
     SELECT "column", CAST(max(n0) AS BIGINT) AS n_before, CAST(max(n1) AS BIGINT) AS n_after, round(max(abs(r1 / CAST(n1 AS DOUBLE) - r0 / CAST(n0 AS DOUBLE))), 6) AS ks FROM r GROUP BY 1""")
 def s7(t):
-    return R6(S.numeric_shift(t.events, AFTER, ["value", "user_id"]), "ks")
+    return R6(S.numeric_shift(t.events, AFTER(), ["value", "user_id"]), "ks")
 
 
 @query("s7_categorical_shift", f"""WITH c AS (SELECT event_type AS v, count(*) FILTER (NOT {SQL_AFTER}) AS c0, count(*) FILTER ({SQL_AFTER}) AS c1 FROM {{events}} GROUP BY 1),
@@ -265,13 +265,13 @@ def s7(t):
     SELECT 'event_type' AS "column", round(sum(abs(c1 / n1 - c0 / n0)) / 2, 6) AS total_variation, round(sum(power(c0 - (c0 + c1) * n0 / (n0 + n1), 2) / ((c0 + c1) * n0 / (n0 + n1))
       + power(c1 - (c0 + c1) * n1 / (n0 + n1), 2) / ((c0 + c1) * n1 / (n0 + n1))), 6) AS chi2, count(*) - 1 AS dof FROM t""")
 def s7b(t):
-    return R6(S.categorical_shift(t.events, AFTER, ["event_type"]), "total_variation", "chi2")
+    return R6(S.categorical_shift(t.events, AFTER(), ["event_type"]), "total_variation", "chi2")
 
 
 @query("s7_label_shift", f"""SELECT event_type, round(count(*) FILTER (NOT {SQL_AFTER}) / CAST((SELECT count(*) FROM {{events}} WHERE NOT {SQL_AFTER}) AS DOUBLE), 6) AS before,
     round(count(*) FILTER ({SQL_AFTER}) / CAST((SELECT count(*) FROM {{events}} WHERE {SQL_AFTER}) AS DOUBLE), 6) AS after FROM {{events}} GROUP BY 1""")
 def s7c(t):
-    return R6(S.label_shift(t.events, AFTER, "event_type"), "before", "after")
+    return R6(S.label_shift(t.events, AFTER(), "event_type"), "before", "after")
 
 
 _SKEW = "SELECT event_id, event_type, CASE WHEN event_id % 23 = 0 THEN value + 1 ELSE value END AS value, CASE WHEN event_id % 41 = 0 THEN NULL ELSE user_id END AS user_id FROM {events}"
@@ -288,7 +288,7 @@ def s8(t):
       (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS age FROM {events})
     SELECT event_type, count(*) AS n, count(age) AS n_known, min(age) AS min_age, max(age) AS max_age FROM a GROUP BY 1""")
 def s9(t):
-    e = t.events.select("event_id", "user_id", "event_type", MICROS.alias("micros"))
+    e = t.events.select("event_id", "user_id", "event_type", MICROS().alias("micros"))
     a = S.staleness(e, e.where("event_type = 'signup'").select("user_id", "micros"), "user_id", "micros")
     return a.groupBy("event_type").agg(F.count("*").alias("n"), F.count("age").alias("n_known"), F.min("age").alias("min_age"), F.max("age").alias("max_age"))
 
@@ -308,7 +308,7 @@ def s10(t):
     SELECT dim, value, round(b, 4) AS before, round(f, 4) AS after, round((f - b) / (tf - tb), 6) AS explains, round((p + q) / 2, 6) AS size,
       round(0.5 * (CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END), 8) AS surprise FROM p""")
 def s11(t):
-    r = S.slice_ranking(t.events, AFTER, ["event_type", "user_id"], "value")
+    r = S.slice_ranking(t.events, AFTER(), ["event_type", "user_id"], "value")
     return R6(r, "explains", "size").withColumns({"before": F.round("before", 4), "after": F.round("after", 4), "surprise": F.round("surprise", 8)})
 
 

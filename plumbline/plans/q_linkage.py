@@ -145,8 +145,9 @@ def c24b(t):
 
 # ---- provenance -------------------------------------------------------------------------------------------
 
-_PN = """WITH pn AS (SELECT k AS para, 12.4 AS v, true AS precise FROM {nat} UNION SELECT k, CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS DOUBLE), true FROM {nat}
-      UNION SELECT k, CAST(n_orders AS DOUBLE), n_orders >= 100 FROM {nat} WHERE n_orders >= 2 AND NOT (n_orders BETWEEN 1900 AND 2099) UNION SELECT k, CAST(987654 + k AS DOUBLE), true FROM {nat} WHERE k % 7 = 3),
+_PN = """WITH every AS (SELECT k AS para, 12.4 AS v, true AS precise FROM {nat} UNION SELECT k, CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS DOUBLE), key_sum >= 100 FROM {nat}
+      UNION SELECT k, CAST(n_orders AS DOUBLE), n_orders >= 100 FROM {nat} WHERE n_orders >= 2 UNION SELECT k, CAST(987654 + k AS DOUBLE), true FROM {nat} WHERE k % 7 = 3),
+    pn AS (SELECT * FROM every WHERE NOT (v BETWEEN 1900 AND 2099 OR v BETWEEN 19000000 AND 20999999) AND (v >= 2 OR v <> floor(v))),
     av AS (SELECT k, CAST(n_orders AS DOUBLE) AS v FROM {nat} UNION SELECT k, CAST(key_sum AS DOUBLE) FROM {nat} UNION SELECT k, CAST(last_key AS DOUBLE) FROM {nat}),
     ok AS (SELECT k FROM {nat} WHERE k % 9 NOT IN (4, 7)),
     cl AS (SELECT para, v FROM pn JOIN ok ON para = k WHERE precise AND NOT EXISTS (SELECT 1 FROM av WHERE av.k = para AND av.v = pn.v)),

@@ -11,7 +11,7 @@ from plumbline.operators import rollups as R
 from plumbline.plans.registry import query, sql_query
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
-MICROS = F.unix_micros(F.col("ts").cast("timestamp"))
+MICROS = lambda: F.unix_micros(F.col("ts").cast("timestamp"))
 
 # ---- selection ----------------------------------------------------------------------------------------
 
@@ -69,7 +69,7 @@ def b6(t):
 @query("b7_ingest_redaction", """SELECT event_id, sha256(CAST(user_id AS VARCHAR)) AS user_hash, CAST(epoch_us(ts) AS BIGINT) AS micros,
     make_timestamp(epoch_us(ts)) AS at FROM {events} WHERE event_type <> 'error'""")
 def b7(t):
-    d = t.events.where("event_type <> 'error'").select("event_id", S.redact_key(F.col("user_id")).alias("user_hash"), MICROS.alias("micros"))
+    d = t.events.where("event_type <> 'error'").select("event_id", S.redact_key(F.col("user_id")).alias("user_hash"), MICROS().alias("micros"))
     return d.withColumn("at", F.timestamp_micros("micros"))
 
 
@@ -206,7 +206,7 @@ BY, ORDER = ["event_type"], ["micros", "event_id"]
 
 
 def _ev(t):
-    return t.events.select("event_id", "user_id", "event_type", "value", MICROS.alias("micros"))
+    return t.events.select("event_id", "user_id", "event_type", "value", MICROS().alias("micros"))
 
 
 @query("f1_row_number", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM {events}")
