@@ -1,10 +1,11 @@
 """Order-dependent results (quantiles, running totals, look-back) without one-task groups.
 
-A plain window sends a whole group to one task. Here each group is cut along its
-order column into cells holding about the same number of rows. The cut points
-come from a mergeable sketch, work inside a cell is an ordinary window, and the
-cells are stitched with a table of `groups x cells` rows. Results are exact: the
-sketch only decides where the cuts fall.
+A plain window sends a whole group to one task. Here every group above `HEAVY`
+rows is cut along its order column into cells of about that size; lighter groups
+stay whole. The cut points come from a mergeable sketch, work inside a cell is an
+ordinary window, and the cells of a heavy group are stitched with a table of at
+most `2 x rows / HEAVY` rows, which is what bounds the broadcasts below. Results
+are exact: the sketch only decides where the cuts fall.
 """
 
 from __future__ import annotations
@@ -16,19 +17,11 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import fetch_small
+from plumbline.session import broadcast_if_small, cut, fetch_small
 
 MAX_GROUPS = 2_000
-
-
-def n_cells(df: DataFrame) -> int:
-    """As many cells as the session has shuffle partitions, within [16, 512]."""
-    return max(16, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on every key."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+HEAVY = 2_000_000  # rows one window task may hold
+MAX_CELLS = 512
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -51,20 +44,46 @@ def _bounds_below(bounds: Column, value: Column) -> Column:
 
 
 def with_cell(df: DataFrame, by: Sequence[str], col: str, cells: int | None = None) -> DataFrame:
-    """Add `_cell`, increasing in `col` inside each group of `by`. `col` must be numeric and not null."""
-    cells = cells or n_cells(df)
-    grid = [i / cells for i in range(1, cells)]
-    agg = F.percentile_approx(col, grid, 10_000).alias("_bounds")
+    """Add `_cell`, increasing in `col` inside each group of `by`, and `_split`: the group has several cells.
+
+    `col` must be numeric and not null. `cells` cuts every group into that many
+    cells instead of only heavy ones.
+    """
+    whole = {"_cell": F.lit(0), "_split": F.lit(False)}
     if not by:
-        bounds = df.agg(agg).first()["_bounds"]
-        bounds = sorted(set(bounds or []))
-        return df.withColumn("_cell", _search(F.col(col), bounds, 0, len(bounds)))
-    cuts = df.groupBy(*by).agg(agg)
-    rows = fetch_small(cuts, MAX_GROUPS)
-    if rows is not None:
-        cuts = F.broadcast(df.sparkSession.createDataFrame(rows, cuts.schema))
-    return join_null_safe(df, cuts, by).withColumn(
-        "_cell", _bounds_below(F.col("_bounds"), F.col(col))).drop("_bounds")
+        k = cells or min(-(-df.count() // HEAVY), 8 * MAX_CELLS)
+        if k <= 1:
+            return df.withColumns(whole)
+        cuts = df.agg(F.percentile_approx(col, [i / k for i in range(1, k)], 10_000).alias("b")).first()["b"]
+        bounds = sorted(set(cuts or []))
+        return df.withColumns({"_cell": _search(F.col(col), bounds, 0, len(bounds)), "_split": F.lit(True)})
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    want = F.lit(cells) if cells else F.least(F.ceil(F.col("_n") / HEAVY), F.lit(MAX_CELLS))
+    heavy = cut(sizes.select(*by, want.cast("int").alias("__cells")).where("__cells > 1"))
+    if heavy.isEmpty():
+        return df.withColumns(whole)
+    # few: a heavy group holds more than HEAVY rows
+    heavy = broadcast_if_small(heavy)
+    grid = [i / MAX_CELLS for i in range(1, MAX_CELLS)]
+    q = join_null_safe(df, heavy, by).groupBy(*by, "__cells").agg(F.percentile_approx(col, grid, 10_000).alias("_q"))
+    step = F.transform(F.sequence(F.lit(1), F.col("__cells") - 1), lambda i: F.element_at("_q", (i * MAX_CELLS / F.col("__cells")).cast("int")))
+    cuts = broadcast_if_small(cut(q.select(*by, F.array_distinct(step).alias("_bounds"))))
+    d = join_null_safe(df, cuts, by, "left")
+    return d.withColumns({"_cell": F.when(F.col("_bounds").isNull(), 0).otherwise(_bounds_below(F.col("_bounds"), F.col(col))),
+                          "_split": F.col("_bounds").isNotNull()}).drop("_bounds")
+
+
+def cell_offsets(d: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Aggregates of a heavy group's earlier cells, one row per cell: `(by..., _cell, <names>)`."""
+    keys = [*by, "_cell"]
+    per = d.where("_split").groupBy(*keys).agg(*[c.alias(f"_t_{o}") for o, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(*keys, *[F.sum(f"_t_{o}").over(before).alias(o) for o in sums])
+
+
+def add_offsets(d: DataFrame, by: Sequence[str], offsets: DataFrame) -> DataFrame:
+    """Join per-cell offsets, null for groups in one cell."""
+    return join_null_safe(d, F.broadcast(offsets), [*by, "_cell"], "left")
 
 
 def running_total(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str],
@@ -74,23 +93,18 @@ def running_total(df: DataFrame, by: Sequence[str], order: str, sums: dict[str,
     With `peers`, rows that tie on `order` share the value, as in a RANGE frame.
     """
     d = with_cell(df, by, order, cells)
-    keys = [*by, "_cell"]
-    per_cell = d.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_cell.select(*keys, *[
-        F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums])
-    inside = Window.partitionBy(*keys).orderBy(order)
+    d = add_offsets(d, by, cell_offsets(d, by, {f"_o_{o}": F.sum(c) for o, c in sums.items()}))
+    inside = Window.partitionBy(*by, "_cell").orderBy(order)
     inside = inside.rangeBetween(Window.unboundedPreceding, 0) if peers else inside.rowsBetween(
         Window.unboundedPreceding, 0)
-    d = join_null_safe(d, offsets, keys)
     for o, c in sums.items():
-        d = d.withColumn(o, F.col(f"_o_{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return d.drop("_cell", *[f"_o_{o}" for o in sums])
+        d = d.withColumn(o, F.coalesce(F.col(f"_o_{o}"), F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return d.drop("_cell", "_split", *[f"_o_{o}" for o in sums])
 
 
 def with_lookback(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int,
                   cells: int | None = None) -> DataFrame:
-    """Add `_cell` and, flagged `_ctx`, copies of the `rows` rows that precede each cell.
+    """Add `_cell` and, flagged `_ctx`, copies of the `rows` rows that precede each cell of a heavy group.
 
     Windows over `(by, _cell)` that look back at most `rows` rows then see what
     they would see in the whole group; drop `_ctx` rows afterwards.
@@ -98,8 +112,9 @@ def with_lookback(df: DataFrame, by: Sequence[str], order: Sequence[str], rows:
     d = with_cell(df, by, order[0], cells)
     keys = [*by, "_cell"]
     last = [F.col(c).desc() for c in order]
-    tails = d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*last))).where(
+    tails = d.where("_split").drop("_split").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*last))).where(
         F.col("_n") <= rows).drop("_n")
+    d = d.drop("_split")
     heads = tails.select(*keys).distinct().select(
         *[F.col(k).alias(f"_h_{k}") for k in keys])
     cond = reduce(lambda a, b: a & b, [

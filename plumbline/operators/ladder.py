@@ -327,7 +327,7 @@ def two_sample_bootstrap(calibration: DataFrame, target: DataFrame, unit: str, x
 
 # ---- several hypotheses --------------------------------------------------------------------------------------------
 
-def benjamini_hochberg(ptable: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
+def benjamini_hochberg(ptable: DataFrame, p: str, alpha: float = 0.05, cells: int | None = None) -> DataFrame:
     """Step-up rejections and q-values: adds `rank`, `q` and `reject`.
 
     A table of at most `SMALL_ROWS` hypotheses is ranked in one window; a larger
@@ -343,21 +343,21 @@ def benjamini_hochberg(ptable: DataFrame, p: str, alpha: float = 0.05) -> DataFr
         down = Window.orderBy(p).rangeBetween(0, Window.unboundedFollowing)
         return j.withColumn("q", F.least(F.min(raw).over(down), F.lit(1.0))).withColumn("reject", F.col("q") <= alpha)
     # rank of a p-value = number of p-values not above it
-    c = running_total(tested.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")), [], "_p", {"_rank": "_c"})
+    c = running_total(tested.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")), [], "_p", {"_rank": "_c"}, cells)
     c = c.withColumn("_raw", F.col("_p") * F.lit(float(m)) / F.col("_rank"))
     # q-value = smallest raw value at this p or above: a running minimum from the right
-    c = running_min_from_right(c, "_p", "_raw", "_q")
+    c = running_min_from_right(c, "_p", "_raw", "_q", cells)
     j = tested.join(c.select("_p", F.col("_rank").alias("rank"), F.least(F.col("_q"), F.lit(1.0)).alias("q")), F.col(p) == F.col("_p")).drop("_p")
     return j.withColumn("reject", F.col("q") <= alpha)
 
 
-def running_min_from_right(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+def running_min_from_right(df: DataFrame, order: str, value: str, out: str, cells: int | None = None) -> DataFrame:
     """Smallest `value` among rows at or after each row, cell by cell."""
-    d = with_cell(df, [], order)
+    d = with_cell(df, [], order, cells)
     per = d.groupBy("_cell").agg(F.min(value).alias("_m"))
     later = per.withColumn("_after", F.min("_m").over(Window.orderBy("_cell").rowsBetween(1, Window.unboundedFollowing))).drop("_m")
     w = Window.partitionBy("_cell").orderBy(order).rangeBetween(0, Window.unboundedFollowing)
-    return (d.join(F.broadcast(later), "_cell").withColumn(out, F.least(F.min(value).over(w), F.col("_after"))).drop("_cell", "_after"))
+    return (d.join(F.broadcast(later), "_cell").withColumn(out, F.least(F.min(value).over(w), F.col("_after"))).drop("_cell", "_split", "_after"))
 
 
 def romano_wolf(observed: DataFrame, draws: DataFrame) -> DataFrame:

@@ -378,9 +378,10 @@ def value_counts(df: DataFrame, top: int = 12, cols: Sequence[str] | None = None
     vc = melt(df, [], rest, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
     d = vc.groupBy("column").agg(F.count("value").alias("_d"))
     near = (F.col("_d") > 0.9 * n) & (F.col("_d") > 50)
-    ranked = vc.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy(
-        F.col("value").isNull(), F.desc("n"), "value"))).where(
-        (F.col("_r") <= top) | F.col("value").isNull()).join(F.broadcast(d), "column")
+    # a pure rank limit, so each task keeps its own top rows before the shuffle
+    ranked = vc.where("value is not null").withColumn("_r", F.row_number().over(
+        Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("_r") <= top)
+    ranked = ranked.unionByName(vc.where("value is null").withColumn("_r", F.lit(0))).join(F.broadcast(d), "column")
     kind = (F.when(F.col("_d") == 0, "all_missing").when(near, "near_unique").when(F.col("value").isNull(), "null")
             .when(F.col("_d") == 1, "constant").otherwise("value"))
     listed = ranked.withColumn("kind", kind).where(~((F.col("kind") == "near_unique") & (F.col("_r") > 1)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import join_null_safe, with_cell, with_lookback
+from plumbline.functions.ordered import add_offsets, cell_offsets, join_null_safe, with_cell, with_lookback
 
 Z95 = 1.959964
 
@@ -80,28 +80,24 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= k)
 
 
-def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """`row_number` of each row in its group, computed cell by cell."""
-    d = with_cell(df, by, order[0])
-    keys = [*by, "_cell"]
-    sizes = d.groupBy(*keys).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    off = sizes.select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    d = join_null_safe(d, off, keys)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return d.withColumn("rn", F.col("_off") + F.row_number().over(w)).drop("_cell", "_off")
+def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], cells: int | None = None) -> DataFrame:
+    """`row_number` of each row in its group; heavy groups are numbered cell by cell."""
+    d = with_cell(df, by, order[0], cells)
+    d = add_offsets(d, by, cell_offsets(d, by, {"_off": F.count("*")}))
+    w = Window.partitionBy(*by, "_cell").orderBy(*order)
+    return d.withColumn("rn", F.coalesce("_off", F.lit(0).cast("long")) + F.row_number().over(w)).drop("_cell", "_split", "_off")
 
 
-def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, offset: int, default: float) -> DataFrame:
+def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, offset: int, default: float, cells: int | None = None) -> DataFrame:
     """The value `offset` rows earlier in its group."""
-    d = with_lookback(df, by, order, offset)
+    d = with_lookback(df, by, order, offset, cells)
     w = Window.partitionBy(*by, "_cell").orderBy(*order)
     return d.withColumn("lagged", F.lag(value, offset, default).over(w)).where("not _ctx").drop("_ctx", "_cell")
 
 
-def moving_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, preceding: int) -> DataFrame:
+def moving_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, preceding: int, cells: int | None = None) -> DataFrame:
     """Mean of the current and `preceding` earlier rows."""
-    d = with_lookback(df, by, order, preceding)
+    d = with_lookback(df, by, order, preceding, cells)
     w = Window.partitionBy(*by, "_cell").orderBy(*order).rowsBetween(-preceding, 0)
     return d.withColumn("moving", F.avg(value).over(w)).where("not _ctx").drop("_ctx", "_cell")
 

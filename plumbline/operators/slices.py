@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.dist import two_sided_normal
-from plumbline.functions.ordered import join_null_safe, melt, running_total, with_cell
+from plumbline.functions.ordered import add_offsets, melt, running_total, with_cell
 from plumbline.functions.scalars import stable_uniform
 from plumbline.operators.ladder import benjamini_hochberg
 from plumbline.session import cut
@@ -164,7 +164,7 @@ def feature_skew(a: DataFrame, b: DataFrame, key: str, cols: Sequence[str], tol:
                                                 F.try_divide(c, "n").alias("rate")) for c in cols])))
 
 
-def staleness(reads: DataFrame, refreshes: DataFrame, key: str, ts: str) -> DataFrame:
+def staleness(reads: DataFrame, refreshes: DataFrame, key: str, ts: str, cells: int | None = None) -> DataFrame:
     """Per read: microseconds since the latest strictly earlier refresh of the same key, null when there is none.
 
     The latest refresh is a running maximum, carried from cell to cell, so a key
@@ -172,13 +172,13 @@ def staleness(reads: DataFrame, refreshes: DataFrame, key: str, ts: str) -> Data
     """
     r = reads.select("*", F.col(ts).alias("_t"), F.lit(None).cast("long").alias("_r"), F.lit(0).alias("_k"))
     u = r.unionByName(refreshes.select(F.col(key), F.col(ts).alias("_t"), F.col(ts).alias("_r"), F.lit(1).alias("_k")), allowMissingColumns=True)
-    d = with_cell(u, [key], "_t")
-    per = d.groupBy(key, "_cell").agg(F.max("_r").alias("_m"))
+    d = with_cell(u, [key], "_t", cells)
+    per = d.where("_split").groupBy(key, "_cell").agg(F.max("_r").alias("_m"))
     before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    d = join_null_safe(d, per.select(key, "_cell", F.max("_m").over(before).alias("_c")), [key, "_cell"])
+    d = add_offsets(d, [key], per.select(key, "_cell", F.max("_m").over(before).alias("_c")))
     w = Window.partitionBy(key, "_cell").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
     last = F.greatest(F.max("_r").over(w), F.col("_c"))
-    return d.withColumn("_l", last).where("_k = 0").withColumn("age", F.col("_t") - F.col("_l")).drop("_t", "_r", "_k", "_cell", "_c", "_l")
+    return d.withColumn("_l", last).where("_k = 0").withColumn("age", F.col("_t") - F.col("_l")).drop("_t", "_r", "_k", "_cell", "_split", "_c", "_l")
 
 
 def funnel(df: DataFrame, entity: str, steps: dict[str, Column], segment: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ordered as O
 from plumbline.operators import rollups as R
+from plumbline.operators import slices as S
 
 
 @pytest.fixture(scope="module")
@@ -61,19 +62,37 @@ def test_running_total(spark, skewed, peers):
     np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
-def test_lookback_rows(spark, skewed):
+@pytest.mark.parametrize("cells", [None, 16])
+def test_lookback_rows(spark, skewed, cells):
     d = frame(spark, skewed).withColumn("x", F.coalesce("x", F.lit(0.0)))
     w = Window.partitionBy("g").orderBy("t", "id")
     want = d.withColumns({"l": F.lag("x", 5, -1.0).over(w), "m": F.avg("x").over(w.rowsBetween(-3, 0)), "r": F.row_number().over(w)}).toPandas().set_index("id").sort_index()
-    lag = R.lagged(d, ["g"], ["t", "id"], "x", 5, -1.0).toPandas().set_index("id").sort_index()["lagged"]
-    mov = R.moving_mean(d, ["g"], ["t", "id"], "x", 3).toPandas().set_index("id").sort_index()["moving"]
-    num = R.row_numbers(d, ["g"], ["t", "id"]).toPandas().set_index("id").sort_index()["rn"]
+    lag = R.lagged(d, ["g"], ["t", "id"], "x", 5, -1.0, cells).toPandas().set_index("id").sort_index()["lagged"]
+    mov = R.moving_mean(d, ["g"], ["t", "id"], "x", 3, cells).toPandas().set_index("id").sort_index()["moving"]
+    num = R.row_numbers(d, ["g"], ["t", "id"], cells).toPandas().set_index("id").sort_index()["rn"]
     np.testing.assert_allclose(lag, want["l"])
     np.testing.assert_allclose(mov, want["m"])
     np.testing.assert_array_equal(num, want["r"])
 
 
-def test_hot_group_is_spread(spark, skewed):
-    d = O.with_cell(frame(spark, skewed).withColumn("id", F.col("id").cast("long")), ["g"], "id", 16)
-    hot = d.where("g = 0").groupBy("_cell").count().toPandas()["count"]
-    assert len(hot) == 16 and hot.max() < 2 * hot.mean()
+def test_only_heavy_groups_are_cut(spark, skewed, monkeypatch):
+    monkeypatch.setattr(O, "HEAVY", 2_500)
+    d = O.with_cell(frame(spark, skewed), ["g"], "id").groupBy("g", "_cell", "_split").count().toPandas()
+    hot = d[d["g"] == 0]["count"]
+    assert len(hot) == -(-hot.sum() // 2_500) and hot.max() < 1.2 * hot.mean()
+    assert set(d[d["g"] != 0]["_cell"]) == {0} and not d[d["g"] != 0]["_split"].any()
+    one = O.running_total(frame(spark, skewed), [], "id", {"s": "t"}).toPandas().sort_values("id")["s"]
+    np.testing.assert_array_equal(one, skewed["t"].cumsum())
+
+
+def test_staleness_cut_equals_whole(spark, skewed):
+    d = spark.createDataFrame(skewed[["id", "g", "t"]])
+    reads, fresh = d.where("id % 3 > 0"), d.where("id % 3 = 0")
+    a = S.staleness(reads, fresh, "g", "t", cells=16).select("id", "age").toPandas().set_index("id").sort_index()
+    b = S.staleness(reads, fresh, "g", "t").select("id", "age").toPandas().set_index("id").sort_index()
+    pd.testing.assert_frame_equal(a, b)
+    part = skewed[skewed["g"] == 3]
+    times = np.sort(part[part["id"] % 3 == 0]["t"])
+    for i, t in part[part["id"] % 3 > 0][["id", "t"]].head(50).itertuples(index=False):
+        k = np.searchsorted(times, t)
+        assert (a.loc[i, "age"] == t - times[k - 1]) if k else pd.isna(a.loc[i, "age"])

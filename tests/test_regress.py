@@ -193,7 +193,7 @@ def test_benjamini_hochberg_both_paths(spark, monkeypatch):
     q[o] = np.minimum.accumulate((p[o] * 300 / np.arange(1, 301))[::-1])[::-1]
     for limit in (20_000, 10):
         monkeypatch.setattr(L, "SMALL_ROWS", limit)
-        got = L.benjamini_hochberg(df, "p").toPandas().sort_values("i")
+        got = L.benjamini_hochberg(df, "p", cells=8).toPandas().sort_values("i")
         np.testing.assert_allclose(got["q"], [q[p == x].min() for x in p], rtol=1e-9)
 
 
