@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from math import log
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.ordered import add_offsets, with_cell
 from plumbline.functions.scalars import all_numbers, number_tokens, strip_markup
 from plumbline.session import cut
 
@@ -64,12 +63,14 @@ def prose_numbers(paragraphs: DataFrame, para: str, text: str, min_abs: float =
 
 
 def near_misses(paragraphs: DataFrame, citations: DataFrame, artifacts: DataFrame, para: str = "para_id", text: str = "text",
-                request: str = "cited_path", tol: float = 0.03, min_abs: float = 2.0, vals: DataFrame | None = None) -> DataFrame:
+                request: str = "cited_path", tol: float = 0.03, min_abs: float = 2.0, vals: DataFrame | None = None,
+                cells: int | None = None) -> DataFrame:
     """Prose numbers that equal no value of the cited artifacts but lie within `tol` of the nearest one.
 
-    `citations` is `(para, request)`. Values meet only inside a cited artifact and
-    inside neighbouring logarithmic bands as wide as the tolerance, so far-apart
-    values are never paired.
+    `citations` is `(para, request)`. The nearest value by relative distance is the
+    next one below or above with the same sign, so statements and values are
+    sorted together per artifact and each statement looks one value either way; no
+    pairs are built, and a large artifact is cut into cells.
     """
     res = resolve_citations(citations, artifacts, request).where("status = 'resolved'").select(F.col("request"), "path")
     cited = citations.select(F.col(para).alias("para"), F.col(request).alias("request")).distinct().join(res, "request").select("para", "path").distinct()
@@ -78,13 +79,21 @@ def near_misses(paragraphs: DataFrame, citations: DataFrame, artifacts: DataFram
     claims = cut(prose_numbers(paragraphs, para, text, min_abs, precise_only=True).join(cited, "para"))
     exact = claims.join(vals, ["path", "value"]).select("para", "value").distinct()
     open_ = claims.join(exact, ["para", "value"], "left_anti").where("value <> 0")
-    width = -log(1 - tol) * (1 + 1e-9)
-    band = lambda c: F.floor(F.log(F.abs(c)) / width).cast("long")
-    left = open_.select("para", "path", F.col("value").alias("stated"), F.signum("value").alias("sg"), F.explode(
-        F.array(band(F.col("value")) - 1, band(F.col("value")), band(F.col("value")) + 1)).alias("band"))
-    right = vals.where("value <> 0").select("path", F.col("value").alias("actual"), F.signum("value").alias("sg"), band(F.col("value")).alias("band"))
-    j = left.join(right, ["path", "sg", "band"]).withColumn("distance", F.abs(F.col("actual") - F.col("stated")) / F.abs("actual"))
-    near = j.groupBy("para", "stated").agg(F.min(F.struct("distance", "actual")).alias("b"))
+    by = ["path", "sg"]
+    here = vals.where("value <> 0").join(cited.select("path").distinct(), "path", "left_semi")
+    u = open_.select("path", F.signum("value").alias("sg"), F.col("value").alias("x"), F.lit(None).cast("double").alias("a"), "para").unionByName(
+        here.select("path", F.signum("value").alias("sg"), F.col("value").alias("x"), F.col("value").alias("a")), allowMissingColumns=True)
+    d = with_cell(u, by, "x", cells)
+    per = d.where("_split").groupBy(*by, "_cell").agg(F.max("a").alias("_hi"), F.min("a").alias("_lo"))
+    w = Window.partitionBy(*by).orderBy("_cell")
+    d = add_offsets(d, by, per.select(*by, "_cell", F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
+                                      F.min("_lo").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_above")))
+    inside = Window.partitionBy(*by, "_cell").orderBy("x")
+    d = d.select("para", F.col("x").alias("stated"),
+                 F.greatest(F.max("a").over(inside.rangeBetween(Window.unboundedPreceding, 0)), F.col("_below")).alias("p"),
+                 F.least(F.min("a").over(inside.rangeBetween(0, Window.unboundedFollowing)), F.col("_above")).alias("q")).where("para is not null")
+    far = lambda c: F.struct((F.abs(F.col(c) - F.col("stated")) / F.abs(F.col(c))).alias("distance"), F.col(c).alias("actual"))
+    near = d.select("para", "stated", F.explode(F.array(far("p"), far("q"))).alias("b")).where("b.actual is not null").groupBy("para", "stated").agg(F.min("b").alias("b"))
     return near.select("para", "stated", F.col("b.actual").alias("nearest"), F.col("b.distance").alias("distance")).where(
         (F.col("distance") > 0) & (F.col("distance") <= tol))
 

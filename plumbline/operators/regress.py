@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -105,13 +106,16 @@ def fit_ols(df: DataFrame, y: str | Column, xs: dict[str, Column] | Sequence[str
     d = raw.dropna()
     cols = ["_y", *[f"_x{j + 1}" for j in range(len(xs))]]
     pairs = _upper(len(cols))
-    aggs = [F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-            *[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]]
-    s = d.agg(*aggs).first()
+    # one pass gives the fit and the dropped rows: incomplete rows are masked, not filtered
+    full = reduce(lambda a, b: a & b, [
+        F.col(c).isNotNull() & ~F.isnan(c) if t in ("double", "float") else F.col(c).isNotNull() for c, t in raw.dtypes])
+    whole = raw.select(full.alias("_full"), *[F.when(full, F.col(c)).alias(c) for c in cols])
+    s = whole.agg(F.count("*").alias("total"), F.count_if("_full").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                  *[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     n, k = s["n"], len(xs) + 1
     if n - k <= 0:
         raise ValueError("no residual degrees of freedom; no variance estimator is defined")
-    total = df.count()
+    total = s["total"]
     cov = n * _symmetric([s[f"c{i}_{j}"] for i, j in pairs], len(cols))
     sxx, sxy = cov[1:, 1:], cov[1:, 0]
     inv = np.linalg.pinv(sxx, hermitian=True)

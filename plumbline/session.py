@@ -79,8 +79,11 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work every core when a small source comes in fewer splits than there are cores.
 
-    A source with enough splits is returned as it is.
+    A source with enough splits is returned as it is, and so is anything that
+    already went through a shuffle.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -211,14 +211,15 @@ def test_near_miss_and_exit_status(spark, arts):
     assert none["exit_status"] == 2 and none["checked"] == 0
 
 
-def test_near_miss_bands_equal_all_pairs(spark):
+@pytest.mark.parametrize("cells", [None, 16])
+def test_near_misses_equal_all_pairs(spark, cells):
     rng = np.random.default_rng(3)
     vals = np.unique(np.round(np.exp(rng.uniform(1, 9, 300)), 2))
     stated = np.unique(np.round(np.exp(rng.uniform(1, 9, 200)), 2))
     stated = np.array([x for x in stated if x >= 2.0 and x not in vals and not 1900 <= x < 2100])
     art = spark.createDataFrame([("a.txt", " ; ".join(f"{v:.2f}" for v in vals))], "path string, body string")
     par = spark.createDataFrame([(1, "a", " ; ".join(f"{v:.2f}" for v in stated))], "para_id long, cited_path string, text string")
-    got = {r["stated"]: r["distance"] for r in provenance.near_misses(par, par, art).collect()}
+    got = {r["stated"]: r["distance"] for r in provenance.near_misses(par, par, art, cells=cells).collect()}
     want = {}
     for v in stated:
         d = np.abs(vals - v) / vals
