@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fm_index, suffix_dedup, url_filter
+from plumbline.llm import chat, fm_index, language, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# ---- 5 -----------------------------------------------------------------------------------------------------
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    d = language.identify_language(table(spark, folder, "documents"), keep=["doc_id"])
+    return d.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 # ---- 6 -----------------------------------------------------------------------------------------------------
 
 OP6_SQL = """
