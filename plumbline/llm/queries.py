@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fm_index, language, suffix_dedup, url_filter
+from plumbline.llm import chat, fm_index, language, near_dups, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# ---- 3 -----------------------------------------------------------------------------------------------------
+
+@query("op3_minhash_near_dups")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    d = near_dups.near_classes(table(spark, folder, "documents"))
+    return d.select(F.col("id").alias("doc_id"), "class_id", "n_class", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 # ---- 5 -----------------------------------------------------------------------------------------------------
 
 @query("op5_language_id")
