@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fm_index, language, near_dups, suffix_dedup, url_filter
+from plumbline.llm import chat, fm_index, language, mixing, near_dups, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,34 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "class_id", "n_class", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
+# ---- 4 -----------------------------------------------------------------------------------------------------
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (CAST('0x' || substr(md5(concat_ws('|', 'mix', coalesce(CAST(doc_id AS VARCHAR), '-'), md5(coalesce(text, '')))), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+z AS (SELECT *, CAST(floor(size * 1000 / (size + 500)) AS BIGINT) AS z FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CAST(sum(z * size) AS DOUBLE) / sum(size) AS lean FROM z GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+i AS (SELECT *, cap / weight AS edge, row_number() OVER (ORDER BY cap / weight, source) AS i, (SELECT sum(size) FROM d) * 1.5::DOUBLE AS total FROM w),
+o AS (SELECT *, (total - (sum(cap) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - cap)) / sum(weight) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM i),
+t AS (SELECT source, source_size, lean, least(weight * coalesce((SELECT arg_min(rate, i) FROM o WHERE rate <= edge), 1e300), cap) AS target FROM w),
+c AS (SELECT z.*, source_size, target, lean, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS c FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN size > 0 THEN least(greatest(c + least(c, 2.0 - c) / 2 * ((z - lean) / 1000.0), 0.0), 2.0) ELSE 0.0 END AS e FROM c),
+p AS (SELECT *, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS p FROM e),
+k AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN floor((u / (1 - u) * ((1 - p) / p)) / (1 + (u / (1 - u) * ((1 - p) / p))) * 68719476736.0) END AS key FROM p),
+n AS (SELECT *, sum(CASE WHEN key IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key NULLS LAST) AS upto,
+        target - sum(size * whole) OVER (PARTITION BY source) AS rest FROM k),
+b AS (SELECT source, max(upto) FILTER (key IS NOT NULL AND upto <= rest) AS fits, min(upto) FILTER (key IS NOT NULL AND upto > rest) AS over FROM n GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN key IS NOT NULL AND (upto <= rest OR (upto = over AND over - rest < rest - coalesce(fits, 0))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM n JOIN b ON n.source IS NOT DISTINCT FROM b.source"""
+
+
+@query("op4_pareto_mix", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
 # ---- 5 -----------------------------------------------------------------------------------------------------
 
 @query("op5_language_id")
