@@ -146,7 +146,9 @@ def _fingerprints(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-SPANS = "id {id}, key long, spans array<struct<start:int,stop:int>>, fp1 long, fp2 long, lo int, settled boolean"
+SPANS = ("id {id}, key long, spans array<struct<start:int,stop:int>>, "
+         "range long, fp1 array<long>, fp2 array<long>, ids array<{id}>, keys array<long>, at array<int>, settled array<boolean>")
+LISTS = ("fp1", "fp2", "ids", "keys", "at", "settled")
 
 
 def _spans_of(dup: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +157,8 @@ def _spans_of(dup: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
 
 
-def _sort_shard(length: int, schema: pa.Schema):
-    """Spans of the strings that repeat inside a shard, and fingerprints of what a split anchor leaves open."""
+def _sort_shard(length: int, schema: pa.Schema, n_ranges: int):
+    """Spans of the strings that repeat inside a shard, and sorted fingerprints of what a split anchor leaves open, a row per range."""
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         bodies = t.column("body").to_pylist()
@@ -185,24 +187,36 @@ def _sort_shard(length: int, schema: pa.Schema):
         for i, w in enumerate(which.tolist()):
             dup = again[begin[w]:begin[w] + n[i]]
             a, b = _spans_of(dup, length)
-            spans.append([{"start": int(x + lo[i]), "stop": int(y + lo[i])} for x, y in zip(a, b)])
-            rows.append(i)
+            if len(a):
+                spans.append([{"start": int(x + lo[i]), "stop": int(y + lo[i])} for x, y in zip(a, b)])
+                rows.append(i)
             if split[i] and w not in sent:
                 sent.add(w)
                 open_rows.append((i, w))
         ids, keys = t.column("id").combine_chunks(), t.column("key").combine_chunks()
-        none = [None] * len(rows)
-        parts = [pa.table([ids, keys, pa.array(spans, schema.field("spans").type), *[pa.array(none, schema.field(f).type) for f in ("fp1", "fp2", "lo", "settled")]], schema=schema)]
+        take = pa.array(rows, pa.int64())
+        found = pa.table([ids.take(take), keys.take(take), pa.array(spans, schema.field("spans").type), *[pa.nulls(len(rows), f.type) for f in list(schema)[3:]]], schema=schema)
+        f1s, f2s, block, at, done = [], [], [], [], []
         for i, w in open_rows:
-            at = begin[w] + np.flatnonzero(head[begin[w]:begin[w] + n[i]])
-            if not len(at):
-                continue
-            f1, f2 = _fingerprints(data[begin[w]:begin[w] + sizes[w]], length)
-            at -= begin[w]
-            take = pa.array(np.full(len(at), i))
-            parts.append(pa.table([ids.take(take), keys.take(take), pa.nulls(len(at), schema.field("spans").type), pa.array(f1[at]), pa.array(f2[at]),
-                                   pa.array((at + lo[i]).astype(np.int32)), pa.array(again[begin[w] + at])], schema=schema))
-        return pa.concat_tables(parts)
+            where = np.flatnonzero(head[begin[w]:begin[w] + n[i]])
+            if len(where):
+                f1, f2 = _fingerprints(data[begin[w]:begin[w] + sizes[w]], length)
+                f1s.append(f1[where])
+                f2s.append(f2[where])
+                block.append(np.full(len(where), i))
+                at.append(where + lo[i])
+                done.append(again[begin[w] + where])
+        if not f1s:
+            return found
+        f1, f2, block, at, done = (np.concatenate(x) for x in (f1s, f2s, block, at, done))
+        order = np.lexsort((f2, f1))
+        f1, f2, block, at, done = f1[order], f2[order], pa.array(block[order]), at[order], done[order]
+        part = (f1.astype(np.float64) // (2.0**64 / n_ranges)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        cut_at = pa.array(edge.astype(np.int32))
+        wide = [pa.ListArray.from_arrays(cut_at, x) for x in (pa.array(f1), pa.array(f2), ids.take(block), keys.take(block), pa.array(at.astype(np.int32)), pa.array(done))]
+        sent_on = pa.table([pa.nulls(len(edge) - 1, f.type) for f in list(schema)[:3]] + [pa.array(part[edge[:-1]])] + [x.cast(schema.field(c).type) for x, c in zip(wide, LISTS)], schema=schema)
+        return pa.concat_tables([found, sent_on])
     return run
 
 
@@ -210,16 +224,31 @@ def _merge_range(length: int, schema: pa.Schema):
     """Open strings of one fingerprint range that another shard has too, each shard's sorted list searched for in the others'."""
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        pair = np.empty(t.num_rows, [("a", np.int64), ("b", np.int64)])
-        pair["a"], pair["b"] = t.column("fp1").to_numpy(), t.column("fp2").to_numpy()
-        order = np.lexsort((pair["b"], pair["a"]))
-        a, b = pair["a"][order], pair["b"][order]
-        run_of = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        count = np.searchsorted(run_of, run_of, "right") - np.searchsorted(run_of, run_of, "left")
-        hit = order[(count > 1) & ~t.column("settled").to_numpy(zero_copy_only=False)[order]]
-        lo = t.column("lo").to_numpy()[hit]
-        spans = [[{"start": int(x), "stop": int(x) + length}] for x in lo]
-        return pa.table([t.column("id").take(pa.array(hit)), t.column("key").take(pa.array(hit)), pa.array(spans, schema.field("spans").type)], schema=schema)
+        f1, f2, ids, keys, at, settled = (t.column(c).combine_chunks().flatten() for c in LISTS)
+        a, b = f1.to_numpy(), f2.to_numpy()
+        sizes = t.column("fp1").combine_chunks().value_lengths().to_numpy()
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        hit = np.zeros(len(a), bool)
+        sorted_lists = [np.arange(x, y) for x, y in zip(edge[:-1], edge[1:])]  # one of each shard
+        while len(sorted_lists) > 1:  # two by two: each string of one list is searched for in the other
+            merged = [sorted_lists[-1]] if len(sorted_lists) % 2 else []
+            for x, y in zip(sorted_lists[::2], sorted_lists[1::2]):
+                lo, hi = np.searchsorted(a[x], a[y], "left"), np.searchsorted(a[x], a[y], "right")
+                known = np.zeros(len(y), bool)
+                for k in range(int((hi - lo).max(initial=0))):  # equal first halves: as a rule one
+                    have = np.flatnonzero(lo + k < hi)
+                    have = have[b[y[have]] == b[x[lo[have] + k]]]
+                    known[have] = True
+                    hit[x[lo[have] + k]] = True
+                hit[y[known]] = True
+                merged.append(np.insert(x, hi[~known], y[~known]))
+            sorted_lists = merged
+        hit &= ~settled.to_numpy(zero_copy_only=False)
+        which = np.flatnonzero(hit)
+        take = pa.array(which)
+        # windows of one text as spans
+        spans = [[{"start": int(x), "stop": int(x) + length}] for x in at.to_numpy()[which]]
+        return pa.table([ids.take(take), keys.take(take), pa.array(spans, schema.field("spans").type)], schema=schema)
     return run
 
 
@@ -293,15 +322,14 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     d = docs.select(F.col("id").alias("i"), F.col("key").alias("k"), "text")
     cutout = d.join(blocks, d["i"].eqNullSafe(blocks["id"]) & d["k"].eqNullSafe(blocks["key"])).select("id", "key", "text", "blocks").mapInArrow(
         _cut_blocks(length, fields), f"shard long, h long, split boolean, id {kind}, key long, lo int, n int, body binary")
+    n_ranges = max(1, (total["hot"] or 0) // RANGE_ROWS)
     ddl = SPANS.format(id=kind)
-    sorted_ = cut(cutout.groupBy("shard").applyInArrow(_sort_shard(length, to_arrow_schema(T._parse_datatype_string(ddl))), ddl))
-    inside = sorted_.where("spans IS NOT NULL AND size(spans) > 0").select("id", "key", "spans")
+    sorted_ = cut(cutout.groupBy("shard").applyInArrow(_sort_shard(length, to_arrow_schema(T._parse_datatype_string(ddl)), n_ranges), ddl))
+    inside = sorted_.where("spans IS NOT NULL").select("id", "key", "spans")
     if total["hot"]:
-        n_ranges = max(1, total["hot"] // RANGE_ROWS)
-        step = -(-2**64 // n_ranges)
-        open_ = sorted_.where("fp1 IS NOT NULL").withColumn("range", F.floor(F.col("fp1") / float(step)).cast("long"))
         ddl = f"id {kind}, key long, spans array<struct<start:int,stop:int>>"
-        inside = inside.unionByName(open_.groupBy("range").applyInArrow(_merge_range(length, to_arrow_schema(T._parse_datatype_string(ddl))), ddl))
+        merged = sorted_.where("fp1 IS NOT NULL").select("range", *LISTS).groupBy("range")
+        inside = inside.unionByName(merged.applyInArrow(_merge_range(length, to_arrow_schema(T._parse_datatype_string(ddl))), ddl))
     spans = inside.groupBy("id", "key").agg(F.flatten(F.collect_set("spans")).alias("__spans")).select(F.col("id").alias("__i"), F.col("key").alias("__k"), "__spans")
     carry = [c for c in without(df, OUT) if keep is None or c in keep]
     a = df.select(*[q(c) for c in carry], q(id).alias("__id"), text_key(q(text)).alias("__key"), q(text).cast("binary").alias("__text"))
