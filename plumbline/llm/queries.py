@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fm_index, language, mixing, near_dups, suffix_dedup, url_filter
+from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# ---- 1 -----------------------------------------------------------------------------------------------------
+
+@query("op1_fingerprint")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = neighbours.with_next(docs, "doc_id", F.octet_length("text") + 500, F.xxhash64("text"), enrich=lambda x: fingerprint.fingerprints(x, name="own"))
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
+    d = d.select("doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("beside"), edited.alias("edited"))
+    d = fingerprint.fingerprints(d, "edited", "changed")
+    return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint.digest(F.col("own")).alias("fingerprint"),
+                    fingerprint.digest(F.col("changed")).alias("edited_fingerprint"), fingerprint.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+                    fingerprint.likeness(F.col("own"), F.col("beside")).alias("near_next"))
+
+
 # ---- 2 -----------------------------------------------------------------------------------------------------
 
 @query("op2_suffix_dedup")
