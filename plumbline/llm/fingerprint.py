@@ -25,14 +25,14 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
 
     Paragraphs are what line feeds separate, empty ones included. `lanes` sum LANES
     hashes of every paragraph modulo 2**60 and decide equality, whatever the order of
-    paragraphs. `signs` sum, modulo 2**20 each, 120 hashed bits of every piece of up to
-    three words; `likeness` compares them. Both are sums, so fingerprints of two sets of
+    paragraphs. `signs` sum, modulo 2**20 each, 120 hashed bits of every distinct piece
+    of up to three words in a paragraph; `likeness` compares them. Both are sums, so fingerprints of two sets of
     paragraphs add up to that of their union (`add`, `subtract`). A null text is empty:
     one empty paragraph and no piece.
     """
     t = F.coalesce(text, F.lit(""))
     d = df.withColumns({"__par": F.transform(F.split(t, "\n"), lambda p: F.xxhash64(p)),
-                        "__pce": F.transform(F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))})
+                        "__pce": F.flatten(F.transform(F.split(t, "\n"), lambda p: F.transform(F.array_distinct(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))), lambda x: F.xxhash64(x))))})
     lanes = [_sum(F.col("__par"), lambda h, i=i: F.xxhash64(h, F.lit(i)).bitwiseAND(F.lit(MASK))) for i in range(LANES)]
     d = d.withColumn("__pce2", F.transform("__pce", lambda h: F.xxhash64(h, F.lit(1))))
     half = SIGNS // 2

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, suffix_dedup, url_filter
+from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +135,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
                     F.char_length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
+# ---- 8 -----------------------------------------------------------------------------------------------------
+
+@query("op8_quality_resample")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return quality.resample(table(spark, folder, "documents"), table(spark, folder, "labels"), good, keep=["doc_id"])
+
+
 # ---- 9 -----------------------------------------------------------------------------------------------------
 
 OP9_SQL = r"""
