@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, quality, suffix_dedup, url_filter
+from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, quality, revisits, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +135,48 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
                     F.char_length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
+# ---- 7 -----------------------------------------------------------------------------------------------------
+
+# Captures made from the pages: a full response each (some 404), and two revisits, one of them before it. A third
+# of the pages are taken as their site's front page, so that many captures share a URL.
+CAPTURES = {
+    "base": """SELECT page_id, 1700000000 + page_id * 3600 AS ts, md5(coalesce(html, '')) AS sum, CAST(coalesce(length(html), 0) AS STRING) AS len,
+        CASE WHEN page_id % 3 = 0 THEN concat(split_part(url, '/', 1), '//', split_part(url, '/', 3)) ELSE url END AS url FROM pages""",
+    "response": """SELECT concat('r', page_id) AS record_id, 'response' AS kind, url, ts, CASE WHEN page_id % 13 = 0 THEN 404 ELSE 200 END AS status,
+        CASE WHEN page_id % 5 <> 0 THEN concat('"', substr(sum, 1, 12), '"') END AS etag, concat('D', CAST(ts - 86400 AS STRING)) AS modified, 'max-age=60' AS cache, len, 'text/html' AS type, CAST(NULL AS STRING) AS date FROM base""",
+    "revisit": """SELECT concat('v', page_id, '-', k) AS record_id, 'revisit' AS kind, CASE WHEN k = 1 THEN concat(upper(substr(url, 1, 12)), substr(url, 13), '#again') ELSE url END AS url,
+        ts + CASE WHEN k = 1 THEN 7200 ELSE -10 END AS ts, 304 AS status,
+        CASE WHEN page_id % 7 = 0 THEN '"other"' WHEN page_id % 11 <> 0 THEN concat('W/"', substr(sum, 1, 12), '"') END AS etag,
+        CASE WHEN page_id % 4 <> 0 THEN concat('D', CAST(ts - 86400 AS STRING)) END AS modified, 'max-age=120' AS cache, '0' AS len, CAST(NULL AS STRING) AS type, concat('D', CAST(ts AS STRING)) AS date
+        FROM base, (SELECT 1 AS k UNION ALL SELECT 2 AS k)""",
+}
+
+OP7_SQL = f"""
+WITH base AS ({CAPTURES['base']}), response AS ({CAPTURES['response']}), revisit AS ({CAPTURES['revisit']}),
+canon AS (SELECT *, regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)([?][^#]*)?', ['s', 'h', 'p', 'q'], 's') AS u FROM (SELECT * FROM response UNION ALL SELECT * FROM revisit)),
+c AS (SELECT * EXCLUDE (url), CASE WHEN u.s <> '' AND u.h <> '' THEN lower(u.s) || '://' ||
+    CASE WHEN lower(u.s) = 'http' THEN regexp_replace(lower(u.h), ':80$', '') WHEN lower(u.s) = 'https' THEN regexp_replace(lower(u.h), ':443$', '') ELSE lower(u.h) END
+    || CASE WHEN u.p = '' THEN '/' ELSE u.p END || u.q END AS url FROM canon),
+j AS (SELECT v.*, r.record_id AS source_id, r.etag AS retag, r.modified AS rmodified, r.len AS rlen, r.type AS rtype
+  FROM (SELECT * FROM c WHERE kind = 'revisit') v ASOF LEFT JOIN (SELECT * FROM c WHERE kind = 'response' AND status = 200) r ON v.url = r.url AND v.ts > r.ts),
+k AS (SELECT *, CASE WHEN url IS NULL THEN 'no-url' WHEN source_id IS NULL THEN 'no-response'
+    WHEN etag IS NOT NULL AND retag IS NOT NULL THEN CASE WHEN replace(etag, 'W/', '') = replace(retag, 'W/', '') THEN 'etag' ELSE 'mismatch' END
+    WHEN modified IS NOT NULL AND rmodified IS NOT NULL THEN CASE WHEN modified = rmodified THEN 'last-modified' ELSE 'mismatch' END ELSE 'none' END AS "check" FROM j)
+SELECT record_id, url, source_id, "check", "check" IN ('etag', 'last-modified') AS resolved,
+  CASE WHEN "check" IN ('etag', 'last-modified') THEN 'cache-control: ' || cache || chr(10) || 'content-length: ' || rlen || chr(10) || 'content-type: ' || rtype || chr(10) || 'date: ' || date || chr(10)
+    || coalesce('etag: ' || coalesce(etag, retag) || chr(10), '') || 'last-modified: ' || rmodified || chr(10) END AS headers FROM k"""
+
+
+@query("op7_revisit_resolution", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    base = spark.sql(CAPTURES["base"].replace("FROM pages", "FROM {pages}"), pages=table(spark, folder, "pages"))
+    parts = [spark.sql(CAPTURES[x].replace("FROM base", "FROM {base}"), base=base) for x in ("response", "revisit")]
+    fields = {"ETag": "etag", "Last-Modified": "modified", "Cache-Control": "cache", "Content-Length": "len", "Content-Type": "type", "Date": "date"}
+    captures = parts[0].unionByName(parts[1]).withColumn("headers", F.create_map(*[x for k, c in fields.items() for x in (F.lit(k), F.col(c))]))
+    d = revisits.resolve_revisits(captures, at="ts")
+    return d.withColumn("headers", F.array_join(F.transform("headers", lambda e: F.concat(e["name"], F.lit(": "), e["value"], F.lit("\n"))), ""))
+
+
 # ---- 8 -----------------------------------------------------------------------------------------------------
 
 @query("op8_quality_resample")

@@ -252,7 +252,13 @@ def _merge_range(length: int, schema: pa.Schema):
     return run
 
 
-def _remove(schema: pa.Schema, carry: list[str]):
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """`gone` spread over every UTF-8 character it touches."""
+    char = np.cumsum((data & 0xC0) != 0x80)
+    return np.bincount(char, weights=gone, minlength=len(data) + 1)[char] > 0 if len(data) else gone
+
+
+def _remove(schema: pa.Schema, carry: list[str], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "__text", BATCH_BYTES):
             data, off = flat_text(b.column("__text"))
@@ -277,18 +283,19 @@ def _remove(schema: pa.Schema, carry: list[str]):
             a, z = np.flatnonzero(first), np.flatnonzero(last) + 1
             per = np.searchsorted(a, off)
             total = np.concatenate([[0], np.cumsum(gone)])
-            left = data[~gone]
-            kept_off = off - total[off]
+            out = _whole_characters(data, gone) if as_text else gone
+            left, kept_off = data[~out], off - np.concatenate([[0], np.cumsum(out)])[off]
             n_spans = np.diff(per)
             which = rows_of(n_spans)
             spans = pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.StructArray.from_arrays(
                 [pa.array((a - off[which]).astype(np.int32)), pa.array((z - off[which]).astype(np.int32))], ["start", "stop"])).cast(schema.field("spans").type)
-            kept = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())]).cast(pa.binary())
+            kind = pa.large_string() if as_text else pa.large_binary()
+            kept = pa.Array.from_buffers(kind, b.num_rows, [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())]).cast(schema.field("kept").type)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + [kept, pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(n_spans.astype(np.int64)), spans], schema=schema)
     return run
 
 
-def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Add `kept` (binary), `n_bytes`, `n_removed`, `n_spans` and `spans` (start, stop in bytes, merged) to every row.
 
     Every byte covered by a `length`-byte string that also starts anywhere else, in the
@@ -296,7 +303,8 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     UTF-8, and no string crosses texts. A null text is empty and has nothing removed, as
     has any text shorter than `length`. Repeated rows are repeats of each other. Null
     ids are one id. `keep` names the input columns to carry (default all); those named
-    like an output are replaced. An empty table gives an empty result.
+    like an output are replaced. An empty table gives an empty result. With `as_text`,
+    `kept` is a string, from which characters that lost a byte are gone altogether.
 
     Rows are told apart by id and a hash of the text. Text is shuffled once to cut
     blocks and once to cut out spans; anchors are some 30 bytes per 200 bytes of text,
@@ -334,5 +342,5 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     carry = [c for c in without(df, OUT) if keep is None or c in keep]
     a = df.select(*[q(c) for c in carry], q(id).alias("__id"), text_key(q(text)).alias("__key"), q(text).cast("binary").alias("__text"))
     j = a.join(spans, a["__id"].eqNullSafe(spans["__i"]) & a["__key"].eqNullSafe(spans["__k"]), "left").select(*[q(c) for c in carry], "__text", "__spans")
-    out = T.StructType([j.schema[c] for c in carry] + T._parse_datatype_string("kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>").fields)
-    return j.mapInArrow(_remove(to_arrow_schema(out), carry), out)
+    out = T.StructType([j.schema[c] for c in carry] + T._parse_datatype_string(("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>").fields)
+    return j.mapInArrow(_remove(to_arrow_schema(out), carry, as_text), out)
