@@ -29,6 +29,16 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def pack(df: DataFrame, out: Sequence[str], keep: Sequence[str] | None = None) -> tuple[Column, list[Column]]:
+    """The input columns an operator carries as one struct `__in`, and what turns it into columns again.
+
+    Inside an operator no input column can then clash with one of its own.
+    """
+    names = [c for c in without(df, out) if keep is None or c in keep]
+    whole = F.struct(*[q(c) for c in names]) if names else F.struct(F.lit(0).alias("none"))
+    return whole.alias("__in"), [F.col("__in").getField(c).alias(c) for c in names]
+
+
 def text_key(text: Column) -> Column:
     """64 bits that tell texts of one id apart."""
     return F.xxhash64(text)

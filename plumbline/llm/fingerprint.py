@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import q, without
+from plumbline.llm.common import pack, q
 
 LANES = 8  # 60-bit sums of paragraph hashes: what equality is judged by
 LANE_BITS = 60
@@ -95,4 +95,5 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint") -
     rows too; an empty table gives an empty result; an input column called `name` is
     replaced.
     """
-    return with_fingerprint(df.select(*[q(c) for c in without(df, [name])], *([q(text).alias("__text")])), F.col("__text"), name).drop("__text")
+    whole, columns = pack(df, [name])
+    return with_fingerprint(df.select(whole, q(text).alias("__text")), F.col("__text"), "__fp").select(*columns, F.col("__fp").alias(name))

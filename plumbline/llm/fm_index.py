@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import U64, flat_text, in_pieces, lists, q, ranges, rows_of, without, words
+from plumbline.llm.common import U64, flat_text, in_pieces, pack, q, ranges, rows_of, words
 from plumbline.llm.suffix import suffix_array
 
 WINDOW = 10  # words in a phrase
@@ -200,7 +200,7 @@ def _merge(a: np.ndarray, b: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
     return a[head], reach[np.append(head[1:], len(a)) - 1], row[head]
 
 
-def _scan(block, carry: list[str], first_pass: bool, last: bool, remove: bool, schema: pa.Schema):
+def _scan(block, first_pass: bool, last: bool, remove: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tab = block.value if block is not None else None
         for b in in_pieces(batches, "__text", SHARD_BYTES):
@@ -237,13 +237,13 @@ def _scan(block, carry: list[str], first_pass: bool, last: bool, remove: bool, s
             items = pa.array([sorted(s) for s in found], pa.list_(pa.string()))
             if not last:
                 where = pa.StructArray.from_arrays([pa.array((a - first[row]).astype(np.int32)), pa.array((z - first[row]).astype(np.int32))], ["first", "after"])
-                cols = [b.column(c) for c in carry] + [b.column("__text"), items, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), where)]
+                cols = [b.column("__in"), b.column("__text"), items, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), where)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
                 continue
             n_hit = np.bincount(row, weights=z - a, minlength=b.num_rows).astype(np.int64)
             s, e = begin[a], end[z - 1]
             where = pa.StructArray.from_arrays([pa.array((s - off[row]).astype(np.int32)), pa.array((e - off[row]).astype(np.int32))], ["start", "stop"])
-            cols = [b.column(c) for c in carry] + [pa.array(np.diff(first)), pa.array(n_hit), items, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), where)]
+            cols = [b.column("__in"), pa.array(np.diff(first)), pa.array(n_hit), items, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), where)]
             if remove:
                 gone = np.zeros(len(data) + 1, np.int64)
                 gone[s] += 1
@@ -295,13 +295,13 @@ def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", item
 
     sc = df.sparkSession.sparkContext
     out = OUT if remove else OUT[:-1]
-    carry = [c for c in without(df, out) if keep is None or c in keep]
-    d = df.select(*[q(c) for c in carry], q(text).alias("__text"))
+    whole, columns = pack(df, out, keep)
+    d = df.select(whole, q(text).alias("__text"))
     blocks = [sc.broadcast(b) for b in _blocks(items, item_id, item_text, window)] or [None]
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
         more = ("n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>" + ", clean string" * remove if last
                 else "__text string, __items array<string>, __spans array<struct<first:int,after:int>>")
-        schema = T.StructType([d.schema[c] for c in carry] + T._parse_datatype_string(more).fields)
-        d = d.mapInArrow(_scan(block, carry, k == 0, last, remove, to_arrow_schema(schema)), schema)
-    return d
+        schema = T.StructType([d.schema["__in"]] + T._parse_datatype_string(more).fields)
+        d = d.mapInArrow(_scan(block, k == 0, last, remove, to_arrow_schema(schema)), schema)
+    return d.select(*columns, *out)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import flat_text, in_pieces, q, rows_of, without
+from plumbline.llm.common import flat_text, in_pieces, pack, q, rows_of
 
 WIDTHS = (2, 3, 4)  # bytes a filter spans
 FILTERS = 16  # filters of each width
@@ -142,7 +142,7 @@ def labelled_sample(df: DataFrame, id: str, text: str, lang: str) -> list:
     return sorted(d.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).select("lang", "mark", "piece").collect())
 
 
-def _label(model, carry: list[str], schema: pa.Schema):
+def _label(model, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
         for b in in_pieces(batches, "__text", BATCH_BYTES):
@@ -156,7 +156,7 @@ def _label(model, carry: list[str], schema: pa.Schema):
                 best = share.argmax(axis=1)
                 pred = np.where(known, np.array(names, object)[best], UNKNOWN)
                 score = np.where(known, share[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + [pa.array(pred, pa.string()), pa.array(np.clip(score, 0.0, 1.0))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("__in"), pa.array(pred, pa.string()), pa.array(np.clip(score, 0.0, 1.0))], schema=schema)
     return run
 
 
@@ -179,7 +179,7 @@ def identify_language(df: DataFrame, id: str = "doc_id", text: str = "text", lan
         names = sorted({r["lang"] for r in sample})
         par = train([r["piece"].encode() for r in sample], [names.index(r["lang"]) for r in sample], len(names))
         model = df.sparkSession.sparkContext.broadcast((names, par))
-    carry = [c for c in without(df, OUT) if keep is None or c in keep]
-    d = df.select(*[q(c) for c in carry], q(text).alias("__text"), F.coalesce(q(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = T.StructType([d.schema[c] for c in carry] + T._parse_datatype_string("lang_pred string, score double").fields)
-    return d.mapInArrow(_label(model, carry, to_arrow_schema(schema)), schema)
+    whole, columns = pack(df, OUT, keep)
+    d = df.select(whole, q(text).alias("__text"), F.coalesce(q(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    schema = T.StructType([d.schema["__in"]] + T._parse_datatype_string("lang_pred string, score double").fields)
+    return d.mapInArrow(_label(model, to_arrow_schema(schema)), schema).select(*columns, *OUT)

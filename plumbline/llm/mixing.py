@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import q, without
+from plumbline.llm.common import pack, q
 from plumbline.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,9 +86,9 @@ def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: s
     Where a sample ends is found by summing words over bins of the rank, level by level,
     so a source may hold any share of the rows.
     """
-    carry = [c for c in without(df, OUT) if keep is None or c in keep]
+    whole, columns = pack(df, OUT, keep)
     size = word_count(q(text))
-    d = df.select(*[q(c) for c in carry], q(source).alias("__source"), size.alias("size"), uniform(F.lit(seed), q(id), F.md5(F.coalesce(q(text), F.lit("")))).alias("__u"))
+    d = df.select(whole, q(source).alias("__source"), size.alias("size"), uniform(F.lit(seed), q(id), F.md5(F.coalesce(q(text), F.lit("")))).alias("__u"))
     d = cut(d.withColumn("__row", F.xxhash64(F.monotonically_increasing_id())))
     z = F.floor(F.col("size") * 1000 / (F.col("size") + 500)).cast("long")  # thousandths, so that sums are exact
     dec = lambda c: F.sum(c.cast("decimal(38,0)"))
@@ -111,7 +111,7 @@ def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: s
     ends = ends.select(F.col("__s").alias("__t"), "end")
     d = d.join(ends, d["__s"].eqNullSafe(ends["__t"]), "left")
     more = F.when(F.col("__key") <= F.col("end"), 1).otherwise(0)
-    return d.select(*[q(c) for c in carry], "size", "source_size", "target", (F.col("size") * (F.col("__whole") + more)).alias("taken"))
+    return d.select(*columns, "size", "source_size", "target", (F.col("size") * (F.col("__whole") + more)).alias("taken"))
 
 
 def _ends(ranked: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import U64, flat_text, in_pieces, lists, mix, q, ranges, rows_of, text_key, unit, without, words
+from plumbline.llm.common import U64, flat_text, in_pieces, lists, mix, pack, q, ranges, rows_of, text_key, unit, words
 from plumbline.operators.linkage import connected_components
 from plumbline.session import cut
 
@@ -233,6 +233,7 @@ def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     All columns pass unchanged. Of rows equal in id and text one stays.
     """
     keep = near_classes(df, id, text, similarity).select("keep_id", "keep_key").distinct()
-    d = df.withColumns({"__id": q(id), "__key": text_key(F.coalesce(q(text), F.lit("")))})
-    d = d.join(keep, d["__id"].eqNullSafe(keep["keep_id"]) & (d["__key"] == keep["keep_key"])).drop("keep_id", "keep_key")
-    return d.dropDuplicates(["__id", "__key"]).select(*[q(c) for c in df.columns])
+    whole, columns = pack(df, [])
+    d = df.select(whole, q(id).alias("__id"), text_key(F.coalesce(q(text), F.lit(""))).alias("__key"))
+    d = d.join(keep, d["__id"].eqNullSafe(keep["keep_id"]) & (d["__key"] == keep["keep_key"]))
+    return d.dropDuplicates(["__id", "__key"]).select(*columns)

@@ -24,11 +24,11 @@ def with_next(df: DataFrame, id: str, weight: Column, tie: Column, name: str = "
     bucket, one per bucket, is joined to its last. Rows move once.
     """
     spark = df.sparkSession
-    d = df.withColumns({"__id": q(id).cast("long"), "__tie": tie.cast("long"), "__w": weight})
+    d = df.select(F.struct(*[q(c) for c in df.columns]).alias("__in"), q(id).cast("long").alias("__id"), tie.cast("long").alias("__tie"), weight.alias("__w"))
     low, high = d.agg(F.min("__id"), F.max("__id")).first()
     low, high = (0, 0) if low is None else (low, high)
     wide = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.coalesce(F.lit(CELLS) - F.floor((F.col("__id") - low) / wide).cast("int"), F.lit(CELLS + 1))
+    cell = F.coalesce(F.lit(CELLS) - F.floor((F.col("__id").cast("double") - float(low)) / float(wide)).cast("int"), F.lit(CELLS + 1))
     d = d.withColumn("__cell", cell)
     cells = d.groupBy("__cell").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi"), F.sum("__w").alias("w")).collect()  # at most CELLS + 1 rows
     rows, at = [], 0
@@ -47,10 +47,14 @@ def with_next(df: DataFrame, id: str, weight: Column, tie: Column, name: str = "
     line = Window.orderBy("__bucket")  # one row per bucket
     goes_to = F.coalesce(F.lag("__bucket").over(line), F.max("__bucket").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     first = first.select(goes_to.alias("__for"), F.bitwise_not("o.b").alias("__i"), F.col("o.d").alias("__t"))
-    heads = enrich(d.join(broadcast_if_small(first), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__tie") == F.col("__t"))))
-    d = enrich(d)
-    names = [c for c in d.columns if c not in ("__id", "__tie", "__w", "__cell", "__lo", "__hi", "__n", "__at", "__bucket")]
+    own = [F.col("__in").getField(c).alias(c) for c in df.columns]
+    row = lambda x, *more: enrich(x.select(*own, F.struct(*more).alias("__at")))
+    heads = d.join(broadcast_if_small(first), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__tie") == F.col("__t")))
+    heads = row(heads, "__for").withColumn("__for", F.col("__at.__for"))
+    d = row(d, "__id", "__tie", "__bucket")
+    names = [c for c in d.columns if c != "__at"]
     whole = F.struct(*[q(c) for c in names])
+    d = d.withColumns({c: F.col("__at").getField(c) for c in ("__id", "__tie", "__bucket")})
     heads = heads.select("__for", whole.alias("__head")).dropDuplicates(["__for"])
     line = Window.partitionBy("__bucket").orderBy(F.col("__id").desc_nulls_last(), F.shiftrightunsigned("__tie", 34), "__tie")
     d = d.withColumn("__next", F.lead(whole).over(line))

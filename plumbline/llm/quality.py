@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.ordered import order_statistics
-from plumbline.llm.common import U64, flat_text, in_pieces, mix, q, rows_of, text_key, without, words
+from plumbline.llm.common import U64, flat_text, in_pieces, mix, pack, q, rows_of, text_key, words
 from plumbline.session import cut
 
 BUCKETS = 1 << 14  # hashed n-gram counts of a model
@@ -62,13 +62,13 @@ def models(df: DataFrame, text: Column, wanted: Column) -> np.ndarray:
     return np.log(share[1] / share[0])
 
 
-def _weigh(ratio, carry: list[str], schema: pa.Schema):
+def _weigh(ratio, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "__text", BATCH_BYTES):
             g, text = _grams(b.column("__text"))
             n = np.bincount(text, minlength=b.num_rows)
             weight = np.bincount(text, weights=ratio.value[g], minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + [pa.array(n.astype(np.int64)), pa.array(weight)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("__in"), b.column("__u"), pa.array(n.astype(np.int64)), pa.array(weight)], schema=schema)
     return run
 
 
@@ -95,17 +95,18 @@ def resample(df: DataFrame, labels: DataFrame, good: Column, id: str = "doc_id",
     from pyspark.sql.pandas.types import to_arrow_schema
 
     marks = labels.where(good).select(q(id).alias("__l")).where("__l IS NOT NULL").distinct().withColumn("__good", F.lit(True))
-    d = df.join(marks, df[id] == marks["__l"], "left")
-    ratio = df.sparkSession.sparkContext.broadcast(models(d, q(text), F.col("__good")))
-    carry = [c for c in without(df, OUT) if keep is None or c in keep]
+    d = df.select(q(id).alias("__id"), q(text).alias("__text"))
+    d = d.join(marks, d["__id"] == marks["__l"], "left")
+    ratio = df.sparkSession.sparkContext.broadcast(models(d, F.col("__text"), F.col("__good")))
+    whole, columns = pack(df, OUT, keep)
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), q(id).cast("string"), text_key(F.coalesce(q(text), F.lit(""))).cast("string"))), 1, 13), 16, 10)
-    d = df.select(*[q(c) for c in carry], ((u.cast("double") + 0.5) / float(16**13)).alias("__u"), q(text).alias("__text"))
-    schema = T.StructType([d.schema[c] for c in [*carry, "__u"]] + T._parse_datatype_string("n_grams long, __sum double").fields)
-    d = d.mapInArrow(_weigh(ratio, [*carry, "__u"], to_arrow_schema(schema)), schema)
+    d = df.select(whole, ((u.cast("double") + 0.5) / float(16**13)).alias("__u"), q(text).alias("__text"))
+    schema = T.StructType([d.schema["__in"], d.schema["__u"]] + T._parse_datatype_string("n_grams long, __sum double").fields)
+    d = d.mapInArrow(_weigh(ratio, to_arrow_schema(schema)), schema)
     weight = F.when(F.col("n_grams") > 0, F.col("__sum") / F.sqrt("n_grams")).otherwise(0.0)
     d = d.withColumn("log_weight", weight)
     d = cut(d.withColumn("rank_key", F.when(F.col("n_grams") > 0, F.col("log_weight") - F.log(-F.log("__u"))).otherwise(F.lit(-1e6))).drop("__u", "__sum"))
     least = order_statistics(d, ["rank_key"], [0.0], want=lambda n: [max(0, n - max(1, round(share * n)))])
     row = least.first() if least is not None else None
     end = row["value"] if row else 0.0
-    return d.select(*[q(c) for c in carry], "n_grams", "log_weight", "rank_key", (F.col("rank_key") >= end).alias("kept"))
+    return d.select(*columns, "n_grams", "log_weight", "rank_key", (F.col("rank_key") >= end).alias("kept"))

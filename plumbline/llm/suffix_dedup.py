@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import U64, flat_text, in_pieces, mix, q, ranges, rows_of, text_key, without
+from plumbline.llm.common import U64, flat_text, in_pieces, mix, pack, q, rows_of, text_key
 from plumbline.llm.suffix import common_prefixes, suffix_array
 from plumbline.session import cut
 
@@ -258,7 +258,7 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.bincount(char, weights=gone, minlength=len(data) + 1)[char] > 0 if len(data) else gone
 
 
-def _remove(schema: pa.Schema, carry: list[str], as_text: bool):
+def _remove(schema: pa.Schema, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "__text", BATCH_BYTES):
             data, off = flat_text(b.column("__text"))
@@ -291,7 +291,7 @@ def _remove(schema: pa.Schema, carry: list[str], as_text: bool):
                 [pa.array((a - off[which]).astype(np.int32)), pa.array((z - off[which]).astype(np.int32))], ["start", "stop"])).cast(schema.field("spans").type)
             kind = pa.large_string() if as_text else pa.large_binary()
             kept = pa.Array.from_buffers(kind, b.num_rows, [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())]).cast(schema.field("kept").type)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + [kept, pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(n_spans.astype(np.int64)), spans], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("__in"), kept, pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(n_spans.astype(np.int64)), spans], schema=schema)
     return run
 
 
@@ -339,8 +339,8 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
         merged = sorted_.where("fp1 IS NOT NULL").select("range", *LISTS).groupBy("range")
         inside = inside.unionByName(merged.applyInArrow(_merge_range(length, to_arrow_schema(T._parse_datatype_string(ddl))), ddl))
     spans = inside.groupBy("id", "key").agg(F.flatten(F.collect_set("spans")).alias("__spans")).select(F.col("id").alias("__i"), F.col("key").alias("__k"), "__spans")
-    carry = [c for c in without(df, OUT) if keep is None or c in keep]
-    a = df.select(*[q(c) for c in carry], q(id).alias("__id"), text_key(q(text)).alias("__key"), q(text).cast("binary").alias("__text"))
-    j = a.join(spans, a["__id"].eqNullSafe(spans["__i"]) & a["__key"].eqNullSafe(spans["__k"]), "left").select(*[q(c) for c in carry], "__text", "__spans")
-    out = T.StructType([j.schema[c] for c in carry] + T._parse_datatype_string(("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>").fields)
-    return j.mapInArrow(_remove(to_arrow_schema(out), carry, as_text), out)
+    whole, columns = pack(df, OUT, keep)
+    a = df.select(whole, q(id).alias("__id"), text_key(q(text)).alias("__key"), q(text).cast("binary").alias("__text"))
+    j = a.join(spans, a["__id"].eqNullSafe(spans["__i"]) & a["__key"].eqNullSafe(spans["__k"]), "left").select("__in", "__text", "__spans")
+    out = T.StructType([j.schema["__in"]] + T._parse_datatype_string(("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>").fields)
+    return j.mapInArrow(_remove(to_arrow_schema(out), as_text), out).select(*columns, *OUT)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import q, without
+from plumbline.llm.common import pack, q
 
 RULES_PER_TRIE = 100_000  # entries in one broadcast trie; longer lists are matched block by block
 FOUND = "host_labels int, path_length int, block int, rule string"
@@ -107,15 +107,15 @@ def judge_urls(df: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]],
     """
     sc = df.sparkSession.sparkContext
     out = ["host", "path", "rule", "verdict"]
-    d = df.withColumn("__url", q(url))
-    d = d.select(*[q(c) for c in without(df, out)], host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
+    whole, columns = pack(df, out)
+    d = df.select(whole, host_of(q(url)).alias("host"), path_of(q(url)).alias("path"))
     found = [_finder(sc.broadcast(build_trie(block)))("host", "path") for block in _blocks(rules, block_size)]
     if not found:
-        return d.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return d.select(*columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     names = [f"__f{i}" for i in range(len(found))]
     d = d.withColumns(dict(zip(names, found)))
     known = [F.when(F.col(n)["rule"].isNotNull(), F.col(n)) for n in names]
     best = F.greatest(*known) if len(known) > 1 else known[0]
     d = d.withColumn("__best", best)
-    return d.select(*[q(c) for c in d.columns if not c.startswith("__f") and c != "__best"], F.col("__best.rule").alias("rule"),
+    return d.select(*columns, "host", "path", F.col("__best.rule").alias("rule"),
                     F.when(F.col("__best.rule").isNull(), default).when(F.col("__best.block") == 1, "block").otherwise("allow").alias("verdict"))
