@@ -62,7 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames returned by `cut`, once nothing that is still to run reads them."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fetch_small(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
