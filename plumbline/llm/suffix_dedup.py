@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import U64, flat_text, in_pieces, mix, pack, q, rows_of, text_key
 from plumbline.llm.suffix import common_prefixes, suffix_array
-from plumbline.session import cut
+from plumbline.session import cut, release
 
 GRAM = 32  # bytes hashed to choose an anchor
 SHARD_BYTES = 1 << 20  # block bytes a shard holds
@@ -333,6 +333,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     n_ranges = max(1, (total["hot"] or 0) // RANGE_ROWS)
     ddl = SPANS.format(id=kind)
     sorted_ = cut(cutout.groupBy("shard").applyInArrow(_sort_shard(length, to_arrow_schema(T._parse_datatype_string(ddl)), n_ranges), ddl))
+    release(found, sizes)
     inside = sorted_.where("spans IS NOT NULL").select("id", "key", "spans")
     if total["hot"]:
         ddl = f"id {kind}, key long, spans array<struct<start:int,stop:int>>"
