@@ -155,6 +155,17 @@ def _compare_tiles(similarity: float):
     return run
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """`(node, component)` for a forest of links from each node to one other: the root above it. Paths halve each round."""
+    up = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    while True:
+        far = up.select(F.col("node").alias("n"), F.col("component").alias("far"))
+        step = cut(up.join(far, F.col("component") == F.col("n"), "left").select("node", F.coalesce("far", "component").alias("component"), F.col("far").isNotNull().alias("moved")))
+        up = step.select("node", "component")
+        if step.where("moved").isEmpty():
+            return up
+
+
 def _links(texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
     """Components `(node, component)` of the texts that have a link, or None."""
     one = texts.where(F.size("bands") > 0).groupBy("node").agg(F.min(F.struct("id", "key")).alias("at"), F.first("bands").alias("bands"))
@@ -176,7 +187,7 @@ def _links(texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
     both, size = F.size(F.array_intersect("elements", "other")), F.size("elements") + F.size("other")
     close = F.least(F.size("elements"), F.size("other")) >= similarity * F.greatest(F.size("elements"), F.size("other"))
     links = cut(pairs.where(close).where(both >= similarity * (size - both)).select(F.col("node").alias("src"), F.col("hub").alias("dst")))
-    comp = connected_components(links)
+    comp = _roots(links)
     rooted = seen.join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))
     rooted = rooted.join(best.select("node", F.col("hub").alias("tried")), "node")
     tried = F.max(((F.col("tried") == F.col("hub.node")) & (F.col("tried") != F.col("node"))).cast("int"))
@@ -196,7 +207,12 @@ def _links(texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
     more = cut(groups.applyInArrow(_compare_tiles(similarity), "src long, dst long").distinct())
     if more.isEmpty():
         return comp
-    return connected_components(links.unionByName(more))
+    up = comp.select(F.col("node").alias("n"), F.col("component").alias("r"))
+    ends = more.join(up, F.col("src") == F.col("n"), "left").select(F.coalesce("r", "src").alias("src"), "dst")
+    ends = ends.join(up, F.col("dst") == F.col("n"), "left").select("src", F.coalesce("r", "dst").alias("dst"))
+    joined = connected_components(ends).select(F.col("node").alias("n"), F.col("component").alias("top"))
+    low = comp.join(joined, F.col("component") == F.col("n"), "left").select("node", F.coalesce("top", "component").alias("component"))
+    return low.unionByName(joined.select(F.col("n").alias("node"), F.col("top").alias("component")))
 
 
 def near_classes(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
