@@ -29,7 +29,7 @@ class JoinContract:
     how: str = "left"
     min_match: float = 0.0
     groups: Sequence[str] = field(default_factory=tuple)
-    max_levels: int = 20
+    max_levels: int | None = None
     spread: float = 0.02
 
     def __post_init__(self):
@@ -142,7 +142,8 @@ def match_rate_by_group(left: DataFrame, right: DataFrame, c: JoinContract) -> D
     """Match rate per level of each declared group, with the spread across levels.
 
     The left side is first reduced to one row per (keys, group levels), so a hot
-    key crosses the shuffle once per level.
+    key crosses the shuffle once per level. With `max_levels`, a group of more levels
+    comes back as one row without a level that carries its totals and its spread.
     """
     groups = [g for g in c.groups if g in left.columns]
     if not groups:
@@ -162,8 +163,12 @@ def match_rate_by_group(left: DataFrame, right: DataFrame, c: JoinContract) -> D
            .agg(F.sum("n").alias("n"), F.sum("m").alias("matched"))
            .withColumn("rate", F.col("matched") / F.col("n")))
     spread = per.groupBy("group").agg((F.max("rate") - F.min("rate")).alias("spread"), F.count("*").alias("levels"))
-    return (per.join(spread, "group").where(F.col("levels") <= c.max_levels)
-            .select("group", "level", "n", "matched", "rate", "spread", (F.col("spread") > c.spread).alias("flag")))
+    d = per.join(spread, "group")
+    if c.max_levels is not None:
+        wide = F.col("levels") > c.max_levels
+        d = d.groupBy("group", F.when(~wide, F.col("level")).alias("level"), "spread").agg(F.sum("n").alias("n"), F.sum("matched").alias("matched")).withColumn(
+            "rate", F.col("matched") / F.col("n"))
+    return (d.select("group", "level", "n", "matched", "rate", "spread", (F.col("spread") > c.spread).alias("flag")))
 
 
 def _side_only(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str]) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LIMIT = 10_000
 DEFAULT_LIMIT = 500
 
 _LITERALS = {
@@ -85,16 +84,16 @@ def metadata_filter(df: DataFrame, spec: dict) -> Column:
 
 
 def limited(df: DataFrame, n: int = DEFAULT_LIMIT) -> DataFrame:
-    """At most `n` rows, never more than `MAX_LIMIT`: the row limit of an interactive query."""
-    return df.limit(min(n, MAX_LIMIT))
+    """At most `n` rows: the row limit of an interactive query, `DEFAULT_LIMIT` when none is given."""
+    return df.limit(n)
 
 
 def keyset_page(df: DataFrame, key: str, last, size: int) -> DataFrame:
     """The page after `last` in descending key order."""
     d = df if last is None else df.where(F.col(key) < F.lit(last))
-    return d.orderBy(F.desc(key)).limit(min(size, MAX_LIMIT))
+    return d.orderBy(F.desc(key)).limit(size)
 
 
 def top_groups(df: DataFrame, by: list[str], value: Column, k: int, name: str) -> DataFrame:
     """The `k` groups with the largest value; ties by group."""
-    return df.groupBy(*by).agg(value.alias(name)).orderBy(F.desc(name), *by).limit(min(k, MAX_LIMIT))
+    return df.groupBy(*by).agg(value.alias(name)).orderBy(F.desc(name), *by).limit(k)

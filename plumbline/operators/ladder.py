@@ -107,6 +107,8 @@ def wild_cluster_bootstrap(df: DataFrame, y: str, xs: Sequence[str], param: str,
         step = crve
         while p_value(est + direction * step) > 1 - level and step < 1e6 * crve:
             step *= 2
+        if p_value(est + direction * step) > 1 - level:  # the test rejects nothing this far out: no bound was found
+            return direction * float("inf")
         inner, outer = 0.0, step
         for _ in range(60):
             mid = (inner + outer) / 2

@@ -52,6 +52,8 @@ def mcdonald_omega(df: DataFrame, items: Sequence[str], iterations: int = 500) -
         if np.abs(new - h).max() < 1e-10:
             break
         h = new
+    else:
+        raise RuntimeError(f"the one-factor model did not settle in {iterations} rounds")
     omega = float(load.sum() ** 2 / (load.sum() ** 2 + (1 - load**2).sum()))
     return df.sparkSession.createDataFrame([(x, float(l), omega, n) for x, l in zip(items, load)], "item string, loading double, omega double, n long")
 

@@ -138,11 +138,13 @@ def _by_level(df: DataFrame, groups: Sequence[str], stats: dict[str, Column]) ->
 
 
 def _with_spread(levels: DataFrame, threshold: float, max_levels: int | None, rate: str) -> DataFrame:
+    """Levels of the columns whose rate spreads by more than `threshold` over all levels; `max_levels` only trims the listing."""
+    sp = levels.groupBy("group", "column").agg((F.max("value") - F.min("value")).alias("spread"))
+    levels = levels.join(sp, ["group", "column"])
     if max_levels:
         w = Window.partitionBy("group", "column").orderBy("level")
         levels = levels.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_levels).drop("_r")
-    sp = levels.groupBy("group", "column").agg((F.max("value") - F.min("value")).alias("spread"))
-    return (levels.join(sp, ["group", "column"]).where(F.col("spread") > threshold)
+    return (levels.where(F.col("spread") > threshold)
             .select("group", "column", "level", "n", F.col("value").alias(rate), "spread"))
 
 
@@ -350,7 +352,7 @@ def header_leaks(df: DataFrame) -> DataFrame:
 
 
 def sentinel_share_by_group(df: DataFrame, groups: Sequence[str], threshold: float = 0.02,
-                            max_levels: int | None = 10) -> DataFrame:
+                            max_levels: int | None = None) -> DataFrame:
     """Share of catalogue codes by level, for columns where it differs across levels."""
     codes = [float(x) for x in SENTINEL_NUMBERS]
     stats = {c: F.coalesce(F.col(c).cast("double").isin(codes), F.lit(False)).cast("double")

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.dist import t_ppf, t_sf2
 from plumbline.functions.ordered import join_null_safe
@@ -499,12 +500,15 @@ def anderson_index(df: DataFrame, items: dict[str, int], key: str) -> tuple[Data
     return df.select(key, expr.alias("index")), {c: float(x) for c, x in zip(cols, w)}
 
 
+@F.pandas_udf(T.DoubleType())
+def _t95(dof: pd.Series) -> pd.Series:
+    known = {d: t_ppf(0.95, d) for d in dof.dropna().unique()}
+    return dof.map(known)
+
+
 def equivalence_test(estimates: DataFrame, delta: float) -> DataFrame:
     """Two one-sided tests at 5%: the 90% interval must lie inside (-delta, delta)."""
-    crit = F.when(F.col("dof") > 1e6, F.lit(t_ppf(0.95, float("inf"))))
-    lookup = {r["dof"]: t_ppf(0.95, r["dof"]) for r in estimates.select("dof").distinct().limit(10_000).collect()}
-    for d, v in lookup.items():
-        crit = F.when(F.col("dof") == F.lit(d), F.lit(v)).otherwise(crit)
+    crit = _t95(F.col("dof").cast("double"))
     lo, hi = F.col("estimate") - crit * F.col("se"), F.col("estimate") + crit * F.col("se")
     return estimates.select("param", "estimate", "se", lo.alias("lo90"), hi.alias("hi90"),
                             ((lo > -delta) & (hi < delta)).alias("equivalent"))

@@ -34,7 +34,8 @@ def top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5
 
     Queries are a size-checked batch shipped with the job; the base is read once
     in Arrow batches. Each batch keeps its own best `k` per query, so only those
-    rows are shuffled.
+    rows are shuffled. A vector of another length than the queries' fails the job; a
+    null vector has no score.
     """
     if k > MAX_TOP_K:
         raise ValueError(f"k may be at most {MAX_TOP_K}")
@@ -50,6 +51,9 @@ def top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5
         for pdf in batches:
             if not len(pdf) or not len(qid):
                 continue
+            odd = pdf["v"].map(len) != dim
+            if odd.any():
+                raise ValueError(f"{int(odd.sum())} vectors of another length than {dim}, the first with key {pdf['k'][odd].iloc[0]}")
             ids = pdf["k"].to_numpy()
             s = _scores(np.stack(pdf["v"].to_numpy()).astype(float), qv, metric)
             out = []
@@ -74,7 +78,7 @@ def top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5
                 yield pd.concat(out)
 
     dim = qv.shape[1] if len(qid) else 0
-    part = base.where(F.size(vector) == dim).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(
+    part = base.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(
         best, f"query_id {kind}, `{key}` {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score") if up else F.asc("score"), key)
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

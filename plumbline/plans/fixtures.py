@@ -116,12 +116,12 @@ FIXTURES = {
     # per-nation results, the files they are printed in and prose citing them
     "nat": """SELECT c_nationkey AS k, count(*) AS n_orders, CAST(sum(o_custkey) AS BIGINT) AS key_sum, CAST(max(o_orderkey) AS BIGINT) AS last_key
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey""",
-    "artifacts": """SELECT 'main/nation_' || CAST(k AS VARCHAR(9)) || '.tex' AS path, 'orders & ' || CAST(n_orders AS VARCHAR(20)) || ' & keys ' || CAST(key_sum AS VARCHAR(20))
+    "artifacts": """SELECT 'coast/nation_' || CAST(k AS VARCHAR(9)) || '.txt' AS path, 'orders & ' || CAST(n_orders AS VARCHAR(20)) || ' & keys ' || CAST(key_sum AS VARCHAR(20))
           || ' & last ' || CAST(last_key AS VARCHAR(20)) AS body FROM {nat}
-        UNION ALL SELECT 'main/results.tex', '2.86 and 311.5' UNION ALL SELECT 'appendix/results.tex', '7.14 and 912.25'""",
-    "paragraphs": """SELECT CAST(k AS BIGINT) AS para_id, CASE WHEN k % 9 = 4 THEN 'results' WHEN k % 9 = 7 THEN 'main/typo' WHEN k % 2 = 0 THEN 'tables/main/nation_' || CAST(k AS VARCHAR(9))
-          ELSE 'nation_' || CAST(k AS VARCHAR(9)) || '.tex' END AS cited_path,
-        'In 2015 the keys rose 12.4' || chr(92) || '% to ' || CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS VARCHAR(20))
+        UNION ALL SELECT 'coast/totals.txt', '64.31 and 207.9' UNION ALL SELECT 'inland/totals.txt', '18.55 and 430.75'""",
+    "paragraphs": """SELECT CAST(k AS BIGINT) AS para_id, CASE WHEN k % 9 = 4 THEN 'totals' WHEN k % 9 = 7 THEN 'coast/wrong' WHEN k % 2 = 0 THEN 'report/coast/nation_' || CAST(k AS VARCHAR(9))
+          ELSE 'nation_' || CAST(k AS VARCHAR(9)) || '.txt' END AS cited_path,
+        'By 1997 the keys had grown 8.75' || chr(92) || '% up to ' || CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS VARCHAR(20))
           || ' over ' || CAST(n_orders AS VARCHAR(20)) || ' orders ' || chr(92) || 'ref' || chr(123) || 'tab:x12345' || chr(125)
           || CASE WHEN k % 7 = 3 THEN ', with ' || CAST(987654 + k AS VARCHAR(20)) || ' left' ELSE '' END || '.' AS text FROM {nat}""",
 }

@@ -145,14 +145,14 @@ def c24b(t):
 
 # ---- provenance -------------------------------------------------------------------------------------------
 
-_PN = """WITH every AS (SELECT k AS para, 12.4 AS v, true AS precise FROM {nat} UNION SELECT k, CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS DOUBLE), key_sum >= 100 FROM {nat}
+_PN = """WITH every AS (SELECT k AS para, 8.75 AS v, true AS precise FROM {nat} UNION SELECT k, CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS DOUBLE), key_sum >= 100 FROM {nat}
       UNION SELECT k, CAST(n_orders AS DOUBLE), n_orders >= 100 FROM {nat} WHERE n_orders >= 2 UNION SELECT k, CAST(987654 + k AS DOUBLE), true FROM {nat} WHERE k % 7 = 3),
     pn AS (SELECT * FROM every WHERE NOT (v BETWEEN 1900 AND 2099 OR v BETWEEN 19000000 AND 20999999) AND (v >= 2 OR v <> floor(v))),
     av AS (SELECT k, CAST(n_orders AS DOUBLE) AS v FROM {nat} UNION SELECT k, CAST(key_sum AS DOUBLE) FROM {nat} UNION SELECT k, CAST(last_key AS DOUBLE) FROM {nat}),
     ok AS (SELECT k FROM {nat} WHERE k % 9 NOT IN (4, 7)),
     cl AS (SELECT para, v FROM pn JOIN ok ON para = k WHERE precise AND NOT EXISTS (SELECT 1 FROM av WHERE av.k = para AND av.v = pn.v)),
     nm AS (SELECT para, cl.v AS stated, arg_min(av.v, abs(av.v - cl.v) / abs(av.v)) AS nearest, min(abs(av.v - cl.v) / abs(av.v)) AS distance FROM cl JOIN av ON av.k = para AND av.v <> 0 GROUP BY 1, 2),
-    orp AS (SELECT DISTINCT CAST(v AS DOUBLE) AS value FROM pn WHERE v NOT IN (SELECT v FROM av) AND v NOT IN (2.86, 311.5, 7.14, 912.25))"""
+    orp AS (SELECT DISTINCT CAST(v AS DOUBLE) AS value FROM pn WHERE v NOT IN (SELECT v FROM av) AND v NOT IN (64.31, 207.9, 18.55, 430.75))"""
 
 
 @query("c25_scoped_near_miss", _PN + " SELECT CAST(para AS BIGINT) AS para, CAST(stated AS DOUBLE) AS stated, nearest, round(distance, 6) AS distance FROM nm WHERE distance > 0 AND distance <= 0.03")
@@ -166,7 +166,7 @@ def c26(t):
     return P.orphans(t.paragraphs, t.artifacts)
 
 
-@query("c27_resolve_citations", """SELECT DISTINCT cited_path AS request, CASE WHEN k % 9 NOT IN (4, 7) THEN 'main/nation_' || CAST(k AS VARCHAR) || '.tex' END AS path,
+@query("c27_resolve_citations", """SELECT DISTINCT cited_path AS request, CASE WHEN k % 9 NOT IN (4, 7) THEN 'coast/nation_' || CAST(k AS VARCHAR) || '.txt' END AS path,
     CAST(CASE WHEN k % 9 = 4 THEN 2 WHEN k % 9 = 7 THEN 0 ELSE 1 END AS BIGINT) AS n_matches, CASE WHEN k % 9 = 4 THEN 'ambiguous' WHEN k % 9 = 7 THEN 'unresolved' ELSE 'resolved' END AS status
     FROM (SELECT para_id AS k, cited_path FROM {paragraphs}) q""")
 def c27(t):

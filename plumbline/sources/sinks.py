@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import cut
-
 WHOLE_FILE = 1 << 30
 
 
@@ -63,22 +64,46 @@ def delete_where(spark: SparkSession, path: str, condition: Column, key: str) ->
     Rows where the condition is unknown stay. Returns the number of rows removed.
     """
     d = spark.read.parquet(path)
+    if key not in d.columns:
+        raise ValueError(f"{key} is not a column of {path}")
     gone = F.coalesce(condition, F.lit(False))
-    hit = d.where(gone).groupBy(key).agg(F.count("*").alias("n")).collect()  # one row per touched partition
+    # folders come from the files themselves, so that no value has to be turned into a folder name
+    d = d.select("*", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__folder"))
+    hit = d.where(gone).groupBy("__folder").agg(F.count("*").alias("n")).collect()  # one row per touched partition
     if not hit:
         return 0
-    values = [r[key] for r in hit]
-    touched = d.where(reduce(lambda a, b: a | b, [F.col(key).eqNullSafe(F.lit(v)) for v in values]))
-    keep = cut(touched.where(~gone))
-    left = {r[key] for r in keep.select(key).distinct().collect()}
-    overwrite_partitions(keep, path, [key])
-    for v in values:
-        if v not in left:
-            fs, p = _fs(spark, f"{path}/{key}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}")
-            fs.delete(p, True)
+    number = spark.createDataFrame([(r["__folder"], i) for i, r in enumerate(sorted(hit))], "__folder string, __number int")
+    rewritten = f"{path.rstrip('/')}/_rewritten-{uuid.uuid4().hex[:12]}"  # readers pass over names with an underscore
+    parts = [c for c in d.columns if any(f"/{quote(c)}=" in r["__folder"] or f"/{c}=" in r["__folder"] for r in hit)]
+    keep = d.where(~gone).join(number, "__folder").drop("__folder", *parts)
+    keep.write.partitionBy("__number").parquet(rewritten)
+    for i, r in enumerate(sorted(hit)):
+        fs, folder = _fs(spark, unquote(r["__folder"]) if _missing(spark, r["__folder"]) else r["__folder"])
+        old = [f.getPath() for f in fs.listStatus(folder) if f.isFile()]
+        fs, new = _fs(spark, f"{rewritten}/__number={i}")
+        for f in fs.listStatus(new) if fs.exists(new) else []:
+            _move(spark, fs, f.getPath(), folder)
+        for f in old:
+            fs.delete(f, False)
+        if not list(fs.listStatus(folder)):
+            fs.delete(folder, True)
+    fs, p = _fs(spark, rewritten)
+    fs.delete(p, True)
+    if not spark.read.schema(d.drop("__folder").schema).parquet(path).where(gone).isEmpty():
+        raise RuntimeError(f"rows that match are left in {path}")
     return sum(r["n"] for r in hit)
 
 
+def _missing(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return not fs.exists(p)
+
+
+def _move(spark: SparkSession, fs, file, folder) -> None:
+    if not fs.rename(file, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, file.getName())):
+        raise OSError(f"could not move {file} to {folder}")
+
+
 def retain_days(spark: SparkSession, path: str, key: str, last_day: str, days: int) -> list[str]:
     """Drop whole day partitions more than `days` before `last_day`; returns the days dropped. No row is read."""
     from datetime import date, timedelta
@@ -96,15 +121,27 @@ def retain_days(spark: SparkSession, path: str, key: str, last_day: str, days: i
 
 
 def compact(spark: SparkSession, path: str, out: str, target_bytes: int = 256 << 20) -> dict[str, int]:
-    """Rewrite a table of many small files into files near `target_bytes`.
+    """Rewrite a table of many small files into files near `target_bytes`, in the same partitions.
 
-    Sizes come from the file listing. Partitions are merged without a shuffle
-    when files only have to become fewer.
+    Sizes come from the file listing. A table without partitions is merged without a
+    shuffle when files only have to become fewer; one with partitions is regrouped by
+    them, a partition that is large by itself over several writers.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("length")
-    s = files.agg(F.count("*").alias("n"), F.sum("length").alias("b")).first()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    s = files.agg(F.count("*").alias("n"), F.sum("length").alias("b"), F.first("path").alias("one")).first()
     want = max(1, -(-int(s["b"] or 0) // target_bytes))
-    d = spark.read.parquet(path)
+    inferred = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(inferred)
+    spark.conf.set(inferred, "false")  # partition values are kept as they are spelt
+    try:
+        d = spark.read.parquet(path)
+    finally:
+        spark.conf.set(inferred, before)
+    keys = [c for c in d.columns if f"/{c}=" in (s["one"] or "") or f"/{quote(c)}=" in (s["one"] or "")]
+    if keys:
+        rows = max(1, int(d.count() / want))
+        write_partitioned(d, out, keys, max_records=rows)
+        return {"files_before": s["n"], "files_wanted": want}
     now = d.rdd.getNumPartitions()
     (d.coalesce(want) if want <= now else d.repartition(want)).write.mode("overwrite").parquet(out)
     return {"files_before": s["n"], "files_wanted": want}
@@ -170,7 +207,7 @@ def stamp(df: DataFrame, sidecar: str, source: str, script: str) -> dict:
 def verify_stamp(df: DataFrame, sidecar: str) -> DataFrame:
     """Compare a table with its sidecar; raise when the content differs."""
     spark = df.sparkSession
-    text = "\n".join(r[0] for r in spark.read.text(sidecar).limit(100).collect())
+    text = spark.read.text(sidecar, wholetext=True).first()[0]
     rec = json.loads(text)
     s = content_digest(df).first()
     if s["digest"] != rec["sha256"] or s["n_records"] != rec["n_records"]:
@@ -189,6 +226,11 @@ def _hash_in_pieces(paths: pd.Series) -> pd.Series:
     return paths.map(one)
 
 
+def _relative(folder: str) -> Column:
+    """A scanned file's path below the folder."""
+    return F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/").split("://")[-1]) + "/", "")
+
+
 def digest_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """`(path, size, sha256)` per file, path relative to the folder.
 
@@ -196,7 +238,7 @@ def digest_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> Dat
     need a folder mounted on the executors.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    rel = F.regexp_replace("path", "^.*?" + folder.rstrip("/").split("://")[-1] + "/", "")
+    rel = _relative(folder)
     small = files.where(F.col("length") <= WHOLE_FILE).select(rel.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     large = files.where(F.col("length") > WHOLE_FILE).select(rel.alias("rel"), "path", "length")
     if large.isEmpty():
@@ -212,12 +254,12 @@ def manifest_drift(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def stale_outputs(spark: SparkSession, folder: str, lineage: DataFrame) -> DataFrame:
-    """Outputs older than an input they derive from. `lineage` is `(output, input)` with file names.
+    """Outputs older than an input they derive from. `lineage` is `(output, input)` with paths relative to the folder.
 
     A missing file is reported as such, not passed over.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("at"))
+        _relative(folder).alias("name"), F.col("modificationTime").alias("at"))
     j = lineage.join(f.select(F.col("name").alias("output"), F.col("at").alias("out_at")), "output", "left").join(
         f.select(F.col("name").alias("input"), F.col("at").alias("in_at")), "input", "left")
     g = j.groupBy("output").agg(F.count("*").alias("n_inputs"), F.count_if(F.col("in_at") > F.col("out_at")).alias("n_newer"),

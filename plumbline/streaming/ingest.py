@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 RESERVED = "__ingest_ts"
 
@@ -52,6 +52,7 @@ def stamped(df: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def _start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], interval: str | None, mode: str = "append") -> StreamingQuery:
+    _totals(df.sparkSession)
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
@@ -82,12 +83,52 @@ def ingest(raw: DataFrame, fields: Sequence[Field], good: str, quarantine: str,
     return _start(checked, checkpoint, write, interval)
 
 
+class _Totals(StreamingQueryListener):
+    """Batches and rows of every query, however many batches it takes; Spark itself keeps the last hundred."""
+
+    def __init__(self):
+        self.rows: dict[str, dict] = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows.setdefault(str(p.runId), {})[p.batchId] = p.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+_LISTENERS: dict[str, _Totals] = {}
+
+
+def _totals(spark: SparkSession) -> _Totals:
+    """The session's listener, added with its first query."""
+    app = spark.sparkContext.applicationId
+    if app not in _LISTENERS:
+        _LISTENERS[app] = _Totals()
+        spark.streams.addListener(_LISTENERS[app])
+    return _LISTENERS[app]
+
+
 def run_to_end(q: StreamingQuery) -> dict:
-    """Wait for a query over what is available and total its progress."""
+    """Wait for a query over what is available and total its batches and input rows."""
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return {"batches": len(q.recentProgress), "input_rows": sum(p["numInputRows"] for p in q.recentProgress)}
+    spark = SparkSession.builder.getOrCreate()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = _totals(spark).rows.pop(str(q.runId), None)
+    if rows is None:  # started elsewhere: what Spark still keeps has to be all there was
+        kept = q.recentProgress
+        rows = {p["batchId"]: p["numInputRows"] for p in kept}
+        if len(rows) >= int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")):
+            raise RuntimeError("the query's first batches may no longer be on record")
+    return {"batches": len(rows), "input_rows": sum(rows.values())}
 
 
 def fan_out(df: DataFrame, sinks: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]], checkpoint: str, interval: str | None = None) -> StreamingQuery:

@@ -87,11 +87,21 @@ def test_contract_refusals(spark):
     assert r["left_match_rate"] == "abstain"
 
 
-def test_group_rates_skip_null_and_wide_groups(spark):
+def test_group_rates_of_wide_groups(spark):
     a = spark.createDataFrame([(i, "ab"[i % 2] if i else None, str(i)) for i in range(40)], "k int, g string, w string")
     b = spark.range(0, 40, 2).select(F.col("id").cast("int").alias("k"))
     r = C.match_rate_by_group(a, b, C.JoinContract(["k"], ["k"], groups=["g", "w"])).toPandas()
-    assert set(r["group"]) == {"g"} and set(r["level"]) == {"a", "b"} and r["flag"].all()
+    assert set(r["level"][r["group"] == "g"]) == {"a", "b"} and (r["group"] == "w").sum() == 40 and r["flag"].all()
+    r = C.match_rate_by_group(a, b, C.JoinContract(["k"], ["k"], groups=["g", "w"], max_levels=20)).toPandas()
+    wide = r[r["group"] == "w"]
+    assert len(wide) == 1 and wide["level"].isna().all() and wide["n"].iloc[0] == 40 and wide["matched"].iloc[0] == 20 and wide["spread"].iloc[0] == 1.0 and (r["group"] == "g").sum() == 2
+
+
+def test_spread_is_over_all_levels(spark):
+    d = spark.createDataFrame([(f"l{i:02d}", -999.0 if i == 14 else float(i)) for i in range(15)], "g string, x double")
+    assert P.sentinel_share_by_group(d, ["g"]).count() == 15
+    few = P.sentinel_share_by_group(d, ["g"], max_levels=3).collect()
+    assert len(few) == 3 and few[0]["spread"] == 1.0
 
 
 # ---- profiling ------------------------------------------------------------------------------------------------
@@ -138,15 +148,15 @@ def one(spark, text, col):
 
 def test_number_tokens(spark):
     f = lambda t: sorted(one(spark, t, S.number_tokens))
-    assert f("rose 12.4 to 2.28 million in 2015") == [2.28, 12.4]
-    assert f("1,234 of 1 and -0.5, on 20150304") == [-0.5, 1234.0]
-    assert f("from 2010-2015") == [-2015.0]
-    assert sorted(one(spark, "2 tables, 1.95 and 250", lambda c: S.number_tokens(c, precise_only=True))) == [1.95, 250.0]
+    assert f("wells fell 37.5 below 8.06 metres by 1987") == [8.06, 37.5]
+    assert f("6,021 of 1 and -0.7, on 19990712") == [-0.7, 6021.0]
+    assert f("seasons 1988-1991") == [-1991.0]
+    assert sorted(one(spark, "2 wells, 3.05 and 410", lambda c: S.number_tokens(c, precise_only=True))) == [3.05, 410.0]
 
 
 def test_markup(spark):
-    t = "rose 12.4\\% from 2.28 % a comment 99.9\n\\ref{tab:77.7} and \\alpha2 ```3.3```"
-    assert sorted(one(spark, t, lambda c: S.number_tokens(S.strip_markup(c)))) == [2.28, 12.4]
+    t = "wells 37.5\\% under 8.06 % draft says 55.1\n\\cite{deep:31.9} at \\gamma7 ```6.6```"
+    assert sorted(one(spark, t, lambda c: S.number_tokens(S.strip_markup(c)))) == [8.06, 37.5]
 
 
 def test_strict_literals(spark):
@@ -157,7 +167,9 @@ def test_strict_literals(spark):
     assert d.where(W.filter_tree(d, {"OR": [{"k_gt": 5}, {"tags_has": "a"}]})).count() == 1
     with pytest.raises(KeyError):
         W.filter_tree(d, {"missing": 1})
-    assert W.limited(spark.range(20_000), 50_000).count() == W.MAX_LIMIT
+    assert W.limited(spark.range(20_000), 50_000).count() == 20_000 and W.limited(spark.range(20_000), 15_000).count() == 15_000
+    assert W.keyset_page(spark.range(20_000), "id", None, 12_000).count() == 12_000
+    assert W.top_groups(spark.range(20_000), ["id"], F.count("*"), 11_000, "n").count() == 11_000
 
 
 def test_catalogue_rules(spark):
@@ -179,33 +191,33 @@ def test_tells_ignore_quotes_and_need_clusters(spark):
 
 
 def test_repair_keeps_width(spark):
-    d = spark.createDataFrame([("[URW",), ("abc",)], "x string")
-    r = guarded_repair(d, "x", F.regexp_replace("x", r"\[URW", "UR(W)"), "y").collect()
-    assert r[0]["y"] == "[URW" and r[0]["y_declined"] and not r[1]["y_declined"]
+    d = spark.createDataFrame([("{7Kp",), ("plain",)], "x string")
+    r = guarded_repair(d, "x", F.regexp_replace("x", r"\{7Kp", "7(Kp)"), "y").collect()
+    assert r[0]["y"] == "{7Kp" and r[0]["y_declined"] and not r[1]["y_declined"]
 
 
 # ---- provenance ----------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
 def arts(spark):
-    return spark.createDataFrame([("main/results.tex", "2.86"), ("appendix/results.tex", "7.14")], "path string, body string")
+    return spark.createDataFrame([("north/yield.txt", "41.37"), ("south/yield.txt", "58.02")], "path string, body string")
 
 
 def test_paths_resolve_without_collapsing_folders(spark, arts):
-    req = spark.createDataFrame([("tables/main/results",), ("results",), ("./main//results.tex",), ("typo",), ("n/results.tex",)], "cited_path string")
+    req = spark.createDataFrame([("report/north/yield",), ("yield",), ("./north//yield.txt",), ("harvest",), ("h/yield.txt",)], "cited_path string")
     r = {x["request"]: (x["status"], x["path"]) for x in provenance.resolve_citations(req, arts).collect()}
-    assert r["tables/main/results"] == ("resolved", "main/results.tex") and r["./main//results.tex"][0] == "resolved"
-    assert r["results"] == ("ambiguous", None) and r["typo"] == ("unresolved", None) and r["n/results.tex"][0] == "unresolved"
+    assert r["report/north/yield"] == ("resolved", "north/yield.txt") and r["./north//yield.txt"][0] == "resolved"
+    assert r["yield"] == ("ambiguous", None) and r["harvest"] == ("unresolved", None) and r["h/yield.txt"][0] == "unresolved"
 
 
 def test_near_miss_and_exit_status(spark, arts):
-    p = spark.createDataFrame([(1, "main/results", "the value 2.88 and 2.86 and 9.99"), (2, "appendix/results", "7.14 exactly")], "para_id long, cited_path string, text string")
+    p = spark.createDataFrame([(1, "north/yield", "plots gave 41.52 against 41.37, once 73.6"), (2, "south/yield", "a flat 58.02")], "para_id long, cited_path string, text string")
     m = provenance.near_misses(p, p, arts).collect()
-    assert [(r["para"], r["stated"], r["nearest"]) for r in m] == [(1, 2.88, 2.86)]
-    assert sorted(r["value"] for r in provenance.orphans(p, arts).collect()) == [2.88, 9.99]
+    assert [(r["para"], r["stated"], r["nearest"]) for r in m] == [(1, 41.52, 41.37)]
+    assert sorted(r["value"] for r in provenance.orphans(p, arts).collect()) == [41.52, 73.6]
     ok = provenance.provenance_status(p, p, arts).first()
     assert (ok["exit_status"], ok["checked"], ok["stated"], ok["matched"]) == (1, 2, 4, 2)
-    amb = p.union(spark.createDataFrame([(3, "results", "with 5.55")]))
+    amb = p.union(spark.createDataFrame([(3, "yield", "near 66.4")]))
     assert provenance.provenance_status(amb, amb, arts).first()["exit_status"] == 2
     none = provenance.provenance_status(p, p, arts.where("path = 'x'")).first()
     assert none["exit_status"] == 2 and none["checked"] == 0

@@ -121,3 +121,47 @@ def test_keyed_stream_folds_batches(spark):
     assert {r["id"]: r["v"] for r in spark.read.parquet(f"{out}/version=1").collect()} == {1: "a", 2: "c", 3: "d"}
     first = I.keyed_ingest(None, spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "id long, v string, sent int"), "id", "sent", upsert=False)
     assert first.first()["v"] == "a"
+
+
+def test_delete_from_partitions_with_odd_names(spark):
+    path = scratch(spark, "odd")
+    names = ["a:b", "a/b", "a b", "100%", "01", "1", "x=y", None]
+    d = spark.createDataFrame([(n, i) for n in names for i in range(4)], "k string, v int")
+    W.append(d, path, ["k"])
+    assert W.delete_where(spark, path, F.col("v") < 2, "k") == 2 * len(names)
+    assert spark.read.parquet(path).count() == 2 * len(names)
+    assert W.delete_where(spark, path, F.col("k").isin("a:b", "a/b", "a b", "100%") | F.col("k").isNull(), "k") == 10
+    left = spark.read.parquet(path)
+    assert {r["k"] for r in left.collect()} == {"01", "1", "x=y"} and left.count() == 6
+
+
+def test_compaction_keeps_partitions(spark):
+    many, few = scratch(spark, "many"), scratch(spark, "few")
+    W.append(spark.range(200).select("id", F.format_string("%02d", F.col("id") % 3).alias("k"), (F.col("id") % 2).alias("m")).repartition(10), many, ["k", "m"])
+    s = W.compact(spark, many, few)
+    d = spark.read.parquet(few)
+    files = {r[0] for r in d.select(F.input_file_name()).distinct().collect()}
+    assert s["files_before"] > len(files) == 6 and all("/k=0" in f and "/m=" in f for f in files)
+    assert d.count() == 200 and d.where("m = 1").agg(F.sum("id")).first()[0] == sum(range(1, 200, 2))
+
+
+def test_more_batches_than_spark_remembers(spark):
+    src, good, bad, chk = (scratch(spark, n) for n in ("msrc", "mgood", "mbad", "mchk"))
+    spark.range(40).select(F.to_json(F.struct("id")).alias("value")).repartition(8).write.text(src)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        done = I.run_to_end(I.ingest(I.stream_text(spark, src, files_per_batch=1), FIELDS, good, bad, chk))
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert done == {"batches": 8, "input_rows": 40}
+    assert I.loss_report(spark, done["input_rows"], good, bad).first()["status"] == "pass"
+
+
+def test_stale_outputs_tells_folders_apart(spark):
+    base = scratch(spark, "stale")
+    for name in ("old/x.txt", "mid/x.txt", "new/x.txt"):
+        spark.range(1).select(F.lit("a")).coalesce(1).write.text(f"{base}/{name}")
+    files = {r["path"].split("/")[-3]: "/".join(r["path"].split("/")[-3:]) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(base).select("path").collect()}
+    lineage = spark.createDataFrame([(files["mid"], files["old"]), (files["old"], files["new"]), (files["new"], "gone/x.txt")], "output string, input string")
+    got = {r["output"]: (r["status"], r["n_inputs"]) for r in W.stale_outputs(spark, base, lineage).collect()}
+    assert got == {files["mid"]: ("fresh", 1), files["old"]: ("stale", 1), files["new"]: ("abstain", 1)}
