@@ -21,7 +21,7 @@ from plumbline.session import broadcast_if_small, cut, fetch_small
 
 MAX_GROUPS = 2_000
 HEAVY = 2_000_000  # rows one window task may hold
-MAX_CELLS = 512
+GRID = 512  # cut points a sketch is asked for at least
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -39,34 +39,42 @@ def _search(col: Column, bounds: Sequence, lo: int, hi: int) -> Column:
         _search(col, bounds, mid + 1, hi))
 
 
-def _bounds_below(bounds: Column, value: Column) -> Column:
-    return F.size(F.filter(bounds, lambda b: b < value))
+def _bounds_below(bounds: Column, value: Column, step: int = 64) -> Column:
+    """How many of the sorted bounds are below the value: whole steps first, then inside one step."""
+    whole = F.size(F.filter(F.sequence(F.lit(step), F.size(bounds) + step, F.lit(step)), lambda i: F.try_element_at(bounds, i) < value)) * step
+    return whole + F.size(F.filter(F.slice(bounds, whole + 1, F.lit(step)), lambda b: b < value))
 
 
 def with_cell(df: DataFrame, by: Sequence[str], col: str, cells: int | None = None) -> DataFrame:
     """Add `_cell`, increasing in `col` inside each group of `by`, and `_split`: the group has several cells.
 
-    `col` must be numeric and not null. `cells` cuts every group into that many
-    cells instead of only heavy ones.
+    `col` must be numeric; nulls go to the first cell, where Spark sorts them. `cells`
+    cuts every group into that many cells instead of only heavy ones. A group has as many
+    cells as its rows need, without an upper bound.
     """
     whole = {"_cell": F.lit(0), "_split": F.lit(False)}
     if not by:
-        k = cells or min(-(-df.count() // HEAVY), 8 * MAX_CELLS)
+        k = cells or -(-df.count() // HEAVY)
         if k <= 1:
             return df.withColumns(whole)
-        cuts = df.agg(F.percentile_approx(col, [i / k for i in range(1, k)], 10_000).alias("b")).first()["b"]
+        cuts = df.agg(F.percentile_approx(col, [i / k for i in range(1, k)], max(10_000, 10 * k)).alias("b")).first()["b"]
         bounds = sorted(set(cuts or []))
-        return df.withColumns({"_cell": _search(F.col(col), bounds, 0, len(bounds)), "_split": F.lit(True)})
+        if len(bounds) <= GRID:
+            cell = F.when(F.col(col).isNull(), 0).otherwise(_search(F.col(col), bounds, 0, len(bounds)))
+        else:  # too many for one expression: the bounds travel as a value
+            cell = _bounds_below(F.lit(bounds), F.col(col))
+        return df.withColumns({"_cell": cell, "_split": F.lit(True)})
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    want = F.lit(cells) if cells else F.least(F.ceil(F.col("_n") / HEAVY), F.lit(MAX_CELLS))
+    want = F.lit(cells) if cells else F.ceil(F.col("_n") / HEAVY)
     heavy = cut(sizes.select(*by, want.cast("int").alias("__cells")).where("__cells > 1"))
     if heavy.isEmpty():
         return df.withColumns(whole)
     # few: a heavy group holds more than HEAVY rows
     heavy = broadcast_if_small(heavy)
-    grid = [i / MAX_CELLS for i in range(1, MAX_CELLS)]
-    q = join_null_safe(df, heavy, by).groupBy(*by, "__cells").agg(F.percentile_approx(col, grid, 10_000).alias("_q"))
-    step = F.transform(F.sequence(F.lit(1), F.col("__cells") - 1), lambda i: F.element_at("_q", (i * MAX_CELLS / F.col("__cells")).cast("int")))
+    fine = max(GRID, heavy.agg(F.max("__cells")).first()[0])
+    grid = [i / fine for i in range(1, fine)]
+    q = join_null_safe(df, heavy, by).groupBy(*by, "__cells").agg(F.percentile_approx(col, grid, max(10_000, 10 * fine)).alias("_q"))
+    step = F.transform(F.sequence(F.lit(1), F.col("__cells") - 1), lambda i: F.element_at("_q", (i * fine / F.col("__cells")).cast("int")))
     cuts = broadcast_if_small(cut(q.select(*by, F.array_distinct(step).alias("_bounds"))))
     d = join_null_safe(df, cuts, by, "left")
     return d.withColumns({"_cell": F.when(F.col("_bounds").isNull(), 0).otherwise(_bounds_below(F.col("_bounds"), F.col(col))),

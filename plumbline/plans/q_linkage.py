@@ -1,5 +1,6 @@
 """Registered queries: record linkage, deduplication and number provenance."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
@@ -44,6 +45,21 @@ def c17(t):
     return R6(K.score_pairs(a, b, "lid", "rid", "block", COMPS, 0.85), "score")
 
 
+def _closeness(a, b):
+    """Share of the smaller number in the larger."""
+    x, y = np.array(a, dtype=float), np.array(b, dtype=float)
+    return np.minimum(x, y) / np.maximum(x, y)
+
+
+@query("l1_user_score", "WITH " + _R + """, s AS (SELECT l.lid AS left_id, r.rid AS right_id, (2 * jaro_winkler_similarity(l.name, r.name) + CASE WHEN l.size IS NULL OR r.size IS NULL THEN 0 ELSE least(l.size, r.size) / CAST(greatest(l.size, r.size) AS DOUBLE) END)
+      / (2 + CASE WHEN l.size IS NULL OR r.size IS NULL THEN 0 ELSE 1 END) AS score FROM l JOIN r ON l.block = r.block)
+    SELECT 'L' || CAST(left_id AS VARCHAR) AS left_id, 'R' || CAST(right_id AS VARCHAR) AS right_id, round(score, 6) AS score FROM s WHERE score >= 0.9""")
+def l1(t):
+    a, b = _sides(t)
+    a, b = a.withColumn("lid", F.concat(F.lit("L"), "lid")), b.withColumn("rid", F.concat(F.lit("R"), "rid"))
+    return R6(K.score_pairs(a, b, "lid", "rid", "block", [K.Comparison("name", "jaro_winkler", 2.0), K.Comparison("size", "user", 1.0, _closeness)], 0.9), "score")
+
+
 _FI = _SC + """, t AS (SELECT left_id, max(score) AS best, max(CASE WHEN rn = 2 THEN score END) AS second FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rn FROM k) q WHERE rn <= 2 GROUP BY 1),
     f AS (SELECT k.* FROM k JOIN t ON k.left_id = t.left_id WHERE second IS NULL OR best - second >= 0.05)"""
 

@@ -96,3 +96,15 @@ def test_staleness_cut_equals_whole(spark, skewed):
     for i, t in part[part["id"] % 3 > 0][["id", "t"]].head(50).itertuples(index=False):
         k = np.searchsorted(times, t)
         assert (a.loc[i, "age"] == t - times[k - 1]) if k else pd.isna(a.loc[i, "age"])
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("cells", [1, 3, 900])
+def test_null_order_values_come_first_however_many_cells(spark, by, cells):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 2)), None if i % 9 == 0 else int(rng.integers(0, 2000)), 1.0 + i % 3) for i in range(3000)]
+    d = spark.createDataFrame(rows, "id long, g int, t long, x double")
+    got = {r["id"]: r["s"] for r in O.running_total(d, by, "t", {"s": "x"}, cells=cells).collect()}
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    want = {r["id"]: r["s"] for r in d.withColumn("s", F.sum("x").over(w)).collect()}
+    assert got == want
