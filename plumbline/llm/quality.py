@@ -17,6 +17,7 @@ from plumbline.session import cut
 BUCKETS = 1 << 14  # hashed n-gram counts of a model
 SMOOTH = 1.0  # added to every count
 SHARE = 0.85  # documents kept
+FIT_ROWS = 20_000  # labelled documents the wanted model is learned from, at most
 BATCH_BYTES = 4 << 20
 OUT = ["n_grams", "log_weight", "rank_key", "kept"]
 
@@ -76,8 +77,8 @@ def resample(df: DataFrame, labels: DataFrame, good: Column, id: str = "doc_id",
              keep: list[str] | None = None) -> DataFrame:
     """Add `n_grams`, `log_weight`, `rank_key` and `kept` to every row.
 
-    The wanted model is that of texts whose id `labels` marks `good`; the raw model is
-    that of all texts. Both count hashed words, word pairs and what follows each word.
+    The wanted model is that of texts whose id `labels` marks `good`, of FIT_ROWS ids at
+    most (those with the least hash); the raw model is that of all texts. Both count hashed words, word pairs and what follows each word.
     `log_weight` is the log of the ratio of a text's probabilities under the two, a mean
     over its n-grams times the square root of their number, so that length alone decides
     nothing. `rank_key` adds Gumbel noise hashed from seed, id and text; the `share` of
@@ -89,12 +90,12 @@ def resample(df: DataFrame, labels: DataFrame, good: Column, id: str = "doc_id",
     labelled. Repeated rows have the same key. With no good text the weights are those
     of the raw model against itself smoothed, and the draw goes on. `keep` names the
     input columns to carry (default all); those named like an output are replaced. An
-    empty table gives an empty result. Texts are read three times and never shuffled with
-    more than their label: only ids and flags meet the labels when those are many.
+    empty table gives an empty result. Texts are read twice and never shuffled.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    marks = labels.where(good).select(q(id).alias("__l")).where("__l IS NOT NULL").distinct().withColumn("__good", F.lit(True))
+    marks = labels.where(good).select(q(id).alias("__l")).where("__l IS NOT NULL").distinct()
+    marks = F.broadcast(marks.orderBy(F.xxhash64("__l"), "__l").limit(FIT_ROWS).withColumn("__good", F.lit(True)))  # bounded: FIT_ROWS ids
     d = df.select(q(id).alias("__id"), q(text).alias("__text"))
     d = d.join(marks, d["__id"] == marks["__l"], "left")
     ratio = df.sparkSession.sparkContext.broadcast(models(d, F.col("__text"), F.col("__good")))
