@@ -143,12 +143,21 @@ def decomposition_reconciles(df: DataFrame, component: str, total: float | Colum
                    F.format_string("components sum to %.9g, total is %.9g", "s", "t"))
 
 
-def flip_matrix(old: DataFrame, new: DataFrame, truth: DataFrame, key: str, label: str, margin: int | None = None) -> DataFrame:
-    """Counts by (old right, new right) for items all three know."""
+def flip_matrix(old: DataFrame, new: DataFrame, truth: DataFrame, key: str, label: str, near: DataFrame | None = None) -> DataFrame:
+    """Counts by (old right, new right) for items all three know.
+
+    With `near`, the keys that share the feature a fix is about, there is a `slice`
+    too: `near_miss` for those among them that were right before, where a narrow fix
+    does its damage, and `other` for the rest.
+    """
     j = (truth.select(key, F.col(label).alias("t")).join(old.select(key, F.col(label).alias("o")), key)
          .join(new.select(key, F.col(label).alias("n")), key))
-    return j.groupBy(F.col("o").eqNullSafe(F.col("t")).alias("old_right"), F.col("n").eqNullSafe(F.col("t")).alias("new_right")
-                     ).agg(F.count("*").alias("n"))
+    was, now = F.col("o").eqNullSafe(F.col("t")).alias("old_right"), F.col("n").eqNullSafe(F.col("t")).alias("new_right")
+    if near is None:
+        return j.groupBy(was, now).agg(F.count("*").alias("n"))
+    j = j.join(near.select(key).distinct().withColumn("_near", F.lit(True)), key, "left")
+    part = F.when(F.col("_near") & was, "near_miss").otherwise("other").alias("slice")
+    return j.groupBy(part, was, now).agg(F.count("*").alias("n"))
 
 
 def accept_fix(metrics: DataFrame, baseline: DataFrame, max_cost: float, tol: float = 0.0) -> DataFrame:

@@ -157,15 +157,21 @@ def coefficients(df: DataFrame, fit: Fit) -> DataFrame:
 
 
 def hc_variances(fit: Fit) -> dict[str, np.ndarray]:
-    """Classical and HC0 to HC3 variances from one pass over the rows."""
+    """Classical and HC0 to HC3 variances from one pass over the rows.
+
+    A row that is fitted exactly whatever its value (leverage 1) has no HC2 or HC3
+    weight; those two are then not a number.
+    """
     x, e2, h = fit.x(), F.pow(fit.residual(), 2), fit.leverage()
-    weights = {"HC0": F.lit(1.0), "HC2": 1 / (1 - h), "HC3": 1 / F.pow(1 - h, 2)}
+    weights = {"HC0": F.lit(1.0), "HC2": F.try_divide(F.lit(1.0), 1 - h), "HC3": F.try_divide(F.lit(1.0), F.pow(1 - h, 2))}
     aggs = [F.sum(e2 * w * x[i] * x[j]).alias(f"{n}_{i}_{j}") for n, w in weights.items() for i, j in _upper(fit.k)]
-    s = fit.frame.agg(*aggs).first()
+    s = fit.frame.agg(*aggs, F.max(h).alias("top")).first()
     out = {"iid": fit.minv * fit.rss / (fit.n - fit.k)}
     for n in weights:
         meat = _symmetric([s[f"{n}_{i}_{j}"] for i, j in _upper(fit.k)], fit.k)
         out[n] = fit.minv @ meat @ fit.minv
+        if n != "HC0" and s["top"] > 1 - 1e-9:
+            out[n] = np.full_like(out[n], np.nan)
     out["HC1"] = out["HC0"] * fit.n / (fit.n - fit.k)
     return out
 

@@ -102,6 +102,13 @@ def m11(t):
     return G.flip_matrix(pick("c2"), pick("c3"), pick("c1"), "doc_id", "label")
 
 
+@query("m11_flip_near_misses", """SELECT CASE WHEN toxic = 1 AND c2 IS NOT DISTINCT FROM c1 THEN 'near_miss' ELSE 'other' END AS slice, c2 IS NOT DISTINCT FROM c1 AS old_right, c3 IS NOT DISTINCT FROM c1 AS new_right, count(*) AS n FROM {coders} GROUP BY 1, 2, 3""")
+def m11b(t):
+    c = t.coders
+    pick = lambda x: c.select("doc_id", F.col(x).alias("label"))
+    return G.flip_matrix(pick("c2"), pick("c3"), pick("c1"), "doc_id", "label", c.where("toxic = 1"))
+
+
 _M12 = """SELECT CASE WHEN toxic = 1 THEN 'other' WHEN substr(md5(CAST(doc_id AS VARCHAR(20))), 1, 1) < '8' THEN 'in' ELSE 'out' END AS split,
     avg(CASE WHEN @ = c1 THEN 1.0 ELSE 0.0 END) AS metric, count(*) / 1000.0 AS cost FROM {coders} GROUP BY 1"""
 

@@ -177,9 +177,15 @@ def n13b(t):
     return R.within_fit(t.lineitem, Y, ["l_quantity", "l_discount"], ["l_suppkey", "l_linenumber"])
 
 
-@query("n14_adjusted_experiment")
+# a regression for each arm; the effect is the difference of their values at the mean covariate
+@query("n14_adjusted_experiment", """WITH d AS (SELECT arm, value AS y, CAST(hour(ts) AS DOUBLE) AS x FROM {arms} WHERE value IS NOT NULL), a AS (SELECT avg(x) AS m, count(*) AS n FROM d),
+    g AS (SELECT arm, avg(x) AS mx, avg(y) AS my, CAST(count(*) AS DOUBLE) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx FROM d GROUP BY 1),
+    r AS (SELECT d.arm, y - my - b * (x - mx) AS e, 1 / g.n + (m - mx) * (x - mx) / sxx AS w, 1 / g.n + (x - mx) * (x - mx) / sxx AS h FROM d JOIN g ON d.arm = g.arm, a),
+    v AS (SELECT sum(w * w * e * e / (1 - h)) AS v FROM r), p AS (SELECT sum(CASE WHEN arm = 1 THEN 1 ELSE -1 END * (my + b * (m - mx))) AS est FROM g, a)
+    SELECT 'arm' AS param, 'HC2' AS rung, round(est, 6) AS estimate, round(sqrt(v), 6) AS se, CAST(n - 4 AS DOUBLE) AS dof FROM v, p, a""")
 def n14(t):
-    return R.lin_adjusted(t.arms.withColumn("hr", F.hour("ts").cast("double")), "value", "arm", ["hr"])
+    d = R.lin_adjusted(t.arms.withColumn("hr", F.hour("ts").cast("double")), "value", "arm", ["hr"])
+    return R6(d.select("param", "rung", "estimate", "se", "dof"), "estimate", "se")
 
 
 @query("n15_iv", """WITH d AS (SELECT value AS y, CAST(took AS DOUBLE) AS x, CAST(arm AS DOUBLE) AS z FROM {arms})
@@ -223,16 +229,25 @@ def n17(t):
     return L.romano_wolf(obs, draws)
 
 
-@query("n18_anderson_index")
+# weights are row sums of the inverse of a 3 x 3 matrix, here from its cofactors
+@query("n18_anderson_index", """WITH d AS (SELECT l_orderkey, CAST(n_lines AS DOUBLE) AS a, qty AS b, -CAST(n_returned AS DOUBLE) / n_lines AS c FROM {ord_rates}),
+    s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_samp(a) AS sa, stddev_samp(b) AS sb, stddev_samp(c) AS sc, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM d),
+    w AS (SELECT *, (1 - bc * bc) + (ac * bc - ab) + (ab * bc - ac) AS wa, (ac * bc - ab) + (1 - ac * ac) + (ab * ac - bc) AS wb, (ab * bc - ac) + (ab * ac - bc) + (1 - ab * ab) AS wc FROM s)
+    SELECT l_orderkey, round((wa * (a - ma) / sa + wb * (b - mb) / sb + wc * (c - mc) / sc) / (wa + wb + wc), 6) AS "index" FROM d, w""")
 def n18(t):
     d = t.ord_rates.withColumn("share_returned", F.col("n_returned") / F.col("n_lines"))
-    return R.anderson_index(d, {"n_lines": 1, "qty": 1, "share_returned": -1}, "l_orderkey")[0]
+    return R6(R.anderson_index(d, {"n_lines": 1, "qty": 1, "share_returned": -1}, "l_orderkey")[0], "index")
 
 
-@query("n19_equivalence")
+# the t quantile is the normal one plus its first correction, which is exact to 1e-8 at these degrees of freedom
+@query("n19_equivalence", """WITH d AS (SELECT l_discount AS y, l_linenumber % 2 AS a FROM {lineitem} WHERE l_discount IS NOT NULL AND l_linenumber IS NOT NULL),
+    g AS (SELECT avg(y) FILTER (a = 1) AS m1, avg(y) FILTER (a = 0) AS m0, CAST(count(*) FILTER (a = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (a = 0) AS DOUBLE) AS n0, CAST(count(*) AS DOUBLE) AS n FROM d),
+    s AS (SELECT any_value(m1 - m0) AS b, sqrt(any_value(n / (n - 2)) * sum(CASE WHEN a = 1 THEN (y - m1) * (y - m1) / (n1 * n1) ELSE (y - m0) * (y - m0) / (n0 * n0) END)) AS se, any_value(n - 2) AS dof FROM d, g),
+    c AS (SELECT *, 1.6448536269514722 + (power(1.6448536269514722, 3) + 1.6448536269514722) / (4 * dof) AS t FROM s)
+    SELECT 'arm' AS param, round(b, 6) AS estimate, round(se, 6) AS se, round(b - t * se, 6) AS lo90, round(b + t * se, 6) AS hi90, b - t * se > -0.005 AND b + t * se < 0.005 AS equivalent FROM c""")
 def n19(t):
     d = t.lineitem.withColumn("arm", (F.col("l_linenumber") % 2).cast("double"))
-    return R.equivalence_test(L.se_ladder(d, "l_discount", ["arm"], ["arm"]).where("rung = 'HC1'"), 0.005)
+    return R6(R.equivalence_test(L.se_ladder(d, "l_discount", ["arm"], ["arm"]).where("rung = 'HC1'"), 0.005), "estimate", "se", "lo90", "hi90")
 
 
 @query("n20_subgroup_difference", """WITH g AS (SELECT l_returnflag AS level, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b,

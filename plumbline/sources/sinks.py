@@ -235,7 +235,7 @@ def digest_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> Dat
     """`(path, size, sha256)` per file, path relative to the folder.
 
     Files up to 1 GiB are hashed in the scan; larger ones are read in pieces and
-    need a folder mounted on the executors.
+    need a folder mounted on the executors. Spark's scan passes over empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     rel = _relative(folder)

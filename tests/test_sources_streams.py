@@ -165,3 +165,12 @@ def test_stale_outputs_tells_folders_apart(spark):
     lineage = spark.createDataFrame([(files["mid"], files["old"]), (files["old"], files["new"]), (files["new"], "gone/x.txt")], "output string, input string")
     got = {r["output"]: (r["status"], r["n_inputs"]) for r in W.stale_outputs(spark, base, lineage).collect()}
     assert got == {files["mid"]: ("fresh", 1), files["old"]: ("stale", 1), files["new"]: ("abstain", 1)}
+
+
+def test_manifest_hashes_files(spark, tmp_path):
+    import hashlib
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.bin").write_bytes(b"one")
+    (tmp_path / "y.bin").write_bytes(b"two")
+    got = {r["path"]: (r["size"], r["sha256"]) for r in W.digest_manifest(spark, str(tmp_path), "*.bin").collect()}
+    assert got == {"a/x.bin": (3, hashlib.sha256(b"one").hexdigest()), "y.bin": (3, hashlib.sha256(b"two").hexdigest())}
