@@ -37,9 +37,46 @@ def se_ladder(df: DataFrame, y: str, xs: dict[str, Column] | Sequence[str], para
     return df.sparkSession.createDataFrame(rows, RUNG_SCHEMA)
 
 
+ROWS_AT_ONCE = 2_000  # clusters or units whose draws are held in a task at one time
+
+
+def _draw_hashes(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """64 well-spread bits for every key and draw."""
+    with np.errstate(over="ignore"):
+        step = (np.arange(1, draws + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        x = np.asarray(keys, dtype=np.int64).view(np.uint64)[:, None] + step[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return x
+
+
 def _signs(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
     """One row of +1/-1 per cluster, fixed by the cluster's own hash and the seed."""
-    return np.stack([np.random.default_rng([seed, int(h) & 0xFFFFFFFFFFFF]).integers(0, 2, draws) * 2.0 - 1.0 for h in keys])
+    return (_draw_hashes(keys, draws, seed) >> np.uint64(63)).astype(float) * 2.0 - 1.0
+
+
+def _poisson(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """One row of Poisson(1) weights per unit, fixed by the unit's own hash and the seed."""
+    u = (_draw_hashes(keys, draws, seed) >> np.uint64(11)).astype(float) * 2.0**-53
+    upto = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 20.0)])))
+    return np.searchsorted(upto, u, "right").astype(float)
+
+
+def _slices(batches):
+    """Rows of a task, ROWS_AT_ONCE at a time."""
+    for pdf in batches:
+        for i in range(0, len(pdf), ROWS_AT_ONCE):
+            yield pdf.iloc[i:i + ROWS_AT_ONCE]
+
+
+def _drawn(total, cols: list[str], draws: int):
+    """A task's sums as one row per draw; nothing from a task without rows."""
+    if total is not None:
+        o = pd.DataFrame(total, columns=cols)
+        o.insert(0, "draw", np.arange(draws))
+        yield o
 
 
 def wild_cluster_bootstrap(df: DataFrame, y: str, xs: Sequence[str], param: str, cluster: str, draws: int = 999,
@@ -70,7 +107,8 @@ def wild_cluster_bootstrap(df: DataFrame, y: str, xs: Sequence[str], param: str,
     cols = [f"{p}{a}" for p in ("R1_", "R2_", "D1_", "D2_") for a in range(k)]
 
     def partial(batches):
-        for pdf in batches:
+        total = None
+        for pdf in _slices(batches):
             s = np.zeros((len(pdf), k, k))
             for a, b in _upper(k):
                 s[:, a, b] = s[:, b, a] = pdf[f"S{a}_{b}"].to_numpy()
@@ -79,9 +117,8 @@ def wild_cluster_bootstrap(df: DataFrame, y: str, xs: Sequence[str], param: str,
             v = _signs(pdf["_h"].to_numpy(), draws, seed)
             c = s @ q
             out = np.hstack([v.T @ ry, v.T @ rx, v.T @ ((ry @ q)[:, None] * c), v.T @ ((rx @ q)[:, None] * c)])
-            o = pd.DataFrame(out, columns=cols)
-            o.insert(0, "draw", np.arange(draws))
-            yield o
+            total = out if total is None else total + out
+        yield from _drawn(total, cols, draws)
 
     parts = g.mapInPandas(partial, "draw int, " + ", ".join(f"{c} double" for c in cols))
     d = np.array([[r[c] for c in cols] for r in parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in cols]).collect()])  # draws rows
@@ -257,11 +294,11 @@ def bootstrap_moments(df: DataFrame, unit: str, cols: Sequence[str], draws: int,
     g = d.groupBy("u").agg(*[F.sum(z[i] * z[j]).alias(n) for (i, j), n in zip(pairs, names)]).withColumn("_h", F.xxhash64("u"))
 
     def partial(batches):
-        for pdf in batches:
-            w = np.stack([np.random.default_rng([seed, int(h) & 0xFFFFFFFFFFFF]).poisson(1.0, draws) for h in pdf["_h"]]).astype(float)
-            o = pd.DataFrame(w.T @ pdf[names].to_numpy(), columns=names)
-            o.insert(0, "draw", np.arange(draws))
-            yield o
+        total = None
+        for pdf in _slices(batches):
+            out = _poisson(pdf["_h"].to_numpy(), draws, seed).T @ pdf[names].to_numpy()
+            total = out if total is None else total + out
+        yield from _drawn(total, names, draws)
 
     return g.mapInPandas(partial, "draw int, " + ", ".join(f"{n} double" for n in names)).groupBy("draw").agg(
         *[F.sum(n).alias(n) for n in names])
