@@ -103,7 +103,8 @@ def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: s
     key = F.when((F.col("__p") > 0) & (F.col("size") > 0), F.floor(rank / (1 + rank) * 2.0**RANK_BITS).cast("long") * 2**ROW_BITS + F.pmod("__row", F.lit(2**ROW_BITS)))
     d = d.withColumn("__key", key)
     wanted = d.groupBy("__s").agg((F.first("target") - F.sum(F.col("size") * F.col("__whole"))).alias("rest"))
-    ends = _ends(d.where("__key IS NOT NULL").select("__s", "__key", "size"), wanted).select(F.col("__s").alias("__t"), "end")
+    # written, so that its size is known and documents stay where they are while sources are few
+    ends = cut(_ends(d.where("__key IS NOT NULL").select("__s", "__key", "size"), wanted).select(F.col("__s").alias("__t"), "end"))
     d = d.join(ends, d["__s"].eqNullSafe(ends["__t"]), "left")
     more = F.when(F.col("__key") <= F.col("end"), 1).otherwise(0)
     return d.select(*columns, "size", "source_size", "target", (F.col("size") * (F.col("__whole") + more)).alias("taken"))
