@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import U64, flat_text, in_pieces, lists, mix, pack, q, ranges, rows_of, text_key, unit, words
 from plumbline.operators.linkage import connected_components
-from plumbline.session import cut
+from plumbline.session import cut, release
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8
@@ -197,6 +197,7 @@ def _links(texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
     order = Window.partitionBy("bucket").orderBy("root", "node")
     left = cut(left.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE)))
     if left.isEmpty():
+        release(met, seen, have, links, left)
         return comp
     tiles = F.floor((F.col("c") - 1) / TILE)
     each = left.select("*", F.explode(F.sequence(F.lit(0), tiles)).alias("with"))
@@ -205,12 +206,14 @@ def _links(texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
     useful = each.groupBy("bucket", "ta", "tb").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "ta", "tb")
     groups = each.join(useful, ["bucket", "ta", "tb"], "left_semi").join(have, "node").groupBy("bucket", "ta", "tb")
     more = cut(groups.applyInArrow(_compare_tiles(similarity), "src long, dst long").distinct())
+    release(met, seen, have, links, left)
     if more.isEmpty():
         return comp
     up = comp.select(F.col("node").alias("n"), F.col("component").alias("r"))
     ends = more.join(up, F.col("src") == F.col("n"), "left").select(F.coalesce("r", "src").alias("src"), "dst")
     ends = ends.join(up, F.col("dst") == F.col("n"), "left").select("src", F.coalesce("r", "dst").alias("dst"))
     joined = connected_components(ends).select(F.col("node").alias("n"), F.col("component").alias("top"))
+    release(more)
     low = comp.join(joined, F.col("component") == F.col("n"), "left").select("node", F.coalesce("top", "component").alias("component"))
     return low.unionByName(joined.select(F.col("n").alias("node"), F.col("top").alias("component")))
 
