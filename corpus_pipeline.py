@@ -14,6 +14,7 @@ from plumbline.llm import fm_index, language, mixing, near_dups, suffix_dedup
 from plumbline.llm.common import q
 from plumbline.session import cut
 
+PASSAGE_WORDS = 51  # words a passage has that is cut wherever it comes again
 MIN_SCORE = 0.3  # a language with less than this share of the windows' votes is a rejection
 
 
@@ -36,8 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that come anywhere else."""
-    return _with_text(suffix_dedup.remove_repeats(docs, as_text=True), docs, "kept")
+    """Texts without the passages of PASSAGE_WORDS words or more, or of 400 bytes or more, that come anywhere else."""
+    return _with_text(suffix_dedup.remove_repeats(docs, as_text=True, n_words=PASSAGE_WORDS), docs, "kept")
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@
    could, goes on as sorted fingerprints, cut into ranges; a range merges the sorted
    lists of all shards by binary search.
 5. The spans of each document are merged and cut out.
+
+Passages of so many words are found the same way, in texts written as WORD bytes of hash a word.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import U64, flat_text, in_pieces, mix, pack, q, rows_of, text_key
+from plumbline.llm.common import U64, flat_text, in_pieces, mix, pack, q, rows_of, text_key, words
 from plumbline.llm.suffix import common_prefixes, suffix_array
 from plumbline.session import cut, release
 
@@ -32,9 +34,19 @@ GRAM = 32  # bytes hashed to choose an anchor
 SHARD_BYTES = 1 << 20  # block bytes a shard holds
 RANGE_ROWS = 1 << 20  # fingerprints merged in one task
 BATCH_BYTES = 4 << 20  # text worked on at a time in a task
+WORD = 8  # bytes that stand for a word where passages are judged by words
 OUT = ["kept", "n_bytes", "n_removed", "n_spans", "spans"]
 
 
+def _flat(col: pa.Array, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What strings are looked for in: the bytes of all texts, or the hashes of their words, and where each text begins."""
+    data, off = flat_text(col)
+    if not by_words:
+        return data, off
+    _, _, h, first = words(data, off)
+    return h.view(np.uint8), first * WORD
+
+
 def _words_at(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as one integer; zeros follow the end."""
     n = len(data)
@@ -98,10 +110,10 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return text[start], mix(hashes[start]), start - off[text[start]], total[stop] - total[start], 1 + moves[stop] - moves[start]
 
 
-def _find_anchors(length: int):
+def _find_anchors(length: int, by_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", BATCH_BYTES):
-            data, off = flat_text(b.column("text"))
+            data, off = _flat(b.column("text"), by_words)
             text, h, lo, n, places = anchors(data, off, length)
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("id").take(take), b.column("key").take(take),
@@ -110,11 +122,11 @@ def _find_anchors(length: int):
     return run
 
 
-def _cut_blocks(length: int, fields: list[str]):
+def _cut_blocks(length: int, fields: list[str], by_words: bool):
     """Rows `(text, blocks)` to one row per block with its bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", BATCH_BYTES):
-            data, off = flat_text(b.column("text"))
+            data, off = _flat(b.column("text"), by_words)
             col = b.column("blocks")
             sizes = col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = pa.StructArray.from_arrays(col.flatten().flatten(), ["shard", "h", "split", "lo", "n"])
@@ -258,6 +270,16 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.bincount(char, weights=gone, minlength=len(data) + 1)[char] > 0 if len(data) else gone
 
 
+def _bytes_of_words(data: np.ndarray, off: np.ndarray, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of word hashes as spans of bytes in the flat text, from the first word's first byte to the last word's last."""
+    begin, end, _, first = words(data, off)
+    flat, row = found.flatten(), rows_of(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    # whole words only: hashes of neighbouring words may agree in a byte
+    lo = first[row] + (flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + WORD - 1) // WORD
+    hi = first[row] + flat.field("stop").to_numpy(zero_copy_only=False).astype(np.int64) // WORD
+    return begin[lo], end[hi - 1]
+
+
 def _remove(schema: pa.Schema, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "__text", BATCH_BYTES):
@@ -268,6 +290,9 @@ def _remove(schema: pa.Schema, as_text: bool):
             row = rows_of(sizes)
             start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + off[row]
             stop = flat.field("stop").to_numpy(zero_copy_only=False).astype(np.int64) + off[row]
+            if "__worded" in b.schema.names:
+                more = _bytes_of_words(data, off, b.column("__worded"))
+                start, stop = np.concatenate([start, more[0]]), np.concatenate([stop, more[1]])
             edge = np.zeros(len(data) + 1, np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, stop, -1)
@@ -295,29 +320,13 @@ def _remove(schema: pa.Schema, as_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """Add `kept` (binary), `n_bytes`, `n_removed`, `n_spans` and `spans` (start, stop in bytes, merged) to every row.
-
-    Every byte covered by a `length`-byte string that also starts anywhere else, in the
-    same text or another, is removed. Strings are judged on the input, bytes are those of
-    UTF-8, and no string crosses texts. A null text is empty and has nothing removed, as
-    has any text shorter than `length`. Repeated rows are repeats of each other. Null
-    ids are one id. `keep` names the input columns to carry (default all); those named
-    like an output are replaced. An empty table gives an empty result. With `as_text`,
-    `kept` is a string, from which characters that lost a byte are gone altogether.
-
-    Rows are told apart by id and a hash of the text. Text is shuffled once to cut
-    blocks and once to cut out spans; anchors are some 30 bytes per 200 bytes of text,
-    and only blocks of anchors that occur twice move, to shards of `SHARD_BYTES`.
-    """
-    if length < GRAM + 8:
-        raise ValueError(f"length is at least {GRAM + 8}")
+def _find_repeats(docs: DataFrame, length: int, by_words: bool, name: str) -> DataFrame:
+    """Spans of the strings that occur twice in the texts of `docs` (id, key, text), as the column `name` of a row per id and key; in bytes of hashes `by_words`."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = df.sparkSession
-    kind = df.schema[id].dataType.simpleString()
-    docs = df.select(q(id).alias("id"), text_key(q(text)).alias("key"), q(text).cast("binary").alias("text"))
-    found = cut(docs.where(F.octet_length("text") >= length).mapInArrow(_find_anchors(length), f"h long, id {kind}, key long, lo int, n int, places int"))
+    kind = docs.schema["id"].dataType.simpleString()
+    least = length // WORD * 2 - 1 if by_words else length  # words of a byte, and one byte between
+    found = cut(docs.where(F.octet_length("text") >= least).mapInArrow(_find_anchors(length, by_words), f"h long, id {kind}, key long, lo int, n int, places int"))
     sizes = cut(found.groupBy("h").agg(F.sum("places").alias("c"), F.sum(F.col("n") + length - 1).alias("b")).where("c > 1"))
     total = sizes.agg(F.sum("b").alias("b"), F.sum(F.when(F.col("b") > SHARD_BYTES, F.col("b"))).alias("hot")).first()
     shards = max(1, -(-(total["b"] or 0) // SHARD_BYTES))
@@ -329,7 +338,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     fields = ["shard", "h", "split", "id", "key", "lo", "n", "body"]
     d = docs.select(F.col("id").alias("i"), F.col("key").alias("k"), "text")
     cutout = d.join(blocks, d["i"].eqNullSafe(blocks["id"]) & d["k"].eqNullSafe(blocks["key"])).select("id", "key", "text", "blocks").mapInArrow(
-        _cut_blocks(length, fields), f"shard long, h long, split boolean, id {kind}, key long, lo int, n int, body binary")
+        _cut_blocks(length, fields, by_words), f"shard long, h long, split boolean, id {kind}, key long, lo int, n int, body binary")
     n_ranges = max(1, (total["hot"] or 0) // RANGE_ROWS)
     ddl = SPANS.format(id=kind)
     sorted_ = cut(cutout.groupBy("shard").applyInArrow(_sort_shard(length, to_arrow_schema(T._parse_datatype_string(ddl)), n_ranges), ddl))
@@ -339,9 +348,44 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
         ddl = f"id {kind}, key long, spans array<struct<start:int,stop:int>>"
         merged = sorted_.where("fp1 IS NOT NULL").select("range", *LISTS).groupBy("range")
         inside = inside.unionByName(merged.applyInArrow(_merge_range(length, to_arrow_schema(T._parse_datatype_string(ddl))), ddl))
-    spans = inside.groupBy("id", "key").agg(F.flatten(F.collect_set("spans")).alias("__spans")).select(F.col("id").alias("__i"), F.col("key").alias("__k"), "__spans")
+    return inside.groupBy("id", "key").agg(F.flatten(F.collect_set("spans")).alias(name))
+
+
+def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, keep: list[str] | None = None, as_text: bool = False,
+                   n_words: int | None = None) -> DataFrame:
+    """Add `kept` (binary), `n_bytes`, `n_removed`, `n_spans` and `spans` (start, stop in bytes, merged) to every row.
+
+    Every byte covered by a `length`-byte string that also starts anywhere else, in the
+    same text or another, is removed. Strings are judged on the input, bytes are those of
+    UTF-8, and no string crosses texts. A null text is empty and has nothing removed, as
+    has any text shorter than `length`. Repeated rows are repeats of each other. Null
+    ids are one id. `keep` names the input columns to carry (default all); those named
+    like an output are replaced. An empty table gives an empty result. With `as_text`,
+    `kept` is a string, from which characters that lost a byte are gone altogether.
+
+    With `n_words`, every run of so many words that also starts anywhere else is removed
+    as well, however few bytes it has, from its first word to its last with what lies
+    between. Words are those of `common.words`: their case, and marks and blanks between
+    them, do not count.
+
+    Rows are told apart by id and a hash of the text. Text is shuffled once to cut
+    blocks and once to cut out spans, with `n_words` once more; anchors are some 30 bytes
+    per 200 bytes of text, and only blocks of anchors that occur twice move, to shards of
+    `SHARD_BYTES`.
+    """
+    if min(length, length if n_words is None else n_words * WORD) < GRAM + 8:
+        raise ValueError(f"length is at least {GRAM + 8}, and n_words {GRAM // WORD + 1}")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    docs = df.select(q(id).alias("id"), text_key(q(text)).alias("key"), q(text).cast("binary").alias("text"))
+    spans = _find_repeats(docs, length, False, "__spans")
+    if n_words is not None:
+        worded = _find_repeats(docs, n_words * WORD, True, "__worded")
+        spans = spans.unionByName(worded, allowMissingColumns=True).groupBy("id", "key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("__spans", "__worded")])
+    found = spans.columns[2:]
+    spans = spans.select(F.col("id").alias("__i"), F.col("key").alias("__k"), *found)
     whole, columns = pack(df, OUT, keep)
     a = df.select(whole, q(id).alias("__id"), text_key(q(text)).alias("__key"), q(text).cast("binary").alias("__text"))
-    j = a.join(spans, a["__id"].eqNullSafe(spans["__i"]) & a["__key"].eqNullSafe(spans["__k"]), "left").select("__in", "__text", "__spans")
+    j = a.join(spans, a["__id"].eqNullSafe(spans["__i"]) & a["__key"].eqNullSafe(spans["__k"]), "left").select("__in", "__text", *found)
     out = T.StructType([j.schema["__in"]] + T._parse_datatype_string(("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>").fields)
     return j.mapInArrow(_remove(to_arrow_schema(out), as_text), out).select(*columns, *OUT)

@@ -127,6 +127,39 @@ def test_suffix_dedup_of_long_texts(spark):
     assert [(r["n_bytes"] - r["n_removed"]) for _, r in sorted(out.items())] == [0, 4]
 
 
+def brute_worded_repeats(texts, length, n_words):
+    """Bytes gone by `length` bytes or by `n_words` words that occur twice."""
+    texts = [(t or "").encode() for t in texts]
+    spots = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", b)] for b in texts]
+    runs = [[tuple(x[2] for x in s[k:k + n_words]) for k in range(len(s) - n_words + 1)] for s in spots]
+    seen, strings = Counter(r for x in runs for r in x), Counter(b[p:p + length] for b in texts for p in range(len(b) - length + 1))
+    out = []
+    for b, s, x in zip(texts, spots, runs):
+        gone = [False] * len(b)
+        for lo, hi in [(s[k][0], s[k + n_words - 1][1]) for k, r in enumerate(x) if seen[r] > 1] + [(p, p + length) for p in range(len(b) - length + 1) if strings[b[p:p + length]] > 1]:
+            gone[lo:hi] = [True] * (hi - lo)
+        out.append(bytes(c for c, g in zip(b, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 3_000])
+def test_suffix_dedup_by_words_by_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for d, length, n in ((docs, 400, 51), (odd_documents(spark).where("coalesce(doc_id, 0) NOT IN (5, 6)"), 60, 6)):
+        rows = d.select("doc_id", "text").collect()
+        got = suffix_dedup.remove_repeats(d.select("doc_id", "text"), length=length, n_words=n).collect()
+        assert sorted(((r["doc_id"], bytes(r["kept"])) for r in got), key=str) == sorted(zip([r[0] for r in rows], brute_worded_repeats([r[1] for r in rows], length, n)), key=str)
+
+
+def test_pipeline_cuts_short_worded_passages(spark):
+    passage = " ".join(f"{a}{b}" for a in "abcd" for b in "efghijklmnopq")  # 52 words of two letters, 155 bytes
+    rows = [(1, "one start of it, " + passage + ". the end here"), (2, "another begin: " + passage.upper().replace(" ", ", ") + " and its rest"), (3, "mine only " + " ".join(passage.split()[:50]) + " stays whole")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, d, FOLDER).collect()}
+    assert got == {1: "one start of it, . the end here", 2: "another begin:  and its rest", 3: rows[2][1]}
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(3)
     for _ in range(60):
