@@ -10,9 +10,11 @@ from plumbline.llm.common import pack, q
 LANES = 8  # 60-bit sums of paragraph hashes: what equality is judged by
 LANE_BITS = 60
 SIGNS = 40  # sums of three 20-bit lanes each: 120 counters that estimate how much two texts share
-PIECE = r"(?:[^\s]{1,24}[^\S\n]*){1,3}"  # up to three words in a row, counted from the start of their paragraph; a long word counts as several
+BARE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"  # scripts that put no blanks between words
+WORD = rf"[{BARE}]|[^\s{BARE}]{{1,24}}"  # a word; one longer than 24 characters counts as several, a letter of BARE as one
+CHUNK = 127  # pieces whose bits are summed in lanes of eight bits, eight in a long
+BYTES = 0x0101010101010101
 MASK = 2**LANE_BITS - 1
-ONES = 1 | 1 << 20 | 1 << 40
 
 
 def _sum(values: Column, each) -> Column:
@@ -26,19 +28,30 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     Paragraphs are what line feeds separate, empty ones included. `lanes` sum LANES
     hashes of every paragraph modulo 2**60 and decide equality, whatever the order of
     paragraphs. `signs` sum, modulo 2**20 each, 120 hashed bits of every distinct piece
-    of up to three words in a paragraph; `likeness` compares them. Both are sums, so fingerprints of two sets of
+    in a paragraph; `likeness` compares them. Pieces are all runs of three words, overlapping
+    ones too, so that a word put in, left out or changed touches three of them; a paragraph of
+    one or two words is one piece. Both are sums, so fingerprints of two sets of
     paragraphs add up to that of their union (`add`, `subtract`). A null text is empty:
     one empty paragraph and no piece.
     """
     t = F.coalesce(text, F.lit(""))
+    hashes = lambda p: F.transform(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))
+    three = lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
     d = df.withColumns({"__par": F.transform(F.split(t, "\n"), lambda p: F.xxhash64(p)),
-                        "__pce": F.flatten(F.transform(F.split(t, "\n"), lambda p: F.transform(F.array_distinct(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))), lambda x: F.xxhash64(x))))})
+                        "__pce": F.flatten(F.transform(F.transform(F.split(t, "\n"), hashes), lambda w: F.array_distinct(three(w))))})
     lanes = [_sum(F.col("__par"), lambda h, i=i: F.xxhash64(h, F.lit(i)).bitwiseAND(F.lit(MASK))) for i in range(LANES)]
-    d = d.withColumn("__pce2", F.transform("__pce", lambda h: F.xxhash64(h, F.lit(1))))
-    half = SIGNS // 2
-    signs = [_sum(F.col(c), lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(ONES))) for c in ("__pce", "__pce2") for i in range(half)]
+    # sums of up to CHUNK pieces, eight to a long, are added up in the wider counters
+    n = F.size("__pce")
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(1), n, F.lit(CHUNK)), lambda at: F.slice("__pce", at, F.lit(CHUNK)))).otherwise(F.array().cast("array<array<bigint>>"))
+    bits = lambda xs, i: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, i).bitwiseAND(F.lit(BYTES)))
+    again = lambda c: F.transform(c, lambda h: F.xxhash64(h, F.lit(1)))
+    packed = F.transform(F.transform(chunks, lambda c: F.struct(c.alias("a"), again(c).alias("b"))),
+                         lambda c: F.array(*[bits(c["a"], i) for i in range(8)], *[bits(c["b"], i) for i in range(SIGNS * 3 // 8 - 8)]))
+    d = d.withColumn("__sum", packed)
+    lane = lambda c, m, to: F.shiftleft(F.shiftrightunsigned(F.get(c, F.lit(m // 8)), m % 8 * 8).bitwiseAND(F.lit(255)), to)
+    signs = [_sum(F.col("__sum"), lambda c, k=k: lane(c, 3 * k, 0) + lane(c, 3 * k + 1, 20) + lane(c, 3 * k + 2, 40)) for k in range(SIGNS)]
     fp = F.struct(F.size("__par").cast("long").alias("paragraphs"), F.size("__pce").cast("long").alias("pieces"), F.array(*lanes).alias("lanes"), F.array(*signs).alias("signs"))
-    return d.withColumn(name, fp).drop("__par", "__pce", "__pce2")
+    return d.withColumn(name, fp).drop("__par", "__pce", "__sum")
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:

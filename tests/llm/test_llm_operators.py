@@ -55,6 +55,33 @@ def test_fingerprint_query_by_brute_force(spark, monkeypatch):
     assert wrong <= 0.02 * len(rows)
 
 
+def test_likeness_of_texts_with_words_put_in_and_left_out(spark):
+    rng = np.random.default_rng(4)
+
+    def pieces(text):
+        out = Counter()
+        for w in (p.split() for p in text.split("\n")):
+            out.update({tuple(w[k:k + 3]) for k in range(max(1, len(w) - 2))} if w else ())
+        return out
+    rows = []
+    for k in range(20):
+        pars = [[f"w{x}" for x in rng.integers(0, 900, int(rng.integers(30, 400)))] for _ in range(1 + k % 3)]
+        text = "\n".join(map(" ".join, pars))
+        less = "\n".join(" ".join(w[:c] + w[c + 1:]) for w in pars for c in [int(rng.integers(0, len(w)))])
+        rows += [(text, "new " + text), (text, less)]
+    rows.append(("日本語のテキストを比べるための長い文章で、空白がない。" * 2 + "もう一つの文も続く", "あ" + "日本語のテキストを比べるための長い文章で、空白がない。" * 2 + "もう一つの文も続く"))
+    d = spark.createDataFrame(rows, "a string, b string")
+    for c in "ab":
+        d = fingerprint.with_fingerprint(d, F.col(c), f"f{c}")
+    off = []
+    for r in d.select("a", "b", F.col("fa.pieces").alias("n"), fingerprint.likeness(F.col("fa"), F.col("fb")).alias("near")).collect()[:-1]:
+        x, y = pieces(r["a"]), pieces(r["b"])
+        assert r["n"] == sum(x.values())
+        off.append(r["near"] - 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values())))
+        assert r["near"] > 0.85
+    assert abs(np.mean(off)) < 0.02 and d.select(fingerprint.likeness(F.col("fa"), F.col("fb"))).collect()[-1][0] > 0.8
+
+
 def test_fingerprint_is_homomorphic_and_ignores_order(spark):
     d = spark.createDataFrame([("a\nb\nc", "c\na\nb", "a\nb", "c"), ("x\n\nx", "x\nx\n", "x\n", "x"), (None, "", "q", "q")], "a string, b string, p string, q string")
     for c in "abpq":
