@@ -9,7 +9,7 @@ from plumbline.llm.common import pack, q
 
 LANES = 8  # 60-bit sums of paragraph hashes: what equality is judged by
 LANE_BITS = 60
-SIGNS = 40  # sums of three 20-bit lanes each: 120 counters that estimate how much two texts share
+SIGNS = 60  # sums of two 30-bit lanes each, more than a text has pieces: 120 counters that estimate how much two texts share
 BARE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"  # scripts that put no blanks between words
 WORD = rf"[{BARE}]|[^\s{BARE}]{{1,24}}"  # a word; one longer than 24 characters counts as several, a letter of BARE as one
 CHUNK = 127  # pieces whose bits are summed in lanes of eight bits, eight in a long
@@ -27,7 +27,7 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
 
     Paragraphs are what line feeds separate, empty ones included. `lanes` sum LANES
     hashes of every paragraph modulo 2**60 and decide equality, whatever the order of
-    paragraphs. `signs` sum, modulo 2**20 each, 120 hashed bits of every distinct piece
+    paragraphs. `signs` sum, modulo 2**30 each, 120 hashed bits of every distinct piece
     in a paragraph; `likeness` compares them. Pieces are all runs of three words, overlapping
     ones too, so that a word put in, left out or changed touches three of them; a paragraph of
     one or two words is one piece. Both are sums, so fingerprints of two sets of
@@ -46,10 +46,10 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     bits = lambda xs, i: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, i).bitwiseAND(F.lit(BYTES)))
     again = lambda c: F.transform(c, lambda h: F.xxhash64(h, F.lit(1)))
     packed = F.transform(F.transform(chunks, lambda c: F.struct(c.alias("a"), again(c).alias("b"))),
-                         lambda c: F.array(*[bits(c["a"], i) for i in range(8)], *[bits(c["b"], i) for i in range(SIGNS * 3 // 8 - 8)]))
+                         lambda c: F.array(*[bits(c["a"], i) for i in range(8)], *[bits(c["b"], i) for i in range(SIGNS * 2 // 8 - 8)]))
     d = d.withColumn("__sum", packed)
     lane = lambda c, m, to: F.shiftleft(F.shiftrightunsigned(F.get(c, F.lit(m // 8)), m % 8 * 8).bitwiseAND(F.lit(255)), to)
-    signs = [_sum(F.col("__sum"), lambda c, k=k: lane(c, 3 * k, 0) + lane(c, 3 * k + 1, 20) + lane(c, 3 * k + 2, 40)) for k in range(SIGNS)]
+    signs = [_sum(F.col("__sum"), lambda c, k=k: lane(c, 2 * k, 0) + lane(c, 2 * k + 1, 30)) for k in range(SIGNS)]
     fp = F.struct(F.size("__par").cast("long").alias("paragraphs"), F.size("__pce").cast("long").alias("pieces"), F.array(*lanes).alias("lanes"), F.array(*signs).alias("signs"))
     return d.withColumn(name, fp).drop("__par", "__pce", "__sum")
 
@@ -88,12 +88,12 @@ def likeness(a: Column, b: Column) -> Column:
     same sum for the pieces that differ. The error is about 0.06 at one half.
     """
     def square(x, n):
-        parts = [2.0 * F.shiftrightunsigned(x, s).bitwiseAND(F.lit(2**20 - 1)) - n for s in (0, 20, 40)]
-        return parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
+        parts = [2.0 * F.shiftrightunsigned(x, s).bitwiseAND(F.lit(2**30 - 1)) - n for s in (0, 30)]
+        return parts[0] * parts[0] + parts[1] * parts[1]
 
     def apart(x, y, n):
-        parts = [2.0 * (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(2**20 - 1)) - F.shiftrightunsigned(y, s).bitwiseAND(F.lit(2**20 - 1))) - n for s in (0, 20, 40)]
-        return parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
+        parts = [2.0 * (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(2**30 - 1)) - F.shiftrightunsigned(y, s).bitwiseAND(F.lit(2**30 - 1))) - n for s in (0, 30)]
+        return parts[0] * parts[0] + parts[1] * parts[1]
 
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
     own = total(F.transform(a["signs"], lambda x: square(x, a["pieces"]))) + total(F.transform(b["signs"], lambda x: square(x, b["pieces"])))

@@ -82,6 +82,18 @@ def test_likeness_of_texts_with_words_put_in_and_left_out(spark):
     assert abs(np.mean(off)) < 0.02 and d.select(fingerprint.likeness(F.col("fa"), F.col("fb"))).collect()[-1][0] > 0.8
 
 
+def test_likeness_of_millions_of_pieces(spark):
+    d = fingerprint.with_fingerprint(spark.createDataFrame([("a b c d e",), ("v w x y z",)], "t string"), F.col("t"), "f").select("f")
+    f, g = (r["f"] for r in d.collect())
+
+    def times(f, n):  # the fingerprint of so many copies of the paragraph, as `add` has it
+        return (f["paragraphs"] * n, f["pieces"] * n, *[[x * n % 2**60 for x in f[c]] for c in ("lanes", "signs")])
+    kind = d.schema["f"].dataType.simpleString()
+    pairs = spark.createDataFrame([(n, times(f, n), times(g, n)) for n in (1, 2**21 + 1)], f"n long, a {kind}, b {kind}")
+    once, often = (r[0] for r in pairs.orderBy("n").select(fingerprint.likeness(F.col("a"), F.col("b"))).collect())
+    assert once < 0.5 and abs(once - often) < 1e-9
+
+
 def test_fingerprint_is_homomorphic_and_ignores_order(spark):
     d = spark.createDataFrame([("a\nb\nc", "c\na\nb", "a\nb", "c"), ("x\n\nx", "x\nx\n", "x\n", "x"), (None, "", "q", "q")], "a string, b string, p string, q string")
     for c in "abpq":
