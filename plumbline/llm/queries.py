@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, quality, revisits, suffix_dedup, url_filter
+from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, quality, revisits, sharding, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -227,3 +227,12 @@ SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict
 @query("op10_url_filter", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+# ---- 11 ----------------------------------------------------------------------------------------------------
+
+@query("op11_histogram_shards")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    d = sharding.histogram_shards(table(spark, folder, "documents").select("doc_id", "text"), 16)
+    return d.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
