@@ -65,7 +65,7 @@ def find_splitters(keys: DataFrame, n: int, tolerance: float = TOLERANCE, weight
     while intervals:
         step = max(1, width >> PROBE_BITS)
         spots = _json({str(low // width): k for k, low in enumerate(sorted(intervals))}, "map<string,int>")
-        d = keys if len(intervals) == 1 and width == 1 << bits else keys.withColumn("__at", F.element_at(spots, F.floor(F.col("key") / F.lit(width)).cast("string"))).where("__at IS NOT NULL")
+        d = keys if len(intervals) == 1 and width == 1 << bits else keys.withColumn("__at", F.element_at(spots, F.expr(f"key div {width}").cast("string"))).where("__at IS NOT NULL")
         cells = d.groupBy(F.expr(f"key div {step}").alias("cell")).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("rows")).collect()
         inside: dict[int, list] = {low: [] for low in intervals}
         for r in sorted(cells):
