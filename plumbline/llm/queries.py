@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, quality, revisits, sharding, suffix_dedup, url_filter
+from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, periodic, quality, revisits, sharding, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -236,3 +236,31 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     d = sharding.histogram_shards(table(spark, folder, "documents").select("doc_id", "text"), 16)
     return d.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ---- 13 ----------------------------------------------------------------------------------------------------
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents, of which a tenth (by hash of the id) repeat a stretch of their words to their end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"), F.lit(1))
+    d = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    a = F.pmod("g", n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    d = d.withColumns({"a": F.when(n > 0, a), "p": F.when(n > 0, p)})
+    again = F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    d = periodic.find_runs(with_planted_periods(table(spark, folder, "documents")), keep=["doc_id"])
+    more = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]  # noqa: E731  above 0: x has the greater exponent
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, y: F.when(more(y, x) > 0, y).otherwise(x))  # runs come by start, then period
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    d = d.withColumn("best", best)
+    return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256"))
