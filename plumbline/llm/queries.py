@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, periodic, quality, revisits, sharding, suffix_dedup, url_filter
+from plumbline.llm import alignment, chat, fingerprint, fm_index, language, mixing, near_dups, neighbours, periodic, quality, revisits, sharding, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -264,3 +264,11 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                     F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
                     F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# ---- 12 ----------------------------------------------------------------------------------------------------
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    d = alignment.align_tokenizers(table(spark, folder, "documents"), keep=["doc_id"], digest=True)
+    return d.withColumnRenamed("groups", "groups_sha256")
