@@ -34,15 +34,15 @@ from plumbline.session import cut, release, task_count
 
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BATCH_BYTES = 1 << 20  # text worked on at a time in a task
+BATCH_BYTES = 1 << 19  # text worked on at a time in a task
 RANGE_BYTES = 1 << 16  # a longer text is cut into ranges of about so many bytes
 FAN = 16  # fragments composed in one step of the tree
 PAIRS_AT_ONCE = 2_000_000  # counts of pairs broadcast at a time
 OUT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 # Fixed value: how byte-level vocabularies split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Characters on whose class all releases of Unicode and all pattern engines agree.
-PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
+# All but the characters on whose class every release of Unicode and every pattern engine agrees.
+ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
 # A blank between ASCII letters or digits starts a new piece of SPLIT; no entry of the piece vocabulary has a blank after another character.
 CUT_A = re.compile(rb"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 CUT_B = re.compile(rb"(?<=[^ ]) (?=.)", re.DOTALL)
@@ -61,13 +61,12 @@ class Tokenizers:
     def __init__(self, byte_level: bytes, pieces: bytes):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_str(byte_level.decode())
-        self.slow.encode_special_tokens = True
-        model = json.loads(byte_level)["model"]
+        self.byte_level, self.any = byte_level, None
+        whole = json.loads(byte_level)
+        model = whole["model"]
         to_byte = byte_level_bytes()
-        self.bytes_a = [b""] * (self.slow.get_vocab_size())
+        self.bytes_a = [b""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in whole["added_tokens"])]))
         for token, k in model["vocab"].items():
             if all(c in to_byte for c in token):
                 self.bytes_a[k] = bytes(to_byte[c] for c in token)
@@ -99,7 +98,15 @@ class Tokenizers:
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         """Byte-level tokens of strings that carry their leading blank."""
-        return [self.fast.encode_ordinary(t) if self.fast is not None and not PLAIN.search(t) else self.slow.encode(t, add_special_tokens=False).ids for t in texts]
+        return [self.fast.encode_ordinary(t) if self.fast is not None and not ODD.search(t) else self._any(t) for t in texts]
+
+    def _any(self, text: str) -> list[int]:
+        if self.any is None:
+            from tokenizers import Tokenizer
+
+            self.any = Tokenizer.from_str(self.byte_level.decode())
+            self.any.encode_special_tokens = True
+        return self.any.encode(text, add_special_tokens=False).ids
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         """Pieces of strings without their leading blank, which the tokenizer adds."""
@@ -159,7 +166,7 @@ def settle(tok: Tokenizers, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np
     unit = np.searchsorted(base, stop, "right") - 1
     inside = (stop > first[unit]) & (stop <= final[unit])
     stop, unit = stop[inside], unit[inside]
-    of_a, of_b = np.searchsorted(ends_a, stop, "left"), np.searchsorted(ends_b, stop, "left")
+    of_a, of_b = (np.cumsum(x, dtype=np.int32)[stop] - x[stop] for x in (is_a, is_b))
     pair = a[of_a] * len(tok.len_b) + b[of_b]
     bits = (len(tok.len_a) * len(tok.len_b)).bit_length()
     key = np.sort((unit << bits) | pair)
@@ -168,7 +175,8 @@ def settle(tok: Tokenizers, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np
     pairs, owner = key[new] & ((1 << bits) - 1), key[new] >> bits
     # groups written out: all tokens in order of group, then kind
     kept_a, kept_b = np.flatnonzero(in_a), np.flatnonzero(in_b)
-    ga, gb = np.searchsorted(at, ends_a[kept_a], "left"), np.searchsorted(at, ends_b[kept_b], "left")
+    group = np.cumsum(closed, dtype=np.int32)
+    ga, gb = (group[x] - closed[x] for x in (ends_a[kept_a], ends_b[kept_b]))
     count_a, count_b = np.bincount(ga, minlength=len(at) + 1), np.bincount(gb, minlength=len(at) + 1)
     before_a, before_b = np.concatenate([[0], np.cumsum(count_a)]), np.concatenate([[0], np.cumsum(count_b)])
     code = np.empty(len(kept_a) + len(kept_b), np.int64)
@@ -231,11 +239,16 @@ def compose(tok: Tokenizers, left: Fragment, right: Fragment) -> Fragment:
 def _tokens(tok: Tokenizers, with_blank: list[str], without: list[str]) -> tuple[np.ndarray, ...]:
     """Flat tokens of both kinds with their counts, and which units give back their bytes."""
     ids_a, ids_b = tok.encode_a(with_blank), tok.encode_b(without)
-    ok = np.array([b"".join([tok.bytes_a[k] for k in x]) == s.encode() and b"".join([tok.bytes_b[k] for k in y]) == (b" " + t.encode() if t else b"")
-                   for x, y, s, t in zip(ids_a, ids_b, with_blank, without)], bool)
     na, nb = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
-    flat = [np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, na), (ids_b, nb))]
-    return flat[0], na, flat[1], nb, ok
+    a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, na), (ids_b, nb)))
+    # byte-level tokens are parts of the text or missing, so their length tells; pieces may differ from it
+    raw = [s.encode() for s in with_blank]
+    size = np.concatenate([[0], np.cumsum(tok.len_a[a])])
+    end = np.cumsum(na)
+    ok = size[end] - size[end - na] == np.array([len(x) for x in raw])
+    piece = tok.bytes_b.__getitem__
+    ok &= np.array([b"".join(map(piece, y)) == (b" " + t.encode() if t else b"") for y, t in zip(ids_b, without)], bool)
+    return a, na, b, nb, ok
 
 
 def _whole(files, digest: bool, schema: pa.Schema):
