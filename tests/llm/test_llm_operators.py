@@ -502,13 +502,14 @@ def test_pipeline_keeps_one_of_each_class_and_cuts_passages(spark):
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert set(out) == {w[0] for w in brute_classes(rows)}
     kept = [(i, t) for i, t in rows if i in out]
-    cut = brute_repeats([t for _, t in kept], 400)
-    bench = {tuple(w[k:k + 10]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect() for w in [words_of(r["text"])] for k in range(max(1, len(w) - 9))}
+    cut = brute_worded_repeats([t for _, t in kept], 400, corpus_pipeline.PASSAGE_WORDS)
+    phrases = {tuple(w[k:k + 10]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect() for w in [words_of(r["text"])] if w for k in range(max(1, len(w) - 9))}
+    sizes = {len(x) for x in phrases}
     for (i, _), c in zip(kept, cut):
-        w = words_of(c[0].decode(errors="ignore"))
+        w = words_of(c.decode(errors="ignore"))
         hit = [False] * len(w)
-        for k in range(len(w) - 9):
-            if tuple(w[k:k + 10]) in bench:
-                hit[k:k + 10] = [True] * 10
-        left = [x for x, h in zip(w, hit) if not h]
-        assert words_of(out[i]["text"]) == left or abs(len(words_of(out[i]["text"])) - len(left)) <= 2 * c[3] + 2
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k:k + n]) in phrases:
+                    hit[k:k + n] = [True] * n
+        assert words_of(out[i]["text"]) == [x for x, h in zip(w, hit) if not h]
