@@ -46,8 +46,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    d = suffix_dedup.remove_repeats(table(spark, folder, "documents"), keep=["doc_id"])
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    d = suffix_dedup.remove_repeats(table(spark, folder, "documents"), keep=["doc_id"], n_words=51, cut_words=False)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_words_removed", "n_word_spans")
 
 
 # ---- 3 -----------------------------------------------------------------------------------------------------

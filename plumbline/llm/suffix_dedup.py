@@ -1,19 +1,19 @@
-"""Remove long byte strings that occur more than once, by suffix arrays over shards.
-
-1. Anchors. A string of `length` bytes is filed under the least hashed `GRAM` bytes in
-   it, so equal strings are filed alike wherever they start. Anchors whose hash occurs
-   once in the corpus are dropped: no string filed there can repeat.
-2. Shards. Around each remaining anchor lies a block: the strings filed there. Blocks
-   are dealt to shards by the anchor's hash; an anchor with more text than a shard
-   holds is split over several.
-3. Each shard sorts the suffixes of its distinct blocks (Larsson-Sadakane) and reads
-   off, from Kasai's common prefixes, which strings occur twice.
-4. Anchors that were split: what a shard could not settle, and one copy of what it
-   could, goes on as sorted fingerprints, cut into ranges; a range merges the sorted
-   lists of all shards by binary search.
+"""Remove long strings of bytes, or passages of words, that occur more than once, by suffix arrays over shards.
+
+1. Anchors. A string is filed under its least hashed gram (GRAM bytes, or WORD_GRAM words),
+   so equal strings are filed alike wherever they start. Anchors whose hash occurs once in
+   the corpus are dropped: no string filed there can repeat. One pass over the texts finds
+   the anchors of both kinds.
+2. Blocks. Around each remaining anchor lies a block: the strings filed there. A block that
+   comes again as it is repeats altogether; one copy of it goes on, and only if the anchor
+   has other blocks too.
+3. Shards. Blocks are dealt to shards by the anchor's hash; an anchor with more text than a
+   shard holds is split over several. A shard sorts the suffixes of its blocks
+   (Larsson-Sadakane) and reads off, from Kasai's common prefixes, which strings occur twice.
+4. Anchors that were split: what a shard could not settle, and one copy of what it could,
+   goes on as sorted fingerprints, cut into ranges; a range merges the sorted lists of all
+   shards by binary search.
 5. The spans of each document are merged and cut out.
-
-Passages of so many words are found the same way, in texts written as WORD bytes of hash a word.
 """
 
 from __future__ import annotations
@@ -26,25 +26,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import U64, flat_text, in_pieces, mix, pack, q, rows_of, text_key, words
+from plumbline.llm.common import BYTE_VALUES, IS_WORD, LOWER, U64, flat_text, in_pieces, mix, pack, q, ranges, rows_of, text_key, words
 from plumbline.llm.suffix import common_prefixes, suffix_array
 from plumbline.session import cut, release
 
-GRAM = 32  # bytes hashed to choose an anchor
+GRAM, WORD_GRAM = 32, 4  # bytes, and words, hashed to choose an anchor
 SHARD_BYTES = 1 << 20  # block bytes a shard holds
 RANGE_ROWS = 1 << 20  # fingerprints merged in one task
-BATCH_BYTES = 4 << 20  # text worked on at a time in a task
-WORD = 8  # bytes that stand for a word where passages are judged by words
+BATCH_BYTES = 1 << 20  # text worked on at a time in a task; a longer one is looked at piece by piece
+BASE = 0x9E3779B97F4A7C15 | 1
 OUT = ["kept", "n_bytes", "n_removed", "n_spans", "spans"]
-
-
-def _flat(col: pa.Array, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """What strings are looked for in: the bytes of all texts, or the hashes of their words, and where each text begins."""
-    data, off = flat_text(col)
-    if not by_words:
-        return data, off
-    _, _, h, first = words(data, off)
-    return h.view(np.uint8), first * WORD
+WORD_OUT = ["n_words_removed", "n_word_spans"]
+SPAN = "array<struct<start:int,stop:int,first:int,last:int>>"
+
+
+def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """`common.words`, in pieces of BATCH_BYTES that end between words where one text is longer."""
+    if len(data) <= BATCH_BYTES or len(off) != 2:
+        return words(data, off)
+    parts, at = [], 0
+    while at < len(data):
+        to = min(at + BATCH_BYTES, len(data))
+        while to < len(data) and IS_WORD[LOWER[data[to]]]:
+            to += 1
+        begin, end, h, _ = words(data[at:to], np.array([0, to - at]))
+        parts.append((begin + at, end + at, h))
+        at = to
+    begin, end, h = (np.concatenate(x) for x in zip(*parts))
+    return begin, end, h, np.array([0, len(h)])
 
 
 def _words_at(data: np.ndarray) -> np.ndarray:
@@ -79,19 +88,43 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[:n], up[width - 1:width - 1 + n])
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Text number, anchor hash, first string (byte in the text), number of strings and number of anchors of every block.
+def _gram_words(h: np.ndarray) -> np.ndarray:
+    """A hash of the WORD_GRAM words from each place that has as many."""
+    n = len(h) - WORD_GRAM + 1
+    x = np.zeros(n, U64)
+    with np.errstate(over="ignore"):
+        for j in range(WORD_GRAM):
+            x = (x ^ (x >> U64(31)) ^ h[j:j + n]) * U64(0x9FB21C651E98DF25)
+    return x ^ (x >> U64(29))
+
+
+class StretchHash:
+    """Hashes of any stretch of symbols, from sums of value times power."""
+
+    def __init__(self, values: np.ndarray):
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(values), BASE, U64)]), dtype=U64)
+            self.back = np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(values), pow(BASE, -1, 2**64), U64)]), dtype=U64)
+            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * power[:-1], dtype=U64)])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[stop] - self.sums[start]) * self.back[start]
+
 
-    A block is a run of strings whose anchors are one place, or follow each other with
-    the same hash, as in text that repeats itself.
+def anchors(g: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Text number, anchor hash, first string (symbol among all), number of strings and number of anchors of every block.
+
+    `g` are the hashes of the grams from each symbol of texts laid end to end. A block is a
+    run of strings whose anchors are one place, or follow each other with the same hash, as
+    in text that repeats itself.
     """
     none = np.zeros(0, np.int64)
-    if len(data) < length:
+    if len(g) < length - gram + 1:
         return none, none.astype(U64), none, none, none
-    g = _gram_hashes(data)
     place = np.arange(len(g), dtype=U64)
     low = U64((1 << 26) - 1)
-    least = _least((g & ~low) | (place & low), length - GRAM + 1)  # ties: the first
+    least = _least((g & ~low) | (place & low), length - gram + 1)  # ties: the first
     at = np.arange(len(least))
     where = at + ((least - at.astype(U64)) & low).astype(np.int64)
     hashes = g[where]
@@ -107,136 +140,136 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     moved[1:] = (where[1:] != where[:-1]) & inside[1:] & ~new[1:]
     moves = np.concatenate([[0], np.cumsum(moved)])
     stop = np.append(start[1:], len(at))
-    return text[start], mix(hashes[start]), start - off[text[start]], total[stop] - total[start], 1 + moves[stop] - moves[start]
+    return text[start], mix(hashes[start]), start, total[stop] - total[start], 1 + moves[stop] - moves[start]
+
+
+def _blocks(symbols: np.ndarray, off: np.ndarray, length: int, worded: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Text number, anchor, hash of the block, first symbol among all, strings and anchors of every block, found in windows of BATCH_BYTES symbols."""
+    for at in range(0, max(1, len(symbols)), BATCH_BYTES):
+        part = symbols[at:at + BATCH_BYTES + length - 1]  # strings that start in the window
+        if len(part) < length:
+            continue
+        inner = np.clip(off - at, 0, len(part))
+        g = _gram_words(part) if worded else _gram_hashes(part)
+        text, h, lo, n, places = anchors(g, inner, length, WORD_GRAM if worded else GRAM)
+        whole = StretchHash(part if worded else BYTE_VALUES[part]).of(lo, lo + n + length - 1)
+        yield text, mix(h, 5 if worded else 6), mix(whole, 8), lo + at, n, places
 
 
-def _find_anchors(length: int, by_words: bool):
+def _find_anchors(length: int, n_words: int | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", BATCH_BYTES):
-            data, off = _flat(b.column("text"), by_words)
-            text, h, lo, n, places = anchors(data, off, length)
-            take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("id").take(take), b.column("key").take(take),
-                                              pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))],
-                                             ["h", "id", "key", "lo", "n", "places"])
+            data, off = flat_text(b.column("text"))
+            found = [(False, *x, x[3] - off[x[0]], x[3], x[3] + x[4] + length - 1) for x in _blocks(data, off, length, False)]
+            if n_words is not None:
+                begin, end, h, first = _words(data, off)
+                found += [(True, *x, x[3] - first[x[0]], begin[x[3]], end[x[3] + x[4] + n_words - 2]) for x in _blocks(h, first, n_words, True)]
+            for worded, text, h, whole, _, n, places, lo, start, stop in found:
+                take = pa.array(text)
+                small = [pa.array(x.astype(np.int32)) for x in (lo, n, places, start - off[text], stop - start)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), worded)), pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), b.column("id").take(take), b.column("key").take(take), *small], schema=schema)
     return run
 
 
-def _cut_blocks(length: int, fields: list[str], by_words: bool):
+BLOCK = ("shard", "split", "twice", "worded", "lo", "n", "at", "size")
+
+
+def _cut_blocks(schema: pa.Schema):
     """Rows `(text, blocks)` to one row per block with its bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", BATCH_BYTES):
-            data, off = _flat(b.column("text"), by_words)
+            data, off = flat_text(b.column("text"))
             col = b.column("blocks")
-            sizes = col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = pa.StructArray.from_arrays(col.flatten().flatten(), ["shard", "h", "split", "lo", "n"])
-            row = rows_of(sizes)
-            part = {f: flat.field(f) for f in ("shard", "h", "split", "lo", "n")}
-            begin = off[row] + part["lo"].to_numpy().astype(np.int64)
-            count = part["n"].to_numpy().astype(np.int64) + length - 1
-            whole = data.tobytes()
-            bodies = [whole[s:s + c] for s, c in zip(begin.tolist(), count.tolist())]
+            row = rows_of(col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            flat = pa.StructArray.from_arrays(col.flatten().flatten(), BLOCK)
+            begin = off[row] + flat.field("at").to_numpy().astype(np.int64)
+            size = flat.field("size").to_numpy().astype(np.int64)
+            edge = np.concatenate([[0], np.cumsum(size)])
+            body = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(edge), pa.py_buffer(data[ranges(begin, size)])]).cast(pa.binary())
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part["shard"], part["h"], part["split"], b.column("id").take(take), b.column("key").take(take),
-                                              part["lo"], part["n"], pa.array(bodies, pa.binary())], fields)
+            yield pa.RecordBatch.from_arrays([*[flat.field(f) for f in BLOCK], b.column("id").take(take), b.column("key").take(take), body], schema=schema)
     return run
 
 
-def _fingerprints(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints of the `length` bytes from each position that has as many."""
-    w = _words_at(data)
-    n = len(data) - length + 1
-    out = []
-    for salt in (11, 12):
-        x = np.zeros(n, U64)
-        with np.errstate(over="ignore"):
-            for j in range(0, length - 7, 8):
-                x = (x ^ (x >> U64(29)) ^ w[j:j + n]) * U64(0xD6E8FEB86659FD93 + 2 * salt)
-            if length % 8:
-                x = (x ^ (x >> U64(29)) ^ w[length - 8:length - 8 + n]) * U64(0xD6E8FEB86659FD93 + 2 * salt)
-        out.append(mix(x, salt).view(np.int64))
-    return out[0], out[1]
-
-
-SPANS = ("id {id}, key long, spans array<struct<start:int,stop:int>>, "
-         "range long, fp1 array<long>, fp2 array<long>, ids array<{id}>, keys array<long>, at array<int>, settled array<boolean>")
-LISTS = ("fp1", "fp2", "ids", "keys", "at", "settled")
+LISTS = ("fp1", "fp2", "ids", "keys", "starts", "stops", "firsts", "settled")
+FOUND = ("id {id}, key long, spans " + SPAN + ", range long, fp1 array<long>, fp2 array<long>, ids array<{id}>, keys array<long>, "
+         "starts array<int>, stops array<int>, firsts array<int>, settled array<boolean>")
 
 
-def _spans_of(dup: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of true as (first, after the last + length - 1)."""
-    edge = np.diff(np.concatenate([[0], dup.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
+def _spans(start, stop, first, last, kind: pa.DataType) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.asarray(x).astype(np.int32)) for x in (start, stop, first, last)], ["start", "stop", "first", "last"]).cast(kind)
 
 
-def _sort_shard(length: int, schema: pa.Schema, n_ranges: int):
+def _sort_shard(length: int, n_words: int | None, schema: pa.Schema, n_ranges: int):
     """Spans of the strings that repeat inside a shard, and sorted fingerprints of what a split anchor leaves open, a row per range."""
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        bodies = t.column("body").to_pylist()
-        first: dict[bytes, int] = {}
-        which = np.array([first.setdefault(x, len(first)) for x in bodies], np.int64)
-        distinct = list(first)
-        twice = np.bincount(which, minlength=len(distinct)) > 1
-        data = np.frombuffer(b"".join(distinct), np.uint8)
-        sizes = np.array([len(x) for x in distinct], np.int64)
-        sa, _ = suffix_array(data.astype(np.int64) + 1, sizes, 9)
-        lcp = common_prefixes(data, sizes, sa, length)
-        long = lcp >= length
-        again = np.zeros(len(data), bool)
-        again[sa[long]] = True
-        again[sa[np.flatnonzero(long) - 1]] = True
-        begin = np.cumsum(sizes) - sizes
+        col = {c: t.column(c).to_numpy() for c in ("lo", "n", "at", "split", "twice")}
+        data, off = flat_text(t.column("body").combine_chunks())
+        worded = t.column("worded")[0].as_py()
+        if worded:
+            begin, end, symbol, edge = words(data, off)
+            _, number = np.unique(symbol, return_inverse=True)
+            number, long = number + 1, n_words
+        else:
+            edge, symbol, number, long = off, data, data.astype(np.int64) + 1, length
+        sizes = np.diff(edge)
+        sa, _ = suffix_array(number, sizes, int(number.max()).bit_length())
+        shared = common_prefixes(number if worded else data, sizes, sa, long) >= long
+        again = np.zeros(len(number), bool)
+        again[sa[shared]] = True
+        again[sa[np.flatnonzero(shared) - 1]] = True
         # the first place in the order of each string stands for it where shards are merged
-        head = np.zeros(len(data), bool)
-        head[sa[~long]] = True
-        again |= np.repeat(twice, sizes)
-        lo = t.column("lo").to_numpy()
-        n = t.column("n").to_numpy()
-        split = t.column("split").to_numpy(zero_copy_only=False)
-        spans, rows, open_rows = [], [], []
-        sent: set[int] = set()
-        for i, w in enumerate(which.tolist()):
-            dup = again[begin[w]:begin[w] + n[i]]
-            a, b = _spans_of(dup, length)
-            if len(a):
-                spans.append([{"start": int(x + lo[i]), "stop": int(y + lo[i])} for x, y in zip(a, b)])
-                rows.append(i)
-            if split[i] and w not in sent:
-                sent.add(w)
-                open_rows.append((i, w))
+        head = np.zeros(len(number), bool)
+        head[sa[~shared]] = True
+        # strings of all blocks, one after another
+        n = col["n"].astype(np.int64)
+        row, at = rows_of(n), ranges(edge[:-1], n)
+        dup = again[at] & ~col["twice"][row]
+        change = np.ones(len(row), bool)
+        change[1:] = row[1:] != row[:-1]
+        first = dup & (change | ~np.concatenate([[False], dup[:-1]]))
+        last = dup & (np.append(change[1:], True) | ~np.append(dup[1:], False))
+        a, z, row_of = at[first], at[last] + long - 1, row[first]
+
+        def place(x: np.ndarray, stop: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Bytes in the text, and numbers of words, of the symbols from x to stop."""
+            shift = col["at"][block] - off[block]
+            if not worded:
+                return x + shift, stop + 1 + shift, np.full(len(x), -1), np.full(len(x), -1)
+            word = col["lo"][block] - edge[block]
+            return begin[x] + shift, end[stop] + shift, x + word, stop + 1 + word
+
         ids, keys = t.column("id").combine_chunks(), t.column("key").combine_chunks()
-        take = pa.array(rows, pa.int64())
-        found = pa.table([ids.take(take), keys.take(take), pa.array(spans, schema.field("spans").type), *[pa.nulls(len(rows), f.type) for f in list(schema)[3:]]], schema=schema)
-        f1s, f2s, block, at, done = [], [], [], [], []
-        for i, w in open_rows:
-            where = np.flatnonzero(head[begin[w]:begin[w] + n[i]])
-            if len(where):
-                f1, f2 = _fingerprints(data[begin[w]:begin[w] + sizes[w]], length)
-                f1s.append(f1[where])
-                f2s.append(f2[where])
-                block.append(np.full(len(where), i))
-                at.append(where + lo[i])
-                done.append(again[begin[w] + where])
-        if not f1s:
+        kind = schema.field("spans").type
+        per = np.bincount(row_of, minlength=t.num_rows)
+        rows = np.flatnonzero(per)
+        spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per[rows])]).astype(np.int32)), _spans(*place(a, z, row_of), kind.value_type)).cast(kind)
+        found = pa.table([ids.take(pa.array(rows)), keys.take(pa.array(rows)), spans, *[pa.nulls(len(rows), f.type) for f in list(schema)[3:]]], schema=schema)
+        send = np.flatnonzero(head[at] & col["split"][row])
+        if not len(send):
             return found
-        f1, f2, block, at, done = (np.concatenate(x) for x in (f1s, f2s, block, at, done))
+        x, block = at[send], row[send]
+        values = symbol if worded else BYTE_VALUES[data]
+        f1, f2 = (mix(StretchHash(mix(values, salt)).of(x, x + long), salt).view(np.int64) for salt in (11, 12))
+        start, stop, word, _ = place(x, x + long - 1, block)
         order = np.lexsort((f2, f1))
-        f1, f2, block, at, done = f1[order], f2[order], pa.array(block[order]), at[order], done[order]
+        f1, f2, take = f1[order], f2[order], pa.array(block[order])
         part = (f1.astype(np.float64) // (2.0**64 / n_ranges)).astype(np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        cut_at = pa.array(edge.astype(np.int32))
-        wide = [pa.ListArray.from_arrays(cut_at, x) for x in (pa.array(f1), pa.array(f2), ids.take(block), keys.take(block), pa.array(at.astype(np.int32)), pa.array(done))]
-        sent_on = pa.table([pa.nulls(len(edge) - 1, f.type) for f in list(schema)[:3]] + [pa.array(part[edge[:-1]])] + [x.cast(schema.field(c).type) for x, c in zip(wide, LISTS)], schema=schema)
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        cut_at = pa.array(edges.astype(np.int32))
+        flat = [pa.array(f1), pa.array(f2), ids.take(take), keys.take(take), *[pa.array(v[order].astype(np.int32)) for v in (start, stop, word)], pa.array((again[x] | col["twice"][block])[order])]
+        wide = [pa.ListArray.from_arrays(cut_at, v).cast(schema.field(c).type) for v, c in zip(flat, LISTS)]
+        sent_on = pa.table([pa.nulls(len(edges) - 1, f.type) for f in list(schema)[:3]] + [pa.array(part[edges[:-1]])] + wide, schema=schema)
         return pa.concat_tables([found, sent_on])
     return run
 
 
-def _merge_range(length: int, schema: pa.Schema):
+def _merge_range(n_words: int | None, schema: pa.Schema):
     """Open strings of one fingerprint range that another shard has too, each shard's sorted list searched for in the others'."""
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        f1, f2, ids, keys, at, settled = (t.column(c).combine_chunks().flatten() for c in LISTS)
+        f1, f2, ids, keys, starts, stops, firsts, settled = (t.column(c).combine_chunks().flatten() for c in LISTS)
         a, b = f1.to_numpy(), f2.to_numpy()
         sizes = t.column("fp1").combine_chunks().value_lengths().to_numpy()
         edge = np.concatenate([[0], np.cumsum(sizes)])
@@ -258,9 +291,11 @@ def _merge_range(length: int, schema: pa.Schema):
         hit &= ~settled.to_numpy(zero_copy_only=False)
         which = np.flatnonzero(hit)
         take = pa.array(which)
-        # windows of one text as spans
-        spans = [[{"start": int(x), "stop": int(x) + length}] for x in at.to_numpy()[which]]
-        return pa.table([ids.take(take), keys.take(take), pa.array(spans, schema.field("spans").type)], schema=schema)
+        first = firsts.to_numpy()[which]
+        last = np.where(first >= 0, first + (n_words or 0), -1)
+        kind = schema.field("spans").type
+        spans = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32)), _spans(starts.to_numpy()[which], stops.to_numpy()[which], first, last, kind.value_type)).cast(kind)
+        return pa.table([ids.take(take), keys.take(take), spans], schema=schema)
     return run
 
 
@@ -270,33 +305,32 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.bincount(char, weights=gone, minlength=len(data) + 1)[char] > 0 if len(data) else gone
 
 
-def _bytes_of_words(data: np.ndarray, off: np.ndarray, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of word hashes as spans of bytes in the flat text, from the first word's first byte to the last word's last."""
-    begin, end, _, first = words(data, off)
-    flat, row = found.flatten(), rows_of(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    # whole words only: hashes of neighbouring words may agree in a byte
-    lo = first[row] + (flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + WORD - 1) // WORD
-    hi = first[row] + flat.field("stop").to_numpy(zero_copy_only=False).astype(np.int64) // WORD
-    return begin[lo], end[hi - 1]
+def _merged_words(row: np.ndarray, first: np.ndarray, last: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words in the union of each row's spans, and runs of them."""
+    keep = first >= 0
+    row, first, last = row[keep], first[keep], last[keep]
+    lo, hi = (row << 32) + first, (row << 32) + last
+    order = np.argsort(lo)
+    lo, hi, row = lo[order], hi[order], row[order]
+    reach = np.maximum.accumulate(hi) if len(hi) else hi
+    before = np.concatenate([[-1], reach[:-1]])[:len(lo)]
+    words_ = np.maximum(hi - np.maximum(lo, before), 0)
+    return np.bincount(row, weights=words_, minlength=n_rows).astype(np.int64), np.bincount(row, weights=lo > before, minlength=n_rows).astype(np.int64)
 
 
-def _remove(schema: pa.Schema, as_text: bool):
+def _remove(schema: pa.Schema, as_text: bool, cut_words: bool, count_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "__text", BATCH_BYTES):
             data, off = flat_text(b.column("__text"))
             found = b.column("__spans")
-            sizes = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = found.flatten()
-            row = rows_of(sizes)
-            start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + off[row]
-            stop = flat.field("stop").to_numpy(zero_copy_only=False).astype(np.int64) + off[row]
-            if "__worded" in b.schema.names:
-                more = _bytes_of_words(data, off, b.column("__worded"))
-                start, stop = np.concatenate([start, more[0]]), np.concatenate([stop, more[1]])
-            edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, stop, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            row = rows_of(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start, stop, first, last = (found.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "stop", "first", "last"))
+            more = _merged_words(row, first, last, b.num_rows) if count_words else ()
+            use = slice(None) if cut_words else first < 0
+            edge = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edge, (start + off[row])[use], 1)
+            np.add.at(edge, (stop + off[row])[use], -1)
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
             first = gone.copy()
             first[1:] &= ~gone[:-1]
             begins = np.zeros(len(data) + 1, bool)
@@ -316,43 +350,56 @@ def _remove(schema: pa.Schema, as_text: bool):
                 [pa.array((a - off[which]).astype(np.int32)), pa.array((z - off[which]).astype(np.int32))], ["start", "stop"])).cast(schema.field("spans").type)
             kind = pa.large_string() if as_text else pa.large_binary()
             kept = pa.Array.from_buffers(kind, b.num_rows, [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())]).cast(schema.field("kept").type)
-            yield pa.RecordBatch.from_arrays([b.column("__in"), kept, pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(n_spans.astype(np.int64)), spans], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("__in"), kept, pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(n_spans.astype(np.int64)), spans, *map(pa.array, more)], schema=schema)
     return run
 
 
-def _find_repeats(docs: DataFrame, length: int, by_words: bool, name: str) -> DataFrame:
-    """Spans of the strings that occur twice in the texts of `docs` (id, key, text), as the column `name` of a row per id and key; in bytes of hashes `by_words`."""
+def _find_repeats(docs: DataFrame, length: int, n_words: int | None) -> DataFrame:
+    """Spans of the strings and passages that occur twice in the texts of `docs` (id, key, text), a row `(id, key, __spans)` per id and key that has any.
+
+    A span has bytes `start` to `stop`, and words `first` to `last` where it is a passage, else -1.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = docs.schema["id"].dataType.simpleString()
-    least = length // WORD * 2 - 1 if by_words else length  # words of a byte, and one byte between
-    found = cut(docs.where(F.octet_length("text") >= least).mapInArrow(_find_anchors(length, by_words), f"h long, id {kind}, key long, lo int, n int, places int"))
-    sizes = cut(found.groupBy("h").agg(F.sum("places").alias("c"), F.sum(F.col("n") + length - 1).alias("b")).where("c > 1"))
-    total = sizes.agg(F.sum("b").alias("b"), F.sum(F.when(F.col("b") > SHARD_BYTES, F.col("b"))).alias("hot")).first()
+    schema = lambda ddl: to_arrow_schema(T._parse_datatype_string(ddl))
+    least = length if n_words is None else min(length, n_words * 2 - 1)  # words of a byte, and one byte between
+    ddl = f"worded boolean, h long, whole long, id {kind}, key long, lo int, n int, places int, at int, size int"
+    found = cut(docs.where(F.octet_length("text") >= least).mapInArrow(_find_anchors(length, n_words, schema(ddl)), ddl))
+    often = cut(found.groupBy("h").agg(F.sum("places").alias("c")).where("c > 1").select("h"))
+    twice = cut(found.join(often, "h"))
+    release(found, often)
+    rep = F.min(F.struct("id", "key", "lo", "n", "at", "size", "worded"))
+    bodies = cut(twice.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("copies"), F.max("places").alias("places"), rep.alias("rep")))
+    # anchors with several blocks, or with a block that may repeat itself
+    mixed = cut(bodies.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("places").alias("p"), F.sum("rep.size").alias("b")).where("m > 1 OR p > 1").select("h", "b"))
+    total = mixed.agg(F.sum("b").alias("b"), F.sum(F.when(F.col("b") > SHARD_BYTES, F.col("b"))).alias("hot")).first()
     shards = max(1, -(-(total["b"] or 0) // SHARD_BYTES))
     pieces = F.ceil(F.col("b") / SHARD_BYTES)
-    where = F.pmod(F.hash("id", "key", "lo"), pieces)
-    twice = found.join(sizes, "h").select("id", "key", "h", (F.col("b") > SHARD_BYTES).alias("split"), "lo", "n",
-                                          F.pmod(F.xxhash64("h", where), F.lit(shards)).alias("shard"))
-    blocks = twice.groupBy("id", "key").agg(F.collect_set(F.struct("shard", "h", "split", "lo", "n")).alias("blocks"))
-    fields = ["shard", "h", "split", "id", "key", "lo", "n", "body"]
+    shard = 2 * F.pmod(F.xxhash64("h", F.pmod(F.hash("rep.id", "rep.key", "rep.lo"), pieces)), F.lit(shards)) + F.col("rep.worded").cast("int")
+    block = F.struct(shard.alias("shard"), (F.col("b") > SHARD_BYTES).alias("split"), (F.col("copies") > 1).alias("twice"), *[F.col(f"rep.{c}").alias(c) for c in BLOCK[3:]])
+    blocks = bodies.join(mixed, "h").select("rep.id", "rep.key", block.alias("block")).groupBy("id", "key").agg(F.collect_list("block").alias("blocks"))
     d = docs.select(F.col("id").alias("i"), F.col("key").alias("k"), "text")
-    cutout = d.join(blocks, d["i"].eqNullSafe(blocks["id"]) & d["k"].eqNullSafe(blocks["key"])).select("id", "key", "text", "blocks").mapInArrow(
-        _cut_blocks(length, fields, by_words), f"shard long, h long, split boolean, id {kind}, key long, lo int, n int, body binary")
+    ddl = f"shard long, split boolean, twice boolean, worded boolean, lo int, n int, at int, size int, id {kind}, key long, body binary"
+    # a text that comes in several rows is cut in each of them; one copy of a block is enough
+    cutout = d.join(blocks, d["i"].eqNullSafe(blocks["id"]) & d["k"].eqNullSafe(blocks["key"])).select("id", "key", "text", "blocks").mapInArrow(_cut_blocks(schema(ddl)), ddl)
     n_ranges = max(1, (total["hot"] or 0) // RANGE_ROWS)
-    ddl = SPANS.format(id=kind)
-    sorted_ = cut(cutout.groupBy("shard").applyInArrow(_sort_shard(length, to_arrow_schema(T._parse_datatype_string(ddl)), n_ranges), ddl))
-    release(found, sizes)
-    inside = sorted_.where("spans IS NOT NULL").select("id", "key", "spans")
+    ddl = FOUND.format(id=kind)
+    sorted_ = cut(cutout.groupBy("shard").applyInArrow(_sort_shard(length, n_words, schema(ddl), n_ranges), ddl))
+    last = F.when(F.col("worded"), F.col("lo") + F.col("n") + (n_words or 0) - 1).otherwise(-1)
+    span = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"), F.when(F.col("worded"), F.col("lo")).otherwise(-1).alias("first"), last.alias("last"))
+    copied = twice.join(bodies.where("copies > 1").select("h", "whole"), ["h", "whole"]).select("id", "key", F.array(span).cast(SPAN).alias("spans"))
+    inside = copied.unionByName(sorted_.where("spans IS NOT NULL").select("id", "key", "spans"))
     if total["hot"]:
-        ddl = f"id {kind}, key long, spans array<struct<start:int,stop:int>>"
+        ddl = f"id {kind}, key long, spans {SPAN}"
         merged = sorted_.where("fp1 IS NOT NULL").select("range", *LISTS).groupBy("range")
-        inside = inside.unionByName(merged.applyInArrow(_merge_range(length, to_arrow_schema(T._parse_datatype_string(ddl))), ddl))
-    return inside.groupBy("id", "key").agg(F.flatten(F.collect_set("spans")).alias(name))
+        inside = inside.unionByName(merged.applyInArrow(_merge_range(n_words, schema(ddl)), ddl))
+    out = inside.groupBy("id", "key").agg(F.flatten(F.collect_set("spans")).alias("__spans"))
+    return out
 
 
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, keep: list[str] | None = None, as_text: bool = False,
-                   n_words: int | None = None) -> DataFrame:
+                   n_words: int | None = None, cut_words: bool = True) -> DataFrame:
     """Add `kept` (binary), `n_bytes`, `n_removed`, `n_spans` and `spans` (start, stop in bytes, merged) to every row.
 
     Every byte covered by a `length`-byte string that also starts anywhere else, in the
@@ -363,29 +410,29 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     like an output are replaced. An empty table gives an empty result. With `as_text`,
     `kept` is a string, from which characters that lost a byte are gone altogether.
 
-    With `n_words`, every run of so many words that also starts anywhere else is removed
-    as well, however few bytes it has, from its first word to its last with what lies
-    between. Words are those of `common.words`: their case, and marks and blanks between
-    them, do not count.
-
-    Rows are told apart by id and a hash of the text. Text is shuffled once to cut
-    blocks and once to cut out spans, with `n_words` once more; anchors are some 30 bytes
-    per 200 bytes of text, and only blocks of anchors that occur twice move, to shards of
-    `SHARD_BYTES`.
+    With `n_words`, every run of so many words that also starts anywhere else is found as
+    well, however few bytes it has, from its first word to its last with what lies between;
+    `n_words_removed` counts the words in such runs and `n_word_spans` the runs merged. They
+    are removed too unless `cut_words` is false. Words are those of `common.words`: their
+    case, and marks and blanks between them, do not count.
+
+    Rows are told apart by id and a hash of the text. A text of any length is searched
+    BATCH_BYTES at a time and needs some three times its size when spans are cut out. Text
+    is shuffled once to cut blocks and once to cut out spans; anchors are some 30 bytes per
+    200 bytes of text, and one copy of each block moves, to shards of `SHARD_BYTES`, if its
+    anchor has another.
     """
-    if min(length, length if n_words is None else n_words * WORD) < GRAM + 8:
-        raise ValueError(f"length is at least {GRAM + 8}, and n_words {GRAM // WORD + 1}")
+    if length < GRAM + 8 or (n_words is not None and n_words <= WORD_GRAM):
+        raise ValueError(f"length is at least {GRAM + 8}, and n_words {WORD_GRAM + 1}")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs = df.select(q(id).alias("id"), text_key(q(text)).alias("key"), q(text).cast("binary").alias("text"))
-    spans = _find_repeats(docs, length, False, "__spans")
-    if n_words is not None:
-        worded = _find_repeats(docs, n_words * WORD, True, "__worded")
-        spans = spans.unionByName(worded, allowMissingColumns=True).groupBy("id", "key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("__spans", "__worded")])
-    found = spans.columns[2:]
-    spans = spans.select(F.col("id").alias("__i"), F.col("key").alias("__k"), *found)
-    whole, columns = pack(df, OUT, keep)
+    spans = _find_repeats(docs, length, n_words)
+    spans = spans.select(F.col("id").alias("__i"), F.col("key").alias("__k"), "__spans")
+    names = OUT + (WORD_OUT if n_words is not None else [])
+    whole, columns = pack(df, names, keep)
     a = df.select(whole, q(id).alias("__id"), text_key(q(text)).alias("__key"), q(text).cast("binary").alias("__text"))
-    j = a.join(spans, a["__id"].eqNullSafe(spans["__i"]) & a["__key"].eqNullSafe(spans["__k"]), "left").select("__in", "__text", *found)
-    out = T.StructType([j.schema["__in"]] + T._parse_datatype_string(("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>").fields)
-    return j.mapInArrow(_remove(to_arrow_schema(out), as_text), out).select(*columns, *OUT)
+    j = a.join(spans, a["__id"].eqNullSafe(spans["__i"]) & a["__key"].eqNullSafe(spans["__k"]), "left").select("__in", "__text", "__spans")
+    ddl = ("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>" + "".join(f", {c} long" for c in names[len(OUT):])
+    out = T.StructType([j.schema["__in"]] + T._parse_datatype_string(ddl).fields)
+    return j.mapInArrow(_remove(to_arrow_schema(out), as_text, cut_words, n_words is not None), out).select(*columns, *names)

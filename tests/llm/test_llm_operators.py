@@ -140,13 +140,28 @@ def brute_repeats(texts, length):
     return out
 
 
+def brute_passages(texts, n_words):
+    """Words in runs of `n_words` words that occur twice, and maximal runs of such words."""
+    lists = [words_of(t) for t in texts]
+    seen = Counter(tuple(w[k:k + n_words]) for w in lists for k in range(len(w) - n_words + 1))
+    out = []
+    for w in lists:
+        gone = [False] * len(w)
+        for k in range(len(w) - n_words + 1):
+            if seen[tuple(w[k:k + n_words])] > 1:
+                gone[k:k + n_words] = [True] * n_words
+        out.append((sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))))
+    return out
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 3_000])
 def test_suffix_dedup_by_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
     monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 2_000 if shard < 1 << 20 else 1 << 20)
     got = {r[0]: tuple(r)[1:] for r in queries.QUERIES["op2_suffix_dedup"](spark, FOLDER).collect()}
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
-    want = {r[0]: (*w[1:], hashlib.sha256(w[0]).hexdigest()) for r, w in zip(rows, brute_repeats([r[1] for r in rows], 400))}
+    texts = [r[1] for r in rows]
+    want = {r[0]: (*w[1:], hashlib.sha256(w[0]).hexdigest(), *x) for r, w, x in zip(rows, brute_repeats(texts, 400), brute_passages(texts, 51))}
     assert got == want
 
 
@@ -161,6 +176,17 @@ def test_suffix_dedup_of_odd_rows(spark):
     assert all(r["kept"] == r["kept"].encode().decode() for r in text)
 
 
+def test_suffix_dedup_of_texts_above_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 700)
+    docs = odd_documents(spark).where("coalesce(doc_id, 0) NOT IN (5, 6)").select("doc_id", "text")
+    more = [(50 + k, " ".join(f"{chr(97 + (j * (k + 3)) % 26)}{j % 97}" for j in range(900))) for k in range(3)] + [(60, "ab" * 2000), (61, "x" + "ab" * 1200 + " end")]
+    d = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = d.collect()
+    got = suffix_dedup.remove_repeats(d, length=60, n_words=6).collect()
+    assert sorted(((r["doc_id"], bytes(r["kept"])) for r in got), key=str) == sorted(zip([r[0] for r in rows], brute_worded_repeats([r[1] for r in rows], 60, 6)), key=str)
+    assert sorted((r["n_words_removed"], r["n_word_spans"]) for r in got) == sorted(brute_passages([r[1] for r in rows], 6))
+
+
 def test_suffix_dedup_of_long_texts(spark):
     out = {(r["id"]): r for r in suffix_dedup.remove_repeats(odd_documents(spark).where("doc_id IN (5, 6)")).collect()}
     assert [(r["n_bytes"] - r["n_removed"]) for _, r in sorted(out.items())] == [0, 4]
