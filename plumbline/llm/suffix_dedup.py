@@ -5,8 +5,9 @@
    the corpus are dropped: no string filed there can repeat. One pass over the texts finds
    the anchors of both kinds.
 2. Blocks. Around each remaining anchor lies a block: the strings filed there. A block that
-   comes again as it is repeats altogether; one copy of it goes on, and only if the anchor
-   has other blocks too.
+   comes again as it is repeats altogether; one copy of it goes on. Of two halves of a
+   string around its anchor one holds half of the rest, so only strings whose anchor has
+   the same half string in another block can repeat; the others go.
 3. Shards. Blocks are dealt to shards by the anchor's hash; an anchor with more text than a
    shard holds is split over several. A shard sorts the suffixes of its blocks
    (Larsson-Sadakane) and reads off, from Kasai's common prefixes, which strings occur twice.
@@ -113,7 +114,7 @@ class StretchHash:
 
 
 def anchors(g: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text number, anchor hash, first string (symbol among all), number of strings and number of anchors of every block.
+    """Text number, anchor hash, first string (symbol among all), number of strings, number of anchors and place of the first anchor of every block.
 
     `g` are the hashes of the grams from each symbol of texts laid end to end. A block is a
     run of strings whose anchors are one place, or follow each other with the same hash, as
@@ -121,7 +122,7 @@ def anchors(g: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.
     """
     none = np.zeros(0, np.int64)
     if len(g) < length - gram + 1:
-        return none, none.astype(U64), none, none, none
+        return none, none.astype(U64), none, none, none, none
     place = np.arange(len(g), dtype=U64)
     low = U64((1 << 26) - 1)
     least = _least((g & ~low) | (place & low), length - gram + 1)  # ties: the first
@@ -140,34 +141,46 @@ def anchors(g: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.
     moved[1:] = (where[1:] != where[:-1]) & inside[1:] & ~new[1:]
     moves = np.concatenate([[0], np.cumsum(moved)])
     stop = np.append(start[1:], len(at))
-    return text[start], mix(hashes[start]), start, total[stop] - total[start], 1 + moves[stop] - moves[start]
+    return text[start], mix(hashes[start]), start, total[stop] - total[start], 1 + moves[stop] - moves[start], where[start]
 
 
-def _blocks(symbols: np.ndarray, off: np.ndarray, length: int, worded: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """Text number, anchor, hash of the block, first symbol among all, strings and anchors of every block, found in windows of BATCH_BYTES symbols."""
+def _half(length: int, worded: bool) -> int:
+    """Symbols before its anchor that a string has, if it has not as many of its rest (at least) after it."""
+    return (length - (WORD_GRAM if worded else GRAM)) // 2
+
+
+def _blocks(symbols: np.ndarray, off: np.ndarray, length: int, worded: bool) -> Iterator[dict[str, np.ndarray]]:
+    """Blocks found in windows of BATCH_BYTES symbols; `lo` is the first symbol among all, `c1` and `c2` are hashes of the half strings before and after the anchor."""
+    gram, half = WORD_GRAM if worded else GRAM, _half(length, worded)
     for at in range(0, max(1, len(symbols)), BATCH_BYTES):
         part = symbols[at:at + BATCH_BYTES + length - 1]  # strings that start in the window
         if len(part) < length:
             continue
         inner = np.clip(off - at, 0, len(part))
         g = _gram_words(part) if worded else _gram_hashes(part)
-        text, h, lo, n, places = anchors(g, inner, length, WORD_GRAM if worded else GRAM)
-        whole = StretchHash(part if worded else BYTE_VALUES[part]).of(lo, lo + n + length - 1)
-        yield text, mix(h, 5 if worded else 6), mix(whole, 8), lo + at, n, places
+        text, h, lo, n, places, anchor = anchors(g, inner, length, gram)
+        stretch = StretchHash(part if worded else BYTE_VALUES[part])
+        has1, has2 = lo <= anchor - half, lo + n > anchor - half
+        c1 = stretch.of(np.where(has1, anchor - half, 0), np.where(has1, anchor + gram, 0))
+        c2 = stretch.of(np.where(has2, anchor, 0), np.where(has2, anchor + length - half, 0))
+        yield {"text": text, "h": mix(h, 5 if worded else 6), "whole": mix(stretch.of(lo, lo + n + length - 1), 8), "lo": lo + at, "n": n, "places": places,
+               "before": anchor - lo, "c1": np.ma.masked_array(mix(c1, 9), ~has1), "c2": np.ma.masked_array(mix(c2, 10), ~has2)}
 
 
 def _find_anchors(length: int, n_words: int | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", BATCH_BYTES):
             data, off = flat_text(b.column("text"))
-            found = [(False, *x, x[3] - off[x[0]], x[3], x[3] + x[4] + length - 1) for x in _blocks(data, off, length, False)]
+            found = [(False, x, off, x["lo"], x["lo"] + x["n"] + length - 1) for x in _blocks(data, off, length, False)]
             if n_words is not None:
                 begin, end, h, first = _words(data, off)
-                found += [(True, *x, x[3] - first[x[0]], begin[x[3]], end[x[3] + x[4] + n_words - 2]) for x in _blocks(h, first, n_words, True)]
-            for worded, text, h, whole, _, n, places, lo, start, stop in found:
+                found += [(True, x, first, begin[x["lo"]], end[x["lo"] + x["n"] + n_words - 2]) for x in _blocks(h, first, n_words, True)]
+            for worded, x, first, start, stop in found:
+                text = x["text"]
                 take = pa.array(text)
-                small = [pa.array(x.astype(np.int32)) for x in (lo, n, places, start - off[text], stop - start)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), worded)), pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), b.column("id").take(take), b.column("key").take(take), *small], schema=schema)
+                wide = [pa.array(x[c].view(np.int64)) for c in ("h", "whole")] + [pa.array(x[c].data.view(np.int64), mask=np.ma.getmaskarray(x[c])) for c in ("c1", "c2")]
+                small = [pa.array(v.astype(np.int32)) for v in (x["lo"] - first[text], x["n"], x["places"], x["before"], start - off[text], stop - start)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(text), worded)), *wide, b.column("id").take(take), b.column("key").take(take), *small], schema=schema)
     return run
 
 
@@ -364,21 +377,32 @@ def _find_repeats(docs: DataFrame, length: int, n_words: int | None) -> DataFram
     kind = docs.schema["id"].dataType.simpleString()
     schema = lambda ddl: to_arrow_schema(T._parse_datatype_string(ddl))
     least = length if n_words is None else min(length, n_words * 2 - 1)  # words of a byte, and one byte between
-    ddl = f"worded boolean, h long, whole long, id {kind}, key long, lo int, n int, places int, at int, size int"
+    ddl = f"worded boolean, h long, whole long, c1 long, c2 long, id {kind}, key long, lo int, n int, places int, before int, at int, size int"
     found = cut(docs.where(F.octet_length("text") >= least).mapInArrow(_find_anchors(length, n_words, schema(ddl)), ddl))
     often = cut(found.groupBy("h").agg(F.sum("places").alias("c")).where("c > 1").select("h"))
     twice = cut(found.join(often, "h"))
     release(found, often)
-    rep = F.min(F.struct("id", "key", "lo", "n", "at", "size", "worded"))
-    bodies = cut(twice.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("copies"), F.max("places").alias("places"), rep.alias("rep")))
-    # anchors with several blocks, or with a block that may repeat itself
-    mixed = cut(bodies.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("places").alias("p"), F.sum("rep.size").alias("b")).where("m > 1 OR p > 1").select("h", "b"))
+    rep = F.min(F.struct("id", "key", "lo", "n", "at", "size", "worded", "before"))
+    bodies = cut(twice.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("copies"), F.max("places").alias("places"), F.max("c1").alias("c1"), F.max("c2").alias("c2"), rep.alias("rep")))
+    # blocks with a half string that another block of the anchor has, and blocks that may repeat themselves
+    halves = bodies.where("places = 1").select("h", "whole", "copies", "rep", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("c1").alias("c")), F.struct(F.lit(2).alias("side"), F.col("c2").alias("c")))).alias("x"))
+    halves = halves.select("h", "whole", "copies", "rep", "x.side", "x.c").where("c IS NOT NULL")
+    shared = halves.groupBy("h", "side", "c").count().where("count > 1").drop("count")
+    kept = halves.join(shared, ["h", "side", "c"]).groupBy("h", "whole").agg(F.first("copies").alias("copies"), F.first("rep").alias("rep"), F.min("side").alias("s1"), F.max("side").alias("s2"))
+    kept = kept.unionByName(bodies.where("places > 1").select("h", "whole", "copies", "rep", F.lit(1).alias("s1"), F.lit(2).alias("s2")))
+    # strings of bytes that only the other half could match need not be sorted
+    over = F.greatest(F.col("rep.before") - _half(length, False), F.lit(0))  # strings with all of the half before the anchor, but for the last of them
+    lo = F.when(~F.col("rep.worded") & (F.col("s1") == 2), F.col("rep.lo") + over).otherwise(F.col("rep.lo"))
+    hi = F.when(~F.col("rep.worded") & (F.col("s2") == 1), F.col("rep.lo") + F.least(over + 1, F.col("rep.n"))).otherwise(F.col("rep.lo") + F.col("rep.n"))
+    new = {"lo": lo, "n": hi - lo, "at": F.when(F.col("rep.worded"), F.col("rep.at")).otherwise(lo), "size": F.when(F.col("rep.worded"), F.col("rep.size")).otherwise(hi - lo + length - 1)}
+    kept = cut(kept.select("h", "copies", F.struct("rep.id", "rep.key", "rep.worded", *[v.alias(c) for c, v in new.items()]).alias("rep")))
+    mixed = cut(kept.groupBy("h").agg(F.sum("rep.size").alias("b")))
     total = mixed.agg(F.sum("b").alias("b"), F.sum(F.when(F.col("b") > SHARD_BYTES, F.col("b"))).alias("hot")).first()
     shards = max(1, -(-(total["b"] or 0) // SHARD_BYTES))
     pieces = F.ceil(F.col("b") / SHARD_BYTES)
     shard = 2 * F.pmod(F.xxhash64("h", F.pmod(F.hash("rep.id", "rep.key", "rep.lo"), pieces)), F.lit(shards)) + F.col("rep.worded").cast("int")
     block = F.struct(shard.alias("shard"), (F.col("b") > SHARD_BYTES).alias("split"), (F.col("copies") > 1).alias("twice"), *[F.col(f"rep.{c}").alias(c) for c in BLOCK[3:]])
-    blocks = bodies.join(mixed, "h").select("rep.id", "rep.key", block.alias("block")).groupBy("id", "key").agg(F.collect_list("block").alias("blocks"))
+    blocks = kept.join(mixed, "h").select("rep.id", "rep.key", block.alias("block")).groupBy("id", "key").agg(F.collect_list("block").alias("blocks"))
     d = docs.select(F.col("id").alias("i"), F.col("key").alias("k"), "text")
     ddl = f"shard long, split boolean, twice boolean, worded boolean, lo int, n int, at int, size int, id {kind}, key long, body binary"
     # a text that comes in several rows is cut in each of them; one copy of a block is enough
