@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -65,6 +66,15 @@ def in_pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Ite
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
             yield b.slice(lo, hi - lo)
             lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: its worker stays, and waits beside the heap for the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -20,7 +20,7 @@ SAMPLE_PER_LANGUAGE = 400  # documents learned from, per language at most
 SAMPLE_ROWS = 8_000  # and in all
 SAMPLE_CHARS = 512  # code points taken from a random place of each
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 1
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 UNKNOWN = "und"
 OUT = ["lang_pred", "score"]
 

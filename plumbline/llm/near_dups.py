@@ -32,7 +32,7 @@ SHINGLE = 5  # words
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # at similarity 0.8 a pair shares no band once in 300,000 times
 TILE = 256  # texts of one bucket compared in one task at a time
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
