@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import BYTE_VALUES, IS_WORD, LOWER, U64, flat_text, in_pieces, mix, pack, q, ranges, rows_of, text_key, words
+from plumbline.llm.common import BYTE_VALUES, IS_WORD, LOWER, U64, flat_text, give_back, in_pieces, mix, pack, q, ranges, rows_of, text_key, words
 from plumbline.llm.suffix import common_prefixes, suffix_array
 from plumbline.session import cut, release
 
@@ -216,6 +216,12 @@ def _spans(start, stop, first, last, kind: pa.DataType) -> pa.StructArray:
 def _sort_shard(length: int, n_words: int | None, schema: pa.Schema, n_ranges: int):
     """Spans of the strings that repeat inside a shard, and sorted fingerprints of what a split anchor leaves open, a row per range."""
     def run(table: pa.Table) -> pa.Table:
+        try:
+            return sort(table)
+        finally:
+            give_back()
+
+    def sort(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         col = {c: t.column(c).to_numpy() for c in ("lo", "n", "at", "split", "twice")}
         data, off = flat_text(t.column("body").combine_chunks())
