@@ -45,6 +45,15 @@ def c17(t):
     return R6(K.score_pairs(a, b, "lid", "rid", "block", COMPS, 0.85), "score")
 
 
+@query("c17_candidates", _SC + """ SELECT (SELECT count(*) FROM s) AS in_blocks, (SELECT count(*) FROM l JOIN r ON l.block = r.block WHERE l.size = r.size OR l.size IS NULL OR r.size IS NULL) AS keyed,
+    (SELECT count(*) FROM k) AS scored, true AS bounded""")
+def c17b(t):
+    a, b = _sides(t)
+    scored = K.score_pairs(a, b, "lid", "rid", "block", COMPS, 0.85).agg(F.count(F.lit(1)).alias("scored"))
+    out = K.candidate_report(a, b, "lid", "rid", "block", COMPS, 0.85).join(F.broadcast(scored))
+    return out.select("in_blocks", "keyed", "scored", ((F.col("compared") >= F.col("scored")) & (F.col("compared") <= F.col("keyed"))).alias("bounded"))
+
+
 def _closeness(a, b):
     """Share of the smaller number in the larger."""
     x, y = np.array(a, dtype=float), np.array(b, dtype=float)
