@@ -28,6 +28,40 @@ def _tails(path: Column, proper: bool) -> Column:
         F.array().cast("array<string>"))
 
 
+# The commands by which a manuscript cites, labels and includes tables.
+REF, INPUT = r"\\[cC]?ref\{([^}]*)\}", r"\\input\{([^}]*)\}"
+LABEL, TABLE = r"\\label\{(tab:[^}]*)\}", r"\\begin\{table\*?\}"
+BLANK_LINES = r"\n\s*\n"
+
+
+def manuscript_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`(id, para, para_id, text)`: the stretches between blank lines, numbered from 1; `para_id` joins both numbers."""
+    d = docs.select(F.col(id).alias("id"), F.posexplode(F.split(text, BLANK_LINES, -1)).alias("para", "text"))
+    return d.select("id", (F.col("para") + 1).alias("para"), F.concat_ws(":", "id", F.col("para") + 1).alias("para_id"), "text")
+
+
+def label_files(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`(id, label, request)`: the files included where a label stands, from the start of its table environment to the next one or the end."""
+    blocks = docs.select(F.col(id).alias("id"), F.explode(F.split(text, TABLE, -1)).alias("b"))
+    d = blocks.select("id", F.array_distinct(F.regexp_extract_all("b", F.lit(INPUT), F.lit(1))).alias("files"), F.explode(F.regexp_extract_all("b", F.lit(LABEL), F.lit(1))).alias("label"))
+    return d.select("id", "label", F.explode(F.transform("files", lambda f: F.trim(f))).alias("request")).distinct()
+
+
+def read_citations(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`(para_id, cited_path)`: what each paragraph of a manuscript cites.
+
+    A reference stands for the files of its label in the same manuscript, an included
+    file for itself. A reference to a table without a file is kept as it is, so that it
+    counts as unresolved; references to anything else are no citations of numbers.
+    """
+    p = manuscript_paragraphs(docs, id, text)
+    refs = p.select("id", "para_id", F.explode(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(REF), F.lit(1)), lambda r: F.split(r, ",")))).alias("label")).withColumn("label", F.trim("label"))
+    refs = refs.join(label_files(docs, id, text), ["id", "label"], "left")
+    refs = refs.where(F.col("request").isNotNull() | F.startswith("label", F.lit("tab:"))).select("para_id", F.coalesce("request", "label").alias("cited_path"))
+    files = p.select("para_id", F.explode(F.transform(F.regexp_extract_all("text", F.lit(INPUT), F.lit(1)), lambda f: F.trim(f))).alias("cited_path"))
+    return refs.unionByName(files).distinct()
+
+
 def artifact_values(artifacts: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
     """Distinct numbers of each artifact: `(path, value)`."""
     return artifacts.select(normal_path(F.col(path)).alias("path"), F.explode(all_numbers(F.col(body))).alias("value")).distinct()

@@ -113,15 +113,22 @@ FIXTURES = {
              WHEN p_partkey % 4 = 3 THEN p_name || ' ' || substr(md5(CAST(p_partkey AS VARCHAR(20))), 2, 7)
              ELSE p_name || ' ' || substr(md5(CAST(p_partkey AS VARCHAR(20))), 1, 8) END AS name,
         p_size AS size FROM {part}""",
-    # per-nation results, the files they are printed in and prose citing them
+    # per-nation results, and prose stating them
     "nat": """SELECT c_nationkey AS k, count(*) AS n_orders, CAST(sum(o_custkey) AS BIGINT) AS key_sum, CAST(max(o_orderkey) AS BIGINT) AS last_key
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey""",
-    "artifacts": """SELECT 'coast/nation_' || CAST(k AS VARCHAR(9)) || '.txt' AS path, 'orders & ' || CAST(n_orders AS VARCHAR(20)) || ' & keys ' || CAST(key_sum AS VARCHAR(20))
-          || ' & last ' || CAST(last_key AS VARCHAR(20)) AS body FROM {nat}
-        UNION ALL SELECT 'coast/totals.txt', '64.31 and 207.9' UNION ALL SELECT 'inland/totals.txt', '18.55 and 430.75'""",
     "paragraphs": """SELECT CAST(k AS BIGINT) AS para_id, CASE WHEN k % 9 = 4 THEN 'totals' WHEN k % 9 = 7 THEN 'coast/wrong' WHEN k % 2 = 0 THEN 'report/coast/nation_' || CAST(k AS VARCHAR(9))
           ELSE 'nation_' || CAST(k AS VARCHAR(9)) || '.txt' END AS cited_path,
         'By 1997 the keys had grown 8.75' || chr(92) || '% up to ' || CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS VARCHAR(20))
           || ' over ' || CAST(n_orders AS VARCHAR(20)) || ' orders ' || chr(92) || 'ref' || chr(123) || 'tab:x12345' || chr(125)
           || CASE WHEN k % 7 = 3 THEN ', with ' || CAST(987654 + k AS VARCHAR(20)) || ' left' ELSE '' END || '.' AS text FROM {nat}""",
+    # every document as a file, beside a file per folder whose name alone does not tell which; and manuscripts that restate
+    # the documents with 7 turned into 8 and cite the files in several ways, some of which lead nowhere
+    "files": """SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'xx') || '/d' || CAST(doc_id AS VARCHAR(20)) || '.tex' AS path, text AS body FROM {documents} WHERE text IS NOT NULL
+        UNION ALL SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'xx') || '/notes.tex', 'texts ' || CAST(count(*) AS VARCHAR(20)) FROM {documents} GROUP BY coalesce(source, 'none'), coalesce(lang, 'xx')""",
+    "manuscripts": """SELECT doc_id, 'As ' || chr(92) || CASE doc_id % 8 WHEN 0 THEN 'ref' || chr(123) || 'tab:' || name WHEN 1 THEN 'cref' || chr(123) || 'sec:x, tab:' || name
+          WHEN 2 THEN 'input' || chr(123) || lang || '/' || name WHEN 3 THEN 'input' || chr(123) || './' || source || '//' || lang || '/' || name || '.tex' WHEN 4 THEN 'input' || chr(123) || 'report/' || source || '/' || lang || '/' || name
+          WHEN 5 THEN 'input' || chr(123) || 'notes' WHEN 6 THEN 'ref' || chr(123) || 'tab:lost' || name ELSE 'input' || chr(123) || 'lost/' || name END || chr(125) || ' says, ' || body || chr(10) || chr(10)
+          || chr(92) || 'begin' || chr(123) || 'table' || chr(125) || chr(92) || 'label' || chr(123) || 'tab:' || name || chr(125) || chr(92) || 'input' || chr(123) || source || '/' || lang || '/' || name || '.tex' || chr(125) || chr(92) || 'end' || chr(123) || 'table' || chr(125) AS text
+        FROM (SELECT doc_id, 'd' || CAST(doc_id AS VARCHAR(20)) AS name, coalesce(source, 'none') AS source, coalesce(lang, 'xx') AS lang,
+            replace(replace(replace(replace(text, chr(92), ''), '%', ''), chr(96), ''), '7', '8') AS body FROM {documents} WHERE text IS NOT NULL) q""",
 }

@@ -143,11 +143,12 @@ def c23(t):
 
 
 def _line_edges(t):
+    """Documents that are equal as a whole, whatever their lines, or share a line too long to be a phrase."""
     lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 80)
-    return K.shared_key_edges(lines.select("doc_id", F.unhex(F.md5("line")).alias("h")), "doc_id", "h")
+    return K.shared_key_edges(lines.unionByName(t.documents.select("doc_id", F.col("text").alias("line"))).select("doc_id", F.unhex(F.md5("line")).alias("h")), "doc_id", "h")
 
 
-_CC = """WITH RECURSIVE ln AS (SELECT DISTINCT doc_id, md5(line) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) q WHERE length(line) > 80),
+_CC = """WITH RECURSIVE ln AS (SELECT DISTINCT doc_id, md5(line) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) q WHERE length(line) > 80 UNION SELECT doc_id, md5(text) FROM {documents} WHERE text IS NOT NULL),
     e0 AS (SELECT min(doc_id) OVER (PARTITION BY h) AS a, doc_id AS b FROM ln), e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
     w(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, w.root FROM w JOIN e ON w.node = e.a WHERE w.root < e.b),
     cc AS (SELECT node, min(root) AS component FROM w GROUP BY 1),
@@ -170,39 +171,69 @@ def c24b(t):
 
 # ---- provenance -------------------------------------------------------------------------------------------
 
-_PN = """WITH every AS (SELECT k AS para, 8.75 AS v, true AS precise FROM {nat} UNION SELECT k, CAST(CASE WHEN k % 5 = 1 THEN key_sum + CAST(floor(key_sum / 90.0) AS BIGINT) ELSE key_sum END AS DOUBLE), key_sum >= 100 FROM {nat}
-      UNION SELECT k, CAST(n_orders AS DOUBLE), n_orders >= 100 FROM {nat} WHERE n_orders >= 2 UNION SELECT k, CAST(987654 + k AS DOUBLE), true FROM {nat} WHERE k % 7 = 3),
-    pn AS (SELECT * FROM every WHERE NOT (v BETWEEN 1900 AND 2099 OR v BETWEEN 19000000 AND 20999999) AND (v >= 2 OR v <> floor(v))),
-    av AS (SELECT k, CAST(n_orders AS DOUBLE) AS v FROM {nat} UNION SELECT k, CAST(key_sum AS DOUBLE) FROM {nat} UNION SELECT k, CAST(last_key AS DOUBLE) FROM {nat}),
-    ok AS (SELECT k FROM {nat} WHERE k % 9 NOT IN (4, 7)),
-    cl AS (SELECT para, v FROM pn JOIN ok ON para = k WHERE precise AND NOT EXISTS (SELECT 1 FROM av WHERE av.k = para AND av.v = pn.v)),
-    nm AS (SELECT para, cl.v AS stated, arg_min(av.v, abs(av.v - cl.v) / abs(av.v)) AS nearest, min(abs(av.v - cl.v) / abs(av.v)) AS distance FROM cl JOIN av ON av.k = para AND av.v <> 0 GROUP BY 1, 2),
-    orp AS (SELECT DISTINCT CAST(v AS DOUBLE) AS value FROM pn WHERE v NOT IN (SELECT v FROM av) AND v NOT IN (64.31, 207.9, 18.55, 430.75))"""
-
-
-@query("c25_scoped_near_miss", _PN + " SELECT CAST(para AS BIGINT) AS para, CAST(stated AS DOUBLE) AS stated, nearest, round(distance, 6) AS distance FROM nm WHERE distance > 0 AND distance <= 0.03")
+# Manuscripts read in SQL: paragraphs, their numbers (all, and precise ones), labels, citations and what those lead to.
+_PN = r"""WITH ps AS (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS l FROM {manuscripts}), p AS (SELECT doc_id, CAST(doc_id AS VARCHAR) || ':' || CAST(i AS VARCHAR) AS para, l[i] AS t FROM ps, unnest(range(1, len(l) + 1)) u(i)),
+    clean AS (SELECT para, regexp_replace(regexp_replace(t, '\\(?:label|ref|cref|input)\{[^}]*\}', ' ', 'g'), '\\[a-zA-Z]+\d*', ' ', 'g') AS t FROM p),
+    tk AS (SELECT para, unnest(regexp_extract_all(t, '-?[0-9][0-9,]*(?:\.[0-9]+)?|-?\.[0-9]+')) AS tok FROM clean),
+    nv AS (SELECT para, tok, replace(tok, ',', '') AS c, TRY_CAST(replace(tok, ',', '') AS DOUBLE) AS v FROM tk),
+    pn AS (SELECT DISTINCT para, v, contains(tok, '.') OR abs(v) >= 100 AS precise FROM nv WHERE v IS NOT NULL AND NOT regexp_matches(c, '^((19|20)[0-9]{2}|(19|20)[0-9]{6})$') AND NOT (abs(v) < 2.0 AND v = floor(v))),
+    av AS (SELECT DISTINCT path, v FROM (SELECT path, TRY_CAST(replace(unnest(regexp_extract_all(body, '-?[0-9][0-9,]*(?:\.[0-9]+)?|-?\.[0-9]+')), ',', '') AS DOUBLE) AS v FROM {files}) q WHERE v IS NOT NULL),
+    bl AS (SELECT doc_id, unnest(string_split_regex(text, '\\begin\{table\*?\}')) AS b FROM {manuscripts}),
+    lf AS (SELECT DISTINCT doc_id, label, trim(unnest(files)) AS request FROM (SELECT doc_id, unnest(regexp_extract_all(b, '\\label\{(tab:[^}]*)\}', 1)) AS label, regexp_extract_all(b, '\\input\{([^}]*)\}', 1) AS files FROM bl) q),
+    rf AS (SELECT doc_id, para, trim(unnest(string_split(r, ','))) AS label FROM (SELECT doc_id, para, unnest(regexp_extract_all(t, '\\[cC]?ref\{([^}]*)\}', 1)) AS r FROM p) q),
+    ct AS (SELECT para, coalesce(request, rf.label) AS request FROM rf LEFT JOIN lf ON rf.doc_id = lf.doc_id AND rf.label = lf.label WHERE request IS NOT NULL OR starts_with(rf.label, 'tab:')
+      UNION SELECT para, trim(unnest(regexp_extract_all(t, '\\input\{([^}]*)\}', 1))) FROM p),
+    rq AS (SELECT request, regexp_replace(regexp_replace(regexp_replace(request, '^\./', ''), '/+', '/', 'g'), '\.[^./]*$', '') AS s FROM (SELECT DISTINCT request FROM ct) q),
+    ar AS (SELECT DISTINCT path, regexp_replace(path, '\.[^./]*$', '') AS s FROM {files}),
+    ex AS (SELECT request, count(*) AS n, min(path) AS path FROM rq JOIN ar ON rq.s = ar.s GROUP BY 1),
+    tails AS (SELECT path, array_to_string(g[i:], '/') AS s FROM (SELECT path, string_split(s, '/') AS g FROM ar) q, unnest(range(2, len(g) + 1)) u(i)),
+    sx AS (SELECT request, path FROM rq JOIN tails ON rq.s = tails.s
+      UNION ALL SELECT request, path FROM (SELECT request, array_to_string(g[i:], '/') AS s FROM (SELECT request, string_split(s, '/') AS g FROM rq) q, unnest(range(2, len(g) + 1)) u(i)) z JOIN ar ON z.s = ar.s),
+    su AS (SELECT request, count(*) AS n, min(path) AS path FROM sx GROUP BY 1),
+    rs AS (SELECT rq.request, coalesce(ex.n, su.n, 0) AS n, CASE WHEN coalesce(ex.n, su.n, 0) = 1 THEN coalesce(ex.path, su.path) END AS path FROM rq LEFT JOIN ex ON rq.request = ex.request LEFT JOIN su ON rq.request = su.request),
+    cited AS (SELECT DISTINCT para, path FROM ct JOIN rs ON ct.request = rs.request WHERE n = 1),
+    cl AS (SELECT pn.para, pn.v, path FROM pn JOIN cited ON pn.para = cited.para WHERE precise),
+    op AS (SELECT * FROM cl WHERE NOT EXISTS (SELECT 1 FROM cl c2 JOIN av ON av.path = c2.path AND av.v = c2.v WHERE c2.para = cl.para AND c2.v = cl.v)),
+    nm AS (SELECT para, op.v AS stated, min(struct_pack(d := abs(av.v - op.v) / abs(av.v), a := av.v)) AS m FROM op JOIN av ON av.path = op.path AND av.v <> 0 AND (av.v > 0) = (op.v > 0) WHERE op.v <> 0 GROUP BY 1, 2),
+    sv AS (SELECT DISTINCT v FROM pn), orp AS (SELECT v AS value FROM sv WHERE v NOT IN (SELECT v FROM av))"""
+
+
+def _papers(t):
+    """Paragraphs, citations and files, read out of the manuscripts once."""
+    m = t.manuscripts
+    return P.manuscript_paragraphs(m), P.read_citations(m), t.files
+
+
+@query("c25_scoped_near_miss", _PN + " SELECT para, stated, m.a AS nearest, round(m.d, 6) AS distance FROM nm WHERE m.d > 0 AND m.d <= 0.03")
 def c25(t):
-    p = t.paragraphs
-    return R6(P.near_misses(p, p.select("para_id", "cited_path"), t.artifacts), "distance")
+    paragraphs, citations, files = _papers(t)
+    return R6(P.near_misses(paragraphs, citations, files), "distance")
 
 
 @query("c26_orphans", _PN + " SELECT value FROM orp")
 def c26(t):
-    return P.orphans(t.paragraphs, t.artifacts)
+    paragraphs, _, files = _papers(t)
+    return P.orphans(paragraphs, files)
 
 
-@query("c27_resolve_citations", """SELECT DISTINCT cited_path AS request, CASE WHEN k % 9 NOT IN (4, 7) THEN 'coast/nation_' || CAST(k AS VARCHAR) || '.txt' END AS path,
-    CAST(CASE WHEN k % 9 = 4 THEN 2 WHEN k % 9 = 7 THEN 0 ELSE 1 END AS BIGINT) AS n_matches, CASE WHEN k % 9 = 4 THEN 'ambiguous' WHEN k % 9 = 7 THEN 'unresolved' ELSE 'resolved' END AS status
-    FROM (SELECT para_id AS k, cited_path FROM {paragraphs}) q""")
+@query("c27_resolve_citations", _PN + """ SELECT request, path, CAST(n AS BIGINT) AS n_matches, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM rs""")
 def c27(t):
-    return P.resolve_citations(t.paragraphs, t.artifacts)
+    _, citations, files = _papers(t)
+    return P.resolve_citations(citations, files)
+
+
+@query("c27_read_citations", _PN + " SELECT para AS para_id, request AS cited_path FROM ct")
+def c27c(t):
+    return P.read_citations(t.manuscripts)
 
 
-@query("c27_provenance_status", _PN + """ SELECT (SELECT count(*) FROM ok) AS checked, (SELECT count(*) FROM nm WHERE distance > 0 AND distance <= 0.03) AS near_misses, CAST(1 AS BIGINT) AS ambiguous, CAST(1 AS BIGINT) AS unresolved,
-    (SELECT count(DISTINCT v) FROM pn) AS stated, (SELECT count(DISTINCT v) FROM pn) - (SELECT count(*) FROM orp) AS matched, (SELECT count(*) FROM orp) AS orphans, 2 AS exit_status""")
+@query("c27_provenance_status", _PN + """, su2 AS (SELECT (SELECT count(DISTINCT para) FROM cited) AS checked, (SELECT count(*) FROM nm WHERE m.d > 0 AND m.d <= 0.03) AS near_misses, (SELECT count(*) FROM rs WHERE n > 1) AS ambiguous,
+      (SELECT count(DISTINCT ct.request) FROM ct JOIN rs ON ct.request = rs.request WHERE n = 0 AND para IN (SELECT para FROM pn WHERE precise)) AS unresolved,
+      (SELECT count(*) FROM sv) AS stated, (SELECT count(*) FROM sv) - (SELECT count(*) FROM orp) AS matched, (SELECT count(*) FROM orp) AS orphans)
+    SELECT *, CASE WHEN ambiguous > 0 OR unresolved > 0 OR checked = 0 THEN 2 WHEN near_misses > 0 THEN 1 ELSE 0 END AS exit_status FROM su2""")
 def c27b(t):
-    p = t.paragraphs
-    return P.provenance_status(p, p.select("para_id", "cited_path"), t.artifacts)
+    paragraphs, citations, files = _papers(t)
+    return P.provenance_status(paragraphs, citations, files)
 
 
 # hex-digit words in documents count as prose numbers too; whole texts are scanned

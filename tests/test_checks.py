@@ -266,3 +266,18 @@ def test_decomposition_sums_even_with_new_segments(spark):
     d = spark.createDataFrame([(0, "a", 1.0), (0, "b", 3.0), (1, "a", 2.0), (1, "c", 8.0)], "p int, s string, v double")
     r = slices.mix_decomposition(d, F.col("p"), "s", "v").agg(F.sum("within") + F.sum("mix")).first()[0]
     assert r == pytest.approx(5.0 - 2.0)
+
+
+def test_citations_are_read_out_of_manuscripts(spark):
+    from plumbline.operators import provenance as P
+    text = ("Intro \\ref{sec:a, tab:one} and \\Cref{tab:two,tab:none} say 4,321.5.\n \t\nNo citation 99.\n\n\\begin{table}\\label{tab:one}\\input{tabs/a}\\input{ tabs/b.tex }\\end{table}"
+            "\\begin{table*} \\input{c}\\label{tab:two} \\label{tab:three}\\end{table*}\n\n\\ref{tab:three} \\input{d/e}")
+    d = spark.createDataFrame([(1, text), (2, "\\ref{tab:one}"), (3, None), (4, "")], "doc_id long, text string")
+    got = {(r.para_id, r.cited_path) for r in P.read_citations(d).collect()}
+    assert got == {("1:1", "tabs/a"), ("1:1", "tabs/b.tex"), ("1:1", "c"), ("1:1", "d/e"), ("1:1", "tab:none"), ("1:3", "tabs/a"), ("1:3", "tabs/b.tex"), ("1:3", "c"), ("1:4", "c"), ("1:4", "d/e"), ("2:1", "tab:one")}
+    assert [(r.id, r.para) for r in P.manuscript_paragraphs(d).orderBy("id", "para").collect()] == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (4, 1)]
+    files = spark.createDataFrame([("x/tabs/a.tex", "4321.5 and 12"), ("c.tex", "4300"), ("y/c.tex", "1"), ("d/e.tex", "7")], "path string, body string")
+    found = {r.request: (r.path, r.status) for r in P.resolve_citations(P.read_citations(d), files).collect()}
+    assert found == {"tabs/a": ("x/tabs/a.tex", "resolved"), "tabs/b.tex": (None, "unresolved"), "c": ("c.tex", "resolved"), "tab:none": (None, "unresolved"), "tab:one": (None, "unresolved"), "d/e": ("d/e.tex", "resolved")}
+    assert P.provenance_status(P.manuscript_paragraphs(d), P.read_citations(d), files).first().exit_status == 2
+    assert P.read_citations(d.where("false")).count() == 0
