@@ -286,5 +286,5 @@ def k10b(t):
     src, out, chk = (scratch(t.spark, n) for n in ("sent", "keyed", "chk"))
     t.sql(_SENT).write.parquet(src)
     s = t.spark.readStream.schema(t.spark.read.parquet(src).schema).parquet(src)
-    p = I.run_to_end(I.keyed_stream(s, "vec_id", "sent", out, chk, upsert=True))
-    return t.spark.read.parquet(f"{out}/version={p['batches'] - 1}")
+    I.run_to_end(I.keyed_stream(s, "vec_id", "sent", out, chk, upsert=True))
+    return I.read_keyed(t.spark, out, "vec_id", "sent", upsert=True)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from plumbline.session import cut, release
+from plumbline.sources.sinks import _fs
+
 RESERVED = "__ingest_ts"
 
 
@@ -214,15 +218,120 @@ def keyed_ingest(existing: DataFrame | None, arriving: DataFrame, key: str, orde
     return d.groupBy(key).agg(pick(F.struct(order, *rest)).alias("b")).select(key, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
-def keyed_stream(df: DataFrame, key: str, order: str, path: str, checkpoint: str, upsert: bool) -> StreamingQuery:
-    """Keyed ingest as a stream: every micro-batch is folded into a new version of the table.
+KEYED_BUCKETS = 64  # of a keyed table, by hash of the key
+MOST_PIECES = 8  # pieces of a bucket before it is written anew as one
+PIECES = "bucket int, batch long, rows long, seq int"
+
+
+def _committed(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose list of pieces is complete, ascending."""
+    fs, log = _fs(spark, f"{path}/_log")
+    if not fs.exists(log):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(log) if f.isDirectory()]
+    done = [int(n.split("-")[1]) for n in names if fs.exists(_fs(spark, f"{path}/_log/{n}/_SUCCESS")[1])]
+    return sorted(done)
+
 
-    Versions are separate folders, so a failed batch leaves the last one whole.
+def _pieces(spark: SparkSession, path: str, batch: int) -> list[Row]:
+    """The pieces that made up the table after a batch: at most MOST_PIECES rows a bucket."""
+    return spark.read.schema(PIECES).parquet(f"{path}/_log/batch-{batch}").collect()
+
+
+def _folded(d: DataFrame, key: str, order: str, upsert: bool) -> DataFrame:
+    """The winner of each key among rows with `_seq`, the age of their piece, and `order`."""
+    rest = [c for c in d.columns if c not in (key, order, "_seq", "bucket")]
+    pick = F.max if upsert else F.min
+    return d.groupBy("bucket", key).agg(pick(F.struct("_seq", order, *rest)).alias("b")).select("bucket", key, F.col(f"b.{order}").alias(order), *[F.col(f"b.{c}").alias(c) for c in rest])
+
+
+def _read_pieces(spark: SparkSession, path: str, pieces: Sequence[Row], schema: T.StructType) -> DataFrame:
+    """Rows of pieces, with their bucket and the age of their piece."""
+    if not pieces:
+        return spark.createDataFrame([], schema).withColumns({"bucket": F.lit(0), "_seq": F.lit(0)})
+    d = spark.read.option("basePath", f"{path}/rows").schema(T.StructType(schema.fields + T._parse_datatype_string("batch long, bucket int").fields)).parquet(
+        *[f"{path}/rows/batch={r['batch']}/bucket={r['bucket']}" for r in pieces])
+    age = F.create_map(*[F.lit(x) for r in {(r["batch"], r["seq"]) for r in pieces} for x in r])
+    return d.withColumn("_seq", F.element_at(age, F.col("batch"))).drop("batch")
+
+
+def read_keyed(spark: SparkSession, path: str, key: str, order: str, upsert: bool) -> DataFrame:
+    """The table a `keyed_stream` has built, as of its last complete batch, without `order`."""
+    done = _committed(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no complete batch below {path}")
+    pieces = _pieces(spark, path, done[-1])
+    schema = T.StructType([f for f in spark.read.parquet(f"{path}/rows").schema.fields if f.name not in ("batch", "bucket")])
+    return _folded(_read_pieces(spark, path, pieces, schema), key, order, upsert).drop("bucket", order)
+
+
+def _commit(spark: SparkSession, path: str, batch_id: int, pieces: Sequence[tuple]) -> None:
+    """From here on the batch counts: its list of pieces is complete once Spark has marked the write as done."""
+    spark.createDataFrame(pieces, PIECES).coalesce(1).write.mode("overwrite").parquet(f"{path}/_log/batch-{batch_id}")
+
+
+def _drop_unused(spark: SparkSession, path: str, keep: Sequence[int]) -> None:
+    """Delete the pieces, and lists of pieces, that none of the batches in `keep` uses."""
+    used = {(r["batch"], r["bucket"]) for b in keep for r in _pieces(spark, path, b)}
+    fs, rows = _fs(spark, f"{path}/rows")
+    for folder in fs.listStatus(rows):
+        batch = int(folder.getPath().getName().split("=")[1])
+        if batch > max(keep):
+            continue
+        left = 0
+        for f in fs.listStatus(folder.getPath()):
+            name = f.getPath().getName()
+            if name.startswith("bucket="):
+                if (batch, int(name.split("=")[1])) in used:
+                    left += 1
+                else:
+                    fs.delete(f.getPath(), True)
+        if not left:
+            fs.delete(folder.getPath(), True)
+    for b in _committed(spark, path):
+        if b not in keep:
+            fs.delete(_fs(spark, f"{path}/_log/batch-{b}")[1], True)
+
+
+def keyed_stream(df: DataFrame, key: str, order: str, path: str, checkpoint: str, upsert: bool, buckets: int = KEYED_BUCKETS) -> StreamingQuery:
+    """Keyed ingest as a stream, into a table of pieces per bucket of the key's hash; read it with `read_keyed`.
+
+    Insert keeps the first row of a key, upsert the last: by batch, then by `order`. A
+    micro-batch writes only its own winners, one piece per bucket it touches. A bucket is
+    written anew as one piece when its later pieces have as many rows as its first, or
+    when it has MOST_PIECES, so that what is written stays within a small multiple of
+    what arrives. A batch counts once its list of pieces is complete. A batch that failed
+    before that is written again over what it left; one that Spark replays after that is
+    skipped. The pieces of the last two batches stay, for readers; older ones go. Null
+    keys are one key.
     """
     spark = df.sparkSession
+    schema = df.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = None if batch_id == 0 else spark.read.parquet(f"{path}/version={batch_id - 1}")
-        keyed_ingest(old, batch, key, order, upsert).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        done = [b for b in _committed(spark, path) if b <= batch_id]
+        if done and done[-1] == batch_id:
+            return
+        old = _pieces(spark, path, done[-1]) if done else []
+        seq = max((r["seq"] for r in old), default=0) + 1
+        arrived = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).withColumn("_seq", F.lit(seq))
+        new = cut(_folded(arrived, key, order, upsert))
+        touched = {r["bucket"]: r["count"] for r in new.groupBy("bucket").count().collect()}  # at most a row per bucket
+        by_bucket: dict[int, list[Row]] = {}
+        for r in sorted(old, key=lambda r: r["seq"]):
+            by_bucket.setdefault(r["bucket"], []).append(r)
+        whole = [b for b, n in touched.items() if (p := by_bucket.get(b)) and (len(p) + 1 >= MOST_PIECES or sum(r["rows"] for r in p[1:]) + n >= p[0]["rows"])]
+        out = new.where(~F.col("bucket").isin(whole)) if whole else new
+        if whole:
+            kept = _read_pieces(spark, path, [r for b in whole for r in by_bucket[b]], schema)
+            both = kept.unionByName(new.where(F.col("bucket").isin(whole)).withColumn("_seq", F.lit(seq)))
+            out = out.unionByName(_folded(both, key, order, upsert))
+        target = f"{path}/rows/batch={batch_id}"
+        out.select("bucket", *schema.names).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        counts = {r["bucket"]: r["count"] for r in spark.read.parquet(target).groupBy("bucket").count().collect()} if touched else {}
+        pieces = [tuple(r) for r in old if r["bucket"] not in whole] + [(b, batch_id, n, seq) for b, n in counts.items()]
+        _commit(spark, path, batch_id, pieces)
+        release(new)
+        _drop_unused(spark, path, [*done[-1:], batch_id])
 
     return _start(df, checkpoint, write, None)

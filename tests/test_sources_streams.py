@@ -1,5 +1,6 @@
 """Sources, sinks and streams: fail-closed reads, retries, replays and maintenance."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,11 +119,66 @@ def test_keyed_stream_folds_batches(spark):
     I.run_to_end(I.keyed_stream(s(), "id", "sent", out, chk, upsert=True))
     spark.createDataFrame([(2, "c", 5), (3, "d", 6), (2, "older", 4)], "id long, v string, sent int").write.mode("append").parquet(src)
     I.run_to_end(I.keyed_stream(s(), "id", "sent", out, chk, upsert=True))
-    assert {r["id"]: r["v"] for r in spark.read.parquet(f"{out}/version=1").collect()} == {1: "a", 2: "c", 3: "d"}
+    assert {r["id"]: r["v"] for r in I.read_keyed(spark, out, "id", "sent", upsert=True).collect()} == {1: "a", 2: "c", 3: "d"}
     first = I.keyed_ingest(None, spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "id long, v string, sent int"), "id", "sent", upsert=False)
     assert first.first()["v"] == "a"
 
 
+def _rows_written(spark, out):
+    return {r["batch"]: r["count"] for r in spark.read.parquet(f"{out}/rows").groupBy("batch").count().collect()}
+
+
+@pytest.mark.parametrize("upsert", [True, False])
+def test_keyed_stream_survives_a_writer_that_dies(spark, monkeypatch, upsert):
+    """Deaths before and after a batch counts: nothing is lost, doubled or taken from half a batch; writes follow the batch."""
+    src, out, chk = (scratch(spark, n) for n in ("ksrc", "kout", "kchk"))
+    kind, want, sent = "id long, v string, sent int", {}, 0
+    commit = I._commit
+
+    def dies_before(*a):
+        raise OSError("lost before the list of pieces")
+
+    def dies_after(*a):
+        commit(*a)
+        raise OSError("lost after the list of pieces")
+
+    rng = np.random.default_rng(1)
+    for n, size in enumerate([2000, 5, 5, 40, 5, 300, 5]):
+        ids = rng.integers(0, 3000, size).tolist() if n else list(range(2000))
+        rows = []
+        for i in ids:
+            sent += 1
+            rows.append((i, f"{n}-{sent}", sent))
+            if upsert or i not in want:
+                want[i] = f"{n}-{sent}"
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append" if n else "errorifexists").parquet(src)
+        run = lambda: I.run_to_end(I.keyed_stream(spark.readStream.schema(kind).parquet(src), "id", "sent", out, chk, upsert, buckets=16))
+        for death in {1: [dies_before], 2: [dies_after], 3: [dies_before, dies_before, dies_after], 5: [dies_before, dies_after]}.get(n, []):
+            monkeypatch.setattr(I, "_commit", death)
+            with pytest.raises(Exception, match="lost"):
+                run()
+            if death is dies_after and len(rows) == 5:
+                assert {r["id"]: r["v"] for r in I.read_keyed(spark, out, "id", "sent", upsert).collect()} == want  # it counts already
+        monkeypatch.setattr(I, "_commit", commit)
+        run()
+        assert {r["id"]: r["v"] for r in I.read_keyed(spark, out, "id", "sent", upsert).collect()} == want
+        if size == 5:
+            assert _rows_written(spark, out)[n] <= 5
+    assert len(I._committed(spark, out)) == 2
+    pieces = {r["batch"] for b in I._committed(spark, out) for r in I._pieces(spark, out, b)}
+    assert set(_rows_written(spark, out)) == pieces
+
+
+def test_keyed_stream_writes_buckets_anew(spark):
+    src, out, chk = (scratch(spark, n) for n in ("ksrc", "kout", "kchk"))
+    for n in range(12):
+        spark.createDataFrame([(i, f"{n}", n) for i in range(n, n + 6)] + [(None, f"n{n}", n)], "id long, v string, sent int").write.mode("append").parquet(src)
+        I.run_to_end(I.keyed_stream(spark.readStream.schema("id long, v string, sent int").parquet(src), "id", "sent", out, chk, True, buckets=2))
+    last = I._pieces(spark, out, I._committed(spark, out)[-1])
+    assert max(sum(r["bucket"] == b for r in last) for b in (0, 1)) < I.MOST_PIECES
+    assert {r["id"]: r["v"] for r in I.read_keyed(spark, out, "id", "sent", True).collect()} == {i: str(min(i, 11)) for i in range(17)} | {None: "n11"}
+
+
 def test_delete_from_partitions_with_odd_names(spark):
     path = scratch(spark, "odd")
     names = ["a:b", "a/b", "a b", "100%", "01", "1", "x=y", None]
