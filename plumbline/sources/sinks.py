@@ -61,39 +61,72 @@ def overwrite_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
 def delete_where(spark: SparkSession, path: str, condition: Column, key: str) -> int:
     """Filtered delete from a table partitioned by `key`: only partitions holding hits are rewritten.
 
-    Rows where the condition is unknown stay. Returns the number of rows removed.
+    Rows where the condition is unknown stay. Returns the number of rows removed. What
+    stays is written beside the table first, then a list of the files it replaces; only
+    then do these move out and the new ones in. A writer that dies before the list is
+    complete has changed nothing; one that dies later is finished by the next call, or by
+    `finish_deletes`. Until then readers may miss rows of a partition, never see any twice.
     """
+    finish_deletes(spark, path)
     d = spark.read.parquet(path)
     if key not in d.columns:
         raise ValueError(f"{key} is not a column of {path}")
     gone = F.coalesce(condition, F.lit(False))
     # folders come from the files themselves, so that no value has to be turned into a folder name
     d = d.select("*", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__folder"))
-    hit = d.where(gone).groupBy("__folder").agg(F.count("*").alias("n")).collect()  # one row per touched partition
+    hit = sorted(d.where(gone).groupBy("__folder").agg(F.count("*").alias("n")).collect())  # one row per touched partition
     if not hit:
         return 0
-    number = spark.createDataFrame([(r["__folder"], i) for i, r in enumerate(sorted(hit))], "__folder string, __number int")
-    rewritten = f"{path.rstrip('/')}/_rewritten-{uuid.uuid4().hex[:12]}"  # readers pass over names with an underscore
+    number = spark.createDataFrame([(r["__folder"], i) for i, r in enumerate(hit)], "__folder string, __number int")
+    rewritten = f"{path.rstrip('/')}/{REWRITTEN}{uuid.uuid4().hex[:12]}"  # readers pass over names with an underscore
     parts = [c for c in d.columns if any(f"/{quote(c)}=" in r["__folder"] or f"/{c}=" in r["__folder"] for r in hit)]
     keep = d.where(~gone).join(number, "__folder").drop("__folder", *parts)
-    keep.write.partitionBy("__number").parquet(rewritten)
-    for i, r in enumerate(sorted(hit)):
+    keep.write.partitionBy("__number").parquet(f"{rewritten}/new")
+    plan = []
+    for i, r in enumerate(hit):
         fs, folder = _fs(spark, unquote(r["__folder"]) if _missing(spark, r["__folder"]) else r["__folder"])
-        old = [f.getPath() for f in fs.listStatus(folder) if f.isFile()]
-        fs, new = _fs(spark, f"{rewritten}/__number={i}")
-        for f in fs.listStatus(new) if fs.exists(new) else []:
-            _move(spark, fs, f.getPath(), folder)
-        for f in old:
-            fs.delete(f, False)
-        if not list(fs.listStatus(folder)):
-            fs.delete(folder, True)
-    fs, p = _fs(spark, rewritten)
-    fs.delete(p, True)
+        plan += [(i, folder.toString(), f.getPath().getName()) for f in fs.listStatus(folder) if f.isFile()]
+    spark.createDataFrame(plan, "number int, folder string, file string").coalesce(1).write.parquet(f"{rewritten}/plan")
+    _swap(spark, rewritten)
     if not spark.read.schema(d.drop("__folder").schema).parquet(path).where(gone).isEmpty():
         raise RuntimeError(f"rows that match are left in {path}")
     return sum(r["n"] for r in hit)
 
 
+REWRITTEN = "_rewritten-"
+
+
+def finish_deletes(spark: SparkSession, path: str) -> int:
+    """Finish deletes whose writer died: swap in what was completely planned, drop the rest; returns how many were finished."""
+    fs, root = _fs(spark, path)
+    open_ = [f.getPath().toString() for f in fs.listStatus(root) if f.getPath().getName().startswith(REWRITTEN)]
+    planned = [p for p in open_ if not _missing(spark, f"{p}/plan/_SUCCESS")]
+    for p in planned:
+        _swap(spark, p)
+    for p in open_:
+        fs.delete(_fs(spark, p)[1], True)
+    return len(planned)
+
+
+def _swap(spark: SparkSession, rewritten: str) -> None:
+    """Move the planned files out and the new ones in; each step may be repeated."""
+    plan = spark.read.schema("number int, folder string, file string").parquet(f"{rewritten}/plan").collect()
+    for i, folder in sorted({(r["number"], r["folder"]) for r in plan}):
+        fs, here = _fs(spark, folder)
+        _, old = _fs(spark, f"{rewritten}/old/{i}")
+        fs.mkdirs(old)
+        for r in plan:
+            if r["number"] == i and not _missing(spark, f"{folder}/{r['file']}"):
+                _move(spark, fs, _fs(spark, f"{folder}/{r['file']}")[1], old)
+        _, new = _fs(spark, f"{rewritten}/new/__number={i}")
+        for f in fs.listStatus(new) if fs.exists(new) else []:
+            _move(spark, fs, f.getPath(), here)
+        if fs.exists(here) and not list(fs.listStatus(here)):
+            fs.delete(here, True)
+    fs, p = _fs(spark, rewritten)
+    fs.delete(p, True)
+
+
 def _missing(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return not fs.exists(p)

@@ -191,6 +191,44 @@ def test_delete_from_partitions_with_odd_names(spark):
     assert {r["k"] for r in left.collect()} == {"01", "1", "x=y"} and left.count() == 6
 
 
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("dies_at", [0, 1, 2, 3, 5, 8, 11])
+def test_delete_by_a_writer_that_dies(spark, monkeypatch, dies_at, keyed):
+    """Whatever move the writer dies at, the next call leaves the right rows, each once."""
+    path = scratch(spark, "dies")
+    d = spark.createDataFrame([(k, i) for k in "abc" for i in range(10)], "k string, v int").repartition(2, "v")
+    W.append(d, path, ["k"] if keyed else [])
+    move, count = W._move, [0]
+
+    def dies(*a):
+        if count[0] == dies_at:
+            raise OSError("lost")
+        count[0] += 1
+        move(*a)
+
+    monkeypatch.setattr(W, "_move", dies)
+    try:
+        W.delete_where(spark, path, (F.col("v") < 3) | (F.col("k") == "c"), "k")
+        died = False
+    except OSError:
+        died = True
+    monkeypatch.setattr(W, "_move", move)
+    seen = [tuple(r) for r in spark.read.schema("k string, v int").parquet(path).select("k", "v").collect()]
+    assert len(seen) == len(set(seen))
+    assert W.finish_deletes(spark, path) == died
+    want = sorted((k, v) for k in "ab" for v in range(3, 10))
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v").collect()) == want
+    assert W.delete_where(spark, path, F.col("v") == 3, "k") == 2
+
+
+def test_delete_before_the_plan_is_complete_changes_nothing(spark):
+    path = scratch(spark, "dies")
+    W.append(spark.range(10).select("id", (F.col("id") % 2).alias("k")), path, ["k"])
+    spark.range(3).withColumn("__number", F.lit(0)).write.partitionBy("__number").parquet(f"{path}/{W.REWRITTEN}x/new")
+    assert W.finish_deletes(spark, path) == 0 and spark.read.parquet(path).count() == 10
+    assert W.delete_where(spark, path, F.col("id") == 4, "k") == 1 and spark.read.parquet(path).count() == 9
+
+
 def test_compaction_keeps_partitions(spark):
     many, few = scratch(spark, "many"), scratch(spark, "few")
     W.append(spark.range(200).select("id", F.format_string("%02d", F.col("id") % 3).alias("k"), (F.col("id") % 2).alias("m")).repartition(10), many, ["k", "m"])
