@@ -265,17 +265,17 @@ def ladder_verdict(ladder: DataFrame, facts: DataFrame | None = None, has_fe: bo
                     few.alias("few_clusters"), collapsed.alias("collapsed"), "within_share", (~complete).alias("incomplete"), status.alias("status"))
 
 
+GROUPED_RUNGS = ("CR0", "CR1", "CR2", "wild cluster bootstrap")  # rungs that sum over clusters
+
+
 def table_note(ladder: DataFrame, reported: str, facts: DataFrame | None = None) -> DataFrame:
-    """The note for a table, written from the rung that was reported; clusters are named only beside a clustered rung."""
+    """A sentence to print below a table, about the rung it reports: what it is, its degrees of freedom, and its clusters if it has any."""
     d = ladder.where(F.col("rung") == reported)
-    clustered = F.col("rung").rlike("^CR|bootstrap")
-    text = F.concat(F.lit("Standard errors: "), F.col("rung"))
+    parts = [F.concat(F.col("rung"), F.lit(" errors")), F.when(~F.col("dof").isin(float("inf")) & (F.col("dof") < 1e300), F.format_string("t with %.1f df", "dof"))]
     if facts is not None:
         d = d.join(F.broadcast(facts))
-        text = F.concat(text, F.when(clustered, F.format_string(
-            ", clustered at the specified level (%d clusters, %d treated)", "clusters", "treated_clusters")).otherwise(""))
-    text = F.concat(text, F.when(F.col("dof") < 1e300, F.format_string(", %.1f degrees of freedom", "dof")).otherwise(""), F.lit("."))
-    return d.select("param", "rung", text.alias("note"))
+        parts.append(F.when(F.col("rung").isin(*GROUPED_RUNGS), F.format_string("%d clusters, %d of them with treated rows", "clusters", "treated_clusters")))
+    return d.select("param", "rung", F.concat_ws("; ", *parts).alias("note"))
 
 
 # ---- bootstrap draws ------------------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.dist import t_ppf, t_sf2
 from plumbline.functions.ordered import join_null_safe
-from plumbline.session import SMALL_ROWS, broadcast_if_small, cut
+from plumbline.session import SMALL_ROWS, broadcast_if_small, cut, release
 
 MAX_LEVELS = 150
 
@@ -115,7 +115,7 @@ def fit_ols(df: DataFrame, y: str | Column, xs: dict[str, Column] | Sequence[str
                   *[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     n, k = s["n"], len(xs) + 1
     if n - k <= 0:
-        raise ValueError("no residual degrees of freedom; no variance estimator is defined")
+        raise ValueError("the model has as many parameters as rows, which leaves nothing to estimate a variance from")
     total = s["total"]
     cov = n * _symmetric([s[f"c{i}_{j}"] for i, j in pairs], len(cols))
     sxx, sxy = cov[1:, 1:], cov[1:, 0]
@@ -324,60 +324,102 @@ def cluster_imbalance(df: DataFrame, cluster: str) -> DataFrame:
 
 # ---- fixed effects -----------------------------------------------------------------------------------------
 
+def absorb(cells: DataFrame, cols: Sequence[str], effects: Sequence[str], unit: Sequence[float], tol: float = 1e-8,
+           max_iter: int = 500) -> tuple[dict[str, DataFrame], int]:
+    """Coefficients of every level of the fixed effects for each column, by conjugate gradients, and the rounds it took.
+
+    `cells` has a row per combination of levels: rows `_n` and sums `_s_<column>`. The
+    normal equations in the levels are solved for all columns at once, scaled by the rows
+    of a level; they are singular (constants may move between effects) but consistent. A
+    round multiplies the table of cells with one direction per level, effect by effect,
+    and writes tables as large as the number of levels; the driver sees sums only. Rounds
+    grow with the square root of how badly the levels are connected, where alternating
+    projections need its first power. Stops when the mean residual of no level exceeds
+    `tol` standard deviations (`unit`).
+    """
+    named = lambda p: [f"_{p}_{c}" for c in cols]
+    state = {e: cut(cells.groupBy(e).agg(F.sum("_n").alias("_n"), *[F.sum(f"_s_{c}").alias(f"_r_{c}") for c in cols]).withColumns(
+        {f"_x_{c}": F.lit(0.0) for c in cols} | {f"_p_{c}": F.col(f"_r_{c}") / F.col("_n") for c in cols})) for e in effects}
+
+    if len(effects) == 1:  # means of the level
+        return {e: d.withColumns({f"_x_{c}": F.col(f"_r_{c}") / F.col("_n") for c in cols}) for e, d in state.items()}, 0
+    size = reduce(DataFrame.unionByName, [state[e].select("_n", *named("r")) for e in effects])
+    rz = size.agg(*[F.sum(F.col(f"_r_{c}") ** 2 / F.col("_n")).alias(c) for c in cols]).first()
+    rz = [rz[c] or 0.0 for c in cols]
+    for rounds in range(1, max_iter + 1):
+        if not any(rz):
+            return state, rounds - 1
+        product = {}
+        for e in effects:  # what a direction does to the level sums of one effect: its own rows, and the rows it shares with the others
+            shared = None
+            for o in effects:
+                if o != e:
+                    met = cells.select("_n", e, o).join(broadcast_if_small(state[o].select(o, *named("p")), SMALL_ROWS), o)
+                    part = met.groupBy(e).agg(*[F.sum(F.col("_n") * F.col(f"_p_{c}")).alias(f"_q_{c}") for c in cols])
+                    shared = part if shared is None else shared.unionByName(part)
+            own = state[e].select(e, *[(F.col("_n") * F.col(f"_p_{c}")).alias(f"_q_{c}") for c in cols])
+            q = (own if shared is None else own.unionByName(shared)).groupBy(e).agg(*[F.sum(f"_q_{c}").alias(f"_q_{c}") for c in cols])
+            product[e] = cut(state[e].join(q, e))
+        pq = reduce(DataFrame.unionByName, [product[e].select(*named("p"), *named("q")) for e in effects]).agg(*[F.sum(F.col(f"_p_{c}") * F.col(f"_q_{c}")).alias(c) for c in cols]).first()
+        step = [z / pq[c] if z and pq[c] else 0.0 for z, c in zip(rz, cols)]
+        moved = {e: d.withColumns({f"_x_{c}": F.col(f"_x_{c}") + F.lit(k) * F.col(f"_p_{c}") for k, c in zip(step, cols)} | {f"_r_{c}": F.col(f"_r_{c}") - F.lit(k) * F.col(f"_q_{c}") for k, c in zip(step, cols)}).drop(*named("q")) for e, d in product.items()}
+        now = reduce(DataFrame.unionByName, [moved[e].select("_n", *named("r")) for e in effects]).agg(
+            *[F.sum(F.col(f"_r_{c}") ** 2 / F.col("_n")).alias(f"z{i}") for i, c in enumerate(cols)], *[F.max(F.abs(F.col(f"_r_{c}")) / F.col("_n")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        done = [now[f"m{i}"] <= tol * u for i, u in enumerate(unit)]
+        after = [0.0 if d else now[f"z{i}"] for i, d in enumerate(done)]  # a column that is settled stays as it is
+        turn = [new / old if old else 0.0 for new, old in zip(after, rz)]
+        new_state = {e: d.withColumns({f"_p_{c}": F.when(F.lit(z > 0), F.col(f"_r_{c}") / F.col("_n") + F.lit(k) * F.col(f"_p_{c}")).otherwise(0.0) for z, k, c in zip(after, turn, cols)}) for e, d in moved.items()}
+        old, state, rz = state, {e: cut(d) for e, d in new_state.items()}, after
+        release(*old.values(), *product.values())
+        if all(done):
+            return state, rounds
+    raise RuntimeError("fixed effects did not converge")
+
+
+def level_components(cells: DataFrame, effects: Sequence[str]) -> int:
+    """Connected components of the levels of the first two effects, joined where they share a row: as many levels tell nothing new."""
+    if len(effects) < 2:
+        return 0
+    from plumbline.operators.linkage import connected_components
+
+    name = lambda i, e: F.concat(F.lit(f"{i}:"), F.col(e).cast("string"))
+    edges = cells.select(name(0, effects[0]).alias("src"), name(1, effects[1]).alias("dst")).distinct()
+    return connected_components(edges).select("component").distinct().count()
+
+
 def within_fit(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str], tol: float = 1e-8,
-               max_iter: int = 200) -> DataFrame:
+               max_iter: int = 500) -> DataFrame:
     """Slopes with any number of high-dimensional fixed effects absorbed.
 
-    Rows are collapsed once to cells of the fixed effects. Alternating
-    projections then run on per-level coefficients, tables as large as the number
-    of levels, never on rows; residual cross-products follow from the level sums
-    because residuals are orthogonal to every level.
+    Rows are collapsed once to cells of the fixed effects, whose level coefficients
+    `absorb` finds; residual cross-products follow from the level sums because residuals
+    are orthogonal to every level. Degrees of freedom count every level but one for each
+    connected component of the first two effects, and one for each further effect
+    (with three and more effects a lower bound of what is redundant).
     """
     cols = [y, *xs]
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols], *effects).dropna()
     st = d.agg(*[F.avg(c).alias(c) for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     d = d.select(*[(F.col(c) - F.lit(st[c])).alias(c) for c in cols], *effects)
-    unit = {c: st[f"s_{c}"] or 1.0 for c in cols}  # convergence is judged in standard deviations
+    unit = [st[f"s_{c}"] or 1.0 for c in cols]  # convergence is judged in standard deviations
     cells = cut(d.groupBy(*effects).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in cols]))
-    level_sums = {e: cells.groupBy(e).agg(F.sum("_n").alias("_n"), *[F.sum(f"_s_{c}").alias(f"_s_{c}") for c in cols]) for e in effects}
-    coef: dict[str, DataFrame] = {}
-    for it in range(max_iter):
-        change = 0.0
-        for e in effects:
-            others = cells
-            for o in effects:
-                if o != e and o in coef:
-                    others = join_null_safe(others, broadcast_if_small(coef[o].select(o, *[F.col(f"_a_{c}").alias(f"_{o}_{c}") for c in cols]), SMALL_ROWS), [o])
-            known = [o for o in effects if o != e and o in coef]
-            resid = [F.col(f"_s_{c}") - sum((F.col("_n") * F.col(f"_{o}_{c}") for o in known), F.lit(0.0)) for c in cols]
-            new = others.groupBy(e).agg(*[(F.sum(r) / F.sum("_n")).alias(f"_a_{c}") for r, c in zip(resid, cols)])
-            new = cut(new)
-            if e in coef:
-                old = coef[e].select(e, *[F.col(f"_a_{c}").alias(f"_p_{c}") for c in cols])
-                m = join_null_safe(new, old, [e]).agg(*[F.max(F.abs(F.col(f"_a_{c}") - F.col(f"_p_{c}"))).alias(c) for c in cols]).first()
-                change = max(change, *[(m[c] or 0.0) / unit[c] for c in cols])
-            else:
-                change = float("inf") if len(effects) > 1 else 0.0
-            coef[e] = new
-        if change <= tol:
-            break
-    else:
-        raise RuntimeError("fixed effects did not converge")
+    coef, _ = absorb(cells, cols, effects, unit, tol, max_iter)
     pairs = _upper(len(cols))
     total = d.agg(F.count("*").alias("n"), *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
     cross = np.array([total[f"c{i}_{j}"] for i, j in pairs])
     levels, singles = 0, 0
     for e in effects:
-        j = join_null_safe(level_sums[e], coef[e], [e])
+        j = cells.groupBy(e).agg(*[F.sum(f"_s_{c}").alias(f"_s_{c}") for c in cols]).join(coef[e].select(e, "_n", *[f"_x_{c}" for c in cols]), e)
         r = j.agg(F.count("*").alias("g"), F.count_if(F.col("_n") == 1).alias("one"),
-                  *[F.sum(F.col(f"_s_{cols[i]}") * F.col(f"_a_{cols[k]}")).alias(f"p{i}_{k}") for i, k in pairs]).first()
+                  *[F.sum(F.col(f"_s_{cols[i]}") * F.col(f"_x_{cols[k]}")).alias(f"p{i}_{k}") for i, k in pairs]).first()
         cross -= np.array([r[f"p{i}_{k}"] for i, k in pairs])
         levels += r["g"]
         singles += r["one"]
     m = _symmetric(cross, len(cols))
     inv = np.linalg.pinv(m[1:, 1:], hermitian=True)
     b = inv @ m[1:, 0]
-    dof = total["n"] - len(xs) - levels + len(effects) - 1
+    spare = level_components(cells, effects) + max(0, len(effects) - 2)
+    dof = total["n"] - len(xs) - levels + spare
     s2 = (m[0, 0] - b @ m[1:, 0]) / dof
     return df.sparkSession.createDataFrame(
         [(x, float(b[i]), float(np.sqrt(s2 * inv[i, i])), float(dof), int(levels), int(singles), int(total["n"])) for i, x in enumerate(xs)],

@@ -96,8 +96,8 @@ def n7b(t):
 
 
 @query("n8_table_note", "WITH g AS (SELECT count(DISTINCT l_suppkey) AS g, count(DISTINCT CASE WHEN l_suppkey % 2 = 1 THEN l_suppkey END) AS t FROM {lineitem}) "
-       "SELECT 'arm' AS param, 'CR1' AS rung, printf('Standard errors: CR1, clustered at the specified level (%d clusters, %d treated), %d.0 degrees of freedom.', g, t, g - 1) AS note FROM g "
-       "UNION ALL SELECT 'arm', 'HC1', printf('Standard errors: HC1, %d.0 degrees of freedom.', (SELECT count(*) - 3 FROM {lineitem})) FROM g")
+       "SELECT 'arm' AS param, 'CR1' AS rung, printf('CR1 errors; t with %d.0 df; %d clusters, %d of them with treated rows', g - 1, g, t) AS note FROM g "
+       "UNION ALL SELECT 'arm', 'HC1', printf('HC1 errors; t with %d.0 df', (SELECT count(*) - 3 FROM {lineitem})) FROM g")
 def n8(t):
     d = t.lineitem.withColumn("arm", (F.col("l_suppkey") % 2).cast("double"))
     fit = R.fit_ols(d, Y, ["arm", "l_quantity"], ["l_suppkey"])

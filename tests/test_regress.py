@@ -132,6 +132,32 @@ def test_within_equals_dummies(data, effects):
     np.testing.assert_allclose(r.loc[["x1", "x2"], "se"], np.sqrt(np.diag(M)[:2] * (e @ e) / (N - X.shape[1])), rtol=1e-6)
 
 
+def test_within_on_badly_connected_panels(spark):
+    """A chain of firms joined by single movers, twice, without a link between the two: slopes, errors and degrees of freedom as with dummies."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for part in (0, 1):
+        for k in range(12):
+            for firm in (k, k + 1):
+                for _ in range(2):
+                    x = rng.normal() + 0.1 * k
+                    rows.append((100 * part + k, 100 * part + firm, x, 2 * x + 0.3 * k - 0.2 * firm + rng.normal()))
+    pdf = pd.DataFrame(rows, columns=["worker", "firm", "x", "y"])
+    X = np.column_stack([pdf["x"], *[pd.get_dummies(pdf[e]).to_numpy(float) for e in ("worker", "firm")]])
+    rank = np.linalg.matrix_rank(X)
+    b = np.linalg.lstsq(X, pdf["y"].to_numpy(), rcond=None)[0]
+    e = pdf["y"].to_numpy() - X @ b
+    se = np.sqrt(np.linalg.pinv(X.T @ X)[0, 0] * (e @ e) / (len(pdf) - rank))
+    df = spark.createDataFrame(pdf)
+    r = R.within_fit(df, "y", ["x"], ["worker", "firm"]).first()
+    assert r["dof"] == len(pdf) - rank and r["levels"] == 50
+    assert r["estimate"] == pytest.approx(b[0], rel=1e-6) and r["se"] == pytest.approx(se, rel=1e-6)
+    cells = df.groupBy("worker", "firm").agg(F.count("*").alias("_n"), F.sum("x").alias("_s_x"))
+    _, rounds = R.absorb(cells, ["x"], ["worker", "firm"], [1.0])
+    assert rounds <= 26  # alternating projections need hundreds on a chain of this length
+    assert R.level_components(cells, ["worker", "firm"]) == 2 and R.level_components(cells, ["worker"]) == 0
+
+
 def test_two_way_and_iv(data):
     pdf, df = data
     X, y = design(pdf)
