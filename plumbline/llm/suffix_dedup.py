@@ -102,11 +102,14 @@ def _gram_words(h: np.ndarray) -> np.ndarray:
 class StretchHash:
     """Hashes of any stretch of symbols, from sums of value times power."""
 
+    power = back = np.ones(1, U64)  # of BASE and of its inverse; as long as was needed so far
+
     def __init__(self, values: np.ndarray):
+        n = len(values)
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(values), BASE, U64)]), dtype=U64)
-            self.back = np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(values), pow(BASE, -1, 2**64), U64)]), dtype=U64)
-            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * power[:-1], dtype=U64)])
+            if len(StretchHash.power) <= n:
+                StretchHash.power, StretchHash.back = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(n, x, U64)]), dtype=U64) for x in (BASE, pow(BASE, -1, 2**64)))
+            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * self.power[:n], dtype=U64)])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
