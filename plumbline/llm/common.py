@@ -57,6 +57,7 @@ def flat_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def in_pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of `column`; one longer text is a batch of its own."""
+    give_back()  # what the task before this one left in the worker
     for b in batches:
         if not b.num_rows:
             continue

@@ -22,7 +22,7 @@ from plumbline.llm.suffix import suffix_array
 
 WINDOW = 10  # words in a phrase
 PHRASES_PER_BLOCK = 200_000  # phrases broadcast at a time: about 10 MB
-SHARD_BYTES = 4 << 20  # text indexed at a time
+SHARD_BYTES = 1 << 20  # text indexed at a time
 SAMPLE = 16  # every SAMPLE-th position of a run is stored
 LOCATE = 1 << 20  # occurrences located at a time
 OUT = ["n_words", "n_hit", "items", "spans", "clean"]

@@ -32,9 +32,9 @@ from plumbline.llm.suffix import common_prefixes, suffix_array
 from plumbline.session import cut, release
 
 GRAM, WORD_GRAM = 32, 4  # bytes, and words, hashed to choose an anchor
-SHARD_BYTES = 1 << 20  # block bytes a shard holds
+SHARD_BYTES = 1 << 19  # block bytes a shard holds
 RANGE_ROWS = 1 << 20  # fingerprints merged in one task
-BATCH_BYTES = 1 << 20  # text worked on at a time in a task; a longer one is looked at piece by piece
+BATCH_BYTES = 1 << 19  # text worked on at a time in a task; a longer one is looked at piece by piece
 BASE = 0x9E3779B97F4A7C15 | 1
 OUT = ["kept", "n_bytes", "n_removed", "n_spans", "spans"]
 WORD_OUT = ["n_words_removed", "n_word_spans"]
