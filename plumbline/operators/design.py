@@ -13,7 +13,7 @@ from plumbline.functions.dist import chi2_sf, norm_cdf
 from plumbline.functions.ordered import quantiles
 from plumbline.functions.scalars import stable_uniform
 from plumbline.operators.regress import RUNG_SCHEMA, cluster_sums, cr_variances, fit_ols, rung
-from plumbline.session import SMALL_ROWS, fetch_small
+from plumbline.session import SMALL_ROWS, cut, fetch_small
 
 
 def balance(df: DataFrame, arm: str, cols: Sequence[str], cluster: str | None = None) -> DataFrame:
@@ -87,24 +87,28 @@ def did_2x2(df: DataFrame, y: str, treated: Column, post: Column, cluster: str)
 def group_time_effects(panel: DataFrame, unit: str, time: str, treat: str, y: str, never_only: bool = False) -> DataFrame:
     """ATT(g, t) against units not yet treated at t (or never treated): `(g, t, event_time, att, n_treated, n_control)`.
 
-    `time` must be an integer period. Each unit's change from period g-1 is formed
-    once per cohort; the number of cohorts is checked before they are broadcast.
+    `time` must be an integer period; a unit's rows in one period all count. Changes from
+    each base period are summed per (first treated period, base, period) where the unit's
+    periods lie, so what is shuffled after that follows periods and cohorts, not units.
     """
     p = panel.select(F.col(unit).alias("u"), F.col(time).cast("int").alias("t"), F.col(treat).alias("w"), F.col(y).cast("double").alias("y"))
-    units = p.groupBy("u").agg(F.min(F.when(F.col("w") != 0, F.col("t"))).alias("g0"))
-    cohorts = units.where("g0 is not null").select(F.col("g0").alias("g")).distinct()
-    rows = fetch_small(cohorts, SMALL_ROWS)
-    if rows is not None:
-        cohorts = F.broadcast(panel.sparkSession.createDataFrame(rows, "g int")) if rows else cohorts
-    base = p.join(cohorts, F.col("t") == F.col("g") - 1).select("u", "g", F.col("y").alias("yb"))
-    d = p.join(base, "u").join(units, "u").withColumn("d", F.col("y") - F.col("yb"))
-    is_t = F.col("g0") == F.col("g")
+    cell = p.where("u is not null").groupBy("u", "t").agg(
+        F.max(F.coalesce(F.col("w") != 0, F.lit(False))).alias("w"), F.count("*").alias("m"), F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("s"))
+    units = cell.groupBy("u").agg(F.min(F.when(F.col("w"), F.col("t"))).alias("g0"), F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "m", "n", "s"))).alias("at"))
+    units = cut(units)  # read for the cohorts and for the pairs
+    cohorts = fetch_small(units.where("g0 is not null").select("g0").distinct(), SMALL_ROWS)
+    starts = F.col("at") if cohorts is None else F.filter("at", lambda x: F.array_contains(F.lit([r["g0"] - 1 for r in cohorts] or [None]).cast("array<int>"), x["t"]))
+    pairs = units.withColumn("b", F.explode(starts)).select("g0", "b", F.explode("at").alias("x"))
+    sums = pairs.groupBy("g0", (F.col("b.t") + 1).alias("g"), F.col("x.t").alias("t")).agg(
+        F.sum(F.col("b.m") * F.col("x.m")).alias("m"), F.sum(F.col("b.n") * F.col("x.n")).alias("n"),
+        F.sum(F.col("x.s") * F.col("b.n") - F.col("b.s") * F.col("x.n")).alias("d"))
+    is_t = F.coalesce(F.col("g0") == F.col("g"), F.lit(False))
     later = F.col("g0").isNull() if never_only else F.col("g0").isNull() | ((F.col("g0") > F.col("t")) & (F.col("g0") != F.col("g")))
-    is_t, later = F.coalesce(is_t, F.lit(False)), F.coalesce(later, F.lit(False))
-    s = d.groupBy("g", "t").agg(F.avg(F.when(is_t, F.col("d"))).alias("a"), F.avg(F.when(later, F.col("d"))).alias("b"),
-                                F.count_if(is_t).alias("n_treated"), F.count_if(later).alias("n_control"))
-    return s.where("n_treated > 0 and n_control > 0").select("g", "t", (F.col("t") - F.col("g")).alias("event_time"),
-                                                             (F.col("a") - F.col("b")).alias("att"), "n_treated", "n_control")
+    of = lambda who, c: F.sum(F.when(who, F.col(c)))
+    r = sums.groupBy("g", "t").agg(*[of(who, c).alias(f"{name}{c}") for name, who in (("a", is_t), ("b", later)) for c in ("m", "n", "d")])
+    return r.where("am > 0 and bm > 0").select(
+        "g", "t", (F.col("t") - F.col("g")).alias("event_time"), (F.try_divide("ad", "an") - F.try_divide("bd", "bn")).alias("att"),
+        F.col("am").alias("n_treated"), F.col("bm").alias("n_control"))
 
 
 def aggregate_effects(att: DataFrame, by: str) -> DataFrame:

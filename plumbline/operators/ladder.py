@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import MAX_GROUPS, order_statistics, running_total, with_cell
+from plumbline.functions.ordered import running_total, with_cell
 from plumbline.operators.regress import (RUNG_SCHEMA, _symmetric, _upper, cluster_sums, cr2_variance, cr_variances,
                                          fit_ols, hc_variances, rung)
 from plumbline.operators.rollups import row_numbers
-from plumbline.session import SMALL_ROWS, cut
+from plumbline.session import SMALL_ROWS, cut, release
 
 FEW_CLUSTERS = 40
 WITHIN_FLOOR = 0.01
@@ -161,15 +162,83 @@ def wild_cluster_bootstrap(df: DataFrame, y: str, xs: Sequence[str], param: str,
     return df.sparkSession.createDataFrame([(param, "wild cluster bootstrap", est, se, lo, hi, float("inf"), note)], RUNG_SCHEMA)
 
 
+CELLS_AT_ONCE = 1_000_000  # units x draws held in a task at one time
+LEVELS_AT_ONCE = 1_000_000  # distinct assignments a task holds; more are handed out in further passes
+ROUNDS = 10
+
+
+def _mixed(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Well-spread bits of `x` under a key per column."""
+    with np.errstate(over="ignore"):
+        x = (x + key) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
+
+
+def permuted_slots(units: np.ndarray, n: int, draws: Sequence[int], seed: int) -> np.ndarray:
+    """Where each unit number of 0..n-1 lands under the permutation of each draw: one row per unit, one column per draw.
+
+    A Feistel network on a rectangle of at least n places, keyed by seed and draw;
+    places beyond n are permuted on until they fall inside. No other unit is looked at.
+    """
+    wide = max(int(np.ceil(np.sqrt(n))), 1)
+    w, t = np.uint64(wide), np.uint64(-(-n // wide))
+    keys = _draw_hashes(np.arange(ROUNDS), max(draws) + 1, seed)[:, list(draws)]
+
+    def step(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        left, right = x % w, x // w
+        for i in range(0, ROUNDS, 2):
+            left = (left + _mixed(right, keys[i][at]) % w) % w
+            right = (right + _mixed(left, keys[i + 1][at]) % t) % t
+        return right * w + left
+
+    col = np.broadcast_to(np.arange(len(draws)), (len(units), len(draws)))
+    x = step(np.repeat(np.asarray(units, dtype=np.uint64)[:, None], len(draws), axis=1), col)
+    out = x >= n
+    while out.any():
+        x[out] = step(x[out], col[out])
+        out = x >= n
+    return x.astype(np.int64)
+
+
+def _dealt_sums(units: DataFrame, levels: list, first: int, n: int, z: Sequence[str], draws: int, seed: int) -> pd.DataFrame:
+    """Sums per draw of the assignments that `levels` (value, slots up to and with it) gives from slot `first` on."""
+    values, upto = np.array([r["a"] for r in levels], dtype=float), np.array([r["upto"] for r in levels], dtype=np.int64)
+    cols = [*[f"z_{c}" for c in z], "tt", "ty"]
+
+    def sums(batches):
+        total = None
+        for pdf in batches:
+            for lo in range(0, len(pdf), ROWS_AT_ONCE):
+                part = pdf.iloc[lo:lo + ROWS_AT_ONCE]
+                m, pos = part[[f"z_{c}" for c in z]].to_numpy(float), part["pos"].to_numpy()
+                sy = part["sy"].to_numpy(float)
+                total = np.zeros((draws, len(cols))) if total is None else total
+                many = max(CELLS_AT_ONCE // len(part), 1)
+                for d in range(0, draws, many):
+                    at = range(d, min(d + many, draws))
+                    slot = permuted_slots(pos, n, at, seed)
+                    s = values[np.minimum(np.searchsorted(upto, slot, "right"), len(values) - 1)]
+                    s = np.where((slot >= first) & (slot < upto[-1]), s, 0.0)
+                    total[at.start:at.stop] += np.column_stack([s.T @ m, (s * s).T @ m[:, 0], s.T @ sy])
+        yield from _drawn(total, cols, draws)
+
+    out = units.select("pos", *[f"z_{c}" for c in z], "sy").mapInPandas(sums, "draw long, " + ", ".join(f"`{c}` double" for c in cols))
+    return out.groupBy("draw").agg(*[F.sum(c).alias(c) for c in cols]).toPandas().set_index("draw").sort_index()
+
+
 def randomisation_inference(df: DataFrame, y: str, arm: str, xs: Sequence[str] = (), cluster: str | None = None,
                             row_id: str | None = None, draws: int = 199, seed: str = "1234567",
                             opt_in: bool = False) -> DataFrame:
     """Permutation p-value for an assignment: `(p, draws, null_sd, observed, level, n_units)`.
 
     Whole clusters are permuted when the assignment never varies inside one,
-    otherwise rows. Each draw orders units by the hash of (seed, draw, unit) and
-    hands them the assignments in a fixed order, so the multiset of assignments
-    is kept exactly. Work is units x draws; rows are reduced to unit sums first.
+    otherwise rows. Units are numbered, the assignments lie sorted on as many slots, and
+    each draw sends every unit to a slot by a keyed permutation computed in the task
+    (`permuted_slots`), so the multiset of assignments is kept exactly. Tasks emit a
+    row of sums per draw; no table of units x draws exists. Above LEVELS_AT_ONCE distinct
+    assignments the same draws are dealt in several passes.
     """
     if not opt_in:
         raise ValueError("randomisation inference describes the design; pass opt_in=True when the assignment was randomised")
@@ -187,51 +256,40 @@ def randomisation_inference(df: DataFrame, y: str, arm: str, xs: Sequence[str] =
     unit = f"_id_{cluster if level == 'cluster' else row_id}"
     z = ["_1", *xs]
     units = base.withColumn("_1", F.lit(1.0)).groupBy(F.col(unit).alias("u")).agg(
-        F.first(arm).alias("a"), *[F.sum(c).alias(f"z_{c}") for c in z], F.sum(y).alias("sy"))
-    units = cut(units)  # one row per unit, read once per pass below
-    n_units = units.count()
-    tot = base.withColumn("_1", F.lit(1.0)).agg(
+        F.min(arm).alias("a"), *[F.sum(c).alias(f"z_{c}") for c in z], F.sum(y).alias("sy"))
+    units = cut(units)  # one row per unit
+    numbered = cut(row_numbers(units.withColumn("o", F.xxhash64("u").cast("double")), [], ["o", "u"]).select(
+        (F.col("rn") - 1).alias("pos"), "a", *[f"z_{c}" for c in z], "sy"))  # read once per pass below
+    release(units)
+    moments = base.withColumn("_1", F.lit(1.0)).agg(
         *[F.sum(F.col(z[i]) * F.col(z[j])).alias(f"q{i}_{j}") for i, j in _upper(len(z))], *[F.sum(F.col(c) * F.col(y)).alias(f"r_{c}") for c in z]).first()
-    zz = _symmetric([tot[f"q{i}_{j}"] for i, j in _upper(len(z))], len(z))
-    zy = np.array([tot[f"r_{c}"] for c in z])
-    long = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("draw"), F.col("u")), 11).cast("double")  # 53 bits, exact as a double
-    levels = units.groupBy("a").agg(F.count("*").alias("n")).orderBy("a").limit(101).collect()
-    if len(levels) <= 100:
-        # few distinct assignments: cut each draw's hash order at the cumulative counts
-        cuts, seen = [], 0
-        for r in levels[:-1]:
-            seen += r["n"]
-            cuts.append(seen - 1)
-        perm = long.withColumn("h", h)
-        if cuts:
-            shares = [c / max(n_units - 1, 1) for c in cuts]
-            st = order_statistics(perm.select("draw", "h"), ["h"], shares, ["draw"], want=lambda n: [float(c) for c in cuts])
-            if st is None:
-                raise ValueError(f"at most {MAX_GROUPS - 1} draws per call; run more with another seed and pool them")
-            th = st.groupBy("draw").agg(*[F.max(F.when(F.col("p") == shares[i], F.col("value"))).alias(f"t{i}") for i in range(len(cuts))])
-            perm = perm.join(F.broadcast(th), "draw")
-        star = F.lit(float(levels[-1]["a"]))
-        for i in reversed(range(len(cuts))):
-            star = F.when(F.col("h") <= F.col(f"t{i}"), F.lit(float(levels[i]["a"]))).otherwise(star)
-        perm = perm.withColumn("s", F.when(F.col("draw") == 0, F.col("a")).otherwise(star))
-    else:
-        order = row_numbers(units.select("u", "a", F.xxhash64("u").cast("double").alias("o")), [], ["o", "u"]).select(
-            F.col("rn").alias("pos"), F.col("a").alias("s0"))
-        perm = row_numbers(long.withColumn("h", h), ["draw"], ["h", "u"]).join(order, F.col("rn") == F.col("pos")).withColumn(
-            "s", F.when(F.col("draw") == 0, F.col("a")).otherwise(F.col("s0")))
-    s = perm.groupBy("draw").agg(*[F.sum(F.col("s") * F.col(f"z_{c}")).alias(f"z_{c}") for c in z],
-                                 F.sum(F.col("s") * F.col("s") * F.col("z__1")).alias("tt"), F.sum(F.col("s") * F.col("sy")).alias("ty")).collect()
+    zz = _symmetric([moments[f"q{i}_{j}"] for i, j in _upper(len(z))], len(z))
+    zy = np.array([moments[f"r_{c}"] for c in z])
     inv = np.linalg.pinv(zz, hermitian=True)
-    est = {}
-    for r in s:  # one row per draw
+
+    def effect(r) -> float:
         tz = np.array([r[f"z_{c}"] for c in z])
         den = r["tt"] - tz @ inv @ tz
-        est[r["draw"]] = (r["ty"] - tz @ inv @ zy) / den if den > 1e-12 else float("nan")
-    obs = est.pop(0)
-    good = np.array([v for v in est.values() if np.isfinite(v)])
-    p = (np.sum(np.abs(good) >= abs(obs)) + 1) / (len(good) + 1)
-    return df.sparkSession.createDataFrame([(float(p), len(good), float(good.std(ddof=1)), float(obs), level, n_units)],
+        return (r["ty"] - tz @ inv @ zy) / den if den > 1e-12 else float("nan")
+
+    seen = numbered.agg(F.count("*").alias("n"), *[F.sum(F.col("a") * F.col(f"z_{c}")).alias(f"z_{c}") for c in z],
+                        F.sum(F.col("a") * F.col("a") * F.col("z__1")).alias("tt"), F.sum(F.col("a") * F.col("sy")).alias("ty")).first()
+    n_units = seen["n"]
+    if n_units == 0:
+        raise ValueError("no complete rows to permute")
+    levels = running_total(numbered.groupBy("a").agg(F.count("*").alias("k")), [], "a", {"upto": "k"}).select("a", "upto")
+    levels = cut(row_numbers(levels, [], ["a"]))
+    key = int.from_bytes(hashlib.sha256(str(seed).encode()).digest()[:4], "big")
+    total, first = None, 0
+    for lo in range(0, levels.count(), LEVELS_AT_ONCE):
+        part = levels.where((F.col("rn") > lo) & (F.col("rn") <= lo + LEVELS_AT_ONCE)).orderBy("rn").collect()  # at most LEVELS_AT_ONCE rows
+        more = _dealt_sums(numbered, part, first, n_units, z, draws, key)
+        total, first = more if total is None else total + more, part[-1]["upto"]
+    obs = effect(seen)
+    good = np.array([v for v in (effect(r) for _, r in total.iterrows()) if np.isfinite(v)])
+    release(numbered, levels)
+    p = (np.sum(np.abs(good) >= abs(obs) * (1 - 1e-9)) + 1) / (len(good) + 1)
+    return df.sparkSession.createDataFrame([(float(p), len(good), float(good.std(ddof=1)) if len(good) > 1 else float("nan"), float(obs), level, n_units)],
                                            "p double, draws int, null_sd double, observed double, level string, n_units long")
 
 

@@ -263,30 +263,33 @@ def two_way_variance(fit: Fit, a: str, b: str) -> np.ndarray:
 
 
 def dfbetas(df: DataFrame, fit: Fit, row_id: str, threshold: float = 0.5) -> DataFrame:
-    """Per term: the row whose removal moves it most, in HC1 standard errors.
+    """Per term: the row whose removal moves it most (of equals the least `row_id`, of any sortable type), in HC1 standard errors.
 
-    The leave-one-out shift has a closed form, so nothing is refitted; rows
+    One scan after the fit gives the variance and the shifts. The leave-one-out shift has a closed form, so nothing is refitted; rows
     fitted exactly have no such shift and are left out.
     """
     x, e, h = fit.x(), fit.residual(), fit.leverage()
-    v = fit.back(hc_variances(fit)["HC1"])
     ok = h < 1 - 1e-12
-    aggs = [F.count_if(~ok).alias("exact")]
+    aggs = [F.count_if(~ok).alias("exact"), *[F.sum(e * e * x[i] * x[j]).alias(f"m{i}_{j}") for i, j in _upper(fit.k)]]
     for j, name in enumerate(fit.names, start=1):
         lin = sum((F.lit(float(fit.minv[j, i])) * x[i] for i in range(1, fit.k)), F.lit(float(fit.minv[j, 0])))
-        shift = F.when(ok, lin * e / (1 - h))
-        aggs.append(F.max(F.struct(F.abs(shift).alias("a"), (-F.col(row_id)).alias("r"), shift.alias("s"))).alias(f"t{j}"))
+        shift = lin * e / (1 - h)
+        aggs.append(F.min(F.when(ok, F.struct((-F.abs(shift)).alias("a"), F.col(row_id).alias("r"), shift.alias("s")))).alias(f"t{j}"))
     s = fit.frame.agg(*aggs).first()
+    meat = _symmetric([s[f"m{i}_{j}"] for i, j in _upper(fit.k)], fit.k)
+    v = fit.back(fit.minv @ meat @ fit.minv * fit.n / (fit.n - fit.k))
     rows = []
     for j, name in enumerate(fit.names, start=1):
         t, base, se = s[f"t{j}"], float(fit.beta[j]), float(np.sqrt(v[j, j]))
-        if t["s"] is None:
+        if t is None:
             rows.append((name, base, None, None, None, None, False, s["exact"]))
             continue
         in_se = abs(t["s"]) / se if se > 0 else float("inf")
-        rows.append((name, base, base - t["s"], -t["r"], in_se, abs(t["s"]) / (abs(base) or 1.0), in_se >= threshold, s["exact"]))
+        rows.append((name, base, base - t["s"], t["r"], in_se, abs(t["s"]) / (abs(base) or 1.0), in_se >= threshold, s["exact"]))
+    kind = fit.frame.schema[row_id].dataType.simpleString()
+    kind = "long" if kind in ("tinyint", "smallint", "int") else kind
     return df.sparkSession.createDataFrame(
-        rows, "term string, estimate double, worst_loo double, row_id long, in_ses double, shift double, flag boolean, n_exact long")
+        rows, f"term string, estimate double, worst_loo double, row_id {kind}, in_ses double, shift double, flag boolean, n_exact long")
 
 
 def leave_one_cluster_out(fit: Fit, cluster: str, params: Sequence[str]) -> DataFrame:

@@ -110,6 +110,13 @@ def test_leverage_equals_refits(data):
         i = int(np.argmax(np.abs(b[j] - loo[:, j])))
         assert r.loc[t, "row_id"] == i
         assert r.loc[t, "worst_loo"] == pytest.approx(loo[i, j], rel=1e-9)
+        e = y - X @ b
+        M = np.linalg.inv(X.T @ X)
+        hc1 = np.sqrt((M @ (X.T * e**2) @ X @ M)[j, j] * N / (N - 3))
+        assert r.loc[t, "in_ses"] == pytest.approx(abs(b[j] - loo[i, j]) / hc1, rel=1e-9)
+    named = df.withColumn("name", F.concat(F.lit("row "), F.col("id")))
+    r2 = R.dfbetas(named, R.fit_ols(named, "y", ["x1", "x2"], ["name"]), "name").toPandas().set_index("term")
+    assert list(r2["row_id"]) == [f"row {i}" for i in r["row_id"]]
 
 
 def test_leave_one_cluster_out(data):
@@ -197,8 +204,127 @@ def test_randomisation_keeps_assignments_and_size(spark):
     b = L.randomisation_inference(df, "moved", "arm", ["z"], row_id="id", draws=99, opt_in=True).first()
     assert a["p"] > 0.05 and b["p"] == pytest.approx(0.01) and b["draws"] == 99
     assert b["null_sd"] == pytest.approx(pdf["moved"].std() / np.sqrt(300 * 2 / 9), rel=0.3)
-    many = df.withColumn("dose", F.col("id") * 1.0)  # more than 100 distinct assignments
-    assert 0 < L.randomisation_inference(many, "null", "dose", row_id="id", draws=39, opt_in=True).first()["p"] <= 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 97, 1000])
+def test_permuted_slots_are_permutations(n):
+    slots = L.permuted_slots(np.arange(n), n, range(60), 5)
+    assert (np.sort(slots, axis=0) == np.arange(n)[:, None]).all()
+    # one unit and one draw alone land where they land among all
+    assert (L.permuted_slots(np.array([n - 1]), n, [7, 59], 5) == slots[n - 1, [7, 59]]).all()
+
+
+def test_permuted_slots_are_near_uniform():
+    draws, n = 24_000, 4
+    got = L.permuted_slots(np.arange(n), n, range(draws), 11)
+    seen = pd.Series([tuple(c) for c in got.T]).value_counts()
+    assert len(seen) == 24 and ((seen - 1000) ** 2 / 1000).sum() < 55  # chi-squared of 23 degrees of freedom, p = 2e-4
+    one = L.permuted_slots(np.array([123]), 1000, range(20_000), 3).ravel()
+    assert ((np.bincount(one // 100, minlength=10) - 2000) ** 2 / 2000).sum() < 34
+
+
+def test_randomisation_equals_refits(spark, monkeypatch):
+    """Any number of assignments, any number of draws: dealt in passes or at once the same, and near plain permutations refitted."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"id": np.arange(60), "z": rng.normal(size=60), "y": rng.normal(size=60)})
+    for dose in (np.arange(60) % 2 * 1.0, np.round(rng.normal(size=60), 1), rng.normal(size=60)):
+        pdf["dose"] = dose
+        df = spark.createDataFrame(pdf).repartition(3)
+        whole = L.randomisation_inference(df, "y", "dose", ["z"], row_id="id", draws=2_100, opt_in=True).first()
+        with monkeypatch.context() as m:
+            m.setattr(L, "LEVELS_AT_ONCE", 25)
+            m.setattr(L, "CELLS_AT_ONCE", 1_000)
+            split = L.randomisation_inference(df, "y", "dose", ["z"], row_id="id", draws=2_100, opt_in=True).first()
+        assert whole["draws"] == 2_100 and split["p"] == whole["p"] and split["null_sd"] == pytest.approx(whole["null_sd"], rel=1e-9)
+        fit = lambda d: np.linalg.lstsq(np.column_stack([np.ones(60), pdf["z"], d]), pdf["y"], rcond=None)[0][2]
+        assert whole["observed"] == pytest.approx(fit(dose), rel=1e-8)
+        est = []
+        for _ in range(2_100):
+            est.append(fit(rng.permutation(dose)))
+        assert whole["null_sd"] == pytest.approx(np.std(est), rel=0.06)
+        assert whole["p"] == pytest.approx(np.mean(np.abs(est) >= abs(fit(dose))), abs=0.04)
+
+
+def test_randomisation_of_clusters_against_all_assignments(spark):
+    """Eight clusters, three treated: the p-value nears the share of all 56 assignments at least as extreme."""
+    from itertools import combinations
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"g": rng.integers(0, 8, 400), "id": np.arange(400)})
+    pdf["arm"] = pdf["g"].isin([1, 4, 6]).astype(float)
+    pdf["y"] = rng.normal(size=400) + rng.normal(0, 1, 8)[pdf["g"]] + 0.8 * pdf["arm"]
+    r = L.randomisation_inference(spark.createDataFrame(pdf), "y", "arm", cluster="g", row_id="id", draws=4_000, opt_in=True).first()
+    gap = lambda t: (lambda m: pdf["y"][m].mean() - pdf["y"][~m].mean())(pdf["g"].isin(t))
+    exact = np.mean([abs(gap(t)) >= abs(gap((1, 4, 6))) - 1e-12 for t in combinations(range(8), 3)])
+    assert r["level"] == "cluster" and r["n_units"] == 8 and r["observed"] == pytest.approx(gap((1, 4, 6)))
+    assert r["p"] == pytest.approx(exact, abs=0.03)
+
+
+def weights_of(spark, units, draws, seed):
+    """Poisson weights per unit, as the bootstrap draws them from each unit's own hash."""
+    h = spark.createDataFrame([(str(u),) for u in units], "u string").select("u", F.xxhash64("u").alias("h")).collect()
+    return dict(zip([r["u"] for r in h], L._poisson(np.array([r["h"] for r in h]), draws, seed)))
+
+
+def weighted(X, y, w):
+    return np.linalg.solve((X.T * w) @ X, (X.T * w) @ y)
+
+
+def test_unit_bootstrap_equals_weighted_refits(spark, data):
+    pdf, df = data
+    X, y = design(pdf)
+    w = weights_of(spark, range(G), 40, 7)
+    got = L.unit_bootstrap(df, "g", "y", ["x1", "x2"], 40).toPandas().pivot(index="draw", columns="param", values="estimate")
+    for b in range(40):
+        np.testing.assert_allclose(got.loc[b, ["x1", "x2"]].astype(float), weighted(X, y, np.array([w[str(g)][b] for g in pdf["g"]]))[1:], rtol=1e-7)
+    s = L.bootstrap_summary(spark.createDataFrame(got["x1"].rename("estimate").reset_index().assign(param="x1")), 50).first()
+    assert (s["n_ok"], s["n_failed"]) == (40, 10) and s["se"] == pytest.approx(got["x1"].std())
+    assert (s["lo"], s["hi"]) == pytest.approx(tuple(np.quantile(got["x1"], [0.025, 0.975])))
+
+
+def test_two_sample_bootstrap_equals_weighted_refits(spark, data):
+    pdf, _ = data
+    rng = np.random.default_rng(5)
+    pdf = pdf.assign(x=pdf["x1"] * 2 + rng.normal(0, 1, N), d=rng.integers(0, 2, N).astype(float))
+    cal, tgt = pdf[pdf["id"] % 2 == 0], pdf[pdf["id"] % 2 == 1]
+    got = L.two_sample_bootstrap(spark.createDataFrame(cal), spark.createDataFrame(tgt), "id", "x", "x1", ["x2"], "y", "d", 25).toPandas().set_index("draw")["estimate"]
+    wc, wt = weights_of(spark, cal["id"], 25, 11), weights_of(spark, tgt["id"], 25, 12)
+    one = lambda t, *c: np.column_stack([np.ones(len(t)), *[t[k] if isinstance(k, str) else k for k in c]])
+    for b in range(25):
+        gam = weighted(one(cal, "x1", "x2"), cal["x"].to_numpy(), np.array([wc[str(i)][b] for i in cal["id"]]))
+        hat = one(tgt, "x1", "x2") @ gam
+        # the prediction is a linear function of the proxy and the control, so all four columns stay independent
+        beta = weighted(one(tgt, "d", hat, "x2"), tgt["y"].to_numpy(), np.array([wt[str(i)][b] for i in tgt["id"]]))
+        assert got[b] == pytest.approx(beta[1], rel=1e-6)
+
+
+def test_unusable_draws_are_counted(spark):
+    """A regressor that is 1 in one unit only is fitted in the draws that hold this unit and no others."""
+    from plumbline.operators import gates
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"u": np.arange(30), "x": (np.arange(30) == 4).astype(float), "y": rng.normal(size=30)})
+    b = L.unit_bootstrap(spark.createDataFrame(pdf), "u", "y", ["x"], 200)
+    usable = int((weights_of(spark, range(30), 200, 7)["4"] > 0).sum())
+    assert 90 < usable < 160 and b.where("estimate IS NOT NULL").count() == usable
+    for share, status in ((usable / 200, "pass"), ((usable + 1) / 200, "fail")):
+        g = gates.draws_usable(b, F.col("estimate").isNotNull(), 200, share).first()
+        assert (g["status"], g["observed"]) == (status, usable)
+    with pytest.raises(gates.GateError, match="no draws"):
+        gates.draws_usable(b, F.col("estimate").isNotNull(), 0)
+
+
+def test_ladder_verdicts(spark):
+    row = lambda p, name, se, lo, hi, dof=50.0: (p, name, 1.0, se, lo, hi, dof, "")
+    lad = spark.createDataFrame([
+        row("firm", "iid", 0.1, 0.8, 1.2), row("firm", "CR2", 0.2, 0.6, 1.4), row("firm", "wild cluster bootstrap", 0.25, 0.5, 1.5),
+        row("moves", "iid", 0.1, 0.8, 1.2), row("moves", "CR2", 0.8, -0.6, 2.6), row("moves", "wild cluster bootstrap", 0.4, 0.1, 1.9),
+        row("short", "iid", 0.5, -0.1, 2.1), row("short", "CR2", 0.6, -0.3, 2.3, 12.0)], R.RUNG_SCHEMA)
+    facts = spark.createDataFrame([(100, 60, 0.004)], "clusters long, treated_clusters long, within_share double")
+    got = {r["param"]: r for r in L.ladder_verdict(lad, facts).collect()}
+    assert {p: r["status"] for p, r in got.items()} == {"firm": "pass", "moves": "fail", "short": "abstain"}
+    assert got["firm"]["se_ratio"] == pytest.approx(2.5) and got["moves"]["decision_moves"] and not got["firm"]["decision_moves"]
+    assert {p for p, r in got.items() if r["few_clusters"]} == {"short"} and {p for p, r in got.items() if r["incomplete"]} == {"short"}
+    assert {r["status"] for r in L.ladder_verdict(lad, facts, has_fe=True).collect()} == {"fail"}  # nothing varies within
+    assert {r["param"]: r["status"] for r in L.ladder_verdict(lad, None, resampled=True).collect()} == {"firm": "pass", "moves": "fail", "short": "pass"}
 
 
 def test_bootstrap_se_is_sensible(data):
