@@ -1,11 +1,11 @@
 """Order-dependent results (quantiles, running totals, look-back) without one-task groups.
 
 A plain window sends a whole group to one task. Here every group above `HEAVY`
-rows is cut along its order column into cells of about that size; lighter groups
-stay whole. The cut points come from a mergeable sketch, work inside a cell is an
-ordinary window, and the cells of a heavy group are stitched with a table of at
-most `2 x rows / HEAVY` rows, which is what bounds the broadcasts below. Results
-are exact: the sketch only decides where the cuts fall.
+rows is cut along its order into cells of about that size; lighter groups
+stay whole. The cut points come from a sketch of one column or a sample of all order
+columns, work inside a cell is an ordinary window, and the cells of a heavy group are
+stitched with a table of at most `2 x rows / HEAVY` rows. Results are exact: sketch
+and sample only decide where the cuts fall.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 from math import ceil, floor
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,50 +91,148 @@ def cell_offsets(d: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> Da
 
 
 def add_offsets(d: DataFrame, by: Sequence[str], offsets: DataFrame) -> DataFrame:
-    """Join per-cell offsets, null for groups in one cell."""
-    return join_null_safe(d, F.broadcast(offsets), [*by, "_cell"], "left")
+    """Join per-cell offsets, null for groups in one cell. Spark may broadcast them; else rows meet by cell, as the windows need them."""
+    return join_null_safe(d, offsets, [*by, "_cell"], "left")
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str],
+class Key(NamedTuple):
+    """A column to order by. Nulls come first in ascending and last in descending order unless `nulls_first` says."""
+
+    name: str
+    descending: bool = False
+    nulls_first: bool | None = None
+
+    def column(self) -> Column:
+        c, first = F.col(self.name), self.leads_with_nulls()
+        if self.descending:
+            return c.desc_nulls_first() if first else c.desc_nulls_last()
+        return c.asc_nulls_first() if first else c.asc_nulls_last()
+
+    def leads_with_nulls(self) -> bool:
+        return not self.descending if self.nulls_first is None else self.nulls_first
+
+    def reversed(self) -> Key:
+        return Key(self.name, not self.descending, not self.leads_with_nulls())
+
+
+def sort_keys(order: str | Key | Sequence[str | Key]) -> list[Key]:
+    """Order columns as `Key`s; a plain name is ascending."""
+    many = [order] if isinstance(order, (str, Key)) else order
+    return [k if isinstance(k, Key) else Key(k) for k in many]
+
+
+TIE = Key("_tie")
+PROBES = 16  # sampled rows per wanted cell
+
+
+def _precedes(keys: Sequence[Key], a: Column, b: Column) -> Column:
+    """Whether struct `a` comes strictly before `b`; both hold the keys' values as fields k0, k1, ..."""
+    out = F.lit(False)
+    for i, k in reversed(list(enumerate(keys))):
+        x, y = a[f"k{i}"], b[f"k{i}"]
+        less = F.when(x.isNull(), F.lit(k.leads_with_nulls())).when(y.isNull(), F.lit(not k.leads_with_nulls())).otherwise(
+            x > y if k.descending else x < y)
+        out = F.when(x.eqNullSafe(y), out).otherwise(less)
+    return out
+
+
+def _bounds_before(bounds: Column, row: Column, keys: Sequence[Key]) -> Column:
+    """How many of the sorted bounds precede the row, by halving."""
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        unsure = s["lo"] < s["hi"]
+        below = _precedes(keys, F.get(bounds, mid), row)
+        return F.struct(F.when(unsure & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(unsure & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi")), halve, lambda s: s["lo"])
+
+
+def _heavy_groups(df: DataFrame, by: Sequence[str], cells: int | None) -> DataFrame | None:
+    """`(by..., _n, __cells)` of the groups that need several cells, None when there are none. Few: each holds more than HEAVY rows."""
+    want = F.lit(cells) if cells else F.ceil(F.col("_n") / HEAVY)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("__cells", want.cast("int")).where("__cells > 1")
+    heavy = cut(sizes)
+    return None if heavy.isEmpty() else broadcast_if_small(heavy)
+
+
+def with_order_cells(df: DataFrame, by: Sequence[str], order: Sequence[str | Key], cells: int | None = None) -> DataFrame:
+    """Add `_cell`, increasing along all of `order` inside each group of `by`, `_split` (the group has several cells) and `_tie`.
+
+    Order columns may have any sortable type. Rows that tie on all of them are told apart
+    by `_tie`, a hash of all columns, so a group of one single order value is cut as well;
+    only rows equal in every column stay together. Sort by `order` and then `_tie`.
+    """
+    whole = {"_cell": F.lit(0), "_split": F.lit(False), "_tie": F.lit(0).cast("long")}
+    heavy = _heavy_groups(df, by, cells)
+    if heavy is None:
+        return df.withColumns(whole)
+    keys = [*sort_keys(order), TIE]
+    d = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]))
+    row = F.struct(*[F.col(k.name).alias(f"k{i}") for i, k in enumerate(keys)])
+    hot = join_null_safe(d, heavy, by) if by else d.withColumns({c: F.lit(v) for c, v in heavy.first().asDict().items()})
+    seen = hot.where(F.rand(7) < PROBES * F.col("__cells") / F.col("_n")).groupBy(*by).agg(F.collect_list(row).alias("_s"), F.first("__cells").alias("_k"))
+    seen = seen.withColumn("_s", F.array_sort("_s", lambda a, b: F.when(_precedes(keys, a, b), -1).when(_precedes(keys, b, a), 1).otherwise(0)))
+    at = F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_k")).cast("int")))
+    cuts = cut(seen.where(F.size("_s") > 0).select(*by or [F.lit(0).cast("long").alias("_all")], F.array_distinct(at).alias("_bounds")))  # a sample is drawn once
+    if not by:  # one row of bounds; joined, so that they are not copied into every expression that uses the cell
+        d = d.withColumn("_all", F.pmod("_tie", F.lit(1)))
+    d = join_null_safe(d, broadcast_if_small(cuts), by or ["_all"], "left")
+    cell = F.when(F.col("_bounds").isNull(), 0).otherwise(_bounds_before(F.col("_bounds"), row, keys))
+    return d.withColumns({"_cell": cell, "_split": F.col("_bounds").isNotNull()}).drop("_bounds", *([] if by else ["_all"]))
+
+
+def running_total(df: DataFrame, by: Sequence[str], order: str | Key | Sequence[str | Key], sums: dict[str, str],
                   cells: int | None = None, peers: bool = True) -> DataFrame:
     """Inclusive running sums of `sums` (output name -> column) along `order`.
 
-    With `peers`, rows that tie on `order` share the value, as in a RANGE frame.
+    With `peers`, rows that tie on `order` share the value, as in a RANGE frame. A heavy
+    group is then summed to one row per order value first, so ties take no task of their own.
     """
-    d = with_cell(df, by, order, cells)
-    d = add_offsets(d, by, cell_offsets(d, by, {f"_o_{o}": F.sum(c) for o, c in sums.items()}))
-    inside = Window.partitionBy(*by, "_cell").orderBy(order)
-    inside = inside.rangeBetween(Window.unboundedPreceding, 0) if peers else inside.rowsBetween(
-        Window.unboundedPreceding, 0)
-    for o, c in sums.items():
-        d = d.withColumn(o, F.coalesce(F.col(f"_o_{o}"), F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return d.drop("_cell", "_split", *[f"_o_{o}" for o in sums])
-
-
-def with_lookback(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int,
+    keys, by = sort_keys(order), list(by)
+    if not peers:
+        d = with_order_cells(df, by, keys, cells)
+        d = add_offsets(d, by, cell_offsets(d, by, {f"_o_{o}": F.sum(c) for o, c in sums.items()}))
+        inside = Window.partitionBy(*by, "_cell").orderBy(*[k.column() for k in keys], "_tie").rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumns({o: F.coalesce(F.col(f"_o_{o}"), F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in sums.items()})
+        return d.drop("_cell", "_split", "_tie", *[f"_o_{o}" for o in sums])
+    along = Window.partitionBy(*by).orderBy(*[k.column() for k in keys]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = lambda d: d.withColumns({o: F.coalesce(F.sum(c).over(along), F.lit(0)) for o, c in sums.items()})
+    heavy = _heavy_groups(df, by, cells)
+    if heavy is None:
+        return plain(df)
+    names = [k.name for k in keys if k.name not in by]
+    hot = join_null_safe(df, heavy.select(*by), by, "left_semi") if by else df
+    per = hot.groupBy(*by, *names).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_p_{o}") for o, c in sums.items()])
+    per = running_total(per, by, keys, {f"_p_{o}": f"_p_{o}" for o in sums}, cells, peers=False)
+    out = join_null_safe(hot, per, [*by, *names]).drop(*sums)
+    light = plain(join_null_safe(df, heavy.select(*by), by, "left_anti")) if by else None
+    kinds = plain(df).schema
+    out = out.select(*[c for c in out.columns if not c.startswith("_p_")], *[F.col(f"_p_{o}").cast(kinds[o].dataType).alias(o) for o in sums])
+    out = out.select(*kinds.names)
+    return out if light is None else light.unionByName(out)
+
+
+def with_lookback(df: DataFrame, by: Sequence[str], order: Sequence[str | Key], rows: int,
                   cells: int | None = None) -> DataFrame:
-    """Add `_cell` and, flagged `_ctx`, copies of the `rows` rows that precede each cell of a heavy group.
+    """Add `_cell`, `_tie` and, flagged `_ctx`, copies of the `rows` rows that precede each cell of a heavy group.
 
-    Windows over `(by, _cell)` that look back at most `rows` rows then see what
-    they would see in the whole group; drop `_ctx` rows afterwards.
+    Windows over `(by, _cell)` in `order`, `_tie` that look back at most `rows` rows then
+    see what they would see in the whole group; drop `_ctx` rows afterwards. The last rows
+    of all cells are numbered along the group, and a cell takes the `rows` numbers before its own.
     """
-    d = with_cell(df, by, order[0], cells)
-    keys = [*by, "_cell"]
-    last = [F.col(c).desc() for c in order]
-    tails = d.where("_split").drop("_split").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*last))).where(
-        F.col("_n") <= rows).drop("_n")
+    by = list(by)
+    d = with_order_cells(df, by, order, cells)
+    at, last = [*by, "_cell"], [k.reversed().column() for k in [*sort_keys(order), TIE]]
+    tails = d.where("_split").drop("_split").withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy(*last))).where(F.col("_n") <= rows)
     d = d.drop("_split")
-    heads = tails.select(*keys).distinct().select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys])
-    cond = reduce(lambda a, b: a & b, [
-        *[tails[k].eqNullSafe(heads[f"_h_{k}"]) for k in by], tails["_cell"] < heads["_h__cell"]])
-    ctx = (tails.join(heads, cond)
-           .withColumn("_n", F.row_number().over(
-               Window.partitionBy(*[f"_h_{k}" for k in keys]).orderBy(*last)))
-           .where(F.col("_n") <= rows)
-           .withColumn("_cell", F.col("_h__cell")))
-    return d.withColumn("_ctx", F.lit(False)).unionByName(
-        ctx.select(*d.columns, F.lit(True).alias("_ctx")))
+    upto = F.sum("_m").over(Window.partitionBy(*by).orderBy("_cell"))
+    counts = tails.groupBy(*at).agg(F.count("*").alias("_m")).withColumn("_upto", upto)  # one row per cell
+    placed = join_null_safe(tails, counts, at).withColumn("_at", F.col("_upto") - F.col("_n") + 1).drop("_n", "_m", "_upto", "_cell")
+    start = F.col("_upto") - F.col("_m")
+    wanted = counts.where(start > 0).select(*at, F.explode(F.sequence(F.greatest(start - rows + 1, F.lit(1)), start)).alias("_at"))
+    ctx = join_null_safe(wanted, placed, [*by, "_at"])
+    return d.withColumn("_ctx", F.lit(False)).unionByName(ctx.select(*d.columns, F.lit(True).alias("_ctx")))
 
 
 def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str], kind: str = "double") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import add_offsets, cell_offsets, join_null_safe, with_cell, with_lookback
+from plumbline.functions.ordered import Key, add_offsets, cell_offsets, join_null_safe, sort_keys, with_lookback, with_order_cells
 
 Z95 = 1.959964
 
@@ -80,26 +80,28 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= k)
 
 
-def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], cells: int | None = None) -> DataFrame:
-    """`row_number` of each row in its group; heavy groups are numbered cell by cell."""
-    d = with_cell(df, by, order[0], cells)
+def _in_cell(by: Sequence[str], order: Sequence[str | Key]):
+    return Window.partitionBy(*by, "_cell").orderBy(*[k.column() for k in sort_keys(order)], "_tie")
+
+
+def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str | Key], cells: int | None = None) -> DataFrame:
+    """`row_number` of each row in its group; heavy groups are numbered cell by cell. `order` takes names and `Key`s."""
+    d = with_order_cells(df, by, order, cells)
     d = add_offsets(d, by, cell_offsets(d, by, {"_off": F.count("*")}))
-    w = Window.partitionBy(*by, "_cell").orderBy(*order)
-    return d.withColumn("rn", F.coalesce("_off", F.lit(0).cast("long")) + F.row_number().over(w)).drop("_cell", "_split", "_off")
+    rn = F.coalesce("_off", F.lit(0).cast("long")) + F.row_number().over(_in_cell(by, order))
+    return d.withColumn("rn", rn).drop("_cell", "_split", "_tie", "_off")
 
 
-def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, offset: int, default: float, cells: int | None = None) -> DataFrame:
-    """The value `offset` rows earlier in its group."""
+def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str | Key], value: str, offset: int, default: float, cells: int | None = None) -> DataFrame:
+    """The value `offset` rows earlier in its group. `order` takes names and `Key`s."""
     d = with_lookback(df, by, order, offset, cells)
-    w = Window.partitionBy(*by, "_cell").orderBy(*order)
-    return d.withColumn("lagged", F.lag(value, offset, default).over(w)).where("not _ctx").drop("_ctx", "_cell")
+    return d.withColumn("lagged", F.lag(value, offset, default).over(_in_cell(by, order))).where("not _ctx").drop("_ctx", "_cell", "_tie")
 
 
-def moving_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, preceding: int, cells: int | None = None) -> DataFrame:
-    """Mean of the current and `preceding` earlier rows."""
+def moving_mean(df: DataFrame, by: Sequence[str], order: Sequence[str | Key], value: str, preceding: int, cells: int | None = None) -> DataFrame:
+    """Mean of the current and `preceding` earlier rows. `order` takes names and `Key`s."""
     d = with_lookback(df, by, order, preceding, cells)
-    w = Window.partitionBy(*by, "_cell").orderBy(*order).rowsBetween(-preceding, 0)
-    return d.withColumn("moving", F.avg(value).over(w)).where("not _ctx").drop("_ctx", "_cell")
+    return d.withColumn("moving", F.avg(value).over(_in_cell(by, order).rowsBetween(-preceding, 0))).where("not _ctx").drop("_ctx", "_cell", "_tie")
 
 
 def nth_values(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int) -> DataFrame:

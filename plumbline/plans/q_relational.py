@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.functions.ordered import quantiles, quantiles_wide, running_total
+from plumbline.functions.ordered import Key, quantiles, quantiles_wide, running_total
 from plumbline.operators import filters as W
 from plumbline.operators import rollups as R
 from plumbline.plans.registry import query, sql_query
@@ -241,6 +241,34 @@ def f5(t):
     return R.moving_mean(_ev(t), BY, ORDER, "value", 2).select("event_id", F.round("moving", 6).alias("moving"))
 
 
+_GAPS = "(SELECT *, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value, 0) END AS v FROM {events})"
+
+
+def _gaps(t):
+    return _ev(t).withColumn("v", F.when(F.col("event_id") % 7 != 0, F.round("value", 0)))
+
+
+@query("f1_row_number_descending", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY v DESC NULLS FIRST, ts DESC, event_id) AS rn FROM " + _GAPS)
+def f1c(t):
+    return R.row_numbers(_gaps(t), BY, [Key("v", True, True), Key("micros", True), "event_id"]).select("event_id", "rn")
+
+
+@query("f2_lag_descending", "SELECT event_id, lag(value, 2, 0.0) OVER (PARTITION BY event_type ORDER BY v DESC NULLS LAST, event_id DESC) AS lagged FROM " + _GAPS)
+def f2b(t):
+    return R.lagged(_gaps(t), BY, [Key("v", True), Key("event_id", True)], "value", 2, 0.0).select("event_id", "lagged")
+
+
+@query("f4_running_sum_nulls_last", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY v NULLS LAST), 4) AS running FROM " + _GAPS)
+def f4b(t):
+    return running_total(_gaps(t), BY, Key("v", nulls_first=False), {"running": "value"}).select("event_id", F.round("running", 4).alias("running"))
+
+
+@query("f5_moving_mean_descending", """SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts DESC, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving
+    FROM {events}""")
+def f5b(t):
+    return R.moving_mean(_ev(t), BY, [Key("micros", True), "event_id"], "value", 2).select("event_id", F.round("moving", 6).alias("moving"))
+
+
 @query("f6_entity_profile", """WITH p AS (SELECT date_trunc('hour', ts) AS hour, user_id, count(*) AS requests, count(DISTINCT event_type) AS kinds,
       avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) AS fs FROM {events} GROUP BY 1, 2)
     SELECT hour, user_id, requests, kinds, round(fs, 6) AS flagged_share, rank() OVER w AS rank, count(*) OVER (PARTITION BY hour) AS n_entities,

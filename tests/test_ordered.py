@@ -108,3 +108,40 @@ def test_null_order_values_come_first_however_many_cells(spark, by, cells):
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     want = {r["id"]: r["s"] for r in d.withColumn("s", F.sum("x").over(w)).collect()}
     assert got == want
+
+
+ORDERS = [[O.Key("v", True), "id"], [O.Key("v", True, True), O.Key("name", nulls_first=False), O.Key("id", True)],
+          [O.Key("v", nulls_first=False), O.Key("name", True), "id"], ["name", O.Key("v", True, True), "id"]]
+
+
+@pytest.mark.parametrize("by, order", [([], ORDERS[0]), (["g"], ORDERS[1]), ([], ORDERS[2]), (["g"], ORDERS[3])])
+def test_directions_and_null_order_however_many_cells(spark, by, order):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 5 == 0) if i % 11 else None, None if i % 9 == 0 else float(rng.integers(0, 40)), None if i % 13 == 0 else f"n{rng.integers(0, 6)}", 1.0 + i % 3) for i in range(1500)]
+    d = spark.createDataFrame(rows, "id long, g int, v double, name string, x double")
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(*[k.column() for k in O.sort_keys(order)])
+    peers = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(O.sort_keys(order)[0].column())
+    want = d.withColumns({"l": F.lag("x", 4, -1.0).over(w), "m": F.avg("x").over(w.rowsBetween(-3, 0)), "r": F.row_number().over(w),
+                          "s": F.sum("x").over(w), "p": F.sum("x").over(peers)}).toPandas().set_index("id").sort_index()
+    for cells in (None, 40):
+        col = lambda out, c: out.select("id", c).toPandas().set_index("id").sort_index()[c].to_numpy()
+        np.testing.assert_array_equal(col(R.row_numbers(d, by, order, cells), "rn"), want["r"])
+        np.testing.assert_allclose(col(R.lagged(d, by, order, "x", 4, -1.0, cells), "lagged"), want["l"])
+        np.testing.assert_allclose(col(R.moving_mean(d, by, order, "x", 3, cells), "moving"), want["m"])
+        np.testing.assert_allclose(col(O.running_total(d, by, order, {"s": "x"}, cells, peers=False), "s"), want["s"])
+        np.testing.assert_allclose(col(O.running_total(d, by, order[0], {"s": "x"}, cells), "s"), want["p"])
+
+
+def test_one_order_value_is_spread_over_cells(spark):
+    d = spark.range(4000).select("id", F.lit(7).alias("t"), F.lit("a").alias("g"), F.lit(1.0).alias("x"))
+    for by in ([], ["g"]):
+        sizes = O.with_order_cells(d, by, ["t"], 10).groupBy("_cell").count().toPandas()["count"]
+        assert len(sizes) == 10 and sizes.max() < 1000
+        assert sorted(r["rn"] for r in R.row_numbers(d, by, ["t"], 10).collect()) == list(range(1, 4001))
+        assert {r["s"] for r in O.running_total(d, by, "t", {"s": "x"}, 10).collect()} == {4000.0}
+        assert sorted(r["s"] for r in O.running_total(d, by, "t", {"s": "x"}, 10, peers=False).collect()) == [float(i) for i in range(1, 4001)]
+        lag = R.lagged(d, by, ["t"], "id", 3, -1, 10).toPandas()["lagged"]
+        assert (lag == -1).sum() == 3 and lag[lag >= 0].is_unique
+    same = spark.range(500).select(F.lit(1).alias("t"), F.lit(2.0).alias("x"))  # equal in every column
+    assert sorted(r["rn"] for r in R.row_numbers(same, [], ["t"], 5).collect()) == list(range(1, 501))
+    assert R.row_numbers(d.limit(0), [], ["t"]).count() == 0 and O.running_total(d.limit(0), ["g"], "t", {"s": "x"}, 4).count() == 0
