@@ -437,7 +437,7 @@ def benjamini_hochberg(ptable: DataFrame, p: str, alpha: float = 0.05, cells: in
         up = Window.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)
         j = tested.withColumn("rank", F.count("*").over(up))
         raw = F.col(p) * F.lit(float(m)) / F.col("rank")
-        down = Window.orderBy(p).rangeBetween(0, Window.unboundedFollowing)
+        down = Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)  # a frame that ends open is summed anew for each row
         return j.withColumn("q", F.least(F.min(raw).over(down), F.lit(1.0))).withColumn("reject", F.col("q") <= alpha)
     # rank of a p-value = number of p-values not above it
     c = running_total(tested.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")), [], "_p", {"_rank": "_c"}, cells)
@@ -452,8 +452,9 @@ def running_min_from_right(df: DataFrame, order: str, value: str, out: str, cell
     """Smallest `value` among rows at or after each row, cell by cell."""
     d = with_cell(df, [], order, cells)
     per = d.groupBy("_cell").agg(F.min(value).alias("_m"))
-    later = per.withColumn("_after", F.min("_m").over(Window.orderBy("_cell").rowsBetween(1, Window.unboundedFollowing))).drop("_m")
-    w = Window.partitionBy("_cell").orderBy(order).rangeBetween(0, Window.unboundedFollowing)
+    later = per.withColumn("_after", F.min("_m").over(Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    # read downwards: a frame that ends open is summed anew for each row
+    w = Window.partitionBy("_cell").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, 0)
     return (d.join(F.broadcast(later), "_cell").withColumn(out, F.least(F.min(value).over(w), F.col("_after"))).drop("_cell", "_split", "_after"))
 
 
