@@ -349,6 +349,13 @@ def test_benjamini_hochberg_both_paths(spark, monkeypatch):
         np.testing.assert_allclose(got["q"], [q[p == x].min() for x in p], rtol=1e-9)
 
 
+def test_benjamini_hochberg_sums_no_frame_anew_for_each_row(spark, monkeypatch):
+    df = spark.range(300).select("id", (F.col("id") / 300.0 + 0.001).alias("p"))
+    for limit in (20_000, 10):
+        monkeypatch.setattr(L, "SMALL_ROWS", limit)
+        assert "unboundedfollowing" not in L.benjamini_hochberg(df, "p", cells=8)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_romano_wolf_orders(spark):
     rng = np.random.default_rng(4)
     obs = spark.createDataFrame([("a", 5.0), ("b", -2.2), ("c", 0.1)], "hypothesis string, t double")
