@@ -37,6 +37,20 @@ def test_typed_csv_is_strict_even_for_unused_columns(spark):
     assert R.read_typed_csv(spark, path, schema, strict=False).where("_corrupt is not null").count() == 1
 
 
+def test_stamp_query_deals_rows_by_size(spark, tmp_path, monkeypatch):
+    from plumbline.plans import q_sources
+    from plumbline.plans.registry import Tables
+    spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, verify = [], W.verify_stamp
+    monkeypatch.setattr(q_sources.W, "verify_stamp", lambda d, side: (seen.append(d), verify(d, side))[1])
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        assert q_sources.a8(Tables(spark, str(tmp_path))).first()["n_records"] == 20_000
+        assert seen[0].rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_stamp_detects_any_change(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
     side = scratch(spark, "stamp") + ".json"
