@@ -119,13 +119,14 @@ def near_misses(paragraphs: DataFrame, citations: DataFrame, artifacts: DataFram
         here.select("path", F.signum("value").alias("sg"), F.col("value").alias("x"), F.col("value").alias("a")), allowMissingColumns=True)
     d = with_cell(u, by, "x", cells)
     per = d.where("_split").groupBy(*by, "_cell").agg(F.max("a").alias("_hi"), F.min("a").alias("_lo"))
-    w = Window.partitionBy(*by).orderBy("_cell")
+    # read downwards as well: a frame that ends open is searched anew for each row
+    w, back = Window.partitionBy(*by).orderBy("_cell"), Window.partitionBy(*by).orderBy(F.desc("_cell"))
     d = add_offsets(d, by, per.select(*by, "_cell", F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
-                                      F.min("_lo").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_above")))
-    inside = Window.partitionBy(*by, "_cell").orderBy("x")
+                                      F.min("_lo").over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_above")))
+    inside, down = Window.partitionBy(*by, "_cell").orderBy("x"), Window.partitionBy(*by, "_cell").orderBy(F.desc("x"))
     d = d.select("para", F.col("x").alias("stated"),
                  F.greatest(F.max("a").over(inside.rangeBetween(Window.unboundedPreceding, 0)), F.col("_below")).alias("p"),
-                 F.least(F.min("a").over(inside.rangeBetween(0, Window.unboundedFollowing)), F.col("_above")).alias("q")).where("para is not null")
+                 F.least(F.min("a").over(down.rangeBetween(Window.unboundedPreceding, 0)), F.col("_above")).alias("q")).where("para is not null")
     far = lambda c: F.struct((F.abs(F.col(c) - F.col("stated")) / F.abs(F.col(c))).alias("distance"), F.col(c).alias("actual"))
     near = d.select("para", "stated", F.explode(F.array(far("p"), far("q"))).alias("b")).where("b.actual is not null").groupBy("para", "stated").agg(F.min("b").alias("b"))
     return near.select("para", "stated", F.col("b.actual").alias("nearest"), F.col("b.distance").alias("distance")).where(

@@ -223,6 +223,11 @@ def test_near_miss_and_exit_status(spark, arts):
     assert none["exit_status"] == 2 and none["checked"] == 0
 
 
+def test_near_misses_search_no_frame_anew_for_each_row(spark, arts):
+    p = spark.createDataFrame([("p1", "a/results.txt", "it was 102.5 there")], "para_id string, cited_path string, text string")
+    assert "unboundedfollowing" not in provenance.near_misses(p, p, arts)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 @pytest.mark.parametrize("cells", [None, 16])
 def test_near_misses_equal_all_pairs(spark, cells):
     rng = np.random.default_rng(3)
