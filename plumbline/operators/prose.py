@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +47,37 @@ WEAK = ("dashes", "curly_quotes", "bold")  # never evidence on their own
 QUOTED = r'"[^"\n]*"|“[^”\n]*”|(?m)^>.*$'
 
 
+# What a text holds wherever a family that is no plain list of phrases matches.
+NEEDED = {
+    "negative_parallelism": ("not only", "it's not ", ", no "),
+    "dashes": ("—", "–", " -- "),
+    "bold": ("**",),
+    "inline_headers": (":**",),
+    "title_case_headings": ("#",),
+    "curly_quotes": ("“", "”", "‘", "’"),
+    "openers": ("honestly?", "look,", "here's the thing", "the thing is", "let's be honest", "real talk"),
+}
+
+
+def needed(family: str) -> Sequence[str]:
+    """Literals of which a text holds at least one if the family matches; none when there is no such list."""
+    m = re.fullmatch(r"(\\b|, )\(\?:([^()\[\]\\]+)\)(?:\\b)?", TELLS[family])
+    return [m[1].replace("\\b", "") + p for p in m[2].split("|")] if m else NEEDED.get(family, ())
+
+
+def _holds(text: Column, literals: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+
+
+def family_count(text: Column, family: str) -> Column:
+    """Matches of a family; the pattern is tried only on texts that hold one of its literals."""
+    n, literals = F.regexp_count(text, F.lit(TELLS[family])), needed(family)
+    return F.when(~_holds(text, literals), 0).otherwise(n) if literals else n
+
+
 def own_words(text: Column) -> Column:
     """The text without quoted passages."""
-    return F.regexp_replace(text, QUOTED, " ")
+    return F.when(~_holds(text, ('"', "“", ">")), text).otherwise(F.regexp_replace(text, QUOTED, " "))
 
 
 def word_count(text: Column) -> Column:
@@ -60,7 +90,7 @@ def tell_counts(df: DataFrame, key: Sequence[str], text: str, families: Sequence
     d = spread(df.select(*key, text)).select(*key, own_words(F.col(text)).alias("_own"), word_count(F.col(text)).alias("words"))
     d = d.select(*key, "words", "_own", F.lower("_own").alias("_low"))
     return d.select(*key, "words", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("family"), F.regexp_count(F.col("_own" if n in RAW else "_low"), F.lit(TELLS[n])).alias("n"))
+        F.struct(F.lit(n).alias("family"), family_count(F.col("_own" if n in RAW else "_low"), n).alias("n"))
         for n in names]))).where("n > 0")
 
 
@@ -69,7 +99,7 @@ def tell_clusters(df: DataFrame, key: Sequence[str], text: str, min_families: in
     names = list(TELLS)
     d = spread(df.select(*key, text)).select(*key, own_words(F.col(text)).alias("_own"), word_count(F.col(text)).alias("words"))
     d = d.withColumn("_low", F.lower("_own")).withColumn("_c", F.array(*[
-        F.struct(F.lit(n in WEAK).alias("weak"), F.regexp_count(F.col("_own" if n in RAW else "_low"), F.lit(TELLS[n])).alias("n")) for n in names]))
+        F.struct(F.lit(n in WEAK).alias("weak"), family_count(F.col("_own" if n in RAW else "_low"), n).alias("n")) for n in names]))
     hit = F.filter("_c", lambda x: x["n"] > 0)
     d = d.select(*key, "words", F.size(hit).alias("families"), F.size(F.filter(hit, lambda x: ~x["weak"])).alias("strong"),
                  F.aggregate("_c", F.lit(0), lambda s, x: s + x["n"]).alias("tells"))

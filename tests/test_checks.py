@@ -228,6 +228,15 @@ def test_near_misses_search_no_frame_anew_for_each_row(spark, arts):
     assert "unboundedfollowing" not in provenance.near_misses(p, p, arts)._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_a_family_is_only_looked_for_where_its_literals_are(spark):
+    d = spark.createDataFrame([(1, 'It serves as a "key role" and, of note, showcasing -- ** not only x but y.'), (2, "plain"), (3, None)], "id int, text string")
+    for family, pattern in prose.TELLS.items():
+        low = F.lower(F.regexp_replace("text", prose.QUOTED, " "))
+        got = d.select("id", prose.family_count(F.lower(prose.own_words(F.col("text"))), family).alias("n"), F.regexp_count(low, F.lit(pattern)).alias("m")).collect()
+        assert all(r["n"] == r["m"] for r in got), family
+    assert all(prose.needed(f) for f in prose.TELLS if f != "emoji")
+
+
 @pytest.mark.parametrize("cells", [None, 16])
 def test_near_misses_equal_all_pairs(spark, cells):
     rng = np.random.default_rng(3)
