@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.ordered import melt, order_statistics, quantiles
+from plumbline.session import cut
 
 # Codes that commonly stand for "missing".
 SENTINEL_NUMBERS = [
@@ -31,6 +32,7 @@ SENTINEL_DATES = [
     "1970-01-01", "0001-01-01", "2099-12-31", "9999-12-31",
 ]
 SPIKE_ROUND = [1, 9, 99, 999, 9999, 99999]
+REFUTERS = 20  # rows drawn to refute keys, times the root of all rows
 
 # Name parts that announce a share, a count or a rate.
 SHARE_WORDS = ("share", "pct", "percent", "prop", "frac", "rate_of")
@@ -84,11 +86,26 @@ def _is_unique(df: DataFrame, cols: Sequence[str]) -> bool:
     return df.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
+def _refuted(rows: DataFrame, combos: Sequence[Sequence[str]]) -> set[int]:
+    """Numbers of the combinations under which two of `rows` are alike, nulls being one more value."""
+    def row(j: int, c: Sequence[str]) -> Column:
+        parts = [e for x in c for e in (F.col(x), F.col(x).isNull())]  # hashes skip nulls
+        return _named(j=j, x=F.xxhash64(*parts), y=F.hash(*parts))
+
+    if not combos:
+        return set()
+    seen = _rows(rows, *[row(j, c) for j, c in enumerate(combos)]).groupBy("j", "x", "y").agg(F.count("*").alias("n"))
+    return {r["j"] for r in seen.where("n > 1").select("j").distinct().collect()}
+
+
 def find_minimal_key(df: DataFrame, top: int = 14, batch: int = 8) -> DataFrame:
     """Smallest column set that identifies rows: `(size, columns)`; empty when none up to three columns.
 
-    Sketched distinct counts of every combination reject most of them in one
-    pass per batch; only combinations the sketch cannot reject are checked exactly.
+    Two rows alike refute a combination, wherever they are found: `REFUTERS` times the
+    root of the rows, drawn at random, hold some pairs for any combination that is
+    alike in a tenth of the rows. All combinations are tried on a few of them first, the
+    `batch` likeliest ones at a time on the rest; whatever is not refuted is checked
+    exactly on every row.
     """
     cand = scalar_columns(df)
     sketch = lambda c: F.approx_count_distinct(c, 0.02)
@@ -103,16 +120,20 @@ def find_minimal_key(df: DataFrame, top: int = 14, batch: int = 8) -> DataFrame:
     if alone:
         return spark.createDataFrame([(1, c) for c in sorted(alone)], schema)
     cand = cand[:top]
+    if not cand:
+        return spark.createDataFrame([], schema)
+    drawn = cut(df.select(*cand).sample(min(1.0, REFUTERS / n ** 0.5), 0))
+    few = drawn.sample(1 / 16, 0)
     for size in (2, 3):
         combos = [c for c in combinations(cand, size)
                   if reduce(lambda a, b: a * b, [min(1.1 * st[x], n) for x in c]) >= n]
-        i, size_now = 0, batch
-        while i < len(combos):
-            part = combos[i:i + size_now]
-            i, size_now = i + size_now, min(2 * size_now, 64)  # likely keys come first
-            got = df.agg(*[sketch(F.struct(*c)).alias(f"c{j}") for j, c in enumerate(part)]).first()
+        known = _refuted(few, combos)
+        combos = [c for j, c in enumerate(combos) if j not in known]
+        for i in range(0, len(combos), batch):  # likely keys come first
+            part = combos[i:i + batch]
+            known = _refuted(drawn, part)
             for j, c in enumerate(part):
-                if got[f"c{j}"] >= 0.9 * n and _is_unique(df, c):
+                if j not in known and _is_unique(df, c):
                     return spark.createDataFrame([(size, " + ".join(c))], schema)
     return spark.createDataFrame([], schema)
 

@@ -115,6 +115,22 @@ def test_key_search_and_missing_key(spark):
     assert m["status"] == "fail" and "a" in m["note"]
 
 
+def test_key_search_sketches_no_combinations(spark, monkeypatch):
+    """Combinations are refuted by drawn rows, the rest checked on all rows; nulls are a value and sit in no other column's place."""
+    sketched, checked = [], []
+    sketch, unique = P.F.approx_count_distinct, P._is_unique
+    monkeypatch.setattr(P.F, "approx_count_distinct", lambda c, e: sketched.append(c) or sketch(c, e))
+    monkeypatch.setattr(P, "_is_unique", lambda d, c: checked.append(tuple(c)) or unique(d, c))
+    rows = [(i // 40, i % 40 if i % 40 else None, i % 7, (i * 7919) % 1500, 1) for i in range(3000)]
+    d = spark.createDataFrame(rows, "a int, b int, c int, e int, one int")
+    r = P.find_minimal_key(d).first()
+    assert (r["size"], r["columns"]) == (2, "e + a") and all(isinstance(c, str) for c in sketched)
+    assert checked[-1] == ("e", "a") and all(len(c) == 2 for c in checked)
+    swapped = spark.createDataFrame([(None, 5), (5, None), (5, 5), (None, None)], "a int, b int")
+    assert P.find_minimal_key(swapped).first()["columns"] in ("a + b", "b + a")
+    assert P.find_minimal_key(d.unionByName(d)).count() == 0
+
+
 def test_range_rules_use_whole_name_parts(spark):
     d = spark.createDataFrame([(-0.02, -1.0, -5.0, -2)], "vote_share double, mean_price double, super_x double, n_rows int")
     strict = {r["column"]: r["status"] for r in P.range_violations(d).collect()}
