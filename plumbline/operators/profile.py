@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ SENTINEL_DATES = [
 ]
 SPIKE_ROUND = [1, 9, 99, 999, 9999, 99999]
 REFUTERS = 20  # rows drawn to refute keys, times the root of all rows
+REFUTING = 100  # pairs of rows a combination is refuted by, from which others may be
 
 # Name parts that announce a share, a count or a rate.
 SHARE_WORDS = ("share", "pct", "percent", "prop", "frac", "rate_of")
@@ -86,26 +87,50 @@ def _is_unique(df: DataFrame, cols: Sequence[str]) -> bool:
     return df.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def _refuted(rows: DataFrame, combos: Sequence[Sequence[str]]) -> set[int]:
-    """Numbers of the combinations under which two of `rows` are alike, nulls being one more value."""
+def _differing(rows: DataFrame, combos: Sequence[Sequence[str]], columns: Sequence[str]) -> set[int]:
+    """Columns, as bits, in which two of `rows` differ that are alike under a combination: true of some such pairs, nearly equal ones first."""
     def row(j: int, c: Sequence[str]) -> Column:
         parts = [e for x in c for e in (F.col(x), F.col(x).isNull())]  # hashes skip nulls
         return _named(j=j, x=F.xxhash64(*parts), y=F.hash(*parts))
 
-    if not combos:
-        return set()
-    seen = _rows(rows, *[row(j, c) for j, c in enumerate(combos)]).groupBy("j", "x", "y").agg(F.count("*").alias("n"))
-    return {r["j"] for r in seen.where("n > 1").select("j").distinct().collect()}
-
-
-def find_minimal_key(df: DataFrame, top: int = 14, batch: int = 8) -> DataFrame:
-    """Smallest column set that identifies rows: `(size, columns)`; empty when none up to three columns.
-
-    Two rows alike refute a combination, wherever they are found: `REFUTERS` times the
-    root of the rows, drawn at random, hold some pairs for any combination that is
-    alike in a tenth of the rows. All combinations are tried on a few of them first, the
-    `batch` likeliest ones at a time on the rest; whatever is not refuted is checked
-    exactly on every row.
+    alike = rows.select(F.struct(*columns).alias("r"), F.inline(F.array(*[row(j, c) for j, c in enumerate(combos)]))).groupBy("j", "x", "y")
+    two = alike.agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count("*").alias("n")).where("n > 1")
+    seen = two.select("j", F.array(*[~F.col("a")[x].eqNullSafe(F.col("b")[x]) for x in columns]).alias("d")).distinct()
+    near = Window.partitionBy("j").orderBy(F.size(F.filter("d", lambda x: x)))
+    few = seen.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= REFUTING).select("d").distinct()
+    return {sum(1 << k for k, x in enumerate(r["d"]) if x) for r in few.collect()}
+
+
+def _repeated(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The rows of some values that `cols` have more than once."""
+    keys = df.groupBy(*cols).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.struct(*cols).alias("_k")).limit(REFUTING)
+    return df.join(F.broadcast(keys), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("_k")[c]) for c in cols]), "left_semi")
+
+
+def _hitting(differ: list[int], m: int, size: int, first: int = 0, taken: int = 0) -> Iterator[tuple[int, ...]]:
+    """Combinations of `size` of `m` columns, in order, with a column of every mask in `differ`, which may grow meanwhile."""
+    missed = [d for d in differ if not d & taken]
+    if not size:
+        if not missed:
+            yield ()
+        return
+    last = reduce(lambda x, y: x & y, missed, -1) if size == 1 else -1
+    for k in range(first, m - size + 1):
+        if any(not d >> k for d in missed):
+            return
+        if last >> k & 1:
+            for rest in _hitting(differ, m, size - 1, k + 1, taken | 1 << k):
+                yield k, *rest
+
+
+def find_minimal_key(df: DataFrame, batch: int = 8) -> DataFrame:
+    """Smallest column set that identifies rows: `(size, columns)`; empty when all columns together do not. Single columns are all listed.
+
+    Two rows refute every combination of columns in which they do not differ, so only
+    combinations with a column of each difference seen so far are tried, columns with
+    many values first: `batch` at a time on drawn rows, `REFUTERS` times the root of all,
+    which hold some pairs for any combination that is alike in a tenth of the rows, and
+    what those leave exactly on every row.
     """
     cand = scalar_columns(df)
     sketch = lambda c: F.approx_count_distinct(c, 0.02)
@@ -115,26 +140,36 @@ def find_minimal_key(df: DataFrame, top: int = 14, batch: int = 8) -> DataFrame:
     n = st["_n"]
     schema = "size int, columns string"
     spark = df.sparkSession
-    cand = sorted([c for c in cand if n and st[c] > 1], key=lambda c: -st[c])
-    alone = [c for c in cand if st[c] >= 0.9 * n and _is_unique(df, [c])]
-    if alone:
-        return spark.createDataFrame([(1, c) for c in sorted(alone)], schema)
-    cand = cand[:top]
+    one = [c for c in cand if n and st[c] <= 1]  # or a few that the sketch does not tell apart
+    vary = df.agg(*[(~F.min(c).eqNullSafe(F.max(c))).alias(c) for c in one]).first() if one else {}
+    cand = sorted([c for c in cand if n and (c not in one or vary[c])], key=lambda c: -st[c])
     if not cand:
         return spark.createDataFrame([], schema)
     drawn = cut(df.select(*cand).sample(min(1.0, REFUTERS / n ** 0.5), 0))
-    few = drawn.sample(1 / 16, 0)
-    for size in (2, 3):
-        combos = [c for c in combinations(cand, size)
-                  if reduce(lambda a, b: a * b, [min(1.1 * st[x], n) for x in c]) >= n]
-        known = _refuted(few, combos)
-        combos = [c for j, c in enumerate(combos) if j not in known]
-        for i in range(0, len(combos), batch):  # likely keys come first
-            part = combos[i:i + batch]
-            known = _refuted(drawn, part)
-            for j, c in enumerate(part):
-                if j not in known and _is_unique(df, c):
+    differ: list[int] = []
+
+    def learn(masks: set[int]) -> None:
+        found = {*differ, *masks}
+        differ[:] = [d for d in sorted(found, key=int.bit_count) if not any(e & d == e for e in found if e != d)]
+
+    for size in range(1, len(cand) + 1):
+        combos, keys = _hitting(differ, len(cand), size), []
+        while part := list(islice(combos, batch)):
+            learn(_differing(drawn, [[cand[k] for k in c] for c in part], cand))
+            for ks in part:
+                if not all(any(d >> k & 1 for k in ks) for d in differ):
+                    continue
+                c = [cand[k] for k in ks]
+                if not _is_unique(df, c):
+                    learn(_differing(_repeated(df.select(*cand), c), [c], cand))
+                elif size > 1:
                     return spark.createDataFrame([(size, " + ".join(c))], schema)
+                else:
+                    keys += c
+            if 0 in differ:  # two rows are alike in everything
+                return spark.createDataFrame([], schema)
+        if keys:
+            return spark.createDataFrame([(1, c) for c in sorted(keys)], schema)
     return spark.createDataFrame([], schema)
 
 

@@ -131,6 +131,30 @@ def test_key_search_sketches_no_combinations(spark, monkeypatch):
     assert P.find_minimal_key(d.unionByName(d)).count() == 0
 
 
+def test_key_search_leaves_no_column_or_size_out(spark):
+    """Keys of a column with few values among many columns, and of more than three; several single keys; none where whole rows repeat."""
+    wide = spark.range(500).selectExpr(*[f"(id div 2 * {k + 3}) % 50 as c{k:02d}" for k in range(16)], "cast(id % 2 as int) as z", "id div 2 as y", "7 as one")
+    assert [tuple(r) for r in P.find_minimal_key(wide).collect()] == [(2, "y + z")]
+    bits = spark.range(16).selectExpr(*[f"if(id & {1 << k} = 0, null, {k}) as b{k}" for k in range(4)], "id % 2 as same")
+    r = P.find_minimal_key(bits).collect()
+    assert len(r) == 1 and r[0]["size"] == 4 and {"b1", "b2", "b3"} < set(r[0]["columns"].split(" + "))
+    assert P.find_minimal_key(bits.unionByName(bits.limit(1))).count() == 0
+    two = spark.range(400).selectExpr("id as x", "id % 7 as m", "cast(-id as string) as w")
+    assert [tuple(r) for r in P.find_minimal_key(two).collect()] == [(1, "w"), (1, "x")]
+
+
+def test_differences_seen_leave_what_can_be_a_key():
+    import itertools
+    import random
+    draw = random.Random(3)
+    for _ in range(200):
+        m, differ = draw.randint(1, 7), []
+        differ += [draw.randint(1, 2 ** m - 1) for _ in range(draw.randint(0, 5))]
+        for size in range(1, m + 1):
+            want = [c for c in itertools.combinations(range(m), size) if all(any(d >> k & 1 for k in c) for d in differ)]
+            assert list(P._hitting(differ, m, size)) == want
+
+
 def test_range_rules_use_whole_name_parts(spark):
     d = spark.createDataFrame([(-0.02, -1.0, -5.0, -2)], "vote_share double, mean_price double, super_x double, n_rows int")
     strict = {r["column"]: r["status"] for r in P.range_violations(d).collect()}
